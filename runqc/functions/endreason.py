@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from runqc.functions.common import col_of, first_match, messages
+from runqc.functions.common import col_of, first_match, fixed1, messages
 
 # Canonical end reasons, their integer codes and accepted spellings.
 END_REASON_BY_CODE = {
@@ -81,11 +81,10 @@ def verdict(sp_pct: Column | str, sn_pct: Column | str) -> Column:
 
 def verdict_issues(sp_pct: Column | str, sn_pct: Column | str) -> Column:
     sp, sn = col_of(sp_pct), col_of(sn_pct)
-    one = lambda c: F.format_string("%.1f", c)
     return messages(
-        F.when(sp < 50, F.concat(F.lit("signal_positive too low ("), one(sp), F.lit("% < 50%)")))
-        .when(sp < 75, F.concat(F.lit("signal_positive below optimal ("), one(sp), F.lit("% < 75%)"))),
-        F.when(sn > 20, F.concat(F.lit("high signal_negative ("), one(sn), F.lit("% > 20%)"))),
+        F.when(sp < 50, F.concat(F.lit("signal_positive too low ("), fixed1(sp), F.lit("% < 50%)")))
+        .when(sp < 75, F.concat(F.lit("signal_positive below optimal ("), fixed1(sp), F.lit("% < 75%)"))),
+        F.when(sn > 20, F.concat(F.lit("high signal_negative ("), fixed1(sn), F.lit("% > 20%)"))),
     )
 
 
@@ -93,5 +92,5 @@ def adaptive_note(unblock_pct: Column | str, data_service_pct: Column | str) ->
     total = col_of(unblock_pct) + col_of(data_service_pct)
     return F.when(
         total > 5,
-        F.concat(F.lit("Adaptive sampling detected ("), F.format_string("%.1f", total), F.lit("% rejections)")),
+        F.concat(F.lit("Adaptive sampling detected ("), fixed1(total), F.lit("% rejections)")),
     )

@@ -98,4 +98,5 @@ def size_class(length: Column | str, low: Column | str, high: Column | str) -> C
 
 def estimated_length(samples: Column | str, rate: Column | str, bases_per_second: int = 450) -> Column:
     """Bases expected from a signal of ``samples`` points at ``rate`` Hz."""
-    return F.try_divide(col_of(samples) * F.lit(float(bases_per_second)), col_of(rate)).cast("long")
+    seconds = F.try_divide(col_of(samples).cast("double"), col_of(rate))
+    return (seconds * F.lit(float(bases_per_second))).cast("long")

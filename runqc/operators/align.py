@@ -221,8 +221,10 @@ def classify_reads(
             F.col("target_id").alias("id"),
         ).alias("c"),
     )
-    # Targets of one experiment within one size band; the list per sequence is the panel at most.
-    ranked = scored.groupBy("experiment", "seq").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    # Only the three best candidates matter, so no list grows with the number of targets.
+    order = Window.partitionBy("experiment", "seq").orderBy("c")
+    top = scored.withColumn("_r", F.row_number().over(order)).where("_r <= 3")
+    ranked = top.groupBy("experiment", "seq").agg(F.array_sort(F.collect_list("c")).alias("c"))
     best, second = F.col("c")[0], F.get("c", F.lit(1))
     outcome = sized.join(ranked, ["experiment", "seq"], "left")
     method = first_match(

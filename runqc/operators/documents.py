@@ -114,23 +114,33 @@ def dangling_references(items: DataFrame, id_col: str, refs_col: str) -> DataFra
     return edges.join(items.select(F.col(id_col).alias("reference")), "reference", "left_anti").select("item", "reference")
 
 
-def usage_mismatch(items: DataFrame, users: DataFrame) -> DataFrame:
-    """Claimed against actual usage, both ways.
+def usage_mismatch(claimed: DataFrame, actual: DataFrame) -> DataFrame:
+    """Claimed against actual usage, both ways, as (variable, user, problem) rows.
 
-    ``items``: (variable, claimed array). ``users``: (user, variables array).
+    Both sides are (variable, user) edges, so a variable used everywhere is just many rows. Usage
+    of variables that claim nothing at all is the orphan check's business, not this one's.
     """
-    claimed = items.select("variable", F.explode("claimed").alias("user")).distinct().withColumn("c", F.lit(1))
-    actual = users.select(F.explode("variables").alias("variable"), "user").distinct().withColumn("a", F.lit(1))
-    known = actual.join(items.select("variable"), "variable", "left_semi")
-    both = claimed.join(known, ["variable", "user"], "full")
+    c = claimed.select("variable", "user").distinct().withColumn("c", F.lit(1))
+    a = actual.select("variable", "user").distinct().withColumn("a", F.lit(1))
+    both = c.join(a, ["variable", "user"], "full")
     kind = F.when(F.col("c").isNull(), "missing").when(F.col("a").isNull(), "extra")
     return both.select("variable", "user", kind.alias("problem")).where(F.col("problem").isNotNull())
 
 
-def orphans(items: DataFrame, users: DataFrame) -> DataFrame:
-    """Items no user refers to."""
-    used = users.select(F.explode("variables").alias("variable")).distinct()
-    return items.select("variable").join(used, "variable", "left_anti")
+def orphans(items: DataFrame, actual: DataFrame) -> DataFrame:
+    """Variables no user refers to."""
+    return items.select("variable").distinct().join(actual.select("variable"), "variable", "left_anti")
+
+
+def undefined(items: DataFrame, actual: DataFrame) -> DataFrame:
+    """Variables in use that are not defined."""
+    return actual.select("variable").distinct().join(items.select("variable"), "variable", "left_anti")
+
+
+def where_used(items: DataFrame, actual: DataFrame) -> DataFrame:
+    """Every variable with its users, one row each; a variable nobody uses keeps one NULL row."""
+    used = actual.select("variable", "user").distinct()
+    return items.select("variable").distinct().join(used, "variable", "left")
 
 
 def isolated(items: DataFrame, id_col: str, refs_col: str) -> DataFrame:

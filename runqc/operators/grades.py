@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runqc.functions import phred
-from runqc.functions.common import count_where, first_match, messages, pct
+from runqc.functions.common import count_where, first_match, fixed1, messages, pct
 
 # Grade thresholds, best grade first. A grade needs every bound.
 READ_QC_GRADES = [  # signal positive at least, unblock at most, short reads at most
@@ -113,20 +113,19 @@ def run_grade(runs: DataFrame) -> DataFrame:
         ],
         F.col("_level"),
     )
-    one = lambda c: F.format_string("%.1f", c)
     below = lambda g, floor_q, floor_rate: [
         F.when(
             (F.col("_level") == g) & (q < floor_q),
-            F.concat(F.lit("Q-score "), one(q), F.lit(f" < {floor_q}")),
+            F.concat(F.lit("Q-score "), fixed1(q), F.lit(f" < {floor_q}")),
         ),
         F.when(
             (F.col("_level") == g) & (rate < floor_rate),
-            F.concat(F.lit("Pass rate "), one(rate), F.lit(f"% < {floor_rate}%")),
+            F.concat(F.lit("Pass rate "), fixed1(rate), F.lit(f"% < {floor_rate}%")),
         ),
     ]
     low = lambda g, word: [
-        F.when(F.col("_level") == g, F.concat(F.lit(f"{word} Q-score: "), one(q))),
-        F.when(F.col("_level") == g, F.concat(F.lit(f"{word} pass rate: "), one(rate), F.lit("%"))),
+        F.when(F.col("_level") == g, F.concat(F.lit(f"{word} Q-score: "), fixed1(q))),
+        F.when(F.col("_level") == g, F.concat(F.lit(f"{word} pass rate: "), fixed1(rate), F.lit("%"))),
     ]
     by_level = messages(
         F.when((F.col("_level") == "A") & ~F.col("has_final_summary"), F.lit("Missing final_summary.txt")),

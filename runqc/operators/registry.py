@@ -85,18 +85,16 @@ def fingerprint(fields: Sequence[str], length: int = 16) -> Column:
 
 
 def deduplicate(df: DataFrame, key: str, arrival: str, path: str) -> DataFrame:
-    """First record per key, with every distinct path seen for it.
-
-    Both sides of the result are map-side combined, and paths are made distinct before they are
-    collected, so a key repeated in a third of the rows costs one row per distinct path.
-    """
+    """First record per key with the number of records and of distinct paths seen for it."""
     payload = [c for c in df.columns if c != key]
     first = df.groupBy(key).agg(F.min_by(F.struct(*payload), arrival).alias("r"), F.count("*").alias("records"))
-    paths = df.where(F.col(path).isNotNull()).groupBy(key, path).agg(F.min(arrival).alias("_a"))
-    collected = paths.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_a", path))), lambda x: x[path]).alias("all_paths")
-    )
-    return first.join(collected, key, "left").select(key, "r.*", "records", "all_paths")
+    counted = all_paths(df, key, arrival, path).groupBy(key).agg(F.count("*").alias("n_paths"))
+    return first.join(counted, key, "left").select(key, "r.*", "records", "n_paths")
+
+
+def all_paths(df: DataFrame, key: str, arrival: str, path: str) -> DataFrame:
+    """Distinct paths per key with the first arrival of each, as rows."""
+    return df.where(F.col(path).isNotNull()).groupBy(key, path).agg(F.min(arrival).alias("first_seen"))
 
 
 def new_rows(discovered: DataFrame, current: DataFrame, key: str) -> DataFrame:
