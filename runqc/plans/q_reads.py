@@ -329,8 +329,8 @@ def end_reason_wide(v):
 @query("consolidate_small", """
 with c as (select experiment, end_reason, n, n * 100.0 / sum(n) over (partition by experiment) as pct from (
   select experiment, 'L' || cast(length // 10 as varchar) as end_reason, count(*) as n from sentences group by all))
-select experiment, case when pct < 1 then 'other' else end_reason end as category, cast(sum(n) as bigint) as n,
-  round(sum(n) * 100.0 / sum(sum(n)) over (partition by experiment), 6) as pct from c group by all""", ("sentences",))
+select experiment, category, n, round(n * 100.0 / sum(n) over (partition by experiment), 6) as pct from (
+  select experiment, case when pct < 1 then 'other' else end_reason end as category, cast(sum(n) as bigint) as n from c group by 1, 2)""", ("sentences",))
 def consolidate_small(v):
     band = F.concat(F.lit("L"), F.floor(F.col("length") / 10).cast("string"))
     counts = v.sentences.groupBy("experiment", band.alias("end_reason")).agg(F.count("*").alias("n"))

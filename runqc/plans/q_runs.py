@@ -266,13 +266,9 @@ def dataset_rollup(v):
     return rounded(G.dataset_rollup(runs), "mean_n50", "mean_qscore")
 
 
-@query("n50_ranking", "select exp_id, n50, row_number() over (order by n50 desc, exp_id) as position from runs", ("runs",))
+@query("n50_ranking", "select exp_id, n50 from runs order by n50 desc, exp_id", ("runs",))
 def n50_ranking(v):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("n50"), "exp_id")
-    # One row per experiment, so a single ordering is small.
-    return v.runs.select("exp_id", "n50").withColumn("position", F.row_number().over(w))
+    return v.runs.select("exp_id", "n50").orderBy(F.desc("n50"), "exp_id")
 
 
 @query("n50_extremes", """select arg_max(exp_id, (n50, -exp_id)) as best_exp, max(n50) as best_n50, round(avg(n50), 6) as mean_n50, min(n50) as worst_n50 from runs""", ("runs",))
@@ -283,16 +279,12 @@ def n50_extremes(v):
     )
 
 
-@query("mode_ranking", f"""with {SOURCED} select exp_id, case when is_adaptive then 'Adaptive' else 'Standard' end as mode, round(signal_positive_pct, 1) as sp,
-  row_number() over (order by is_adaptive desc, signal_positive_pct desc, exp_id) as position from s""", ("runs", "experiments"))
+@query("mode_ranking", f"""with {SOURCED} select exp_id, case when is_adaptive then 'Adaptive' else 'Standard' end as mode, round(signal_positive_pct, 1) as sp
+from s order by is_adaptive desc, signal_positive_pct desc, exp_id""", ("runs", "experiments"))
 def mode_ranking(v):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("is_adaptive"), F.desc("signal_positive_pct"), "exp_id")
     mode = F.when(F.col("is_adaptive"), "Adaptive").otherwise("Standard")
-    return sourced(v).select(
-        "exp_id", mode.alias("mode"), r(F.col("signal_positive_pct"), 1).alias("sp"), F.row_number().over(w).alias("position")
-    )
+    ordered = sourced(v).orderBy(F.desc("is_adaptive"), F.desc("signal_positive_pct"), "exp_id")
+    return ordered.select("exp_id", mode.alias("mode"), r(F.col("signal_positive_pct"), 1).alias("sp"))
 
 
 @query("source_fallback", """
