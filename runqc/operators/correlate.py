@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from runqc.functions import phred
 from runqc.functions.common import count_where, first_match
 from runqc.operators import ranking
-from runqc.operators.joins import scalar_struct
 
 
 def length_quality_correlation(reads: DataFrame, by: str = "end_reason", min_reads: int = 100) -> DataFrame:
@@ -43,15 +42,14 @@ def decile_edges(reads: DataFrame) -> DataFrame:
 
 def with_decile(reads: DataFrame) -> DataFrame:
     """Half-open length decile 0..9; the top edge itself is open."""
-    edges = scalar_struct(decile_edges(reads))["edges"]
-    length = F.col("length").cast("double")
-    bin_ = first_match(
-        [((length >= edges[i]) & (length < edges[i + 1]), F.lit(i)) for i in range(10)]
-    )
-    center = first_match(
-        [((length >= edges[i]) & (length < edges[i + 1]), (edges[i] + edges[i + 1]) / 2) for i in range(10)]
+    at = F.col("decile")
+    return (
+        reads.withColumn("_edges", decile_edges(reads).scalar())
+        .withColumn("decile", F.size(F.filter("_edges", lambda e: e <= F.col("length"))) - 1)
+        .where(at.between(0, 9))
+        .withColumn("bin_center", (F.get("_edges", at) + F.get("_edges", at + 1)) / 2)
+        .drop("_edges")
     )
-    return reads.withColumn("decile", bin_).withColumn("bin_center", center).where(F.col("decile").isNotNull())
 
 
 def quality_by_length_decile(reads: DataFrame, by: str = "end_reason", min_group: int = 100, min_bin: int = 10) -> DataFrame:

@@ -253,10 +253,9 @@ def q_by_identity(v):
 ECE_SQL = """b as (select {key} as g, p, err, greatest(1, list_count(list_filter(edges, lambda e: e < p))) as bin from calibration c join e on e.g = {key}),
 s as (select g, bin, count(*) as n, avg(p) as pm, avg(err) as om from b group by all),
 ece as (select g, cast(sum(n) as bigint) as n, count(*) as bins, round(sum(abs(om - pm) * n) / sum(n), 9) as ece, round(max(abs(om - pm)), 9) as mce from s group by g)"""
-QUANT_SQL = "e as (select {key} as g, list_distinct(quantile_cont(p, list_transform(range(0, 21), lambda i: i / 20.0))) as edges from calibration group by 1), "
 QUANT_SQL = ("e as (select {key} as g, list_distinct(quantile_cont(p, ["
              + ", ".join(str(i / 20) for i in range(21)) + "])) as edges from calibration group by 1),\n")
-UNIFORM_SQL = "e as (select {key} as g, list_transform(range(0, 21), lambda i: lo + (hi - lo) * (i / 20.0)) as edges from (select {key}, min(p) as lo, max(p) as hi from calibration group by 1)),\n"
+UNIFORM_SQL = "e as (select k as g, list_transform(range(0, 21), lambda i: lo + (hi - lo) * (i / 20.0)) as edges from (select {key} as k, min(p) as lo, max(p) as hi from calibration group by 1)),\n"
 
 
 @query("ece_quantile", "with " + QUANT_SQL.format(key="1") + ECE_SQL.format(key="1") + " select n, bins, ece, mce from ece", ("calibration",))
@@ -264,8 +263,7 @@ def ece_quantile(v):
     return rounded(C.calibration_error(C.bin_stats(v.calibration, []), []), "ece", "mce", places=9)
 
 
-@query("ece_uniform", "with " + UNIFORM_SQL.format(key="1").replace("select 1, min", "select 1 as k, min").replace("select 1 as g, list_transform", "select 1 as g, list_transform")
-       + ECE_SQL.format(key="1") + " select n, bins, ece, mce from ece", ("calibration",))
+@query("ece_uniform", "with " + UNIFORM_SQL.format(key="1") + ECE_SQL.format(key="1") + " select n, bins, ece, mce from ece", ("calibration",))
 def ece_uniform(v):
     return rounded(C.calibration_error(C.bin_stats(v.calibration, [], strategy="uniform"), []), "ece", "mce", places=9)
 
