@@ -6,18 +6,21 @@ operation over a padded block of targets, so Python cost is per query base, not
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 
 MAX_CELLS = 4_000_000
+PANEL_CELLS = 40_000
+PAD = 0xFFFFFFFF
 
 
 def _codes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = [t.encode("utf-32-le") for t in texts]
     lengths = np.array([len(r) // 4 for r in raw])
-    block = np.full((len(texts), max(int(lengths.max()), 1)), 0xFFFFFFFF, dtype=np.uint32)
+    block = np.full((len(texts), max(int(lengths.max()), 1)), PAD, dtype=np.uint32)
     for i, r in enumerate(raw):
         block[i, : lengths[i]] = np.frombuffer(r, dtype=np.uint32)
     return block, lengths
@@ -36,45 +39,134 @@ def _final_row(query: str, block: np.ndarray, free_start: bool) -> np.ndarray:
     return row
 
 
-def locate(query: str, targets: Sequence[str], mode: str) -> list[tuple[int, int, int]]:
-    """(distance, start, end) of ``query`` in each target, 0-based and inclusive.
+def _blocks(texts: Sequence[str]) -> Iterator[list[int]]:
+    """Indices of texts of similar length, grouped so that a padded block stays small."""
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    block: list[int] = []
+    for i in order:
+        if block and (len(texts[i]) + 1) * (len(block) + 1) > MAX_CELLS:
+            yield block
+            block = []
+        block.append(i)
+    if block:
+        yield block
 
-    NW aligns both ends, SHW leaves the target's tail free, HW leaves both its ends free. The
-    first best end is reported, with the longest start that reaches it.
+
+def locate_ends(query: str, targets: Sequence[str], mode: str) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, last target position used) of ``query`` in each target; the first best end.
+
+    NW aligns both ends, SHW leaves the target's tail free, HW leaves both its ends free.
     """
-    out: list[tuple[int, int, int]] = [(0, 0, -1)] * len(targets)
-    order = np.argsort([len(t) for t in targets], kind="stable")
-    at = 0
-    while at < len(order):
-        longest, stop = 0, at
-        while stop < len(order):
-            longest = max(longest, len(targets[order[stop]]) + 1)
-            if stop > at and longest * (stop + 1 - at) > MAX_CELLS:
-                break
-            stop += 1
-        some = order[at:stop]
+    distance = np.zeros(len(targets), np.int32)
+    end = np.zeros(len(targets), np.int32)
+    for some in _blocks(targets):
         block, lengths = _codes([targets[i] for i in some])
         row = _final_row(query, block, free_start=mode == "HW")
-        for k, i in enumerate(some):
-            usable = row[k, : lengths[k] + 1]
-            end = int(lengths[k]) if mode == "NW" else int(np.argmin(usable))
-            out[i] = (int(usable[end]), 0, end - 1)
-        at = stop
-    if mode == "HW":
-        heads = [t[: out[i][2] + 1][::-1] for i, t in enumerate(targets)]
-        for i, head in enumerate(heads):
-            if head:
-                tail = _final_row(query[::-1], _codes([head])[0], free_start=False)[0]
-                best = np.flatnonzero(tail == tail.min())[-1]
-                out[i] = (out[i][0], len(head) - int(best), out[i][2])
-    return out
+        if mode == "NW":
+            stop = lengths
+        else:
+            beyond = np.arange(row.shape[1]) > lengths[:, None]
+            stop = np.where(beyond, np.iinfo(np.int32).max, row).argmin(axis=1)
+        distance[some] = row[np.arange(len(some)), stop]
+        end[some] = stop - 1
+    return distance, end
 
 
-def cigar(query: str, target: str) -> str:
-    """Extended CIGAR of a global alignment; ties prefer diagonal, then insertion, then deletion."""
+def locate(query: str, targets: Sequence[str], mode: str) -> np.ndarray:
+    """Rows of (distance, start, end), 0-based and inclusive.
+
+    An infix starts at the earliest position that reaches its end at the same distance; it is
+    found by aligning the reversed query to the reversed head of the target.
+    """
+    distance, end = locate_ends(query, targets, mode)
+    start = np.zeros(len(targets), np.int32)
+    if mode == "HW":
+        heads = [t[: e + 1][::-1] for t, e in zip(targets, end)]
+        for some in _blocks(heads):
+            block, lengths = _codes([heads[i] for i in some])
+            row = _final_row(query[::-1], block, free_start=False)
+            beyond = np.arange(row.shape[1]) > lengths[:, None]
+            row = np.where(beyond, np.iinfo(np.int32).max, row)
+            used = row.shape[1] - 1 - row[:, ::-1].argmin(axis=1)
+            start[some] = lengths - used
+    return np.stack([distance, start, end], axis=1)
+
+
+class Panel:
+    """References prepared for bit-parallel global distances (Myers 1999, in 64-row words).
+
+    One bit per reference base holds the difference of neighbouring cells, so a step of a whole
+    block of reads against all references is a handful of integer operations.
+    """
+
+    def __init__(self, refs: Sequence[str]):
+        self.size = len(refs)
+        self.lengths = np.array([len(r) for r in refs])
+        letters = np.unique(_codes(refs)[0]) if self.size else np.array([PAD], np.uint32)
+        self.alphabet = letters[letters != PAD]
+        self.groups = []
+        words = np.maximum((self.lengths + 63) // 64, 1)
+        for w in np.unique(words):
+            members = np.flatnonzero(words == w)
+            peq = np.zeros((w, len(self.alphabet) + 1, len(members)), np.uint64)
+            for col, k in enumerate(members):
+                for i, code in enumerate(np.searchsorted(self.alphabet, _codes([refs[k]])[0][0][: len(refs[k])])):
+                    peq[i // 64, code, col] |= np.uint64(1) << np.uint64(i % 64)
+            last = ((self.lengths[members] - 1) % 64).astype(np.uint64)
+            self.groups.append((members, peq, last))
+
+    def distances(self, reads: Sequence[str]) -> np.ndarray:
+        """Matrix of global distances; ``reads`` must be sorted by length."""
+        block, lengths = _codes(reads)
+        at = np.searchsorted(self.alphabet, block)
+        letters = np.append(self.alphabet, PAD)
+        codes = np.where(letters[at] == block, at, len(self.alphabet))
+        out = np.tile(self.lengths, (len(reads), 1))
+        one = np.uint64(1)
+        for members, peq, last in self.groups:
+            shape = (len(reads), len(members))
+            up = [np.full(shape, ~np.uint64(0)) for _ in peq]
+            down = [np.zeros(shape, np.uint64) for _ in peq]
+            score = np.tile(self.lengths[members], (len(reads), 1))
+            for j in range(int(lengths.max(initial=0))):
+                a = int(np.searchsorted(lengths, j, side="right"))
+                carry_up, carry_down = one, np.uint64(0)
+                for w in range(len(peq)):
+                    eq, p, m = peq[w][codes[a:, j]], up[w][a:], down[w][a:]
+                    xv = eq | m
+                    eq = eq | carry_down
+                    xh = (((eq & p) + p) ^ p) | eq
+                    ph, mh = m | ~(xh | p), p & xh
+                    top_up, top_down = ph >> np.uint64(63), mh >> np.uint64(63)
+                    if w == len(peq) - 1:
+                        score[a:] += ((ph >> last) & one).astype(np.int64) - ((mh >> last) & one).astype(np.int64)
+                    ph, mh = (ph << one) | carry_up, (mh << one) | carry_down
+                    up[w][a:], down[w][a:] = mh | ~(xv | ph), ph & xv
+                    carry_up, carry_down = top_up, top_down
+            out[:, members] = score
+        empty = self.lengths == 0
+        out[:, empty] = lengths[:, None]
+        return out
+
+    def closest(self, reads: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(reference index, distance) of the nearest reference, the first one on ties."""
+        which, distance = np.zeros(len(reads), int), np.zeros(len(reads), int)
+        order = sorted(range(len(reads)), key=lambda i: len(reads[i]))
+        step = max(1, PANEL_CELLS // max(self.size, 1))
+        for lo in range(0, len(order), step):
+            some = order[lo: lo + step]
+            table = self.distances([reads[i] for i in some])
+            which[some], distance[some] = table.argmin(axis=1), table.min(axis=1)
+        return which, distance
+
+
+def path(query: str, target: str) -> str:
+    """Column operations (``=XID``) of a global alignment.
+
+    Ties prefer the diagonal, then an insertion, then a deletion, read from the end.
+    """
     m, n = len(query), len(target)
-    q = np.frombuffer(query.encode("utf-32-le"), dtype=np.uint32)
-    t = np.frombuffer(target.encode("utf-32-le"), dtype=np.uint32)
+    q, t = _codes([query])[0][0], _codes([target])[0][0][:n]
     steps = np.arange(n + 1, dtype=np.int32)
     table = np.empty((m + 1, n + 1), dtype=np.int32)
     table[0] = steps
@@ -95,13 +187,24 @@ def cigar(query: str, target: str) -> str:
         else:
             ops.append("D")
             j -= 1
-    runs: list[list] = []
-    for op in reversed(ops):
-        if runs and runs[-1][1] == op:
-            runs[-1][0] += 1
-        else:
-            runs.append([1, op])
-    return "".join(f"{count}{op}" for count, op in runs)
+    return "".join(reversed(ops))
+
+
+def cigar(query: str, target: str) -> str:
+    """Extended CIGAR of a global alignment."""
+    return "".join(f"{len(list(run))}{op}" for op, run in groupby(path(query, target)))
+
+
+def aligned_positions(query: str, target: str) -> np.ndarray:
+    """Per query base: p + 1 when it matches target position p, -(p + 1) on a mismatch, 0 when inserted."""
+    out, at = [], 0
+    for op in path(query, target):
+        if op in "=X":
+            out.append(at + 1 if op == "=" else -at - 1)
+        elif op == "I":
+            out.append(0)
+        at += op != "I"
+    return np.array(out, dtype=np.int32)
 
 
 def locate_pairs(queries: pd.Series, targets: pd.Series, mode: str) -> pd.DataFrame:
@@ -110,5 +213,5 @@ def locate_pairs(queries: pd.Series, targets: pd.Series, mode: str) -> pd.DataFr
     result = pd.DataFrame({"distance": np.zeros(len(frame), int), "start": 0, "end": -1})
     for query, rows in frame.groupby("q", sort=False):
         found = locate(query, rows["t"].tolist(), mode)
-        result.loc[rows.index, ["distance", "start", "end"]] = np.array(found)
+        result.loc[rows.index, ["distance", "start", "end"]] = found
     return result

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from runqc.functions import kernels, phred
 from runqc.functions import sequence as sq
 from runqc.functions.common import col_of, first_match
-from runqc.operators.joins import BROADCAST_ROWS, range_join, small_side
+from runqc.operators.joins import BROADCAST_ROWS, balanced, range_join, small_side
 
 PANEL_BASES = 8_000_000
 
@@ -73,14 +74,6 @@ def distance_columns(reads: DataFrame, refs: DataFrame, seq: str = "seq", max_co
     )
 
 
-def _panel(refs: DataFrame) -> DataFrame:
-    """The reference list as one row: an array of (length, ordinal, id, sequence)."""
-    item = F.struct(
-        F.length("ref_seq").alias("len"), F.col("ord"), F.col("ref_id"), F.upper("ref_seq").alias("s")
-    )
-    return refs.agg(F.array_sort(F.collect_list(item)).alias("panel"))
-
-
 def _closest(seq: Column, panel: Column) -> Column:
     """Scan a panel nearest length first; a reference is skipped once its length rules it out.
 
@@ -108,14 +101,25 @@ def _closest(seq: Column, panel: Column) -> Column:
 def best_reference(reads: DataFrame, refs: DataFrame, seq: str = "seq") -> DataFrame:
     """Closest reference of every read by global distance, first in order on ties.
 
-    Identical sequences are aligned once. ``refs`` (ref_id, ref_seq, ord) travels as one array
-    when its size allows; a longer list is cut into chunks of bounded size, every sequence meets
-    every chunk once, and the chunk winners are reduced.
+    Identical sequences are aligned once. A reference list (ref_id, ref_seq, ord) of checked size
+    is shipped to the tasks and whole blocks of reads are scored against it; a longer list is cut
+    into chunks of bounded size, every sequence meets every chunk once, and the chunk winners are
+    reduced.
     """
-    distinct = reads.select(F.upper(F.col(seq)).alias("_u")).distinct()
+    distinct = balanced(reads.select(F.upper(F.col(seq)).alias("_u")).distinct())
     if all_lengths_fit(refs, "ref_seq"):
-        panel = _panel(refs).scalar()
-        best = distinct.select("_u", _closest(F.col("_u"), panel).alias("b"))
+        rows = sorted(refs.select("ord", "ref_id", F.upper("ref_seq").alias("s")).collect())
+        ids, ords = [r["ref_id"] for r in rows], [r["ord"] for r in rows]
+        texts = [r["s"] for r in rows]
+
+        def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            panel = kernels.Panel(texts)
+            for pdf in frames:
+                which, d = panel.closest(pdf["_u"].tolist())
+                yield pdf.assign(d=d, ord=[ords[w] for w in which], ref_id=[ids[w] for w in which])
+
+        scored = distinct.mapInPandas(score, "_u string, d int, ord bigint, ref_id string")
+        best = scored.select("_u", F.struct("d", "ord", "ref_id").alias("b"))
     else:
         chunks = (refs.agg(F.sum(F.length("ref_seq"))).first()[0] // PANEL_BASES + 1) * 2
         chunk = F.pmod(F.xxhash64("ref_id"), F.lit(chunks)).cast("int")
@@ -275,78 +279,58 @@ def demultiplex(
     """
     kit = list(barcodes.items())
 
-    def search(regions: list[str]) -> tuple[list[int], list[str]]:
-        """Best (edits, barcode) of each region."""
-        anchors = kernels.locate(flank, regions, "HW")
+    def search(regions: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Best (edits, barcode index) of each region; an earlier barcode wins ties."""
+        edits, ends = kernels.locate_ends(flank, regions, "HW")
         windows = [
-            r[e + 1: e + 1 + BARCODE_WINDOW] if d <= FLANK_EDITS else r
-            for r, (d, _, e) in zip(regions, anchors)
+            r[e + 1: e + 1 + BARCODE_WINDOW] if d <= FLANK_EDITS else r for r, d, e in zip(regions, edits, ends)
         ]
-        edits, names = [2**30] * len(regions), ["unclassified"] * len(regions)
-        for name, code in kit:
-            for i, (d, _, _) in enumerate(kernels.locate(code, windows, "HW")):
-                if d < edits[i]:
-                    edits[i], names[i] = d, name
-        return edits, names
+        table = np.stack([kernels.locate_ends(code, windows, "HW")[0] for _, code in kit])
+        return table.min(axis=0), table.argmin(axis=0)
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = np.array([name for name, _ in kit] + ["unclassified"], dtype=object)
         for pdf in frames:
             texts = pdf[seq].fillna("").tolist()
-            long_enough = [i for i, t in enumerate(texts) if len(t) >= MIN_DEMUX_LENGTH]
-            barcode, edits = ["unclassified"] * len(texts), [-1] * len(texts)
-            if long_enough:
-                head_d, head_n = search([texts[i][:SEARCH_WINDOW] for i in long_enough])
-                tails = [i for i in long_enough if len(texts[i]) > TWO_ENDED_LENGTH]
-                tail = dict(zip(tails, zip(*search([texts[i][-SEARCH_WINDOW:] for i in tails])))) if tails else {}
-                for i, d, name in zip(long_enough, head_d, head_n):
-                    if i in tail and tail[i][0] < d:
-                        d, name = tail[i]
-                    edits[i] = d
-                    barcode[i] = name if d <= max_edits else "unclassified"
-            yield pdf.assign(barcode=barcode, barcode_edits=edits)
+            best = np.full(len(texts), -1)
+            which = np.full(len(texts), len(kit))
+            long_enough = np.array([i for i, t in enumerate(texts) if len(t) >= MIN_DEMUX_LENGTH], dtype=int)
+            if len(long_enough):
+                best[long_enough], which[long_enough] = search([texts[i][:SEARCH_WINDOW] for i in long_enough])
+            two_ended = np.array([i for i in long_enough if len(texts[i]) > TWO_ENDED_LENGTH], dtype=int)
+            if len(two_ended):
+                d, w = search([texts[i][-SEARCH_WINDOW:] for i in two_ended])
+                closer = d < best[two_ended]
+                best[two_ended[closer]], which[two_ended[closer]] = d[closer], w[closer]
+            which[best > max_edits] = len(kit)
+            yield pdf.assign(barcode=names[which], barcode_edits=best)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reads.schema)
     return reads.mapInPandas(assign, f"{schema}, barcode string, barcode_edits int")
 
 
+def positions_udf():
+    @F.pandas_udf("array<int>")
+    def run(query: pd.Series, target: pd.Series) -> pd.Series:
+        return pd.Series([kernels.aligned_positions(q, t) for q, t in zip(query, target)])
+
+    return run
+
+
 def per_base(aligned: DataFrame) -> DataFrame:
-    """One row per aligned read base: (ref_id, ref_pos, status, q); bases without a reference
-    position (insertions) and deletions carry no quality at a position and are left out.
+    """One row per read base that has a reference position: (ref_id, ref_pos, status, q).
 
-    Input: ref_id, seq, ref_seq, qual, cigar.
+    Inserted bases have no reference position and deletions no quality, so both are left out.
+    Input: ref_id, qual, positions (from ``positions_udf``).
     """
-    op = F.split(F.regexp_replace("cigar", r"(\d+)([=XID])", "$1$2,"), ",")
-    ops = F.transform(
-        F.filter(op, lambda x: x != ""),
-        lambda x: F.struct(
-            F.regexp_extract(x, r"(\d+)", 1).cast("int").alias("n"), F.regexp_extract(x, r"([=XID])", 1).alias("op")
-        ),
+    bases = aligned.select(
+        "ref_id", F.explode(F.arrays_zip("positions", phred.quality_values("qual").alias("q"))).alias("b")
     )
-    start = F.struct(
-        F.lit(0).alias("s"), F.lit(0).alias("r"),
-        F.array().cast("array<struct<s:int,r:int,n:int,op:string>>").alias("runs"),
+    at = F.col("b.positions")
+    return bases.where(at != 0).select(
+        "ref_id", (F.abs(at) - 1).alias("ref_pos"), F.when(at > 0, "M").otherwise("X").alias("status"), F.col("b.q").alias("q")
     )
 
-    def step(acc: Column, o: Column) -> Column:
-        keep = o["op"].isin("=", "X")
-        run = F.struct(acc["s"].alias("s"), acc["r"].alias("r"), o["n"].alias("n"), o["op"].alias("op"))
-        return F.struct(
-            (acc["s"] + F.when(o["op"] == "D", 0).otherwise(o["n"])).alias("s"),
-            (acc["r"] + F.when(o["op"] == "I", 0).otherwise(o["n"])).alias("r"),
-            F.when(keep, F.array_append(acc["runs"], run)).otherwise(acc["runs"]).alias("runs"),
-        )
-
-    runs = aligned.select("ref_id", "qual", F.explode(F.aggregate(ops, start, step)["runs"]).alias("run"))
-    return runs.select(
-        "ref_id",
-        F.col("run.op").alias("op"),
-        F.posexplode(F.transform(
-            F.split(F.substring(F.col("qual"), F.col("run.s") + 1, F.col("run.n")), ""),
-            lambda c: F.ascii(c) - phred.PHRED_OFFSET,
-        )).alias("i", "q"),
-        F.col("run.r").alias("r"),
-    ).select("ref_id", (F.col("r") + F.col("i")).alias("ref_pos"), F.when(F.col("op") == "=", "M").otherwise("X").alias("status"), "q")
-
 
 def error_profile(reads: DataFrame, refs: DataFrame) -> DataFrame:
     """Mean quality, empirical and predicted error per position of each read's best reference.
@@ -354,8 +338,8 @@ def error_profile(reads: DataFrame, refs: DataFrame) -> DataFrame:
     Reads: read_id, seq, qual. References: ref_id, ref_seq, ord. Equal sequences are aligned once.
     """
     matched = best_reference(reads.select("seq").distinct(), refs)
-    paths = matched.join(small_side(refs.select("ref_id", "ref_seq")), "ref_id").select(
-        "ref_id", "seq", cigar_udf()(F.upper("seq"), F.upper("ref_seq")).alias("cigar")
+    paths = balanced(matched.join(small_side(refs.select("ref_id", "ref_seq")), "ref_id")).select(
+        "ref_id", "seq", positions_udf()(F.upper("seq"), F.upper("ref_seq")).alias("positions")
     )
     bases = per_base(reads.select("seq", "qual").join(paths, "seq"))
     ok = F.col("status") == "M"

@@ -150,15 +150,6 @@ def isolated(items: DataFrame, id_col: str, refs_col: str) -> DataFrame:
     return quiet.select(id_col).join(incoming, id_col, "left_anti")
 
 
-def where_used(items: DataFrame, users: DataFrame) -> DataFrame:
-    """Every item with the sorted list of its users."""
-    used = users.select(F.explode("variables").alias("variable"), "user").distinct()
-    listed = used.groupBy("variable").agg(F.array_sort(F.collect_set("user")).alias("used_in"))
-    return items.select("variable").distinct().join(listed, "variable", "left").withColumn(
-        "used_in", F.coalesce("used_in", F.array().cast("array<string>"))
-    )
-
-
 def category_share(items: DataFrame, column: str, missing: str = "unknown") -> DataFrame:
     counts = items.groupBy(F.coalesce(F.col(column), F.lit(missing)).alias(column)).agg(F.count("*").alias("n"))
     whole = counts.agg(F.sum("n")).scalar()

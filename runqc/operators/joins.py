@@ -18,6 +18,26 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """At least one partition per core ahead of CPU-heavy work.
+
+    Shuffles only an input that has fewer partitions than the cluster has cores, so a large table
+    with many splits is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
+def balanced(df: DataFrame) -> DataFrame:
+    """Even partitions ahead of work that costs far more than its bytes suggest.
+
+    Adaptive execution merges small shuffle partitions by size; a fixed count keeps all cores busy.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n)
+
+
 def range_join(
     left: DataFrame,
     right: DataFrame,

@@ -23,7 +23,7 @@ def reverse_complement(v):
 
 @query("core_sequence", "select doc_id, regexp_replace(text, '[^A-Z]', '', 'g') as core from documents")
 def core_sequence(v):
-    return v.table("documents").select("doc_id", sq.core("text").alias("core"))
+    return v.texts("documents", "doc_id").select("doc_id", sq.core("text").alias("core"))
 
 
 @query("build_reference", f"""
@@ -181,7 +181,7 @@ def edit_pairwise(v):
     from runqc.plans.views import _dna
 
     w = Window.partitionBy("conv_id", "role").orderBy("turn")
-    c = v.table("conversations").select("conv_id", "role", F.row_number().over(w).alias("k"), _dna(F.col("text")).alias("s"))
+    c = v.texts("conversations", "conv_id").select("conv_id", "role", F.row_number().over(w).alias("k"), _dna(F.col("text")).alias("s"))
     a = c.where(F.col("role") == "user").select("conv_id", "k", F.col("s").alias("a"))
     b = c.where(F.col("role") == "assistant").select("conv_id", "k", F.col("s").alias("b"))
     return a.join(b, ["conv_id", "k"]).select("conv_id", "k", F.levenshtein("a", "b").cast("bigint").alias("edit_distance"))
@@ -251,7 +251,7 @@ with m as (select *, (select arg_min(target_id, ord) from targets t where s.leng
 e as (select doc_id, case quality when 1 then 'signal_positive' else 'unblock_mux_change' end as er, toxic as forced from labels)
 select 'EXP' || experiment || 's520t1m3_' || substring(sha256(read_id), 1, 8) as uniq_id, experiment as exp_id, target_id as refseq_id, read_id, m.length as readlen,
   levenshtein(seq, target_seq) as ed, round({QUAL_SQL}, 6) as q_bc,
-  round(-10 * log10(least(greatest(1.0::double / (expected_length * expected_length), levenshtein(seq, target_seq)::double / expected_length), 1.0)), 6) as q_ld, er, forced
+  case when target_id is not null then round(-10 * log10(least(greatest(1.0::double / (expected_length * expected_length), levenshtein(seq, target_seq)::double / expected_length), 1.0)), 6) end as q_ld, er, forced
 from m left join targets using (target_id) left join e using (doc_id)""", ("sentences", "targets"))
 def ingest_reads(v):
     labels = v.table("labels").select(
@@ -272,7 +272,7 @@ def ingest_reads(v):
 @query("warehouse_summary", f"""
 with m as (select *, (select arg_min(target_id, ord) from targets t where s.length between range_min and range_max) as target_id from sentences s),
 w as (select experiment, target_id, m.length as readlen, levenshtein(seq, target_seq) as ed, {QUAL_SQL} as q_bc,
-  -10 * log10(least(greatest(1.0::double / (expected_length * expected_length), levenshtein(seq, target_seq)::double / expected_length), 1.0)) as q_ld from m left join targets using (target_id))
+  case when target_id is not null then -10 * log10(least(greatest(1.0::double / (expected_length * expected_length), levenshtein(seq, target_seq)::double / expected_length), 1.0)) end as q_ld from m left join targets using (target_id))
 select experiment as exp_id, count(*) as total_reads, count(target_id) as matched_reads, round(avg(readlen), 6) as avg_readlen, round(avg(q_bc), 6) as avg_q_bc,
   round(avg(q_ld), 6) as avg_q_ld, round(avg(ed), 6) as avg_ed from w group by 1""", ("sentences", "targets"))
 def warehouse_summary(v):

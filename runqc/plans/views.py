@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from runqc.functions.common import first_match
 from runqc.operators import endreasons
+from runqc.operators.joins import spread
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 BASES = "ACGTACGTACGTACGTACGTACGTAC"
@@ -35,6 +36,10 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def texts(self, name: str, key: str) -> DataFrame:
+        """A table of long texts; one small file is spread over the cores first."""
+        return spread(self.table(name), key)
+
     @cached_property
     def reads(self) -> DataFrame:
         reason = first_match(
@@ -158,7 +163,7 @@ class Views:
     @cached_property
     def sentences(self) -> DataFrame:
         """Every sentence of every document as a read: bases, qualities, experiment and barcode."""
-        d = self.table("documents").select(
+        d = self.texts("documents", "doc_id").select(
             "doc_id", "lang", "source", F.posexplode(F.split("text", "[.!?\n]+")).alias("pos", "s")
         )
         return d.select(
@@ -190,7 +195,7 @@ class Views:
     def barcode_map(self) -> DataFrame:
         """One target per (experiment, barcode): the first in order."""
         lang = F.element_at(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), (F.col("ord") % 4 + 1).cast("int"))
-        code = F.concat(F.lit("barcode"), F.lpad((F.floor(F.col("ord") / 4) % 25).cast("string"), 2, "0"))
+        code = F.concat(F.lit("barcode"), F.lpad(((F.floor(F.col("ord") / 1000) + F.col("ord")) % 25).cast("string"), 2, "0"))
         return self.targets.groupBy(lang.alias("experiment"), code.alias("barcode")).agg(
             F.min_by("target_id", "ord").alias("target")
         )
@@ -376,7 +381,7 @@ from (select target_seq, min(ord) as ord from (
     "barcode_map": (("targets",), """
 select experiment, barcode, arg_min(target_id, ord) as target from (
   select ['de','en','es','fr'][ord % 4 + 1] as experiment,
-    'barcode' || lpad(cast((ord // 4) % 25 as varchar), 2, '0') as barcode, target_id, ord from targets)
+    'barcode' || lpad(cast((ord // 1000 + ord) % 25 as varchar), 2, '0') as barcode, target_id, ord from targets)
 group by experiment, barcode"""),
     "calibration": ((), """
 select case l_returnflag when 'N' then 'signal_positive' when 'A' then 'unblock_mux_change'
