@@ -49,10 +49,14 @@ def quality_values(qual: Column | str) -> Column:
 
 
 def string_mean_q(qual: Column | str, max_q: float = MAX_Q) -> Column:
-    """Mean quality of one read from its Phred+33 string, 0 for an empty one."""
+    """Mean quality of one read from its Phred+33 string, 0 for an empty one.
+
+    One pass over the characters with a table of the 94 printable qualities; no power per base.
+    """
     qual = col_of(qual)
+    table = F.array(*[F.lit(10.0 ** (-q / 10.0)) for q in range(94)])
     total = F.aggregate(
-        quality_values(qual), F.lit(0.0), lambda acc, q: acc + F.pow(F.lit(10.0), -q / F.lit(10.0))
+        F.split(qual, ""), F.lit(0.0), lambda acc, c: acc + F.get(table, F.ascii(c) - PHRED_OFFSET)
     )
     return F.when(F.length(qual) > 0, to_qscore(total / F.length(qual), max_q)).otherwise(F.lit(0.0))
 

@@ -12,6 +12,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runqc.operators.joins import small_side
+
 LENGTH_WIDTH = 1000
 QUALITY_WIDTH = 0.25
 
@@ -30,7 +32,9 @@ def running(
     width: float,
 ) -> DataFrame:
     """Add ``<w>_before`` (weight strictly below the value) and ``<w>_all`` per group."""
-    spread = hist.withColumn("_b", F.floor(F.col(value) / F.lit(width)).cast("long"))
+    # The explicit filter is the one the join below would infer for one branch only; stated for
+    # both, the two branches stay identical and share one scan and one shuffle.
+    spread = hist.withColumn("_b", F.floor(F.col(value) / F.lit(width)).cast("long")).where(F.col("_b").isNotNull())
     if not keys:
         spread = spread.withColumn("_all", F.lit(0))
     group = list(keys) or ["_all"]
@@ -135,24 +139,29 @@ def hash_sample(
 ) -> DataFrame:
     """Exactly ``quota.n_keep`` rows per group, the ones with the smallest keyed hash.
 
-    ``quota`` has one row per group. Rows are counted per hash prefix, so only the one prefix
-    that straddles the quota is ranked; a group that holds most rows costs no more than others.
+    ``quota`` has one row per group. Rows are counted per hash prefix, which gives each group the
+    prefix at which its quota is reached: rows below it are all in, only rows with that prefix are
+    ranked. A group that holds most rows costs no more than others.
     """
     hashed = df.withColumn("_h", F.md5(F.concat(F.col(id_col), F.lit(str(seed))))).withColumn(
         "_p", F.substring("_h", 1, digits)
     )
     before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    prefixes = (
+    cuts = (
         hashed.groupBy(*keys, "_p").agg(F.count("*").alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .join(quota.select(*keys, "n_keep"), list(keys))
         .where(F.col("_before") < F.col("n_keep"))
-        .select(*keys, "_p", "_before", "n_keep", (F.col("_before") + F.col("_n") > F.col("n_keep")).alias("_cut"))
+        .groupBy(*keys)
+        .agg(
+            F.max("_p").alias("_cut"),
+            (F.max("n_keep") - F.max("_before")).cast("long").alias("_left"),
+        )
     )
-    kept = hashed.join(prefixes, [*keys, "_p"])
-    whole = kept.where(~F.col("_cut"))
+    kept = hashed.join(small_side(cuts), list(keys)).where(F.col("_p") <= F.col("_cut"))
+    whole = kept.where(F.col("_p") < F.col("_cut"))
     rank = F.row_number().over(Window.partitionBy(*keys, "_p").orderBy("_h", id_col))
-    edge = kept.where("_cut").withColumn("_r", rank).where(F.col("_before") + F.col("_r") <= F.col("n_keep")).drop("_r")
+    edge = kept.where(F.col("_p") == F.col("_cut")).withColumn("_r", rank).where("_r <= _left").drop("_r")
     return whole.unionByName(edge).select(*df.columns)
 
 
