@@ -51,12 +51,14 @@ def fixed1(x: Column | str) -> Column:
     """One decimal place of 0 <= x < 200 as text, rounding the exact binary value half to even.
 
     This is what printf prints; Spark's own rounding works on the shortest decimal form, which
-    differs for values such as 14.85. Scaling by 2^52 is exact, so integers decide.
+    differs for values such as 14.85. Scaling by a power of two is exact, so integers decide.
     """
-    tenths = (col_of(x) * F.lit(2.0**52)).cast("bigint") * 10
-    whole = F.shiftright(tenths, 52)
-    rest = tenths.bitwiseAND(F.lit(2**52 - 1))
-    half = F.lit(2**51)
-    up = (rest > half) | ((rest == half) & (whole % 2 == 1))
-    rounded = whole + F.when(up, 1).otherwise(0)
+
+    def tenths(bits: int) -> Column:
+        scaled = (col_of(x) * F.lit(2.0**bits)).cast("bigint") * 10
+        whole, rest = F.shiftright(scaled, bits), scaled.bitwiseAND(F.lit(2**bits - 1))
+        half = F.lit(2 ** (bits - 1))
+        return whole + F.when((rest > half) | ((rest == half) & (whole % 2 == 1)), 1).otherwise(0)
+
+    rounded = F.when(col_of(x) < 2, tenths(58)).otherwise(tenths(52))
     return F.concat(F.floor(rounded / 10).cast("string"), F.lit("."), (rounded % 10).cast("string"))

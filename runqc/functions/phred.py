@@ -19,10 +19,10 @@ def error_prob(q: Column | str) -> Column:
 
 
 def to_qscore(p: Column | str, max_q: float = MAX_Q) -> Column:
-    """-10 log10 p, capped; non-positive probabilities give the cap."""
+    """-10 log10 p, capped; non-positive probabilities give the cap, NULL stays NULL."""
     p = col_of(p)
-    return F.when(p <= 0, F.lit(max_q)).otherwise(
-        F.least(F.lit(-10.0) * F.log10(p), F.lit(max_q))
+    return F.when(p <= 0, F.lit(max_q)).when(
+        p.isNotNull(), F.least(F.lit(-10.0) * F.log10(p), F.lit(max_q))
     )
 
 

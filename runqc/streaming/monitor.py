@@ -117,16 +117,16 @@ class ActivityTracker(StatefulProcessor):
         self.handle = handle
         self.seen = handle.getValueState("seen", "rows bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         before = self.seen.get()[0] if self.seen.exists() else 0
         total = before + sum(len(r) for r in rows)
         self.seen.update((total,))
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.limit * 1000)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.limit * 1000)
         yield pd.DataFrame({"run": [key[0]], "rows": [total], "is_active": [True]})
 
-    def handleExpiredTimer(self, key, timers, info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         total = self.seen.get()[0] if self.seen.exists() else 0
         yield pd.DataFrame({"run": [key[0]], "rows": [total], "is_active": [False]})
 
