@@ -1,5 +1,6 @@
 import datetime
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,11 +59,22 @@ def test_alerts_per_batch(spark, reads):
 
 
 def test_activity_per_run(spark, reads):
+    """Each run is active while rows arrive and turns silent when its timer expires."""
     _, stream, path = reads
-    drain(monitor.activity(stream, "run"), lambda df, i: df.write.mode("overwrite").parquet(str(path / f"out/b={i}")), path, "update")
-    got = spark.read.parquet(str(path / "out"))
-    assert {r.run: r.n for r in got.groupBy("run").agg(F.max("rows").alias("n")).collect()} == {"run0": 300, "run1": 300}
-    assert got.where("not is_active").count() == 0
+    seen = []
+    query = monitor.start(
+        monitor.activity(stream, "run", limit=1), lambda df, _: seen.extend(tuple(r) for r in df.collect()),
+        str(path / "cp"), "update", refresh="1 second",
+    )
+    try:
+        deadline = time.time() + 45
+        silent = {("run0", 300, False), ("run1", 300, False)}
+        while not silent <= set(seen) and query.isActive and time.time() < deadline:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert silent <= set(seen)
+    assert {run for run, _, active in seen if active} == {"run0", "run1"}
 
 
 def test_batch_activity_and_pores(spark, rows):
