@@ -362,7 +362,7 @@ def reference_sets(barcodes: DataFrame, targets: DataFrame, prefix: str, adapter
     ``barcodes``: experiment, barcode, barcode_seq, target. ``targets``: target_id, target_seq.
     """
     parts = [F.lit(prefix), F.lit(adapter), F.lit(flank_front), F.col("barcode_seq"), F.lit(flank_rear)]
-    joined = barcodes.join(small_side(targets), barcodes["target"] == targets["target_id"]).drop("target")
+    joined = barcodes.join(small_side(targets), F.col("target") == F.col("target_id")).drop("target")
     both = joined.withColumn("strand", F.explode(F.array(F.lit("forward"), F.lit("reverse"))))
     insert = F.when(F.col("strand") == "forward", F.col("target_seq")).otherwise(sq.reverse_complement("target_seq"))
     return both.withColumn("reference", sq.assemble(*parts, insert)).withColumn(
