@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,16 +30,30 @@ def local_session(cpus: int | str = "*", app: str = "runqc", **conf: str) -> Spa
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; a temp folder only where it is unset."""
+    """Shared folder named by ``spark.checkpoint.dir``. Only a local master may go without one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="runqc-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, for a table that a job writes and reads again."""
+    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: fixed for several readers, columns prunable."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors, fixes the rows for several readers."""
     spark = df.sparkSession
