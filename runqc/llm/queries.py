@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from runqc.llm import mixing, tokens
+from runqc.llm import decontaminate, hamming, mixing, simhash, tokens
 from runqc.llm.common import documents
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.stored_digests(documents(spark, sf_dir))
 
@@ -17,6 +21,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 OP6_SQL = r"""
 with sized as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents
@@ -36,17 +48,30 @@ with sized as (
 ), placed as (
   select doc_id, size, source_size, target, start, case when source_size = 0 then 0.0::double else target / source_size end as rate,
          row_number() over (partition by source order by size desc, doc_id) as i
-  from sized join targets using (source)
+  from sized join targets on sized.source is not distinct from targets.source
 )
 select doc_id, size, source_size, target,
        cast((floor(start + i * rate) - floor(start + (i - 1) * rate)) * size as bigint) as taken
 from placed
 """
 
+OP10_SQL = """
+with pairs as (
+  select q.vec_id as query_id, n.vec_id as neighbor_id,
+         list_sum(list_transform(list_zip(q.embedding, n.embedding), lambda p: cast((p[1] > 0) <> (p[2] > 0) as bigint)))::bigint as distance
+  from embeddings q, embeddings n where q.vec_id % 50 = 0
+)
+select query_id, neighbor_id, distance, row_number() over (partition by query_id order by distance, neighbor_id) as rank
+from pairs qualify rank <= 10
+"""
+
 LLM_QUERIES = {
+    "op2_simhash": op2_simhash,
     "op4_token_output": op4_token_output,
     "op6_mixing": op6_mixing,
+    "op7_decontamination": op7_decontamination,
+    "op10_top_k": op10_top_k,
     "pipeline": corpus_pipeline.run,
 }
 
-LLM_ORACLES = {"op6_mixing": OP6_SQL}
+LLM_ORACLES = {"op6_mixing": OP6_SQL, "op10_top_k": OP10_SQL}
