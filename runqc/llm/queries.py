@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from runqc.llm import decontaminate, hamming, mixing, simhash, tokens
+from runqc.llm import decontaminate, hamming, langid, mixing, simhash, tokens, toxicity
 from runqc.llm.common import documents
 
 
@@ -25,6 +25,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.page_languages(spark.read.parquet(f"{sf_dir}/pages.parquet"), documents(spark, sf_dir))
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -70,6 +78,8 @@ LLM_QUERIES = {
     "op4_token_output": op4_token_output,
     "op6_mixing": op6_mixing,
     "op7_decontamination": op7_decontamination,
+    "op8_toxicity": op8_toxicity,
+    "op9_language_id": op9_language_id,
     "op10_top_k": op10_top_k,
     "pipeline": corpus_pipeline.run,
 }
