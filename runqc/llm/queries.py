@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from runqc.llm import decontaminate, hamming, langid, mixing, simhash, tokens, toxicity
+from runqc.llm import decontaminate, hamming, langid, mixing, pii, simhash, tokens, toxicity
 from runqc.llm.common import documents
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.find_pii(docs, pii.trained_tagger(docs))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -74,6 +79,7 @@ from pairs qualify rank <= 10
 """
 
 LLM_QUERIES = {
+    "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
     "op4_token_output": op4_token_output,
     "op6_mixing": op6_mixing,
