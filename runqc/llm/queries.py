@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from runqc.llm import decontaminate, hamming, langid, mixing, pii, simhash, tokens, toxicity
+from runqc.llm import decontaminate, hamming, langid, lm, mixing, pii, simhash, tokens, toxicity
 from runqc.llm.common import documents
 
 
@@ -18,6 +18,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(documents(spark, sf_dir))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.stored_digests(documents(spark, sf_dir))
 
@@ -81,6 +85,7 @@ from pairs qualify rank <= 10
 LLM_QUERIES = {
     "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
+    "op3_lm_score": op3_lm_score,
     "op4_token_output": op4_token_output,
     "op6_mixing": op6_mixing,
     "op7_decontamination": op7_decontamination,
