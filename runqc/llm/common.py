@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,11 +32,16 @@ def lower_words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
-def arrow_rows(batches: Iterator[pa.RecordBatch], schema: pa.Schema, columns) -> Iterator[pa.RecordBatch]:
-    """Each batch through ``columns(batch) -> list of arrays``; empty batches vanish."""
-    for batch in batches:
-        if batch.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns(batch), schema)], schema=schema)
+ROOT = 0x2545F4914F6CDD1D
+_powers: list[np.ndarray] = []
+
+
+def rolling(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers, from the first on, of a 64-bit root and of its inverse, for hashes of stretches."""
+    if not _powers or len(_powers[0]) < n:
+        size = 1 << max(16, n - 1).bit_length()
+        _powers[:] = [np.multiply.accumulate(np.full(size, r, np.uint64)) for r in (ROOT, pow(ROOT, -1, 1 << 64))]
+    return _powers[0], _powers[1]
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from runqc.llm import decontaminate, hamming, langid, lm, mixing, pii, simhash, tokens, toxicity
+from runqc.llm import decontaminate, hamming, langid, lines, lm, mixing, pii, simhash, tokens, toxicity
 from runqc.llm.common import documents
 
 
@@ -26,6 +26,10 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.stored_digests(documents(spark, sf_dir))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_decisions(documents(spark, sf_dir))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -87,6 +91,7 @@ LLM_QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_lm_score": op3_lm_score,
     "op4_token_output": op4_token_output,
+    "op5_line_dedup": op5_line_dedup,
     "op6_mixing": op6_mixing,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
