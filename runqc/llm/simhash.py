@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runqc.llm.common import components, lower_words
@@ -53,37 +53,40 @@ def _ball(value: Column, radius: int, width: int = 32) -> Column:
     return F.array(*[F.struct(value.bitwiseXOR(F.lit(m)).alias("key"), F.lit(r).alias("flips")) for m, r in masks])
 
 
-def _segments(fp: Column) -> list[tuple[Column, Column]]:
-    """(value, the other half) for both 32-bit halves."""
+def _halves(fp: Column) -> list[tuple[Column, Column]]:
+    """(slot, the other half) for both 32-bit halves; a slot is the half's number and its value."""
     high, low = F.shiftrightunsigned(fp, 32), fp.bitwiseAND(F.lit(0xFFFFFFFF))
-    return [(high, low), (low, high)]
+    return [(high, low), (low.bitwiseOR(F.lit(1 << 32)), high)]
 
 
 def links(fps: DataFrame, bits: int = 2, crowded: int = CROWDED) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of distinct ``fp`` at ``bits`` or fewer differing bits.
 
-    Two halves of 32 bits: one of them differs in at most bits/2. So each fingerprint is filed under its exact half
-    values and looks up every value in the ball of radius bits/2 around them; matches are verified on all 64 bits.
-    Under a half value with more than ``crowded`` entries pairs would grow with the square of a group of near copies.
-    There, the other half is enumerated too: entries file the ball of radius bits/2 around their other half, visitors
-    that of the radius they have left. All that meet in one midpoint are within ``bits`` of each other, and all pairs
-    within ``bits`` meet in one; so linking each to the least of the midpoint loses nothing and makes no pairs.
+    Two halves of 32 bits: if the first differs in more than bits/2, the second differs in less than bits/2. So each
+    fingerprint is filed under its exact half values and looks up every value in the ball of radius bits/2 around the
+    first and bits/2 - 1 around the second; matches are verified on all 64 bits. Under a half value with more than
+    ``crowded`` entries pairs would grow with the square of a group of near copies. There, the other half is enumerated
+    too: entries file the ball of radius bits/2 around their other half, visitors that of the radius they have left.
+    All that meet in one midpoint are within ``bits`` of each other, and all pairs within ``bits`` meet in one; so
+    linking each to the least of the midpoint loses nothing and makes no pairs.
     """
-    if bits % 2:
-        raise ValueError("an even number of bits is needed for midpoints")
-    radius = bits // 2
-    fp = F.col("fp")
-    table = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), v.alias("key"), o.alias("rest")) for s, (v, o) in enumerate(_segments(fp))])).alias("t")).select("fp", "t.*")
-    probe = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), _ball(v, radius).alias("ball"), o.alias("rest")) for s, (v, o) in enumerate(_segments(fp))])).alias("t")) \
-        .select("fp", "t.seg", "t.rest", F.explode("t.ball").alias("b")).select("fp", "seg", "rest", "b.key", "b.flips")
-    full = table.groupBy("seg", "key").count().where(F.col("count") > crowded).select("seg", "key")
-    sparse = table.join(full, ["seg", "key"], "left_anti").select("seg", "key", F.col("fp").alias("a"))
-    pairs = sparse.join(probe.select("seg", "key", F.col("fp").alias("b")), ["seg", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).select("a", "b")
-    met = probe.join(full, ["seg", "key"])
+    if bits < 2 or bits % 2:
+        raise ValueError("midpoints need an even number of bits, 2 or more")
+    radius, fp = bits // 2, F.col("fp")
+    table = fps.select("fp", F.explode(F.array(*[slot for slot, _ in _halves(fp)])).alias("slot"))
+    (first, _), (second, _) = _halves(fp)
+    probe = fps.select("fp", F.explode(F.concat(_ball(first, radius), _ball(second, radius - 1))).alias("b")).select("fp", "b.key").withColumnRenamed("key", "slot")
+    full = table.groupBy("slot").count().where(F.col("count") > crowded).select("slot")
+    entries = table.join(full, "slot", "left_anti").select("slot", F.col("fp").alias("entry"), F.lit(False).alias("is_full"))
+    met = probe.join(entries.unionAll(full.select("slot", F.lit(0).cast("long"), F.lit(True))), "slot")
+    pairs = met.where(~F.col("is_full") & (fp < F.col("entry")) & (F.bit_count(fp.bitwiseXOR(F.col("entry"))) <= bits)).select(fp.alias("a"), F.col("entry").alias("b"))
+    own = F.when(F.col("slot") < (1 << 32), _halves(fp)[0][0]).otherwise(_halves(fp)[1][0])
+    rest = F.when(F.col("slot") < (1 << 32), _halves(fp)[0][1]).otherwise(_halves(fp)[1][1])
     around = F.array(*[_ball(F.col("rest"), radius - r) for r in range(radius + 1)])
-    hubs = met.select("fp", "seg", "key", F.explode(F.element_at(around, F.col("flips") + 1)).alias("m")).select("fp", "seg", "key", F.col("m.key").alias("mid"))
-    least = hubs.groupBy("seg", "key", "mid").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top")
-    stars = hubs.join(least, ["seg", "key", "mid"]).where("fp <> b").select(F.col("fp").alias("a"), "b")
+    hubs = met.where("is_full").select("fp", "slot", F.bit_count(own.bitwiseXOR(F.col("slot"))).alias("flips"), rest.alias("rest")) \
+        .select("fp", "slot", F.explode(F.element_at(around, F.col("flips") + 1)).alias("m")).select("fp", "slot", F.col("m.key").alias("mid"))
+    least = hubs.groupBy("slot", "mid").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top")
+    stars = hubs.join(least, ["slot", "mid"]).where("fp <> b").select(fp.alias("a"), "b")
     return pairs.unionAll(stars).distinct()
 
 
@@ -109,6 +112,6 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that stay when each group of near-duplicates keeps its least doc_id; one row of repeated ids."""
     marked = near_duplicates(docs, **how)
     kept = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
-    rows = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))).select("d.*", F.col("k.count").alias("repeated_rows"))
-    once = rows.where("repeated_rows = 1").drop("repeated_rows")
-    return once.unionAll(rows.where("repeated_rows > 1").drop("repeated_rows").dropDuplicates(["doc_id"]))
+    whole = docs.select(F.col(how.get("doc_id", "doc_id")).alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    rows = whole.join(kept, F.col("id").eqNullSafe(F.col("doc_id"))).select("id", "doc", "count")
+    return rows.where("count = 1").select("doc.*").unionAll(rows.where("count > 1").dropDuplicates(["id"]).select("doc.*"))
