@@ -112,7 +112,7 @@ def identify(rows: DataFrame, model: TextModel, text: str, declared: Column, hos
         rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("doc"), _evidence(shared, is_markup)(F.col(text)).alias("evidence"),
                     declared.alias("declared"), suffix.alias("suffix"), host.alias("host")),
         "langid",
-    ).withColumn("text_language", F.element_at(names, F.array_position("evidence", F.array_max("evidence")).cast("int")))
+    ).withColumn("text_language", F.get(names, F.array_position("evidence", F.array_max("evidence")).cast("int") - 1))
     known = scored.where("text_language is not null")
 
     def counts(*keys: str) -> DataFrame:
@@ -143,7 +143,7 @@ def identify(rows: DataFrame, model: TextModel, text: str, declared: Column, hos
     found = F.col("text_language").isNotNull()
     return joined.select(
         "doc",
-        F.when(found, F.element_at(names, F.array_position("posterior", F.col("most")).cast("int"))).alias("language"),
+        F.when(found, F.get(names, F.array_position("posterior", F.col("most")).cast("int") - 1)).alias("language"),
         F.when(found, 1 / F.aggregate("posterior", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("most")))).otherwise(0.0).alias("confidence"),
         "text_language", "declared", "suffix", "host",
     )
