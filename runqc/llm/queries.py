@@ -68,7 +68,7 @@ with sized as (
   from weighed, level
 ), placed as (
   select doc_id, size, source_size, target, start, case when source_size = 0 then 0.0::double else target / source_size end as rate,
-         row_number() over (partition by source order by size desc, doc_id) as i
+         row_number() over (partition by sized.source order by size desc, doc_id) as i
   from sized join targets on sized.source is not distinct from targets.source
 )
 select doc_id, size, source_size, target,
