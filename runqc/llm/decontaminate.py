@@ -18,6 +18,8 @@ QUESTION, ANSWER = 0.8, 0.8
 #: Words of a test unit, and of the passages that are looked up; a unit lies whole in one of the overlapping passages.
 UNIT, PASSAGE = 64, 128
 BLOCK = 32
+#: Share of a unit's score that its commonest terms may have and still not be looked at before the search.
+COMMON_SHARE = 0.3
 #: Test units of one index. A larger test set is searched in as many passes, each with an index of at most about this size.
 SHARD_UNITS = 50_000
 WORD = re.compile(r"[^\W_]+")
@@ -51,6 +53,13 @@ def overlap(part: list[str], words: list[str]) -> float:
     return len(want & {tuple(words[i:i + n]) for i in range(len(words) - n + 1)}) / len(want) if want else 1.0
 
 
+def units_of(words: list[str]) -> list[list[str]]:
+    """An item's words in as few equal parts as keep to the size of a unit."""
+    parts = -(-len(words) // UNIT)
+    cuts = [len(words) * i // parts for i in range(parts + 1)] if parts else [0]
+    return [words[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 class BlockMaxIndex:
     """Postings of test units by term in blocks, each with its largest impact.
 
@@ -60,7 +69,6 @@ class BlockMaxIndex:
 
     def __init__(self, units: list[tuple[int, list[str]]], df: dict[str, int], n_units: int, mean_length: float):
         """``units``: (number, words); ``df``, ``n_units``, ``mean_length``: over all units, also of other indexes."""
-        self.unit_words = dict(units)
         postings: dict[str, list[tuple[int, float]]] = {}
         for number, words in sorted(units):
             tf: dict[str, int] = {}
@@ -127,12 +135,49 @@ class BlockMaxIndex:
 
 
 class Detector:
-    """An index with the items its units belong to."""
+    """An index with the items its units belong to.
+
+    WAND's first question, whether list bounds reach the threshold at all, is asked for all passages of a text at once.
+    Each unit's commonest terms, up to 0.3 of its score, are taken as given; only the postings of its other terms are
+    summed by passage and unit. A passage in which no unit can reach the threshold that way is not searched.
+    """
 
     def __init__(self, index: BlockMaxIndex, item_of: dict[int, int], items: dict[int, tuple[list[str], list[str]]],
                  retrieve: float, question: float, answer: float):
         self.index, self.item_of, self.items = index, item_of, items
         self.retrieve, self.question, self.answer = retrieve, question, answer
+        term = np.repeat(np.arange(len(index.ids)), [len(i) for i in index.ids])
+        unit = np.array([u for ids in index.ids for u in ids], np.int64)
+        impact = np.array([x for impacts in index.impact for x in impacts])
+        spread = np.array([len(i) for i in index.ids], np.int64)[term]
+        order = np.lexsort((term, -spread, unit))  # by unit, commonest terms first
+        running = np.cumsum(impact[order])
+        first = np.r_[0, np.flatnonzero(np.diff(unit[order])) + 1]
+        before = np.repeat(running[first] - impact[order][first], np.diff(np.r_[first, len(order)]))
+        given = np.zeros(len(order), bool)
+        given[order] = running - before <= COMMON_SHARE
+        self.need = np.full(int(unit.max()) + 1, retrieve - 1e-6)
+        np.subtract.at(self.need, unit[given], impact[given])
+        self.unit, self.impact = unit[~given], impact[~given]
+        self.first = np.searchsorted(term[~given], np.arange(len(index.ids) + 1))
+
+    def hopeful(self, known: np.ndarray, passages: int) -> np.ndarray:
+        """Passages in which some unit may reach the threshold."""
+        place = np.flatnonzero(known >= 0)
+        term = known[place]
+        n = self.first[term + 1] - self.first[term]
+        at = np.repeat(self.first[term] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        last = np.repeat(place // (PASSAGE - UNIT), n)  # a word is in this passage and in the one before
+        keys = np.concatenate([(last - back) * len(self.need) + self.unit[at] for back in (0, 1)])
+        impact = np.tile(self.impact[at], 2)
+        inside = (keys >= 0) & (keys < passages * len(self.need))
+        order = np.argsort(keys[inside], kind="stable")
+        keys, impact = keys[inside][order], impact[inside][order]
+        if not len(keys):
+            return keys
+        begin = np.r_[0, np.flatnonzero(np.diff(keys)) + 1]
+        reached = np.add.reduceat(impact, begin) >= self.need[keys[begin] % len(self.need)]
+        return np.unique(keys[begin][reached] // len(self.need))
 
     def hits(self, text: str | None) -> list[dict]:
         """``item_id, score, question_overlap, answer_overlap`` of each item found in a whole text."""
@@ -140,25 +185,22 @@ class Detector:
         if not words:
             return []
         known = np.fromiter((self.index.terms.get(w, -1) for w in words), np.int64, len(words))
-        # Summed list maxima, repeats included, bound every score in a passage: below the threshold no pivot exists.
-        total = np.r_[0.0, np.cumsum(np.where(known >= 0, self.index.most[known], 0.0))]
         starts = np.arange(0, max(1, len(words) - (PASSAGE - UNIT)), PASSAGE - UNIT)
-        hopeful = total[np.minimum(starts + PASSAGE, len(words))] - total[starts] >= self.retrieve
-        best: dict[int, tuple[float, int]] = {}
-        for start in starts[hopeful]:
+        places: dict[int, list[tuple[float, int]]] = {}
+        for start in starts[self.hopeful(known, len(starts))]:
             terms = np.unique(known[start:start + PASSAGE])
             for unit, score in self.index.search(terms[terms >= 0].tolist(), self.retrieve):
-                item = self.item_of[unit]
-                if item not in best or score > best[item][0]:
-                    best[item] = (score, int(start))
+                places.setdefault(self.item_of[unit], []).append((score, int(start)))
         found = []
-        for item, (score, start) in sorted(best.items()):
+        for item, at in sorted(places.items()):
             question, answer = self.items[item]
             reach = len(question) + len(answer)
-            around = words[max(0, start - reach): start + PASSAGE + reach]
-            q, a = overlap(question, around), overlap(answer, around)
-            if q >= self.question and a >= self.answer:
-                found.append({"item_id": item, "score": score, "question_overlap": q, "answer_overlap": a})
+            for score, start in sorted(at, reverse=True):
+                around = words[max(0, start - reach): start + PASSAGE + reach]
+                q, a = overlap(question, around), overlap(answer, around)
+                if q >= self.question and a >= self.answer:
+                    found.append({"item_id": item, "score": score, "question_overlap": q, "answer_overlap": a})
+                    break
         return found
 
 
@@ -181,9 +223,9 @@ def _detectors(benchmark: DataFrame, item_id: str, text: str, answer: str | None
         for r in part.toLocalIterator():
             items[r.item] = (words_of(r.text), words_of(r.answer)) if r.answer is not None else question_and_answer(r.text)
             whole = words_of(r.text) + words_of(r.answer)
-            for at in range(0, len(whole), UNIT):
+            for part_words in units_of(whole):
                 item_of[len(units)] = r.item
-                units.append((len(units), whole[at:at + UNIT]))
+                units.append((len(units), part_words))
         if units:
             yield spark.sparkContext.broadcast(Detector(BlockMaxIndex(units, df, size.n, size.words / size.n), item_of, items, *thresholds))
 
@@ -194,7 +236,7 @@ def _unit_words(items: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [(r["item"], i // UNIT, w) for r in batch.to_pylist() for i, w in enumerate(words_of(r["text"]) + words_of(r["answer"]))]
+            rows = [(r["item"], i, w) for r in batch.to_pylist() for i, u in enumerate(units_of(words_of(r["text"]) + words_of(r["answer"]))) for w in u]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else ((), (), ()), schema)], schema=schema)
 
     return items.mapInArrow(run, "item long, unit long, word string")
