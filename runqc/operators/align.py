@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -61,17 +61,12 @@ def all_lengths_fit(refs: DataFrame, seq: str, max_bases: int = PANEL_BASES) ->
     return row["n"] <= BROADCAST_ROWS and row["b"] <= max_bases
 
 
-def distance_columns(reads: DataFrame, refs: DataFrame, seq: str = "seq", max_columns: int = 1000) -> DataFrame:
-    """Distance matrix as one row per read and one column per reference (id, ref_seq).
+def distance_columns(reads: DataFrame, panel: Mapping[str, str], seq: str = "seq") -> DataFrame:
+    """Distance matrix as one row per read and one column per reference of ``panel`` (name -> sequence).
 
-    A matrix has a column per reference, so the reference list must be short: it is checked.
+    The panel is the caller's own list of names. For a table of references take ``similarity_join``.
     """
-    panel = refs.select("ref_id", "ref_seq").limit(max_columns + 1).collect()
-    if len(panel) > max_columns:
-        raise ValueError(f"a distance matrix takes at most {max_columns} references")
-    return reads.select(
-        "*", *[edit_distance(seq, F.lit(r["ref_seq"])).alias(str(r["ref_id"])) for r in sorted(panel)]
-    )
+    return reads.select("*", *[edit_distance(seq, F.lit(ref)).alias(name) for name, ref in panel.items()])
 
 
 def _closest(seq: Column, panel: Column) -> Column:

@@ -73,10 +73,11 @@ def brier(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def by_stratum(rows: DataFrame, stratum: str, bins: int = 20, min_rows: int = 100) -> DataFrame:
-    """ECE, MCE and Brier per stratum of at least ``min_rows`` rows, worst first; all strata at once."""
+    """ECE, MCE and Brier per stratum, all at once; NULL under ``min_rows`` rows, whose strata stay."""
     errors = calibration_error(bin_stats(rows, [stratum], bins), [stratum])
-    scores = brier(rows, [stratum]).where(F.col("n") >= min_rows).drop("n")
-    return errors.join(scores, stratum)
+    joined = errors.join(brier(rows, [stratum]).withColumnRenamed("n", "_rows"), stratum)
+    enough = F.col("_rows") >= min_rows
+    return joined.select(*[F.when(enough, F.col(c)).alias(c) if c in ("ece", "mce", "brier") else c for c in joined.columns if c != "_rows"])
 
 
 def isotonic_recalibrate(rows: DataFrame, max_q: float = phred.MAX_Q) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Per-channel rollups for the 512-channel device."""
+"""Per-channel rollups; a device may have any number of channels."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from runqc.functions import endreason as er
 from runqc.functions import phred
 from runqc.functions.common import count_where, pct
 
+#: Channels of the smallest device: the denominator of the efficiency unless another is given.
 CHANNELS = 512
 GROUP = 128
 
@@ -30,14 +31,17 @@ def channel_counts(reads: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def channel_performance(reads: DataFrame, channels: int = CHANNELS) -> DataFrame:
-    """Spread of reads per channel, silent channels counted as 0 up to the last channel seen."""
+    """Spread of reads per channel, silent channels counted as 0 up to the last channel seen.
+
+    ``channels`` is the device's number, the denominator of the efficiency; no channel is left out.
+    """
     counts = reads.groupBy("channel").agg(F.count("*").alias("n"))
-    last = F.least(F.max("channel"), F.lit(channels)).cast("long")
+    last = F.max("channel").cast("long")
     spine = counts.agg(last.alias("last")).select(F.explode(F.sequence(F.lit(1).cast("long"), "last")).alias("channel"))
     dense = spine.join(counts.withColumn("channel", F.col("channel").cast("long")), "channel", "full").select(
-        "channel", F.coalesce("n", F.lit(0)).alias("n"), (F.col("channel") <= channels).alias("_in")
+        "channel", F.coalesce("n", F.lit(0)).alias("n")
     )
-    per = F.when(F.col("_in"), F.col("n"))
+    per = F.col("n")
     # At most one row per channel from here on.
     stats = dense.agg(
         count_where(F.col("n") > 0).alias("active_channels"),
@@ -56,11 +60,11 @@ def channel_performance(reads: DataFrame, channels: int = CHANNELS) -> DataFrame
     )
 
 
-def channel_groups(reads: DataFrame, keys: Sequence[str] = (), size: int = GROUP, channels: int = CHANNELS) -> DataFrame:
-    """Quarter-device groups: share, Phred mean and mean length per end reason."""
+def channel_groups(reads: DataFrame, keys: Sequence[str] = (), size: int = GROUP) -> DataFrame:
+    """Groups of ``size`` channels: share, Phred mean and mean length per end reason."""
     group = F.floor((F.col("channel") - 1) / size).cast("long")
     per = (
-        reads.where(F.col("channel").between(1, channels))
+        reads.where(F.col("channel") >= 1)
         .groupBy(*keys, group.alias("channel_group"), "end_reason")
         .agg(F.count("*").alias("n"), phred.mean_q("qscore").alias("mean_qscore"), F.avg("length").alias("mean_length"))
     )
@@ -68,12 +72,12 @@ def channel_groups(reads: DataFrame, keys: Sequence[str] = (), size: int = GROUP
     return per.join(totals, [*keys, "channel_group"]).withColumn("pct", pct(F.col("n"), F.col("_t"))).drop("_t")
 
 
-def channel_grid(reads: DataFrame, keys: Sequence[str] = (), columns: int = GROUP, channels: int = CHANNELS) -> DataFrame:
-    """Signal-positive rate on the 4 x 128 layout, long form."""
+def channel_grid(reads: DataFrame, keys: Sequence[str] = (), columns: int = GROUP) -> DataFrame:
+    """Signal-positive rate in rows of 128 channels, long form."""
     row = F.floor((F.col("channel") - 1) / columns).cast("long")
     col = ((F.col("channel") - 1) % columns).cast("long")
     return (
-        reads.where(F.col("channel").between(1, channels))
+        reads.where(F.col("channel") >= 1)
         .groupBy(*keys, row.alias("row"), col.alias("col"))
         .agg(pct(count_where(F.col("end_reason") == "signal_positive"), F.count("*")).alias("signal_positive_rate"))
     )

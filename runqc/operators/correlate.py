@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runqc.functions import phred
@@ -13,7 +13,7 @@ from runqc.operators import ranking
 
 
 def length_quality_correlation(reads: DataFrame, by: str = "end_reason", min_reads: int = 100) -> DataFrame:
-    """Pearson r and least-squares line overall and per reason, in one scan."""
+    """Pearson r and least-squares line overall and per reason, in one scan; NULL up to ``min_reads`` reads."""
     key = F.col(by)
     out = reads.groupingSets([[], [key]], key).agg(
         F.grouping(by).alias("_all"),
@@ -22,14 +22,19 @@ def length_quality_correlation(reads: DataFrame, by: str = "end_reason", min_rea
         F.regr_slope("qscore", "length").alias("slope"),
         F.regr_intercept("qscore", "length").alias("intercept"),
     )
-    return out.where((F.col("_all") == 1) | (F.col("n") > min_reads)).select(
-        F.when(F.col("_all") == 1, F.lit("all")).otherwise(key).alias(by), "n", "r", "slope", "intercept"
+    enough = (F.col("_all") == 1) | (F.col("n") > min_reads)
+    return out.select(
+        F.when(F.col("_all") == 1, F.lit("all")).otherwise(key).alias(by), "n",
+        *[F.when(enough, F.col(c)).alias(c) for c in ("r", "slope", "intercept")],
     )
 
 
 def n50_by_reason(reads: DataFrame, by: str = "end_reason", min_reads: int = 100) -> DataFrame:
     base = reads.groupBy(by).agg(F.count("*").alias("n"), phred.mean_q("qscore").alias("mean_qscore"))
-    return base.where(F.col("n") > min_reads).join(ranking.nx(reads, [by]), by)
+    """N50 and Phred mean per reason; NULL up to ``min_reads`` reads."""
+    enough = F.col("n") > min_reads
+    joined = base.join(ranking.nx(reads, [by]), by)
+    return joined.select(by, "n", *[F.when(enough, F.col(c)).alias(c) for c in joined.columns if c not in (by, "n")])
 
 
 def decile_edges(reads: DataFrame) -> DataFrame:
@@ -41,25 +46,26 @@ def decile_edges(reads: DataFrame) -> DataFrame:
 
 
 def with_decile(reads: DataFrame) -> DataFrame:
-    """Half-open length decile 0..9; the top edge itself is open."""
+    """Half-open length decile 0..9; the last one is closed."""
     at = F.col("decile")
     return (
         reads.withColumn("_edges", decile_edges(reads).scalar())
-        .withColumn("decile", F.size(F.filter("_edges", lambda e: e <= F.col("length"))) - 1)
-        .where(at.between(0, 9))
+        .withColumn("decile", F.least(F.size(F.filter("_edges", lambda e: e <= F.col("length"))) - 1, F.lit(9)))
+        .where(at >= 0)
         .withColumn("bin_center", (F.get("_edges", at) + F.get("_edges", at + 1)) / 2)
         .drop("_edges")
     )
 
 
 def quality_by_length_decile(reads: DataFrame, by: str = "end_reason", min_group: int = 100, min_bin: int = 10) -> DataFrame:
-    enough = reads.groupBy(by).agg(F.count("*").alias("_n")).where(F.col("_n") > min_group).select(by)
+    """Phred mean per reason and length decile; NULL in small groups and bins, whose rows stay."""
     binned = with_decile(reads).groupBy(by, "decile").agg(
         F.count("*").alias("n"),
         F.max("bin_center").alias("bin_center"),
         phred.mean_q("qscore").alias("mean_qscore"),
     )
-    return binned.where(F.col("n") > min_bin).join(enough, by, "left_semi")
+    of_group = F.sum("n").over(Window.partitionBy(by))  # at most ten rows each
+    return binned.withColumn("mean_qscore", F.when((F.col("n") > min_bin) & (of_group > min_group), F.col("mean_qscore")))
 
 
 def quality_percentiles_by_decile(reads: DataFrame, percents: Sequence[int] = (25, 50, 75, 90), min_bin: int = 10) -> DataFrame:
@@ -68,12 +74,12 @@ def quality_percentiles_by_decile(reads: DataFrame, percents: Sequence[int] = (2
         ranking.value_histogram(binned, ["decile"], "qscore"), ["decile"], "qscore", ["n"], ranking.QUALITY_WIDTH
     )
     return run.groupBy("decile").agg(
-        F.sum("n").alias("n"), *[ranking.interpolated("qscore", p / 100).alias(f"p{p}") for p in percents]
-    ).where(F.col("n") > min_bin)
+        F.sum("n").alias("n"), *[F.when(F.sum("n") > min_bin, ranking.interpolated("qscore", p / 100)).alias(f"p{p}") for p in percents]
+    )
 
 
-# Quality bands (low inclusive, high exclusive).
-Q_BANDS = [("Q0-10", 0, 10), ("Q10-15", 10, 15), ("Q15-20", 15, 20), ("Q20+", 20, 40)]
+# Quality bands (low inclusive, high exclusive; the top one is open).
+Q_BANDS = [("Q0-10", 0, 10), ("Q10-15", 10, 15), ("Q15-20", 15, 20), ("Q20+", 20, float("inf"))]
 
 
 def quality_bands(reads: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

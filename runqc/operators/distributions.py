@@ -14,22 +14,21 @@ from runqc.operators.joins import balanced, scalar_struct
 
 # Fixed values of the length histogram and its smoothing.
 BIN = 10
-MAX_LENGTH = 15_000
 SIGMA = 3.0
 TRUNCATE = 4.0
 FWHM = 2.355
 
 
-def length_histogram(reads: DataFrame, keys: Sequence[str], width: int = BIN, cap: int = MAX_LENGTH) -> DataFrame:
-    """Counts per bin below ``cap``; only bins that occur."""
+def length_histogram(reads: DataFrame, keys: Sequence[str], width: int = BIN) -> DataFrame:
+    """Counts per bin; only bins that occur."""
     low = (F.floor(F.col("length") / width) * width).alias("bin")
-    return reads.select(*keys, low).where(F.col("bin") < cap).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    return reads.select(*keys, low).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
 
 
-def dense_histogram(hist: DataFrame, keys: Sequence[str], width: int = BIN, cap: int = MAX_LENGTH) -> DataFrame:
-    """Every bin of every group, 0 where no read fell."""
-    spine = hist.select(*keys).distinct() if keys else hist.limit(1).select(F.lit(0).alias("_g"))
-    spine = spine.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(cap - width), F.lit(width)).cast("array<bigint>")))
+def dense_histogram(hist: DataFrame, keys: Sequence[str], width: int = BIN) -> DataFrame:
+    """Every bin of every group from 0 to its last, 0 where no read fell."""
+    spine = hist.groupBy(*keys).agg(F.max("bin").alias("_last")).where("_last is not null")
+    spine = spine.select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), "_last", F.lit(width).cast("bigint"))).alias("bin"))
     return spine.join(hist, [*keys, "bin"], "left").select(
         *keys, "bin", F.coalesce("n", F.lit(0)).alias("n")
     )
@@ -42,24 +41,23 @@ def kernel_weights(sigma: float = SIGMA, truncate: float = TRUNCATE) -> list[flo
 
 
 def smoothed_histogram(
-    reads: DataFrame, keys: Sequence[str], width: int = BIN, cap: int = MAX_LENGTH, sigma: float = SIGMA
+    reads: DataFrame, keys: Sequence[str], width: int = BIN, sigma: float = SIGMA
 ) -> DataFrame:
-    """Gaussian-smoothed histogram scaled to a maximum of 100, edges mirrored.
+    """Gaussian-smoothed histogram scaled to a maximum of 100, mirrored at length 0.
 
     Each occupied bin spreads its count over the kernel; a mirrored bin is the same count at a
-    position outside the axis. Work is occupied bins x kernel width.
+    position below 0. Work is occupied bins x kernel width; bins out of reach of reads are absent.
     """
-    size = cap // width
     weights = kernel_weights(sigma)
     radius = len(weights) // 2
-    hist = length_histogram(reads, keys, width, cap).withColumn("i", (F.col("bin") / width).cast("long"))
-    positions = F.array(F.col("i"), -F.col("i") - 1, F.lit(2 * size - 1) - F.col("i"))
+    hist = length_histogram(reads, keys, width).withColumn("i", (F.col("bin") / width).cast("long"))
+    positions = F.array(F.col("i"), -F.col("i") - 1)
     spread = (
         hist.select(*keys, "n", F.explode(positions).alias("p"))
-        .where(F.col("p").between(-radius, size - 1 + radius))
+        .where(F.col("p") >= -radius)
         .select(*keys, "n", "p", F.posexplode(F.array(*[F.lit(w) for w in weights])).alias("o", "w"))
         .select(*keys, (F.col("p") + F.col("o") - radius).alias("i"), (F.col("n") * F.col("w")).alias("y"))
-        .where(F.col("i").between(0, size - 1))
+        .where(F.col("i") >= 0)
         .groupBy(*keys, "i").agg(F.sum("y").alias("y"))
     )
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))

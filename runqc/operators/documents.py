@@ -80,15 +80,15 @@ def figures_and_tables(docs: DataFrame, keys: Sequence[str], text: str = "text")
     )
 
 
-def symbols(latex: Column | str, limit: int = 10) -> Column:
-    """Sorted distinct variable symbols of a formula, the first ``limit``."""
+def symbols(latex: Column | str) -> Column:
+    """Sorted distinct variable symbols of a formula."""
     latex = F.col(latex) if isinstance(latex, str) else latex
     grab = lambda p, g: F.regexp_extract_all(latex, F.lit(p), F.lit(g))
     single = grab(r"(?<![a-zA-Z])([a-zA-Z])(?![a-zA-Z])", 1)
     greek = F.transform(grab(rf"\\({GREEK})", 1), lambda g: F.concat(F.lit("\\"), g))
     operators = grab(r"(\\Prob|\\mathbb\{[EP]\})", 1)
     subscripts = grab(r"([A-Za-z]_\{\\text\{[^}]+\}\})", 1)
-    return F.slice(F.array_sort(F.array_distinct(F.concat(single, greek, operators, subscripts))), 1, limit)
+    return F.array_sort(F.array_distinct(F.concat(single, greek, operators, subscripts)))
 
 
 def variable_definitions(docs: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:

@@ -241,11 +241,15 @@ def completeness(df: DataFrame, keys: Sequence[str], rules: Sequence[tuple[str,
     )
 
 
+#: Structured fields; any of them set means that an experiment is past the legacy format.
+STRUCTURED = ("quality_metrics", "read_counts", "length_metrics")
+
+
 def validate(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Errors and warnings of every experiment row.
 
     Columns used: id, name, source, sample, device_type, https_url, browser_url, mean_quality,
-    total_reads, n50, quality_metrics, schema_version.
+    total_reads, n50, schema_version, and those of the structured fields that the table has.
     """
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
     public = F.coalesce(F.col("source") == PUBLIC_SOURCE, F.lit(False))
@@ -263,7 +267,7 @@ def validate(df: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.when(public & empty("https_url"), F.lit("Public experiment missing HTTPS URL")),
         F.when(public & empty("browser_url"), F.lit("Public experiment missing browser URL")),
         F.when(
-            legacy & F.col("quality_metrics").isNull(),
+            legacy & F.coalesce(*[F.col(c).cast("string") for c in STRUCTURED if c in df.columns]).isNull(),
             F.lit("Uses legacy field format, should migrate to structured metrics"),
         ),
         F.when(empty("schema_version"), F.lit("Missing schema version in provenance")),
@@ -350,8 +354,9 @@ def audit(validated: DataFrame, scored: DataFrame, key: str) -> DataFrame:
     return both.select(section.alias("s")).groupBy("s.section", "s.name").agg(F.count("*").alias("n"))
 
 
-def needing_attention(scored: DataFrame, below: int = 80, top_missing: int = 5) -> DataFrame:
-    return scored.where(F.col("percentage") < below).withColumn("missing", F.slice("missing", 1, top_missing)).orderBy("percentage")
+def needing_attention(scored: DataFrame, below: int = 80) -> DataFrame:
+    """Experiments under a completeness, worst first, with all their missing fields."""
+    return scored.where(F.col("percentage") < below).orderBy("percentage")
 
 
 def registry_stats(df: DataFrame) -> DataFrame:

@@ -159,11 +159,11 @@ def best_hours(reads: DataFrame) -> DataFrame:
 
 
 def active_channels(reads: DataFrame, edges: int = 30) -> DataFrame:
-    """Distinct channels per even time bin from 0 to the last read (the right end stays open)."""
+    """Distinct channels per even time bin from 0 to the last read (the last bin is closed)."""
     s = scalar_struct(reads.agg(F.max("start_time").cast("double").alias("hi")))
     bin_ = F.floor(F.try_divide(F.col("start_time") * F.lit(float(edges - 1)), s["hi"])).cast("long")
     return (
-        reads.select(bin_.alias("bin"), "channel").where(F.col("bin") < edges - 1).distinct()
+        reads.select(F.least(bin_, F.lit(edges - 2)).alias("bin"), "channel").where("bin is not null").distinct()
         .groupBy("bin").agg(F.count("*").alias("active_channels"))
     )
 
@@ -173,20 +173,23 @@ def reason_share_over_time(reads: DataFrame, edges: int = 50) -> DataFrame:
     s = scalar_struct(reads.agg(F.max("start_time").cast("double").alias("hi")))
     bin_ = F.floor(F.try_divide(F.col("start_time") * F.lit(float(edges - 1)), s["hi"])).cast("long")
     counts = (
-        reads.select(bin_.alias("bin"), "end_reason").where(F.col("bin") < edges - 1)
+        reads.select(F.least(bin_, F.lit(edges - 2)).alias("bin"), "end_reason").where("bin is not null")
         .groupBy("bin", "end_reason").agg(F.count("*").alias("n"))
     )
     return counts.withColumn("pct", pct(F.col("n"), F.sum("n").over(Window.partitionBy("bin"))))
 
 
 def read_rate(reads: DataFrame, bins: int = 30, min_reads: int = 10) -> DataFrame:
-    """Reads per minute in even bins between first and last read of each reason (last bin closed)."""
+    """Reads per minute in even bins between first and last read of each reason (last bin closed).
+
+    The rate is NULL for reasons of up to ``min_reads`` reads or of one instant; their rows stay.
+    """
     seconds = reads.groupBy("end_reason", "start_time").agg(F.count("*").alias("n"))
     span = seconds.groupBy("end_reason").agg(
         F.min("start_time").alias("lo"), F.max("start_time").alias("hi"), F.sum("n").alias("n_all")
-    ).where((F.col("n_all") > min_reads) & (F.col("hi") > F.col("lo")))
-    width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    place = F.floor((F.col("start_time") - F.col("lo")) * F.lit(float(bins)) / (F.col("hi") - F.col("lo")))
+    )
+    width = F.when((F.col("n_all") > min_reads) & (F.col("hi") > F.col("lo")), (F.col("hi") - F.col("lo")) / F.lit(float(bins)))
+    place = F.coalesce(F.floor(F.try_divide((F.col("start_time") - F.col("lo")) * F.lit(float(bins)), F.col("hi") - F.col("lo"))), F.lit(0))
     return (
         seconds.join(span, "end_reason")
         .groupBy("end_reason", F.least(place, F.lit(bins - 1)).cast("long").alias("bin"))

@@ -339,12 +339,12 @@ def consolidate_small(v):
 
 # -- distributions ------------------------------------------------------------
 
-HIST_SQL = "select exp_id, length // 10 * 10 as bin, count(*) as n from reads where length < 15000 group by all"
+HIST_SQL = "select exp_id, length // 10 * 10 as bin, count(*) as n from reads group by all"
 SMOOTH_SQL = """
 k as (select o, exp(-0.5 * (o / 3.0) * (o / 3.0)) / sum(exp(-0.5 * (o / 3.0) * (o / 3.0))) over () as w from range(-12, 13) t(o)),
-h as (select {key} as g, length // 10 as i, count(*) as n from reads where length < 15000 {where} group by all),
-s as (select g, i, n from h union all select g, -i - 1, n from h where i < 12 union all select g, 2999 - i, n from h where i >= 1488),
-y as (select g, s.i - k.o as i, sum(n * w) as y from s, k where s.i - k.o between 0 and 1499 group by all),
+h as (select {key} as g, length // 10 as i, count(*) as n from reads where true {where} group by all),
+s as (select g, i, n from h union all select g, -i - 1, n from h where i < 12),
+y as (select g, s.i - k.o as i, sum(n * w) as y from s, k where s.i - k.o >= 0 group by all),
 d as (select g, i * 10 as bin, round(y / max(y) over (partition by g) * 100, 9) as density from y)"""
 
 
@@ -354,18 +354,16 @@ def length_histogram(v):
 
 
 @query("length_histogram_dense", """
-with h as (select exp_id, length // 10 * 10 as bin, count(*) as n from reads where length < 15000 group by all)
-select e.exp_id, b.bin, coalesce(h.n, 0) as n from (select distinct exp_id from h) e
-cross join (select i * 10 as bin from range(0, 1500) t(i)) b left join h on h.exp_id = e.exp_id and h.bin = b.bin""", ("reads",))
+with h as (select exp_id, length // 10 * 10 as bin, count(*) as n from reads group by all)
+select b.exp_id, b.bin, coalesce(h.n, 0) as n from (select exp_id, unnest(range(0, max(bin) + 10, 10)) as bin from h group by exp_id) b left join h on h.exp_id = b.exp_id and h.bin = b.bin""", ("reads",))
 def length_histogram_dense(v):
     return D.dense_histogram(D.length_histogram(v.reads, EXP), EXP)
 
 
 @query("smoothed_histogram", "with " + SMOOTH_SQL.format(key="end_reason", where="") + """
-select g as end_reason, bin, round(density, 6) as density from d where density > 0.000001""", ("reads",))
+select g as end_reason, bin, round(density, 6) as density from d""", ("reads",))
 def smoothed_histogram(v):
-    out = D.smoothed_histogram(v.reads, ["end_reason"]).where(F.col("density") > 0.000001)
-    return rounded(out, "density")
+    return rounded(D.smoothed_histogram(v.reads, ["end_reason"]), "density")
 
 
 PEAK_SQL = """,

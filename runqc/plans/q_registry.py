@@ -328,9 +328,9 @@ def replace_end_reasons(v):
     return X.replace_end_reasons(d, e, "exp_id")
 
 
-@query("event_history", """select exp_id, event_id, analysis, row_number() over (partition by exp_id order by ts desc, event_id desc) as position from event_log qualify position <= 10""", ("event_log",))
+@query("event_history", """select exp_id, event_id, analysis, row_number() over (partition by exp_id order by ts desc, event_id desc) as position from event_log""", ("event_log",))
 def event_history(v):
-    return X.history(v.event_log, "exp_id", ["ts", "event_id"], 10).select("exp_id", "event_id", "analysis", "position")
+    return X.history(v.event_log, "exp_id", ["ts", "event_id"]).select("exp_id", "event_id", "analysis", "position")
 
 
 @query("context_assembly", """
@@ -448,7 +448,7 @@ def extract_captions(v):
 
 
 @query("symbols", """
-select doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(' ' || regexp_replace(text, '[^a-zA-Z]+', '  ', 'g') || ' ', ' ([a-zA-Z]) ', 1)))[1:10], ',') as symbols from documents""")
+select doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(' ' || regexp_replace(text, '[^a-zA-Z]+', '  ', 'g') || ' ', ' ([a-zA-Z]) ', 1))), ',') as symbols from documents""")
 def symbols(v):
     """Single-letter symbols of every document."""
     plain = F.concat(F.lit(" "), F.regexp_replace("text", "[^a-zA-Z]+", "  "), F.lit(" "))

@@ -392,7 +392,7 @@ def audit_registry(v):
     return X.audit(validated(v), X.completeness(documents(v), ["exp_id"]), "exp_id")
 
 
-@query("needing_attention", f"""with {COMPLETE_SQL} select exp_id, percentage, array_to_string(missing[1:5], ',') as missing from scored where percentage < 80""", ("runs", "experiments"))
+@query("needing_attention", f"""with {COMPLETE_SQL} select exp_id, percentage, array_to_string(missing, ',') as missing from scored where percentage < 80""", ("runs", "experiments"))
 def needing_attention(v):
     out = X.needing_attention(X.completeness(documents(v), ["exp_id"]))
     return out.select("exp_id", "percentage", F.array_join("missing", ",").alias("missing"))

@@ -164,8 +164,8 @@ def edit_matrix(v):
     """Reads against the five region names: a matrix has one column per reference."""
     from runqc.plans.views import _dna
 
-    refs = v.table("region").select(F.col("r_name").alias("ref_id"), _dna(F.col("r_name")).alias("ref_seq"))
-    out = A.distance_columns(v.sentences.select("read_id", "seq"), refs)
+    refs = v.table("region").select("r_name", _dna(F.col("r_name")).alias("ref_seq")).orderBy("r_name").collect()  # five by definition
+    out = A.distance_columns(v.sentences.select("read_id", "seq"), {ref.r_name: ref.ref_seq for ref in refs})
     return out.drop("seq")
 
 

@@ -92,21 +92,21 @@ def best_hours(v):
 
 
 @query("active_channels", """with m as (select max(start_time) as hi from reads)
-select cast(floor(start_time * 29.0::double / hi) as bigint) as bin, count(distinct channel) as active_channels from reads, m where floor(start_time * 29.0::double / hi) < 29 group by 1""", ("reads",))
+select least(cast(floor(start_time * 29.0::double / hi) as bigint), 28) as bin, count(distinct channel) as active_channels from reads, m group by 1""", ("reads",))
 def active_channels(v):
     return T.active_channels(v.reads)
 
 
 @query("reason_share_over_time", """with m as (select max(start_time) as hi from reads),
-c as (select cast(floor(start_time * 49.0::double / hi) as bigint) as bin, end_reason, count(*) as n from reads, m where floor(start_time * 49.0::double / hi) < 49 group by all)
+c as (select least(cast(floor(start_time * 49.0::double / hi) as bigint), 48) as bin, end_reason, count(*) as n from reads, m group by all)
 select bin, end_reason, n, round(n * 100.0 / sum(n) over (partition by bin), 6) as pct from c""", ("reads",))
 def reason_share_over_time(v):
     return rounded(T.reason_share_over_time(v.reads), "pct")
 
 
-@query("read_rate", """with s as (select end_reason, min(start_time) as lo, max(start_time) as hi from reads group by 1 having count(*) > 10)
+@query("read_rate", """with s as (select end_reason, min(start_time) as lo, max(start_time) as hi, count(*) as n_all from reads group by 1)
 select end_reason, least(cast(floor((start_time - lo) * 30.0::double / (hi - lo)) as bigint), 29) as bin, count(*) as n,
-  round(count(*) / any_value((hi - lo) / 30.0::double) * 60, 6) as reads_per_minute from reads join s using (end_reason) group by 1, 2""", ("reads",))
+  case when any_value(n_all) > 10 then round(count(*) / any_value((hi - lo) / 30.0::double) * 60, 6) end as reads_per_minute from reads join s using (end_reason) group by 1, 2""", ("reads",))
 def read_rate(v):
     return rounded(T.read_rate(v.reads), "reads_per_minute")
 
@@ -157,26 +157,25 @@ def channel_counts(v):
 
 
 @query("channel_performance", """
-with c as (select channel, count(*) as n from reads where channel % 7 != 3 group by 1),
-s as (select g.channel, coalesce(n, 0) as n from (select unnest(range(1, (select least(max(channel), 512) + 1 from c))) as channel) g left join c using (channel)),
+with c as (select channel, count(*) as n from reads group by 1),
+s as (select g.channel, coalesce(n, 0) as n from (select unnest(range(1, (select max(channel) + 1 from c))) as channel) g left join c using (channel)),
 m as (select avg(n) as mean from s)
 select count(*) filter (n > 0) as active_channels, round(avg(n), 6) as mean_reads, median(n) as median_reads, round(stddev_pop(n), 6) as std_reads,
   count(*) filter (n < mean / 2) as low_performers, count(*) filter (n > mean * 1.5) as high_performers, round(count(*) filter (n > 0) * 100.0 / 512, 6) as efficiency_pct from s, m""", ("reads",))
 def channel_performance(v):
-    seen = v.reads.where(F.col("channel") % 7 != 3)
-    return rounded(CH.channel_performance(seen), "mean_reads", "std_reads", "efficiency_pct")
+    return rounded(CH.channel_performance(v.reads), "mean_reads", "std_reads", "efficiency_pct")
 
 
 @query("channel_groups", f"""
 select (channel - 1) // 128 as channel_group, end_reason, count(*) as n, round({PHRED_SQL}, 6) as mean_qscore, round(avg(length), 6) as mean_length,
-  round(count(*) * 100.0 / sum(count(*)) over (partition by (channel - 1) // 128), 6) as pct from reads where channel between 1 and 512 group by 1, 2""", ("reads",))
+  round(count(*) * 100.0 / sum(count(*)) over (partition by (channel - 1) // 128), 6) as pct from reads where channel >= 1 group by 1, 2""", ("reads",))
 def channel_groups(v):
     return rounded(CH.channel_groups(v.reads), "mean_qscore", "mean_length", "pct")
 
 
 @query("channel_grid", """
 select (channel - 1) // 128 as row, (channel - 1) % 128 as col, round(count(*) filter (end_reason = 'signal_positive') * 100.0 / count(*), 6) as signal_positive_rate
-from reads where channel between 1 and 512 group by 1, 2""", ("reads",))
+from reads where channel >= 1 group by 1, 2""", ("reads",))
 def channel_grid(v):
     return rounded(CH.channel_grid(v.reads), "signal_positive_rate")
 
@@ -186,7 +185,7 @@ def channel_grid(v):
 CORR = "count(*) as n, round(corr(length, qscore), 9) as r, round(regr_slope(qscore, length), 12) as slope, round(regr_intercept(qscore, length), 6) as intercept"
 
 
-@query("len_q_corr", f"""select 'all' as end_reason, {CORR} from reads union all select end_reason, {CORR} from reads group by end_reason having count(*) > 100""", ("reads",))
+@query("len_q_corr", f"""select 'all' as end_reason, {CORR} from reads union all select end_reason, {CORR} from reads group by end_reason""", ("reads",))
 def len_q_corr(v):
     out = K.length_quality_correlation(v.reads)
     return rounded(rounded(rounded(out, "r", places=9), "slope", places=12), "intercept")
@@ -195,30 +194,30 @@ def len_q_corr(v):
 @query("n50_by_reason", f"""
 with n as (select end_reason, max(length) as n50 from (select end_reason, length, sum(length) over (partition by end_reason order by length desc) as c,
   sum(length) over (partition by end_reason) as t from reads) where c >= t * 0.5 group by 1)
-select end_reason, count(*) as n, round({PHRED_SQL}, 6) as mean_qscore, any_value(n50) as n50 from reads join n using (end_reason) group by 1 having count(*) > 100""", ("reads",))
+select end_reason, count(*) as n, round({PHRED_SQL}, 6) as mean_qscore, any_value(n50) as n50 from reads join n using (end_reason) group by 1""", ("reads",))
 def n50_by_reason(v):
     return rounded(K.n50_by_reason(v.reads), "mean_qscore")
 
 
 DECILE_SQL = """e as (select list_transform(range(0, 11), lambda i: i) as i, quantile_cont(length, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) as q from reads),
-x as (select r.*, d.i as decile, (e.q[d.i + 1] + e.q[d.i + 2]) / 2 as bin_center from reads r, e, range(0, 10) d(i) where length >= e.q[d.i + 1] and length < e.q[d.i + 2])"""
+x as (select r.*, d.i as decile, (e.q[d.i + 1] + e.q[d.i + 2]) / 2 as bin_center from reads r, e, range(0, 10) d(i) where length >= e.q[d.i + 1] and (length < e.q[d.i + 2] or d.i = 9))"""
 
 
 @query("q_by_length_decile", f"""with {DECILE_SQL} select end_reason, cast(decile as int) as decile, count(*) as n, round(any_value(bin_center), 6) as bin_center,
-  round({PHRED_SQL}, 6) as mean_qscore from x group by 1, 2 having count(*) > 10""", ("reads",))
+  case when count(*) > 10 then round({PHRED_SQL}, 6) end as mean_qscore from x group by 1, 2""", ("reads",))
 def q_by_length_decile(v):
     return rounded(K.quality_by_length_decile(v.reads), "bin_center", "mean_qscore")
 
 
 @query("q_percentiles_by_decile", f"""with {DECILE_SQL} select cast(decile as int) as decile, count(*) as n, quantile_cont(qscore, 0.25) as p25, quantile_cont(qscore, 0.5) as p50,
-  quantile_cont(qscore, 0.75) as p75, quantile_cont(qscore, 0.9) as p90 from x group by 1 having count(*) > 10""", ("reads",))
+  quantile_cont(qscore, 0.75) as p75, quantile_cont(qscore, 0.9) as p90 from x group by 1""", ("reads",))
 def q_percentiles_by_decile(v):
     return K.quality_percentiles_by_decile(v.reads)
 
 
 @query("q_bands", """
 select case when qscore < 10 then 'Q0-10' when qscore < 15 then 'Q10-15' when qscore < 20 then 'Q15-20' else 'Q20+' end as band, count(*) as n,
-  round(avg(length), 6) as mean_length from reads where qscore >= 0 and qscore < 40 group by 1""", ("reads",))
+  round(avg(length), 6) as mean_length from reads where qscore >= 0 group by 1""", ("reads",))
 def q_bands(v):
     return rounded(K.quality_bands(v.reads), "mean_length")
 

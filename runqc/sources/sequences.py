@@ -15,9 +15,10 @@ from runqc.functions import phred
 def fasta(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """name (first word of the header) and sequence; records may span lines, files may be gzipped.
 
-    Records are split at ``>`` by the reader, so a large file is scanned by many tasks.
+    Records are split at a ``>`` that begins a line, so a large file is scanned by many tasks and a
+    header may hold further marks.
     """
-    records = spark.read.text(paths, lineSep=">").where(F.trim("value") != "")
+    records = spark.read.text(paths, lineSep="\n>").select(F.regexp_replace("value", r"^\s*>", "").alias("value")).where(F.trim("value") != "")
     lines = F.split("value", r"\r?\n", 2)
     return records.select(
         F.split(F.trim(lines[0]), r"\s+")[0].alias("name"),

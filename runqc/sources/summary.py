@@ -131,13 +131,16 @@ def end_reason_columns(raw: DataFrame) -> DataFrame:
 
 def final_summary(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """key=value files to one map per file; a value may hold further equal signs."""
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), "value",
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("line"),
+    )
     pair = F.split("value", "=", 2)
     pairs = lines.where(F.col("value").contains("=")).select(
-        "file", F.trim(pair[0]).alias("k"), F.trim(pair[1]).alias("v")
+        "file", "line", F.trim(pair[0]).alias("k"), F.trim(pair[1]).alias("v")
     )
-    # The last occurrence of a key would win in either order; keys repeat only by mistake.
-    unique = pairs.groupBy("file", "k").agg(F.max("v").alias("v"))
+    # The last line of a key wins: blocks of a file in order, rows within a block in order.
+    unique = pairs.groupBy("file", "k").agg(F.max_by("v", "line").alias("v"))
     return unique.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("fields"))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,21 +45,22 @@ def fasta(records: DataFrame, path: str) -> None:
     records.select(F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("value")).write.mode("overwrite").text(path)
 
 
-def warehouse(rows: DataFrame, path: str, key: str = "uniq_id", partition: str = "exp_id") -> None:
+def warehouse(rows: DataFrame, path: str, key: str = "uniq_id", partition: str = "exp_id", order: str | None = None) -> None:
     """Upsert read rows: only the partitions present in ``rows`` are rewritten.
 
-    The merge reads the partitions it replaces, so it is checkpointed before the overwrite.
+    Of rows with one key that of the greatest ``order`` wins (without an order, of the greatest
+    values). The merge reads the partitions it replaces, so it is checkpointed before the overwrite.
+    A store that cannot be read is an error; only a path that does not exist starts a new one.
     """
     from runqc.session import cut_lineage
 
     spark = rows.sparkSession
-    fresh = rows.dropDuplicates([key])
+    whole = F.struct(*([F.col(order)] if order else []), *[F.col(c).cast("string") for c in rows.columns])
+    fresh = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), whole).alias("_row")).select("_row.*")
     merged = fresh
-    try:
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location):
         stored = spark.read.parquet(path)
-    except AnalysisException:
-        stored = None
-    if stored is not None:
         touched = stored.join(fresh.select(partition).distinct(), partition, "left_semi")
         kept = touched.join(fresh.select(key), key, "left_anti")
         merged = cut_lineage(fresh.unionByName(kept.select(*fresh.columns)))
