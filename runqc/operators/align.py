@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from runqc.functions import kernels, phred
 from runqc.functions import sequence as sq
 from runqc.functions.common import col_of, first_match
-from runqc.operators.joins import BROADCAST_ROWS, balanced, range_join, small_side
+from runqc.operators.joins import balanced, range_join
 
+PANEL_ROWS = 100_000
 PANEL_BASES = 8_000_000
 
 
@@ -58,7 +59,7 @@ def ratio_distance(seq: str, ref: str, ratio: float = 1.5) -> Column:
 
 def all_lengths_fit(refs: DataFrame, seq: str, max_bases: int = PANEL_BASES) -> bool:
     row = refs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(seq)), F.lit(0)).alias("b")).first()
-    return row["n"] <= BROADCAST_ROWS and row["b"] <= max_bases
+    return row["n"] <= PANEL_ROWS and row["b"] <= max_bases
 
 
 def distance_columns(reads: DataFrame, panel: Mapping[str, str], seq: str = "seq") -> DataFrame:
@@ -174,7 +175,7 @@ def first_range_match(reads: DataFrame, targets: DataFrame, length: str = "lengt
     lengths = reads.select(length).distinct()
     hit = range_join(lengths, targets.select("target_id", "ord", "range_min", "range_max"), length, "range_min", "range_max")
     first = hit.groupBy(length).agg(F.min_by("target_id", "ord").alias("target_id"))
-    return reads.join(small_side(first), length, "left")
+    return reads.join(first, length, "left")
 
 
 def size_candidates(reads: DataFrame, targets: DataFrame, on: Sequence[str] = ("experiment",), length: str = "length") -> DataFrame:
@@ -204,7 +205,7 @@ def classify_reads(
     """
     expected = barcode_map.select("experiment", "barcode", F.col("target").alias("expected_target"))
     sized = reads.withColumn("length", F.length("seq")).join(
-        small_side(expected), ["experiment", "barcode"], "left"
+        expected, ["experiment", "barcode"], "left"
     )
     known = F.col("expected_target").isNotNull()
     in_bounds = F.col("length").between(min_length, max_length)
@@ -333,7 +334,7 @@ def error_profile(reads: DataFrame, refs: DataFrame) -> DataFrame:
     Reads: read_id, seq, qual. References: ref_id, ref_seq, ord. Equal sequences are aligned once.
     """
     matched = best_reference(reads.select("seq").distinct(), refs)
-    paths = balanced(matched.join(small_side(refs.select("ref_id", "ref_seq")), "ref_id")).select(
+    paths = balanced(matched.join(refs.select("ref_id", "ref_seq"), "ref_id")).select(
         "ref_id", "seq", positions_udf()(F.upper("seq"), F.upper("ref_seq")).alias("positions")
     )
     bases = per_base(reads.select("seq", "qual").join(paths, "seq"))
@@ -357,7 +358,7 @@ def reference_sets(barcodes: DataFrame, targets: DataFrame, prefix: str, adapter
     ``barcodes``: experiment, barcode, barcode_seq, target. ``targets``: target_id, target_seq.
     """
     parts = [F.lit(prefix), F.lit(adapter), F.lit(flank_front), F.col("barcode_seq"), F.lit(flank_rear)]
-    joined = barcodes.join(small_side(targets), F.col("target") == F.col("target_id")).drop("target")
+    joined = barcodes.join(targets, F.col("target") == F.col("target_id")).drop("target")
     both = joined.withColumn("strand", F.explode(F.array(F.lit("forward"), F.lit("reverse"))))
     insert = F.when(F.col("strand") == "forward", F.col("target_seq")).otherwise(sq.reverse_complement("target_seq"))
     return both.withColumn("reference", sq.assemble(*parts, insert)).withColumn(
@@ -373,7 +374,7 @@ def ingest_reads(
     base = reads.where(F.col("seq").isNotNull()).withColumn("readlen", F.length("seq"))
     matched = first_range_match(base, targets, "readlen")
     refs = targets.select("target_id", "target_seq")
-    with_ref = matched.join(small_side(refs), "target_id", "left").withColumn(
+    with_ref = matched.join(refs, "target_id", "left").withColumn(
         "ed", F.levenshtein("seq", "target_seq")
     )
     sided = with_ref.join(end_reasons.select("read_id", "end_reason", "forced"), "read_id", "left")

@@ -1,31 +1,10 @@
-"""Join strategies: checked broadcast and a range join that stays an equi join."""
+"""Join helpers: even partitions and a range join that stays an equi join."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
-
-
-def pinned(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
-    """``df`` as a local table when it has at most ``max_rows`` rows, else None.
-
-    At most one row more than the bound is ever fetched, and the plan behind a small side runs
-    once however often the side is used.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return None
-    return df.sparkSession.createDataFrame(rows, df.schema)
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast only what was counted to fit; otherwise a plain shuffle join."""
-    local = pinned(df, max_rows)
-    return df if local is None else F.broadcast(local)
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """At least one partition per core ahead of CPU-heavy work.
 
@@ -53,7 +32,6 @@ def range_join(
     low: str,
     high: str,
     extra: list[str] | None = None,
-    max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Inner join on ``low <= value <= high`` (integers), plus equality on ``extra``.
 
@@ -63,8 +41,7 @@ def range_join(
     """
     extra = extra or []
     step = F.ceil(F.log2((F.col(high) - F.col(low) + 1).cast("double"))).cast("int")
-    local = pinned(right, max_rows)
-    ranged = (right if local is None else local).where(F.col(low) <= F.col(high)).withColumn("_step", step)
+    ranged = right.where(F.col(low) <= F.col(high)).withColumn("_step", step)
     # At most 63 distinct powers of two, whatever the size of ``right``.
     steps = sorted(r[0] for r in ranged.select("_step").distinct().collect())
     cell = lambda c: F.expr(f"shiftright(cast({c} as bigint), _step)")
@@ -73,8 +50,6 @@ def range_join(
         left.withColumn("_step", F.explode(F.array(*[F.lit(s) for s in steps]).cast("array<int>")))
         .withColumn("_cell", cell(value))
     )
-    if local is not None:
-        ranged = F.broadcast(ranged)
     return (
         probe.join(ranged, [*extra, "_step", "_cell"])
         .where(F.col(value).between(F.col(low), F.col(high)))

@@ -12,7 +12,6 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runqc.operators.joins import small_side
 
 LENGTH_WIDTH = 1000
 QUALITY_WIDTH = 0.25
@@ -158,7 +157,7 @@ def hash_sample(
             (F.max("n_keep") - F.max("_before")).cast("long").alias("_left"),
         )
     )
-    kept = hashed.join(small_side(cuts), list(keys)).where(F.col("_p") <= F.col("_cut"))
+    kept = hashed.join(cuts, list(keys)).where(F.col("_p") <= F.col("_cut"))
     whole = kept.where(F.col("_p") < F.col("_cut"))
     rank = F.row_number().over(Window.partitionBy(*keys, "_p").orderBy("_h", id_col))
     edge = kept.where(F.col("_p") == F.col("_cut")).withColumn("_r", rank).where("_r <= _left").drop("_r")

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runqc.functions.common import is_present, messages
-from runqc.operators.joins import small_side
 
 # Counters compared between a discovered run and the registry.
 COUNTERS = ["pod5_files", "fast5_files", "fastq_files", "bam_files"]
@@ -215,10 +214,10 @@ def related_of(experiments: DataFrame, chosen: DataFrame, id_col: str = "id") ->
     everyone's, one equi join in place of an OR condition.
     """
     groups = related(experiments, id_col).drop("group_size")
-    mine = groups.join(small_side(chosen.select(F.col(id_col).alias("id"))), "id").withColumnRenamed("id", "of_id")
+    mine = groups.join(chosen.select(F.col(id_col).alias("id")), "id").withColumnRenamed("id", "of_id")
     order = F.when(F.col("kind") == "sample", 0).when(F.col("kind") == "flowcell", 1).otherwise(2)
     return (
-        groups.join(small_side(mine), ["kind", "value"]).where(F.col("id") != F.col("of_id"))
+        groups.join(mine, ["kind", "value"]).where(F.col("id") != F.col("of_id"))
         .groupBy("of_id", "id").agg(F.min_by("kind", order).alias("reason"))
     )
 

@@ -10,7 +10,6 @@ from runqc.functions import paths as P
 from runqc.operators import documents as D
 from runqc.operators import registry as X
 from runqc.operators import tasks as TK
-from runqc.operators.joins import small_side
 from runqc.plans.catalog import query
 from runqc.plans.q_reads import r, rounded
 from runqc.session import checkpoint_root
@@ -82,19 +81,20 @@ def reads_semi(v):
 
 @query("reads_with_side_reason", """
 select r.read_id, coalesce(case o_orderstatus when 'F' then 'signal_positive' when 'O' then 'unblock_mux_change' end, 'not_found') as end_reason
-from reads r left join orders on o_orderkey = cast(split_part(read_id, '-', 1) as bigint) and o_orderstatus != 'P'""", ("reads",))
+from reads r left join orders on o_orderkey = cast(split_part(read_id, '-', 1) as bigint)""", ("reads",))
 def reads_with_side_reason(v):
-    side = v.table("orders").where(F.col("o_orderstatus") != "P").select(
+    status = F.col("o_orderstatus")
+    side = v.table("orders").select(
         F.col("o_orderkey").alias("k"),
-        F.when(F.col("o_orderstatus") == "F", "signal_positive").otherwise("unblock_mux_change").alias("reason"),
+        F.when(status == "F", "signal_positive").when(status == "O", "unblock_mux_change").alias("reason"),
     )
     keyed = v.reads.select("read_id", F.split("read_id", "-")[0].cast("bigint").alias("k"))
     return keyed.join(side, "k", "left").select("read_id", F.coalesce("reason", F.lit("not_found")).alias("end_reason"))
 
 
-@query("experiments_with_stats", """select e.exp_id, e.name, e.sample, r.total_reads, r.n50, round(r.mean_qscore, 6) as mean_qscore from experiments e left join (select * from runs where total_reads > 600) r using (exp_id) order by e.name desc""", ("experiments", "runs"))
+@query("experiments_with_stats", """select e.exp_id, e.name, e.sample, r.total_reads, r.n50, round(r.mean_qscore, 6) as mean_qscore from experiments e left join runs r using (exp_id) order by e.name desc""", ("experiments", "runs"))
 def experiments_with_stats(v):
-    stats = v.runs.where(F.col("total_reads") > 600).select("exp_id", "total_reads", "n50", r(F.col("mean_qscore")).alias("mean_qscore"))
+    stats = v.runs.select("exp_id", "total_reads", "n50", r(F.col("mean_qscore")).alias("mean_qscore"))
     return v.experiments.select("exp_id", "name", "sample").join(stats, "exp_id", "left").orderBy(F.desc("name"))
 
 
@@ -110,19 +110,19 @@ def results_with_metadata(v):
 
 @query("merge_sources", """select path, sample_id, pod5_files, fastq_files, source, n_name as physical from (
   select path, sample_id, pod5_files, fastq_files, flow_cell_id, 'internal' as source from registry_old union all select path, sample_id, null, fastq_files, flow_cell_id, 'public' from registry_new) u
-left join (select 'FC' || cast(n_nationkey as varchar) as flow_cell_id, n_name from nation where n_nationkey % 2 = 0) n using (flow_cell_id)""", BOTH)
+left join (select 'FC' || cast(n_nationkey as varchar) as flow_cell_id, n_name from nation) n using (flow_cell_id)""", BOTH)
 def merge_sources(v):
     internal = v.registry_old.select("path", "sample_id", "pod5_files", "fastq_files", "flow_cell_id", F.lit("internal").alias("source"))
     public = v.registry_new.select("path", "sample_id", "fastq_files", "flow_cell_id", F.lit("public").alias("source"))
-    sizes = v.table("nation").where(F.col("n_nationkey") % 2 == 0).select(
+    sizes = v.table("nation").select(
         F.concat(F.lit("FC"), F.col("n_nationkey").cast("string")).alias("flow_cell_id"), F.col("n_name").alias("physical")
     )
-    return internal.unionByName(public, allowMissingColumns=True).join(small_side(sizes), "flow_cell_id", "left").drop("flow_cell_id")
+    return internal.unionByName(public, allowMissingColumns=True).join(sizes, "flow_cell_id", "left").drop("flow_cell_id")
 
 
-@query("size_mappings", """select p_size as expected_size, p_partkey as mapping_id, p_brand as target_id, r.n as target_parts from part left join (select p_brand as b, count(*) as n from part where p_size > 40 group by 1) r on r.b = p_brand""")
+@query("size_mappings", """select p_size as expected_size, p_partkey as mapping_id, p_brand as target_id, r.n as target_parts from part left join (select p_brand as b, count(*) as n from part group by 1) r on r.b = p_brand""")
 def size_mappings(v):
-    targets = v.table("part").where("p_size > 40").groupBy(F.col("p_brand").alias("target_id")).agg(F.count("*").alias("target_parts"))
+    targets = v.table("part").groupBy(F.col("p_brand").alias("target_id")).agg(F.count("*").alias("target_parts"))
     maps = v.table("part").select(F.col("p_size").alias("expected_size"), F.col("p_partkey").alias("mapping_id"), F.col("p_brand").alias("target_id"))
     return maps.join(targets, "target_id", "left")
 
@@ -304,25 +304,25 @@ def latest_event(v):
 
 @query("sync_events", """
 with l as (select exp_id, arg_max(value, (ts, event_id)) as v, arg_max(status, (ts, event_id)) as st from event_log where analysis = '1-URGENT' group by 1),
-s as (select c_custkey as exp_id, c_name as name, c_acctbal as mean_qscore, c_nationkey as n50 from customer where c_custkey % 4 != 0)
+s as (select c_custkey as exp_id, c_name as name, c_acctbal as mean_qscore, c_nationkey as n50 from customer)
 select coalesce(s.exp_id, l.exp_id) as exp_id, name, round(coalesce(case when st != 'P' then v end, mean_qscore), 2) as mean_qscore, n50 from s full join l using (exp_id)""", ("event_log",))
 def sync_events(v):
     urgent = v.event_log.where(F.col("analysis") == "1-URGENT")
     newest = X.latest_event(urgent, ["exp_id"], ["ts", "event_id"], ["value", "status"])
     values = newest.select("exp_id", F.when(F.col("status") != "P", F.col("value")).alias("mean_qscore"), F.lit(None).cast("int").alias("n50"))
-    stats = v.table("customer").where(F.col("c_custkey") % 4 != 0).select(
+    stats = v.table("customer").select(
         F.col("c_custkey").alias("exp_id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("mean_qscore"), F.col("c_nationkey").alias("n50")
     )
     return rounded(X.sync_statistics(stats, values, "exp_id", ["mean_qscore", "n50"]), "mean_qscore", places=2)
 
 
 @query("replace_end_reasons", """
-with d as (select exp_id, end_reason, count(*) as n from reads group by all), e as (select exp_id, status as end_reason, count(*) as n from event_log where exp_id % 2 = 0 and exp_id in (select exp_id from reads) group by all)
+with d as (select exp_id, end_reason, count(*) as n from reads group by all), e as (select exp_id, status as end_reason, count(*) as n from event_log where exp_id in (select exp_id from reads) group by all)
 select * from d where exp_id not in (select exp_id from e) union all select * from e""", ("reads", "event_log"))
 def replace_end_reasons(v):
     d = v.reads.groupBy("exp_id", "end_reason").agg(F.count("*").alias("n"))
     known = v.reads.select("exp_id").distinct()
-    e = v.event_log.where(F.col("exp_id") % 2 == 0).join(known, "exp_id", "left_semi").groupBy(
+    e = v.event_log.join(known, "exp_id", "left_semi").groupBy(
         "exp_id", F.col("status").alias("end_reason")
     ).agg(F.count("*").alias("n"))
     return X.replace_end_reasons(d, e, "exp_id")
@@ -465,15 +465,16 @@ def variable_definitions(v):
     return rows.groupBy("doc_id").agg(F.count("*").alias("definitions"), F.count_distinct("symbol").alias("symbols"))
 
 
-USE_SQL = """claimed as (select brand as variable, item as "user" from parts where size < 25 union select words[1], item from parts),
-actual as (select distinct unnest(words) as variable, item as "user" from parts where size > 10)"""
+USE_SQL = """claimed as (select case when size < 25 then brand else type end as variable, item as "user" from parts union select words[1], item from parts),
+actual as (select distinct unnest(case when size > 10 then words else [brand] end) as variable, item as "user" from parts)"""
 
 
 def usage(v):
-    claimed = v.parts.where("size < 25").select(F.col("brand").alias("variable"), F.col("item").alias("user")).union(
+    claimed = v.parts.select(F.when(F.col("size") < 25, F.col("brand")).otherwise(F.col("type")).alias("variable"), F.col("item").alias("user")).union(
         v.parts.select(F.col("words")[0], "item")
     )
-    actual = v.parts.where("size > 10").select(F.explode("words").alias("variable"), F.col("item").alias("user"))
+    held = F.when(F.col("size") > 10, F.col("words")).otherwise(F.array("brand"))
+    actual = v.parts.select(F.explode(held).alias("variable"), F.col("item").alias("user"))
     return claimed, actual
 
 

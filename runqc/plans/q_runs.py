@@ -288,20 +288,17 @@ def mode_ranking(v):
 
 
 @query("source_fallback", """
-with s as (select exp_id, case end_reason when 'unblock_mux_change' then 'bam' when 'signal_positive' then 'fastq' else 'pod5' end as source,
-  count(*) as n, cast(sum(length) as bigint) as bases from reads where channel % 3 = 0 or exp_id % 2 = 0 group by all),
-k as (select * from s where not (exp_id % 3 = 0 and source = 'fastq'))
+with s as (select exp_id, case end_reason when 'unblock_mux_change' then 'bam' when 'signal_positive' then (case when exp_id % 3 = 0 then 'pod5' else 'fastq' end) else 'pod5' end as source,
+  count(*) as n, cast(sum(length) as bigint) as bases from reads group by all),
+k as (select * from s)
 select exp_id, arg_min(source, rank) as source, arg_min(n, rank) as n, arg_min(bases, rank) as bases
 from (select *, case source when 'fastq' then 2 when 'bam' then 3 else 4 end as rank from k) group by exp_id""", ("reads",))
 def source_fallback(v):
     from runqc.sources.inventory import preferred_stats
 
-    kind = F.when(F.col("end_reason") == "unblock_mux_change", "bam").when(F.col("end_reason") == "signal_positive", "fastq").otherwise("pod5")
-    stats = (
-        v.reads.where((F.col("channel") % 3 == 0) | (F.col("exp_id") % 2 == 0))
-        .groupBy("exp_id", kind.alias("source")).agg(F.count("*").alias("n"), F.sum("length").alias("bases"))
-        .where(~((F.col("exp_id") % 3 == 0) & (F.col("source") == "fastq")))
-    )
+    kind = F.when(F.col("end_reason") == "unblock_mux_change", "bam").when(
+        (F.col("end_reason") == "signal_positive") & (F.col("exp_id") % 3 != 0), "fastq").otherwise("pod5")
+    stats = v.reads.groupBy("exp_id", kind.alias("source")).agg(F.count("*").alias("n"), F.sum("length").alias("bases"))
     return preferred_stats(stats, ["exp_id"])
 
 

@@ -8,7 +8,6 @@ from runqc.functions import phred
 from runqc.functions import sequence as sq
 from runqc.operators import align as A
 from runqc.operators import reads as R
-from runqc.operators.joins import small_side
 from runqc.plans.catalog import query
 from runqc.plans.q_reads import r, rounded
 
@@ -33,7 +32,7 @@ select b.experiment, b.barcode, t.target_id, '{PREFIX}{ADAPTER}{FRONT}' || upper
 from barcode_map b join targets t on t.target_id = b.target""", ("targets", "barcode_map"))
 def build_reference(v):
     parts = [F.lit(PREFIX), F.lit(ADAPTER), F.lit(FRONT), F.upper("barcode"), F.lit(REAR), F.col("target_seq")]
-    joined = v.barcode_map.join(small_side(v.targets), F.col("target") == F.col("target_id"))
+    joined = v.barcode_map.join(v.targets, F.col("target") == F.col("target_id"))
     return joined.select(
         "experiment", "barcode", "target_id", sq.assemble(*parts).alias("reference"),
         F.length(sq.assemble(*parts)).alias("product_size"), sq.chimera_length(*parts).alias("chimera_size"),
@@ -104,7 +103,7 @@ def size_class(v):
     ranges = v.barcode_map.join(v.targets, F.col("target") == F.col("target_id")).select(
         "experiment", "barcode", "target_id", "range_min", "range_max"
     )
-    tagged = v.sentences.join(small_side(ranges), ["experiment", "barcode"])
+    tagged = v.sentences.join(ranges, ["experiment", "barcode"])
     return tagged.select("read_id", "length", "target_id", sq.size_class("length", "range_min", "range_max").alias("size_class"))
 
 
@@ -128,7 +127,7 @@ def expected_pairs(v):
     expected = v.barcode_map.join(v.targets, F.col("target") == F.col("target_id")).select(
         "experiment", "barcode", "target_id", "target_seq"
     )
-    return v.sentences.join(small_side(expected), ["experiment", "barcode"])
+    return v.sentences.join(expected, ["experiment", "barcode"])
 
 
 PAIR_SQL = "pairs as (select s.*, t.target_id, t.target_seq from sentences s join barcode_map b using (experiment, barcode) join targets t on t.target_id = b.target)"
@@ -218,7 +217,7 @@ def matches_by_distance(v):
 
 @query("sma_exact", f"""with {BEST_SQL} select ref_id, count(*) as n, round(avg((edit_distance = 0)::int), 9) as sma_exact from sentences join best using (seq) group by 1""", ("sentences", "targets"))
 def sma_exact(v):
-    hits = A.best_reference(v.sentences.select("seq"), v.refs).join(small_side(v.refs.select("ref_id", "ref_seq")), "ref_id")
+    hits = A.best_reference(v.sentences.select("seq"), v.refs).join(v.refs.select("ref_id", "ref_seq"), "ref_id")
     return rounded(R.exact_accuracy(hits, ["ref_id"]), "sma_exact", places=9)
 
 
@@ -258,7 +257,7 @@ def ingest_reads(v):
         "doc_id", F.when(F.col("quality") == 1, "signal_positive").otherwise("unblock_mux_change").alias("end_reason"),
         F.col("toxic").alias("forced"),
     )
-    side = v.sentences.select("read_id", "doc_id").join(small_side(labels), "doc_id")
+    side = v.sentences.select("read_id", "doc_id").join(labels, "doc_id")
     rows = A.ingest_reads(
         v.sentences.withColumn("exp", F.concat(F.lit("EXP"), "experiment")), v.targets, side, F.col("experiment"),
         F.lit("s"), F.lit("5.2.0"), F.lit(1), F.lit(3),
@@ -290,7 +289,7 @@ select barcode, count(*) as n, round(avg(ok::int) * 100, 6) as in_range_pct, cou
 from x group by barcode""", PAIR_VIEWS)
 def barcode_summary(v):
     ranges = v.targets.select("target_id", "range_min", "range_max")
-    tagged = expected_pairs(v).join(small_side(ranges), "target_id").select(
+    tagged = expected_pairs(v).join(ranges, "target_id").select(
         "barcode", "length", F.levenshtein("seq", "target_seq").alias("ed"), phred.string_mean_q("qual").alias("qscore"),
         sq.size_class("length", "range_min", "range_max").alias("size_class"),
         F.when(F.col("doc_id") % 3 == 0, "signal_positive").otherwise("unknown").alias("end_reason"),
