@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runqc.functions import phred
 from runqc.operators import ranking
+from runqc.session import cut_lineage
 
 PROB_WIDTH = 0.001
+NEWTON_STEPS = 12
 
 
 def point_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -81,27 +80,29 @@ def by_stratum(rows: DataFrame, stratum: str, bins: int = 20, min_rows: int = 10
 
 
 def isotonic_recalibrate(rows: DataFrame, max_q: float = phred.MAX_Q) -> DataFrame:
-    """Monotone fit of observed error on predicted probability; outside the range it is constant."""
+    """Monotone fit of observed error on predicted probability, on one row per distinct probability."""
     points = point_counts(rows, []).select("p", (F.col("errors") / F.col("n")).alias("rate"), F.col("n").cast("double"))
     model = IsotonicRegression(featuresCol="p", labelCol="rate", weightCol="n", predictionCol="p_cal").fit(points)
     fitted = model.transform(points.select("p")).select("p", "p_cal")
     return rows.join(fitted, "p").withColumn("q_cal", phred.to_qscore("p_cal", max_q))
 
 
-def platt_recalibrate(rows: DataFrame, max_q: float = phred.MAX_Q) -> DataFrame:
-    """Logistic fit without penalty of the error flag on the predicted probability."""
-    points = point_counts(rows, [])
-    weighted = points.select("p", F.explode(F.array(
-        F.struct(F.lit(1.0).alias("label"), F.col("errors").cast("double").alias("w")),
-        F.struct(F.lit(0.0).alias("label"), (F.col("n") - F.col("errors")).cast("double").alias("w")),
-    )).alias("c")).select("p", "c.label", "c.w").where(F.col("w") > 0)
-    to_vector = VectorAssembler(inputCols=["p"], outputCol="features")
-    model = LogisticRegression(weightCol="w", regParam=0.0).fit(to_vector.transform(weighted))
-    fitted = model.transform(to_vector.transform(points.select("p"))).select(
-        "p", vector_to_array("probability")[1].alias("p_cal")
-    )
-    return rows.join(fitted, "p").withColumn("q_cal", phred.to_qscore("p_cal", max_q))
-
-
-def predicted(q: Column | str) -> Column:
-    return phred.error_prob(q)
+def platt_recalibrate(rows: DataFrame, max_q: float = phred.MAX_Q, steps: int = NEWTON_STEPS) -> DataFrame:
+    """Logistic fit without penalty of the error flag on the predicted probability.
+
+    Newton steps on two parameters; each is one aggregate over a row per distinct probability.
+    """
+    points = cut_lineage(point_counts(rows, []).select("p", F.col("n").cast("double"), F.col("errors").cast("double").alias("e")))
+    at, slope = 0.0, 0.0
+    for _ in range(steps):
+        m = 1 / (1 + F.exp(-(F.lit(at) + F.lit(slope) * F.col("p"))))
+        rest, weight = F.col("e") - F.col("n") * m, F.col("n") * m * (1 - m)
+        g0, g1, s0, sx, sxx = points.agg(
+            F.sum(rest), F.sum(rest * F.col("p")), F.sum(weight), F.sum(weight * F.col("p")), F.sum(weight * F.col("p") * F.col("p"))
+        ).first()
+        det = s0 * sxx - sx * sx if g0 is not None else 0.0
+        if not det:  # no rows, or a single probability: no slope can be told
+            break
+        at, slope = at + (sxx * g0 - sx * g1) / det, slope + (s0 * g1 - sx * g0) / det
+    p_cal = 1 / (1 + F.exp(-(F.lit(at) + F.lit(slope) * F.col("p"))))
+    return rows.withColumn("p_cal", p_cal).withColumn("q_cal", phred.to_qscore("p_cal", max_q))

@@ -39,6 +39,8 @@ def with_views(sql: str, views: tuple[str, ...]) -> str:
         return sql
     heads = ",\n".join(f"{v} as (\n{VIEW_SQL[v][1]}\n)" for v in needed)
     body = sql.strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {heads},\n{body[15:]}"
     return f"with {heads},\n{body[5:]}" if body.lower().startswith("with ") else f"with {heads}\n{body}"
 
 

@@ -278,18 +278,33 @@ def calibration_by_reason(v):
     return rounded(C.by_stratum(v.calibration, "end_reason"), "ece", "mce", "brier", places=9)
 
 
-@query("isotonic_recalibration")
-def isotonic_recalibration(v):
-    """Iterative fit; tested against a pool-adjacent-violators fixture."""
-    out = C.isotonic_recalibrate(v.calibration)
-    return out.groupBy("p").agg(F.count("*").alias("n"), r(F.first("q_cal")).alias("q_cal"))
+def recalibrated(out):
+    return out.groupBy(r(F.col("p"), 12).alias("p")).agg(F.count("*").alias("n"), r(F.max("q_cal"), 5).alias("q_cal"))
 
 
-@query("platt_recalibration")
+@query("isotonic_recalibration", """
+with pts as (select p, count(*) as n, sum(err) as e from calibration group by p),
+o as (select *, row_number() over (order by p) as i, sum(n) over w as cn, sum(e) over w as ce from pts window w as (order by p rows unbounded preceding)),
+means as (select a.i as j, b.i as k, (b.ce - a.ce + a.e)::double / (b.cn - a.cn + a.n) as m from o a join o b on b.i >= a.i),
+low as (select j, k as i, min(m) over (partition by j order by k desc rows unbounded preceding) as m from means),
+fit as (select i, max(m) as p_cal from low group by i)
+select round(p, 12) as p, n, round(case when p_cal <= 0 then 60 else least(-10 * log10(p_cal), 60) end, 5) as q_cal from o join fit using (i)""", ("calibration",))
+def isotonic_recalibration(v):
+    """The fit is the greatest of the least means of all stretches that begin before and end after a point."""
+    return recalibrated(C.isotonic_recalibrate(v.calibration))
+
+
+@query("platt_recalibration", """
+with recursive pts as (select p, count(*)::double as n, sum(err)::double as e from calibration group by p),
+steps as (select 0 as s, 0.0::double as a, 0.0::double as b union all
+ select steps.s + 1, steps.a + (h.sxx * h.g0 - h.sx * h.g1) / (h.s0 * h.sxx - h.sx * h.sx), steps.b + (h.s0 * h.g1 - h.sx * h.g0) / (h.s0 * h.sxx - h.sx * h.sx)
+ from steps, lateral (select sum(e - n * m) as g0, sum((e - n * m) * p) as g1, sum(n * m * (1 - m)) as s0, sum(n * m * (1 - m) * p) as sx, sum(n * m * (1 - m) * p * p) as sxx
+   from (select p, n, e, 1 / (1 + exp(-(steps.a + steps.b * p))) as m from pts)) h where steps.s < 12),
+fit as (select a, b from steps order by s desc limit 1)
+select round(p, 12) as p, cast(n as bigint) as n, round(least(-10 * log10(1 / (1 + exp(-(a + b * p)))), 60), 5) as q_cal from pts, fit""", ("calibration",))
 def platt_recalibration(v):
-    """Iterative fit; tested for a recovered logistic curve."""
-    out = C.platt_recalibrate(v.calibration)
-    return out.groupBy("p").agg(F.count("*").alias("n"), r(F.first("q_cal"), 3).alias("q_cal"))
+    """Twelve Newton steps on either side."""
+    return recalibrated(C.platt_recalibrate(v.calibration))
 
 
 # -- sampling -----------------------------------------------------------------
