@@ -271,7 +271,7 @@ def demultiplex(
 ) -> DataFrame:
     """Barcode of each read by flank-anchored infix search in its first and last window.
 
-    ``barcodes`` is a kit (name -> sequence), a few hundred entries at most.
+    ``barcodes`` is a kit (name -> sequence) of any size; each read is searched for every entry.
     """
     kit = list(barcodes.items())
 

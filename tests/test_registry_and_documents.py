@@ -83,6 +83,15 @@ def test_schema_rules(rows):
     assert R.apply_defaults(df, schema).first().gone == "d"
 
 
+def test_any_structured_field_ends_the_legacy_warning(rows):
+    names = "id string, name string, source string, sample string, device_type string, https_url string, browser_url string, schema_version string"
+    fixed = ("exp-0123abcd", "n", "local", "s", "d", None, None, "1")
+    data = [fixed + (10.0, None, None, *x) for x in ((None, None, None), ("{}", None, None), (None, "{}", None), (None, None, "{}"))]
+    df = rows(data, names + ", mean_quality double, total_reads bigint, n50 bigint, quality_metrics string, read_counts string, length_metrics string")
+    assert [len(r.warnings) for r in R.validate(df, ["id"]).collect()] == [1, 0, 0, 0]
+    assert [len(r.warnings) for r in R.validate(df.drop("read_counts", "length_metrics"), ["id"]).collect()] == [1, 0, 1, 1]
+
+
 def test_library_grade_never_invents(rows):
     df = rows([(96.0, None, 0.1, 1.0), (96.0, 0.5, 0.1, 1.0)],
               "signal_positive_pct double, short_read_pct double, adapter_dimer_pct double, concatemer_pct double")

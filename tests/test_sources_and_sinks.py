@@ -1,9 +1,11 @@
 import gzip
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from runqc import session
 from runqc.functions import endreason as er
 from runqc.operators import endreasons as E
 from runqc.operators import reads as R
@@ -45,6 +47,16 @@ def test_key_value_file_keeps_later_equal_signs(spark, tmp_path):
     assert fields == {"instrument": "X1", "protocol": "a=b=c", "sample_id": "S"}
 
 
+def test_last_line_of_a_repeated_key_wins(spark, tmp_path):
+    path = write(tmp_path / "final_summary.txt", "protocol=z\nrun=1\nprotocol=a\nrun=9\nrun=5\n")
+    assert summary.final_summary(spark, path).first()["fields"] == {"protocol": "a", "run": "5"}
+
+
+def test_marks_inside_a_fasta_header(spark, tmp_path):
+    path = write(tmp_path / "m.fa", ">a len>5 note\nACGT\n>b x>y\nTT\nGG\n")
+    assert sorted(tuple(r) for r in sequences.fasta(spark, path).collect()) == [("a", "ACGT"), ("b", "TTGG")]
+
+
 @pytest.mark.parametrize("name", ["x.fa", "x.fa.gz"])
 def test_fasta(spark, tmp_path, name):
     path = write(tmp_path / name, ">a first one\nACGT\nAC\n>b\nTTTT\n>c\n\n")
@@ -123,6 +135,32 @@ def test_warehouse_upsert_touches_only_its_partitions(spark, rows, tmp_path):
     assert got == [("a", 2, "e1"), ("b", 1, "e2"), ("c", 2, "e1")]
 
 
+def test_warehouse_keeps_the_newest_and_does_not_hide_errors(spark, rows, tmp_path):
+    path, schema = str(tmp_path / "wh"), "uniq_id string, v int, at int, exp_id string"
+    writers.warehouse(rows([("a", 9, 1, "e1"), ("a", 3, 7, "e1"), ("a", 5, 2, "e1")], schema), path, order="at")
+    assert [r.v for r in spark.read.parquet(path).collect()] == [3]
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_text("no table")
+    with pytest.raises(Exception):
+        writers.warehouse(rows([("a", 1, 1, "e1")], schema), str(broken))
+    assert (broken / "part-0.parquet").read_text() == "no table"
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    def fake(master, **conf):
+        return SimpleNamespace(conf=Conf(conf), sparkContext=SimpleNamespace(master=master, getConf=lambda: Conf()))
+
+    assert session.checkpoint_root(fake("spark://h:7077", **{"spark.checkpoint.dir": "file:/shared"})) == "file:/shared"
+    for master in ("spark://h:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            session.checkpoint_root(fake(master))
+
+
 def test_other_sinks(spark, rows, tmp_path):
     reads = rows([("r1", 1, "signal_positive", 1.5, "BC1", 0)], "read_id string, channel int, end_reason string, duration double, barcode string, barcode_edits int")
     writers.per_read_csv(reads, str(tmp_path / "csv"))
