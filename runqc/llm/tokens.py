@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runqc.session import shared_path
 
 END_ID = 1
-#: Words that a task's memory keeps with their ids; beyond it the memory starts anew. It changes speed only.
-REMEMBERED = 400_000
+#: Letter runs, mark runs and odd words that a task remembers with their ids; beyond it the memory starts anew. Speed only.
+REMEMBERED = 600_000
 STRIPE_BYTES = 64 << 20
 INDEX_STRIDE = 10_000
 #: Marks whose runs the tokenizer cuts off letters: printable ASCII without letters, digits and the apostrophe.
@@ -28,43 +31,85 @@ def vocabulary_path(file: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(file)
 
 
-class _Words(dict):
-    """Word -> its ids as little-endian 32-bit bytes. Words are cut at spaces, where the tokenizer cuts as well."""
+def _symbols() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else one from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(others)) for b in range(256)]
+
+
+SYMBOLS = dict(enumerate(_symbols()))
+
+
+class _Words:
+    """Encodes texts by their distinct words: the tokenizer cuts at blanks, so a text's ids are those of its words in a row.
+
+    Arrow cuts a batch at blanks and numbers its distinct words. A word of letters and then marks is two pieces for the
+    tokenizer as well; for a letter run, composed and in lower case, only the merges are left to do. Other words go to
+    the tokenizer whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces: dict[str, bytes] = {}
-
-    def piece(self, text: str) -> bytes:
-        if (got := self.pieces.get(text)) is None:
-            got = self.pieces[text] = self.direct(text)
-        return got
+        self.known: dict[str, bytes] = {}  # ids as little-endian 32-bit integers
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        bare = word.rstrip(MARKS)
-        if bare.isascii() and bare.isalpha():  # letters, then marks: two pieces for the tokenizer too
-            got = self.piece(bare.lower()) + (self.piece(word[len(bare):]) if len(bare) < len(word) else b"")
-        else:
-            got = self.direct(word)
-        if len(word) < 64:
-            self[word] = got
-        return got
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if "<|" in text:  # special tokens may hold or touch anything
+    def piece(self, text: str) -> bytes:
+        low = text if text.isascii() else unicodedata.normalize("NFC", text).lower()
+        if not low.isalpha() or "\u03c2" in low:  # the last sigma of a word has another lower case for str
             return self.direct(text)
-        if len(self) > REMEMBERED or len(self.pieces) > REMEMBERED:
-            self.clear()
-            self.pieces.clear()
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        ids = [t.id for t in self.tokenizer.model.tokenize(low.encode().decode("latin-1").translate(SYMBOLS))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def atoms(self, pieces: list[str]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known, found = self.known, []
+        for text in pieces:
+            ids = known.get(text)
+            if ids is None:
+                ids = known[text] = self.piece(text)
+            found.append(ids)
+        return found
+
+    @staticmethod
+    def tails(words: pa.Array, heads: pa.Array, wanted: np.ndarray) -> pa.Array:
+        """What each word has after its head; nothing where it is not wanted."""
+        offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+        head = pc.binary_length(heads).to_numpy()
+        n = np.where(wanted, np.diff(offsets) - head, 0)
+        at = np.cumsum(n) - n
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[np.repeat(offsets[:-1] + head - at, n) + np.arange(n.sum())]
+        return pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(np.r_[0, np.cumsum(n)].astype(np.int64)), pa.py_buffer(data))
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and the number of each text."""
+        whole = {i: self.direct(t) for i, t in enumerate(texts) if t and "<|" in t}  # special tokens may hold or touch anything
+        cut = pc.ascii_split_whitespace(pa.array(["" if t is None or i in whole else t for i, t in enumerate(texts)], pa.large_string()))
+        words = cut.values.dictionary_encode()
+        bare = pc.utf8_rtrim(words.dictionary, MARKS)
+        split = pc.utf8_is_alpha(bare)
+        marks = self.tails(words.dictionary, bare, split.to_numpy(zero_copy_only=False))
+        heads = pc.if_else(split, pc.ascii_lower(bare), words.dictionary)
+        pieces = pa.concat_arrays([heads, marks]).dictionary_encode()
+        atoms = self.atoms(pieces.dictionary.to_pylist())
+        size = np.array([len(a) // 4 for a in atoms], np.int64)
+        start, ids = np.cumsum(size) - size, np.frombuffer(b"".join(atoms), "<u4")
+        of_word = pieces.indices.to_numpy().reshape(2, -1)
+        used = of_word[:, words.indices.to_numpy()].T.ravel()
+        n = size[used]
+        at = np.cumsum(n) - n
+        row = ids[np.repeat(start[used] - at, n) + np.arange(n.sum())]
+        ends = np.r_[at, n.sum()][2 * cut.offsets.to_numpy()]
+        counts = np.diff(ends)
+        if whole:
+            parts = [np.frombuffer(whole[i], "<u4") if i in whole else row[a:b] for i, (a, b) in enumerate(zip(ends[:-1], ends[1:]))]
+            row, counts = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        return row, counts
 
 
 @lru_cache(1)
@@ -77,19 +122,18 @@ STORED = pa.schema([("doc_id", pa.int64()), ("part_start", pa.int64()), ("n_toke
 
 
 def _encode(path: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, start = _words(path), 0
         for batch in batches:
-            for cut in range(0, batch.num_rows, 1000):
-                some = batch.slice(cut, 1000)
-                parts = [words.encode(t) + end for t in some.column(1).to_pylist()]
-                n = np.array([len(p) // 4 for p in parts], np.int64)
+            for cut in range(0, batch.num_rows, 2000):
+                some = batch.slice(cut, 2000)
+                ids, counts = words.encode(some.column(1).to_pylist())
+                ids = np.insert(ids, np.cumsum(counts), end_id).astype(np.int32)
+                n = counts + 1
                 starts = start + np.cumsum(n) - n
                 start += int(n.sum())
-                ids = pa.ListArray.from_arrays(np.r_[0, np.cumsum(n)].astype(np.int32), np.frombuffer(b"".join(parts), "<i4"))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(starts), pa.array(n), ids], schema=STORED)
+                lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(n)].astype(np.int32), ids)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(starts), pa.array(n), lists], schema=STORED)
 
     return run
 
@@ -134,7 +178,8 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
     rows = _stored(spark, path)
     if doc_ids is not None:
         rows = rows.where(F.col("doc_id").isin(doc_ids))
-    return rows.join(manifest(spark, path).select("part", "start"), "part").select(
+    starts = F.broadcast(manifest(spark, path).select("part", "start"))  # a row per file, as the driver lists them
+    return rows.join(starts, "part").select(
         "doc_id", (F.col("start") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 
 
