@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runqc.session import cut_lineage
 
+LIBC = ctypes.CDLL(None)
 #: A word is a longest run of characters other than these six.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -32,6 +36,13 @@ def lower_words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker process is kept for later stages, and sits beside the executor's."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(LIBC, "malloc_trim"):
+        LIBC.malloc_trim(0)
+
+
 ROOT = 0x2545F4914F6CDD1D
 _powers: list[np.ndarray] = []
 
