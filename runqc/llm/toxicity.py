@@ -10,16 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runqc.llm.common import held_out
+from runqc.llm.common import give_back, held_out
 
 FOLDS = 5
 #: Texts that the classifiers are fitted on, least hash of the id first. Documented bounds; the prior is of all labels.
 POSITIVES, UNLABELLED = 3_000, 6_000
 #: Letter five-grams are hashed to so many values; this many of them, the most telling, are features.
-TABLE_BITS, FEATURES = 20, 2_048
+TABLE_BITS, FEATURES = 20, 1_024
 #: A feature's share among positives exceeds that among negatives by so many standard errors.
 SURE = 2.5
-CLASSIFIERS, STEPS, BATCH, RATE, DECAY = 3, 600, 512, 0.02, 2e-4
+CLASSIFIERS, STEPS, BATCH, RATE, DECAY = 3, 600, 512, 0.02, 1e-4
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -41,8 +41,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Weights and bias of one logistic classifier on 0/1 features, by Adam on the non-negative risk estimator.
 
-    risk = prior E+[l(z)] + max(0, Eu[l(-z)] - prior E+[l(-z)]) with the logistic loss l. Where the second term falls
-    below 0, the step goes back up on that term alone, so that unlabelled positives are not learnt as negatives.
+    risk = prior E+[l(z)] + max(0, Eu[l(-z)] - prior E+[l(-z)]) with the logistic loss l. Where the second term, the
+    risk on negatives, would fall below 0, it stops teaching, so that unlabelled positives are not learnt as negatives.
     """
     rng = np.random.default_rng(seed)
     w, m, v = (np.zeros(positive.shape[1] + 1) for _ in range(3))
@@ -53,10 +53,9 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: i
         zp, zu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         gp, gu = _sigmoid(zp) / len(zp), _sigmoid(zu) / len(zu)  # gradients of l(-z)
-        if negative >= 0:
-            cp, cu = prior * (_sigmoid(zp) - 1) / len(zp) - prior * gp, gu
-        else:
-            cp, cu = prior * gp, -gu
+        cp, cu = prior * (_sigmoid(zp) - 1) / len(zp), np.zeros(len(zu))
+        if negative > 0:
+            cp, cu = cp - prior * gp, gu
         gradient = np.r_[cp @ p + cu @ u + DECAY * w[:-1], cp.sum() + cu.sum()]
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         w -= RATE * (1 - 0.9 * step / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -138,9 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, doc_id: str =
     least = lambda ids, n: ids.distinct().withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(n).select("id")
     confirmed = marks.where("label = 1").select("id").distinct()
     positives = least(rows.select("id").join(confirmed, "id", "left_semi"), POSITIVES).withColumn("positive", F.lit(True))
-    others = least(rows.select("id").join(confirmed, "id", "left_anti"), UNLABELLED)
-    # Unlabelled text stands for the whole corpus: confirmed documents take part in it at the prior's share.
-    mixed = others.unionAll(least(rows.select("id").join(confirmed, "id", "left_semi"), round(UNLABELLED * prior / (1 - prior)))).withColumn("positive", F.lit(False))
+    # Unlabelled text stands for the whole corpus, so it is drawn from all documents, confirmed ones among them.
+    mixed = least(rows.select("id"), UNLABELLED).withColumn("positive", F.lit(False))
     sample = rows.join(positives.unionAll(mixed), "id").select("positive", "text")
     sizes = {r.positive: r["count"] for r in sample.groupBy("positive").count().collect()}
     if len(sizes) < 2:
@@ -166,7 +164,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, doc_id: str
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array([model.value.score(t.as_py()) for t in texts], pa.float64())
+        found = pa.array([model.value.score(t.as_py()) for t in texts], pa.float64())
+        give_back()
+        return found
 
     scored = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id), folds).alias("held_out"), score(F.col(text)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
