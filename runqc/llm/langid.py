@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runqc.llm.common import give_back
 from runqc.session import written
 
 #: Labelled texts per language that the likelihoods are fitted on, least hash of the id first. A documented bound.
@@ -20,6 +21,8 @@ SMOOTH = 0.5
 TEMPER = 1 / 3
 #: Pseudo-counts with which a level of the hierarchy leans on the one above it.
 LEAN = 10.0
+#: Count tables of so many keys at most, each a few numbers a language, are broadcast; larger ones are shuffled to.
+BROADCAST_ROWS = 100_000
 #: Below this posterior a language counts as not found.
 CONFIDENT = 0.5
 MARKUP = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
@@ -65,7 +68,7 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     the driver.
     """
     rows = labelled.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null and lang <> ''")
-    chosen = rows.select("id", "lang", F.xxhash64("id").alias("h")).withColumn("salt", F.pmod("h", F.lit(64)))
+    chosen = rows.select("id", "lang", F.xxhash64("id").alias("h")).withColumn("salt", F.pmod("h", F.lit(16)))
     for keys in (["lang", "salt"], ["lang"]):
         chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "id"))).where(F.col("n") <= per_language)
     sample = rows.join(chosen.select("id", "lang").distinct(), ["id", "lang"], "left_semi").select("lang", "text")
@@ -76,7 +79,9 @@ def _evidence(model, is_markup: bool):
     @F.arrow_udf("array<double>")
     def evidence(texts: pa.Array) -> pa.Array:
         read = markup_text if is_markup else lambda t: t
-        return pa.array([model.value.evidence(read(t.as_py())) for t in texts], pa.list_(pa.float64()))
+        found = pa.array([model.value.evidence(read(t.as_py())) for t in texts], pa.list_(pa.float64()))
+        give_back()
+        return found
 
     return evidence
 
@@ -96,7 +101,7 @@ def identify(rows: DataFrame, model: TextModel, text: str, declared: Column, hos
     posterior(l) ~ P(text | l) P(declared | l) P(suffix | l) P(l | host). The last three come from grouped counts of the
     language that the texts alone point to, over all rows: declared and suffix are smoothed towards their overall share,
     hosts towards their domain (last two labels) and domains towards all rows. One row per host, domain, suffix or
-    declared tag is joined back, so a hot host is one joined row.
+    declared tag is joined back, so a hot host is one joined row; few keys are broadcast, so that rows stay where they are.
 
     A text without letters (NULL, empty, marks only) gives no evidence and counts nowhere; its language is NULL with
     confidence 0. A NULL or unseen tag, suffix or host says nothing. Equal evidence is resolved by language order.
@@ -134,7 +139,10 @@ def identify(rows: DataFrame, model: TextModel, text: str, declared: Column, hos
         smoothed = [(F.col("n")[i] + LEAN * sum_of(F.col("n")) / max(1.0, sum(total))) / (total[i] + LEAN) for i in range(len(languages))]
         return counts(key).select(key, F.array(*smoothed).alias(f"{key}_likelihood"))
 
-    joined = scored.join(prior, "host", "left").join(likelihood("declared"), "declared", "left").join(likelihood("suffix"), "suffix", "left")
+    joined = scored
+    for key, table in (("host", prior), ("declared", likelihood("declared")), ("suffix", likelihood("suffix"))):
+        table = written(table, "langid-counts")
+        joined = joined.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, key, "left")
     log_of = lambda column, i, default: F.coalesce(F.log(F.col(column)[i]), F.lit(float(default)))
     posterior = F.array(*[
         F.col("evidence")[i] + log_of("prior", i, np.log(share[i])) + log_of("declared_likelihood", i, 0) + log_of("suffix_likelihood", i, 0)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from runqc.llm import langid as G
 
@@ -29,7 +30,9 @@ def test_text_evidence_is_normalised_likelihood():
     assert model.languages == ["de", "en"] and e[0] == 0 > e[1]
 
 
-def test_pages(spark):
+@pytest.mark.parametrize("most", [G.BROADCAST_ROWS, 1])
+def test_pages(spark, monkeypatch, most):
+    monkeypatch.setattr(G, "BROADCAST_ROWS", most)
     pages = []
     for i in range(120):
         lang = list(SOUNDS)[i % 3]
