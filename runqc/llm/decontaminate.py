@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runqc.llm.common import give_back
+
 K1, B = 1.2, 0.75
 #: A passage is kept if it scores at least this share of what the test unit's own text would.
 RETRIEVE = 0.6
@@ -245,7 +247,9 @@ def _unit_words(items: DataFrame) -> DataFrame:
 def _lookup(shared):
     @F.arrow_udf(HITS)
     def hits(texts: pa.Array) -> pa.Array:
-        return pa.array([shared.value.hits(t.as_py()) for t in texts], HIT_TYPE)
+        found = pa.array([shared.value.hits(t.as_py()) for t in texts], HIT_TYPE)
+        give_back()
+        return found
 
     return hits
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runqc.llm.common import give_back
+
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -353,6 +355,7 @@ def find_pii(docs: DataFrame, tagger: Tagger | None, doc_id: str = "doc_id", tex
                 counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
                 digest = [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found]
                 yield pa.RecordBatch.from_arrays([some.column(0), *counts, pa.array(digest), pa.array([joined(s) for _, s in found])], schema=schema)
+                give_back()
 
     types = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
     return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, types)

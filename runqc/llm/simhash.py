@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runqc.llm.common import components, lower_words
+from runqc.llm.common import components, give_back, lower_words
 from runqc.session import written
 
 HASH_SEED = 42
@@ -43,6 +43,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text
         for batch in batches:
             fp = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], schema=schema)
+        give_back()
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, fp long")
 

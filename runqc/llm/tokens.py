@@ -14,11 +14,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from runqc.llm.common import give_back
 from runqc.session import shared_path
 
 END_ID = 1
 #: Letter runs, mark runs and odd words that a task remembers with their ids; beyond it the memory starts anew. Speed only.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 STRIPE_BYTES = 64 << 20
 INDEX_STRIDE = 10_000
 #: Marks whose runs the tokenizer cuts off letters: printable ASCII without letters, digits and the apostrophe.
@@ -125,8 +126,8 @@ def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, start = _words(path), 0
         for batch in batches:
-            for cut in range(0, batch.num_rows, 2000):
-                some = batch.slice(cut, 2000)
+            for cut in range(0, batch.num_rows, 1000):
+                some = batch.slice(cut, 1000)
                 ids, counts = words.encode(some.column(1).to_pylist())
                 ids = np.insert(ids, np.cumsum(counts), end_id).astype(np.int32)
                 n = counts + 1
@@ -134,6 +135,7 @@ def _encode(path: str, end_id: int):
                 start += int(n.sum())
                 lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(n)].astype(np.int32), ids)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(starts), pa.array(n), lists], schema=STORED)
+                give_back()
 
     return run
 
@@ -193,6 +195,7 @@ def token_digests(rows: DataFrame) -> DataFrame:
             at, flat = ids.offsets.to_numpy(), memoryview(ids.values.to_numpy().astype("<u4")).cast("B")
             crc = [zlib.crc32(flat[4 * a: 4 * b]) for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "start", "n_tokens")] + [pa.array(crc, pa.int64())], schema=out)
+        give_back()
 
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
