@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runqc.llm.common import rolling
+from runqc.llm.common import give_back, rolling
 from runqc.session import written
 
 #: Lines of at least so many characters are near-duplicates at one edit; shorter ones only if equal.
@@ -114,7 +114,9 @@ def _line_table(docs: DataFrame, doc_id: str, text: str, keep: bool) -> DataFram
         for t in texts:
             found = [line_hash(x) if x.strip() else None for x in lines_of(t.as_py())]
             rows.append([None if f is None else {"h": f[0], "h2": f[1]} for f in found])
-        return pa.array(rows, pa.list_(element))
+        found = pa.array(rows, pa.list_(element))
+        give_back()
+        return found
 
     carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if keep else []
     table = docs.select(F.col(doc_id).cast("long").alias("doc_id"), hashes(F.col(text).cast("string")).alias("lines"), *carried)
@@ -182,17 +184,22 @@ def _near_earlier(docs: DataFrame, text: str, first: DataFrame) -> DataFrame:
         .select(F.when(F.col("place") < F.col("other_place"), F.col("other")).otherwise(F.col("h")).alias("h"))
     )
     # Where many lines share a variant: single edits of the cut-out stretch, compared by the earliest line of each key.
-    schema = pa.schema([("h", pa.int64()), ("fine", pa.int64()), ("role", pa.int32())])
+    where = [("id", pa.int64()), ("row", pa.int64()), ("number", pa.int32())]
+    schema = pa.schema([("h", pa.int64()), ("fine", pa.int64()), ("role", pa.int32()), *where])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, key, line in zip(*(batch.column(c).to_pylist() for c in ("h", "key", "line"))):
+            for h, shared_keys, line, *place in zip(*(batch.column(c).to_pylist() for c in ("h", "keys", "line", "id", "row", "number"))):
                 _, keys, before, after = variants([line])
-                found = {f for at in np.flatnonzero(keys == key) for f in fine_keys(line, int(before[at]), int(after[at]))}
+                found = {f for at in np.flatnonzero(np.isin(keys, shared_keys)) for f in fine_keys(line, int(before[at]), int(after[at]))}
                 fine, role = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array([h] * len(found)), pa.array(fine), pa.array(role, pa.int32())], schema=schema)
+                columns = [[h] * len(found), fine, role, *([x] * len(found) for x in place)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    fine = full.join(texts, "h").select("h", "key", "line").mapInArrow(run, "h long, fine long, role int").distinct().join(first, "h")
+    # A line has a few dozen variants at most. Lines are dealt evenly, as each makes many keys.
+    lines = full.groupBy("h").agg(F.collect_set("key").alias("keys")).join(texts, "h").join(first, "h").select("h", "keys", "line", "place.*")
+    lines = lines.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    fine = lines.mapInArrow(run, "h long, fine long, role int, id long, row long, number int").distinct().select("h", "fine", "role", F.struct("id", "row", "number").alias("place"))
     least = fine.groupBy("fine", "role").agg(F.min("place").alias("earliest"))
     partner = least.select("fine", F.when(F.col("role") == 0, 0).otherwise(3 - F.col("role")).alias("role"), "earliest")
     hot = fine.join(partner, ["fine", "role"]).where("earliest < place").select("h")
