@@ -137,14 +137,14 @@ class BlockMaxIndex:
 
 
 class Detector:
-    """An index with the items its units belong to.
+    """An index with the items its units belong to: by a number of their own, as item ids may be NULL or clash.
 
     WAND's first question, whether list bounds reach the threshold at all, is asked for all passages of a text at once.
     Each unit's commonest terms, up to 0.3 of its score, are taken as given; only the postings of its other terms are
     summed by passage and unit. A passage in which no unit can reach the threshold that way is not searched.
     """
 
-    def __init__(self, index: BlockMaxIndex, item_of: dict[int, int], items: dict[int, tuple[list[str], list[str]]],
+    def __init__(self, index: BlockMaxIndex, item_of: dict[int, int], items: dict[int, tuple[int | None, list[str], list[str]]],
                  retrieve: float, question: float, answer: float):
         self.index, self.item_of, self.items = index, item_of, items
         self.retrieve, self.question, self.answer = retrieve, question, answer
@@ -195,15 +195,15 @@ class Detector:
                 places.setdefault(self.item_of[unit], []).append((score, int(start)))
         found = []
         for item, at in sorted(places.items()):
-            question, answer = self.items[item]
+            item_id, question, answer = self.items[item]
             reach = len(question) + len(answer)
             for score, start in sorted(at, reverse=True):
                 around = words[max(0, start - reach): start + PASSAGE + reach]
                 q, a = overlap(question, around), overlap(answer, around)
                 if q >= self.question and a >= self.answer:
-                    found.append({"item_id": item, "score": score, "question_overlap": q, "answer_overlap": a})
+                    found.append({"item_id": item_id, "score": score, "question_overlap": q, "answer_overlap": a})
                     break
-        return found
+        return sorted(found, key=lambda f: (f["item_id"] is None, f["item_id"] or 0))
 
 
 HITS = "array<struct<item_id: bigint, score: double, question_overlap: double, answer_overlap: double>>"
@@ -213,8 +213,9 @@ HIT_TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()),
 def _detectors(benchmark: DataFrame, item_id: str, text: str, answer: str | None, thresholds: tuple[float, float, float]):
     """One detector per shard of the test set. Document frequencies and lengths are of all its units."""
     spark = benchmark.sparkSession
-    chosen = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(text).cast("string").alias("text"),
-                              (F.col(answer) if answer else F.lit(None)).cast("string").alias("answer")).where("item is not null and text is not null")
+    chosen = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text"),
+                              (F.col(answer) if answer else F.lit(None)).cast("string").alias("answer")).where("text is not null")
+    chosen = chosen.withColumn("item", F.xxhash64(F.col("item_id").isNull(), *chosen.columns)).dropDuplicates(["item"])
     shards = max(1, -(-chosen.count() // SHARD_UNITS))
     frequency = _unit_words(chosen).groupBy("word").agg(F.count_distinct("item", "unit").alias("df"))
     size = _unit_words(chosen).agg(F.count_distinct("item", "unit").alias("n"), F.count("*").alias("words")).first()
@@ -222,8 +223,8 @@ def _detectors(benchmark: DataFrame, item_id: str, text: str, answer: str | None
         part = chosen.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == shard)
         df = {r.word: r.df for r in frequency.join(_unit_words(part).select("word").distinct(), "word", "left_semi").toLocalIterator()}
         items, units, item_of = {}, [], {}
-        for r in part.toLocalIterator():
-            items[r.item] = (words_of(r.text), words_of(r.answer)) if r.answer is not None else question_and_answer(r.text)
+        for r in sorted(part.toLocalIterator(), key=lambda r: r.item):
+            items[r.item] = (r.item_id, *((words_of(r.text), words_of(r.answer)) if r.answer is not None else question_and_answer(r.text)))
             whole = words_of(r.text) + words_of(r.answer)
             for part_words in units_of(whole):
                 item_of[len(units)] = r.item
@@ -261,8 +262,9 @@ def benchmark_hits(text: Column, benchmark: DataFrame, item_id: str = "item_id",
     Every text is cut into overlapping passages of 128 words and each is looked up in the index of test units (items of
     up to 64 words, longer ones in pieces). What scores at least ``retrieve`` is verified: shares ``question`` and
     ``answer_share`` of the item's word triples must occur around the passage. Words are runs of letters and digits,
-    lower-cased. NULL, empty and blank texts hold nothing; NULL items and items without words are no test items; an
-    empty test set finds nothing; equal items are all reported.
+    lower-cased. NULL, empty and blank texts hold nothing; items without text or words are no test items; an empty test
+    set finds nothing. Every text under an item_id, NULL too, is an item and reported under that id; equal texts under
+    different ids are all reported, repeated rows once.
     """
     found = []
     for shared in _detectors(benchmark, item_id, item_text, answer, (retrieve, question, answer_share)):

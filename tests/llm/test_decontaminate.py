@@ -79,3 +79,12 @@ def test_odd_documents(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and {7, 105, 106}.isdisjoint(r.doc_id for r in kept.collect())
     assert D.clean(odd_docs, bench.limit(0)).count() == odd_docs.count()
     assert D.contaminated(no_docs, bench).collect() == []
+
+
+def test_clashing_and_missing_item_ids(spark):
+    texts = [item(30) for _ in range(5)]
+    bench = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (2, texts[4])], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"{passage(80)} {t} {passage(80)}") for i, t in enumerate(texts)] + [(9, passage(200))], "doc_id long, text string")
+    found = sorted(((r.doc_id, r.item_id) for r in D.contaminated(docs, bench).collect()), key=str)
+    assert found == sorted([(0, 1), (1, 1), (2, None), (3, None), (4, 2)], key=str)
+    assert [r.doc_id for r in D.clean(docs, bench).collect()] == [9]
