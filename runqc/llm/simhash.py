@@ -48,6 +48,20 @@ def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text
     return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
+def _keyed_fingerprints(docs: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, key, fp) per row; ``key`` is the hash of the text as it stands."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = [fingerprint(t.as_py(), shingle) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64())], schema=schema)
+        give_back()
+
+    given = F.col(text).cast("string")
+    return docs.select(F.col(doc_id).cast("long"), F.xxhash64(given), given).mapInArrow(run, "doc_id long, key long, fp long")
+
+
 def _ball(value: Column, radius: int, width: int = 32) -> Column:
     """All (value, flips) within ``radius`` bits of a segment value."""
     masks = [(sum(1 << b for b in at), r) for r in range(radius + 1) for at in combinations(range(width), r)]
@@ -109,10 +123,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2, doc_id: st
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that stay when each group of near-duplicates keeps its least doc_id; one row of repeated ids."""
-    marked = near_duplicates(docs, **how)
-    kept = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
-    whole = docs.select(F.col(how.get("doc_id", "doc_id")).alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    rows = whole.join(kept, F.col("id").eqNullSafe(F.col("doc_id"))).select("id", "doc", "count")
-    return rows.where("count = 1").select("doc.*").unionAll(rows.where("count > 1").dropDuplicates(["id"]).select("doc.*"))
+def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 2, doc_id: str = "doc_id", text: str = "text", unique_ids: bool = True) -> DataFrame:
+    """The rows of ``docs`` that stay when each group of near-duplicates keeps one: that of the least doc_id.
+
+    Rows are told apart by doc_id and text together, so ids that are NULL (the largest) or repeated neither merge
+    groups nor let copies stay; of rows equal in both one stays. With ``unique_ids``, of several rows that would stay
+    under one doc_id other than NULL only one does; without, all do.
+    """
+    rows = written(_keyed_fingerprints(docs, shingle, doc_id, text), "fingerprints")
+    fps = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first"))
+    roots = components(links(fps.select("fp"), bits))
+    placed = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
+    least = placed.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.key")
+    if unique_ids:
+        least = least.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("key"))).agg(F.min("key").alias("key")).select("doc_id", "key")
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["key"] == b["key"])
+    copies = rows.groupBy("doc_id", "key").count()
+    kept = copies.join(least, same(copies, least), "left_semi")
+    whole = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text).cast("string")).alias("of"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    found = whole.join(kept, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("key"))).select("id", "of", "doc", "count")
+    return found.where("count = 1").select("doc.*").unionAll(found.where("count > 1").dropDuplicates(["id", "of"]).select("doc.*"))

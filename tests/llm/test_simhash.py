@@ -89,3 +89,12 @@ def test_one_row_of_each_group_stays(odd_docs, no_docs):
     components = {r.component_id for r in S.near_duplicates(odd_docs).collect()}
     assert sorted(ids, key=str) == sorted(components, key=str)
     assert S.keep_one(no_docs).count() == 0
+
+
+def test_rows_without_or_with_shared_ids_are_decided_by_their_group(spark):
+    rng = random.Random(5)
+    text = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randrange(1, 5) for _ in range(60)) for _ in range(6)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[2]), (None, text[2]), (1, text[3]), (7, text[3]), (7, text[4]), (7, text[5]), (None, text[5])]
+    kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), unique_ids=False).collect()
+    want = [(None, text[0]), (None, text[1]), (None, text[2]), (1, text[3]), (7, text[4]), (7, text[5])]
+    assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
