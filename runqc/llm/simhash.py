@@ -18,6 +18,13 @@ HASH_SEED = 42
 #: Table entries under one segment value up to which pairs are compared; more are linked over shared midpoints instead.
 CROWDED = 64
 NO_ID = 2**63 - 1
+#: Documents are similar if their sets of shingles of so many words have at least this Jaccard similarity.
+WORDS, SIMILAR = 5, 0.8
+#: Candidates share the minima of one band: at similarity s with probability 1 - (1 - s^3)^10, 0.9992 at 0.8.
+BANDS, BAND_ROWS = 10, 3
+FACTORS = np.random.default_rng(HASH_SEED).integers(0, 2**63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Texts under one band key up to which all pairs are compared; of more, each with two of its size.
+CROWDED_BAND = 32
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -48,18 +55,65 @@ def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text
     return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _keyed_fingerprints(docs: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, key, fp) per row; ``key`` is the hash of the text as it stands."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64())])
+def _mixed(*parts: np.ndarray | int) -> np.ndarray:
+    out = np.uint64(0x9E3779B97F4A7C15)
+    for p in parts:
+        out = (out ^ np.asarray(p, np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+        out = out ^ out >> np.uint64(32)
+    return out
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles; of a text of fewer words, of all its words."""
+    found = lower_words(text)
+    if not found:
+        return np.empty(0, np.uint64)
+    if len(found) < words:
+        found, words = [b" ".join(found)], 1
+    known: dict[bytes, int] = {}
+    for w in found:
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w, HASH_SEED)
+    h, n = np.fromiter((known[w] for w in found), np.uint64, len(found)), len(found) - words + 1
+    return np.unique(_mixed(*(h[i:i + n] for i in range(words))))
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """A key per band: equal in two sets if the band's minima are. None for an empty set."""
+    if not len(shingles):
+        return []
+    least = np.full(len(FACTORS), 2**64 - 1, np.uint64)
+    for at in range(0, len(shingles), 4096):
+        least = np.minimum(least, (shingles[at:at + 4096, None] * FACTORS).min(0))
+    rows = least.reshape(BANDS, BAND_ROWS)
+    return _mixed(np.arange(BANDS), *rows.T).view(np.int64).tolist()
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets that are not both empty."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def _signatures(docs: DataFrame, shingle: int, words: int, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, key, fp, n, bands) per row; ``key`` is the hash of the text as it stands, ``n`` its distinct shingles."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = [fingerprint(t.as_py(), shingle) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64())], schema=schema)
+            fp, n, bands = [], [], []
+            for t in batch.column(2):
+                whole = t.as_py()
+                shingles = shingle_set(whole, words)
+                fp.append(fingerprint(whole, shingle))
+                n.append(len(shingles))
+                bands.append(band_keys(shingles))
+            made = [pa.array(x, f.type) for x, f in zip((fp, n, bands), list(schema)[2:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], schema=schema)
         give_back()
 
     given = F.col(text).cast("string")
-    return docs.select(F.col(doc_id).cast("long"), F.xxhash64(given), given).mapInArrow(run, "doc_id long, key long, fp long")
+    return docs.select(F.col(doc_id).cast("long"), F.xxhash64(given), given).mapInArrow(run, "doc_id long, key long, fp long, n long, bands array<long>")
 
 
 def _ball(value: Column, radius: int, width: int = 32) -> Column:
@@ -123,18 +177,72 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2, doc_id: st
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 2, doc_id: str = "doc_id", text: str = "text", unique_ids: bool = True) -> DataFrame:
+def similar_links(docs: DataFrame, placed: DataFrame, words: int, similar: float, text: str) -> DataFrame:
+    """Edges (a, b) between roots of ``placed`` (key, n, bands, root): texts of two roots with Jaccard >= ``similar``.
+
+    Candidates are texts that share a band key; those whose set sizes exclude the similarity or that are linked already
+    are dropped, all others are verified on their whole texts. Under crowded keys, pairs would grow with the square: a
+    text is compared there with the least and the greatest of all and of those of about its size.
+    """
+    slots = placed.select("key", "n", "root", F.explode("bands").alias("slot"))
+    shared = slots.groupBy("slot").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most")
+    members = written(slots.join(shared, "slot"), "similar-members")
+    sizes = members.groupBy("slot").count()
+    some = members.join(sizes.where(f"count <= {CROWDED_BAND}").select("slot"), "slot").select("slot", "key")
+    full = members.join(sizes.where(f"count > {CROWDED_BAND}").select("slot"), "slot").withColumn("about", F.floor(F.log("n") / F.log(F.lit(1 / similar))))
+    sized = full.groupBy("slot", "about").agg(F.min("key").alias("small"), F.max("key").alias("big"))
+    hubs = full.join(sized, ["slot", "about"]).select("key", F.explode(F.array_distinct(F.array("least", "most", "small", "big"))).alias("hub"))
+    met = some.join(some.withColumnRenamed("key", "other"), "slot").where("key < other").select(F.col("key").alias("a"), F.col("other").alias("b"))
+    met = met.unionAll(hubs.where("key <> hub").select(F.least("hub", "key").alias("a"), F.greatest("hub", "key").alias("b")))
+    about = placed.select("key", "n", "root")
+    pairs = met.distinct().join(about.toDF("a", "n", "root"), "a").join(about.toDF("b", "other_n", "other_root"), "b") \
+        .where((F.col("root") != F.col("other_root")) & (F.least("n", "other_n") >= F.lit(similar) * F.greatest("n", "other_n") - 1e-9))
+    pairs = written(pairs.select("a", "b", "root", "other_root"), "similar-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    given = F.col(text).cast("string")
+    texts = docs.select(F.xxhash64(given).alias("key"), given.alias("text")).join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+    texts = written(texts, "similar-texts")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}
+
+        def known(key: int, whole: pa.Scalar) -> np.ndarray:
+            if key not in sets:
+                if len(sets) >= 200:
+                    sets.clear()
+                sets[key] = shingle_set(whole.as_py(), words)
+            return sets[key]
+
+        for batch in batches:
+            keep = []
+            for a, b, one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(4), batch.column(5)):
+                keep.append(similarity(known(a, one), known(b, two)) >= similar)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (batch.column(2), batch.column(3))], schema=schema)
+        give_back()
+
+    both = pairs.join(texts.toDF("a", "one"), "a").join(texts.toDF("b", "two"), "b")
+    return both.select("a", "b", "root", "other_root", "one", "two").mapInArrow(run, "a long, b long").distinct()
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 2, words: int = WORDS, similar: float = SIMILAR, doc_id: str = "doc_id", text: str = "text", unique_ids: bool = True) -> DataFrame:
     """The rows of ``docs`` that stay when each group of near-duplicates keeps one: that of the least doc_id.
 
+    Near-duplicates are linked by fingerprints as in ``near_duplicates``, and by a Jaccard similarity of at least
+    ``similar`` between their sets of shingles of ``words`` words.
+
     Rows are told apart by doc_id and text together, so ids that are NULL (the largest) or repeated neither merge
     groups nor let copies stay; of rows equal in both one stays. With ``unique_ids``, of several rows that would stay
     under one doc_id other than NULL only one does; without, all do.
     """
-    rows = written(_keyed_fingerprints(docs, shingle, doc_id, text), "fingerprints")
+    rows = written(_signatures(docs, shingle, words, doc_id, text), "signatures")
     fps = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first"))
-    roots = components(links(fps.select("fp"), bits))
-    placed = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.key")
+    close = components(links(fps.select("fp"), bits))
+    placed = rows.select("key", "fp", "n", "bands").dropDuplicates(["key"]).join(close.withColumnRenamed("node", "fp"), "fp", "left")
+    placed = written(placed.select("key", "n", "bands", F.coalesce("root", "fp").alias("root")), "similar-placed")
+    roots = components(close.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(similar_links(docs, placed, words, similar, text)))
+    least = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
+    least = least.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.key")
     if unique_ids:
         least = least.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("key"))).agg(F.min("key").alias("key")).select("doc_id", "key")
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["key"] == b["key"])

@@ -98,3 +98,32 @@ def test_rows_without_or_with_shared_ids_are_decided_by_their_group(spark):
     kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), unique_ids=False).collect()
     want = [(None, text[0]), (None, text[1]), (None, text[2]), (1, text[3]), (7, text[4]), (7, text[5])]
     assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("crowded", [32, 0])
+def test_copies_with_changed_words_go_and_other_texts_stay(spark, monkeypatch, crowded):
+    monkeypatch.setattr(S, "CROWDED_BAND", crowded)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    sets = lambda t: {tuple(t[i:i + 5]) for i in range(len(t) - 4)}
+    rows = []
+    for i in range(60):
+        base = [word() for _ in range(rng.randrange(60, 200))]
+        near = base[:30] + [word()] + base[31:]  # five shingles of at least 56 differ
+        far = base[:10] + [word()] + base[11:20] + [word()] + base[21:30] + [word()] + base[31:60]  # 15 of 56
+        rows += [(i, base), (100 + i, near), (200 + i, far)]
+        assert len(sets(base) & sets(near)) >= 0.8 * len(sets(base) | sets(near)) and len(sets(base) & sets(far)) < 0.7 * len(sets(base) | sets(far))
+    fps = {i: plain_fingerprint(" ".join(t)) for i, t in rows}
+    assert sum((fps[i] ^ fps[100 + i]).bit_count() > 2 for i in range(60)) > 40
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    assert sorted(r.doc_id for r in S.keep_one(docs).collect()) == [*range(60), *range(200, 260)]
+
+
+def test_similarity_is_that_of_plain_sets():
+    rng = random.Random(4)
+    for _ in range(50):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(1, 40))] for _ in range(2))
+        plain = [{tuple(t[i:i + 5]) for i in range(len(t) - 4)} or {tuple(t)} for t in (a, b)]
+        found = [S.shingle_set(" ".join(t), 5) for t in (a, b)]
+        if min(len(a), len(b)) >= 5:
+            assert S.similarity(*found) == len(plain[0] & plain[1]) / len(plain[0] | plain[1])
