@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from runqc.llm import decontaminate, hamming, langid, lines, lm, mixing, pii, simhash, tokens, toxicity
+from runqc.llm import decontaminate, hamming, langid, lines, lm, mixing, negatives, pii, simhash, tokens, toxicity
 from runqc.llm.common import documents
 
 
@@ -50,6 +51,13 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row's label is moved on by one first."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 OP6_SQL = r"""
 with sized as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents
@@ -86,6 +94,28 @@ select query_id, neighbor_id, distance, row_number() over (partition by query_id
 from pairs qualify rank <= 10
 """
 
+OP11_SQL = """
+with rows as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select a.vec_id as anchor_id, r.vec_id as other_id, a.label = r.label as same,
+         list_sum(list_transform(list_zip(a.v, r.v), lambda p: p[1] * p[2]))::bigint as score
+  from rows a join rows r on a.vec_id % 50 = 0 and a.vec_id <> r.vec_id
+), positives as (
+  select anchor_id, other_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5
+)
+select p.anchor_id, positive_id, cast(row_number() over (partition by p.anchor_id, positive_id order by score desc, other_id) as integer) as rank,
+       other_id as negative_id, positive_score, score as negative_score
+from positives p join scored n on n.anchor_id = p.anchor_id and not n.same
+  and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify rank <= 3
+"""
+
 LLM_QUERIES = {
     "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
@@ -97,7 +127,8 @@ LLM_QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_top_k": op10_top_k,
+    "op11_hard_negatives": op11_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
 
-LLM_ORACLES = {"op6_mixing": OP6_SQL, "op10_top_k": OP10_SQL}
+LLM_ORACLES = {"op6_mixing": OP6_SQL, "op10_top_k": OP10_SQL, "op11_hard_negatives": OP11_SQL}
