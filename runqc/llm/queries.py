@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from runqc.llm import decontaminate, hamming, langid, lines, lm, mixing, negatives, pii, simhash, tokens, toxicity
+from runqc.llm import decontaminate, hamming, hyperminhash, langid, lines, lm, mixing, negatives, pii, simhash, tokens, toxicity
 from runqc.llm.common import documents
 
 
@@ -58,6 +58,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
 
 
+def op12_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_copies(documents(spark, sf_dir))
+
+
 OP6_SQL = r"""
 with sized as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents
@@ -116,6 +120,28 @@ from positives p join scored n on n.anchor_id = p.anchor_id and not n.same
 qualify rank <= 3
 """
 
+OP12_SQL = r"""
+with recursive worded as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents
+), shingled as (
+  select distinct doc_id, case when len(words) < 5 then array_to_string(words, ' ') else array_to_string(words[i:i + 4], ' ') end as shingle
+  from worded, unnest(range(1, greatest(len(words) - 4, 1) + 1)) as t(i) where len(words) > 0
+), sizes as materialized (
+  select doc_id, count(*) as n from shingled group by doc_id
+), linked as materialized (
+  select a.doc_id as a, b.doc_id as b
+  from shingled a join shingled b on a.shingle = b.shingle and a.doc_id <> b.doc_id
+  join sizes x on x.doc_id = a.doc_id join sizes y on y.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 85 * (x.n + y.n - count(*))
+), reached as (
+  select doc_id, doc_id as other from worded
+  union
+  select r.doc_id, l.b from reached r join linked l on l.a = r.other
+)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, min(r.other) as component_id, d.doc_id = min(r.other) as kept
+from worded d left join sizes s on s.doc_id = d.doc_id join reached r on r.doc_id = d.doc_id group by d.doc_id, s.n
+"""
+
 LLM_QUERIES = {
     "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
@@ -128,7 +154,8 @@ LLM_QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_top_k": op10_top_k,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_hyperminhash": op12_hyperminhash,
     "pipeline": corpus_pipeline.run,
 }
 
-LLM_ORACLES = {"op6_mixing": OP6_SQL, "op10_top_k": OP10_SQL, "op11_hard_negatives": OP11_SQL}
+LLM_ORACLES = {"op6_mixing": OP6_SQL, "op10_top_k": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_hyperminhash": OP12_SQL}
