@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from runqc.llm import decontaminate, hamming, hyperminhash, langid, lines, lm, mixing, negatives, pii, simhash, tokens, toxicity
+from runqc.llm import conversations, decontaminate, hamming, hyperminhash, langid, lines, lm, mixing, negatives, pii, simhash, tokens, toxicity
 from runqc.llm.common import documents
 
 
@@ -62,6 +62,10 @@ def op12_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_copies(documents(spark, sf_dir))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damaged_and_repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 OP6_SQL = r"""
 with sized as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents
@@ -155,6 +159,7 @@ LLM_QUERIES = {
     "op10_top_k": op10_top_k,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_hyperminhash": op12_hyperminhash,
+    "op13_conversation_repair": op13_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
 
