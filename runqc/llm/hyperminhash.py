@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runqc.llm.common import components, give_back
@@ -86,24 +86,47 @@ def estimated(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.
 
 
 def _sketched(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, key, n, sketch, bands, shingles) per row; ``key`` names the set. Empty sets have n = 0 and no bands."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64())), ("shingles", pa.binary())])
+    """(doc_id, of, key, n, sketch, bands) per row; ``of`` names the text, ``key`` its set. Empty sets have n = 0 and no bands."""
+    schema = pa.schema([("doc_id", pa.int64()), ("of", pa.binary()), ("key", pa.binary()), ("n", pa.int64()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = [shingle_set(t.as_py(), words) for t in part.column(1)]
-                sketches = [registers(s) if len(s) else None for s in sets]
+                names, sizes, sketches = [], [], []
+                for whole in part.column(2):
+                    shingles = shingle_set(whole.as_py(), words)
+                    names.append(xxhash.xxh3_128_digest(shingles.tobytes()))
+                    sizes.append(len(shingles))
+                    sketches.append(registers(shingles) if len(shingles) else None)
                 keys = iter(band_keys(np.stack([s for s in sketches if s is not None] or [np.zeros(BUCKETS, np.uint16)]), FIRST).tolist())
-                made = (
-                    [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [len(s) for s in sets], [None if s is None else s.tobytes() for s in sketches],
-                    [[] if s is None else next(keys) for s in sketches], [s.tobytes() for s in sets])
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, f.type) for x, f in zip(made, list(schema)[1:]))], schema=schema)
+                made = (names, sizes, [None if s is None else s.tobytes() for s in sketches], [[] if s is None else next(keys) for s in sketches])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, f.type) for x, f in zip(made, list(schema)[2:]))], schema=schema)
         give_back()
 
-    ddl = "doc_id long, key binary, n long, sketch binary, bands array<long>, shingles binary"
-    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, ddl)
+    return _named(docs, text, F.col(doc_id).cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, of binary, key binary, n long, sketch binary, bands array<long>")
+
+
+def _named(docs: DataFrame, text: str, *columns: Column) -> DataFrame:
+    whole = F.col(text).cast("string")
+    return docs.select(*columns, F.unhex(F.md5(F.coalesce(whole, F.lit("")).cast("binary"))).alias("of"), whole.alias("text"))
+
+
+def _full_sets(docs: DataFrame, rows: DataFrame, members: DataFrame, words: int, text: str) -> DataFrame:
+    """(node, n, sketch, shingles) of the nodes in ``members``, made again from one text of each."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("shingles", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                shingles = [shingle_set(t.as_py(), words).tobytes() for t in part.column(3)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(shingles, pa.binary())], schema=schema)
+        give_back()
+
+    texts = _named(docs, text).groupBy("of").agg(F.first("text").alias("text"))
+    wanted = rows.select(F.col("row").alias("node"), "of", "n", "sketch").join(members, "node")
+    return wanted.join(texts, "of").select("node", "n", "sketch", "text").mapInArrow(run, "node long, n long, sketch binary, shingles binary")
 
 
 def _second_bands(crowded: DataFrame) -> DataFrame:
@@ -158,27 +181,30 @@ def _verified(similar: tuple[int, int]):
     return run
 
 
-def _slots(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(slot, node): the band keys that several nodes share. Members of crowded keys meet under longer bands instead."""
-    first = sets.join(nodes, "node").select(F.explode("bands").alias("slot"), "node")
+def _slots(sketches: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(slot, node): the band keys that several nodes share. Members of crowded keys meet under longer bands instead.
+
+    ``sketches(node, sketch, bands)``.
+    """
+    first = sketches.select("node", "bands").join(nodes, "node").select(F.explode("bands").alias("slot"), "node")
     sizes = written(first.groupBy("slot").count().where("count > 1"), "hyperminhash-sizes")
     met = written(first.join(sizes, "slot"), "hyperminhash-slots")
     crowded = met.where(F.col("count") > CROWDED).select("node").distinct()
-    second = written(_second_bands(sets.select("node", "sketch").join(crowded, "node").select("node", "sketch")), "hyperminhash-second")
+    second = written(_second_bands(sketches.select("node", "sketch").join(crowded, "node").select("node", "sketch")), "hyperminhash-second")
     shared = second.groupBy("slot").count().where("count > 1").select("slot")
     return met.where(F.col("count") <= CROWDED).select("slot", "node").unionAll(second.join(shared, "slot"))
 
 
-def links(sets: DataFrame, nodes: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """(node, root): components of the ``nodes`` linked by a similarity of at least similar[0] / similar[1].
+def links(slots: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame | None:
+    """(node, root): components of the nodes in ``slots(slot, node)`` linked by a similarity of similar[0] / similar[1] at least.
 
-    ``sets(node, n, sketch, bands, shingles)``. Only components matter, so a key with many members does not make all
-    their pairs: in each round some members of a key, those of its rarest components first, are compared with all others
-    of other components, verified links merge components, and the compared leave the key. A key is done when its
-    members are of one component. Each pair that shares a key and is not connected otherwise is compared: the rounds go
-    on until all keys are done, and leave out none.
+    ``sets(node, n, sketch, shingles)``. Only components matter, so a key with many members does not make all their
+    pairs: in each round some members of a key, those of its rarest components first, are compared with all others of
+    other components, verified links merge components, and the compared leave the key. A key is done when its members
+    are of one component. Each pair that shares a key and is not connected otherwise is compared: the rounds go on until
+    all keys are done, and leave out none. None if no nodes share a slot.
     """
-    open_, roots, leaders = written(_slots(sets, nodes), "hyperminhash-open"), None, LEADERS
+    open_, roots, leaders = slots, None, LEADERS
     while not open_.isEmpty():
         members = open_.withColumn("root", F.col("node")) if roots is None else \
             open_.join(roots, "node", "left").select("slot", "node", F.coalesce("root", "node").alias("root"))
@@ -194,14 +220,11 @@ def links(sets: DataFrame, nodes: DataFrame, similar: tuple[int, int] = SIMILAR)
         pairs = written(pairs.mapInArrow(_hopeful(similar), "a long, b long"), "hyperminhash-pairs")
         full = sets.select("node", "shingles")
         found = pairs.join(full.toDF("a", "one"), "a").join(full.toDF("b", "two"), "b").select("a", "b", "one", "two").mapInArrow(_verified(similar), "a long, b long")
-        known = [] if roots is None else [roots.select(F.col("node").alias("a"), F.col("root").alias("b"))]
         edges = written(found, "hyperminhash-links")
-        for more in known:
-            edges = edges.unionAll(more)
-        roots = components(edges)
+        roots = components(edges if roots is None else edges.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         open_ = written(members.join(first, ["slot", "node"], "left_anti").select("slot", "node"), "hyperminhash-open")
         leaders *= 4
-    return roots if roots is not None else nodes.select("node", F.col("node").alias("root")).limit(0)
+    return roots
 
 
 def near_copies(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -217,8 +240,10 @@ def near_copies(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] =
     rows = written(_sketched(docs, words, doc_id, text).select(F.monotonically_increasing_id().alias("row"), "*"), "hyperminhash-sketches")
     classes = rows.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"))
     classes = written(classes, "hyperminhash-classes")
-    roots = links(rows.withColumnRenamed("row", "node").drop("doc_id", "key"), classes.select("node"), similar)
-    placed = classes.join(roots, "node", "left").select("key", "first", F.coalesce("root", "node").alias("root"))
+    slots = written(_slots(rows.select(F.col("row").alias("node"), "sketch", "bands"), classes.select("node")), "hyperminhash-open")
+    roots = links(slots, written(_full_sets(docs, rows, slots.select("node").distinct(), words, text), "hyperminhash-sets"), similar)
+    placed = classes.withColumn("root", F.col("node")) if roots is None else \
+        classes.join(roots, "node", "left").select("key", "first", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("least"))
     component = F.nullif(F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")), F.lit(NO_ID))
     found = rows.select("doc_id", "key", "n").join(placed.join(least, "root").select("key", "least"), "key", "left")
