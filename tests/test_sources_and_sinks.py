@@ -73,6 +73,49 @@ def test_fastq_plain_and_gzip(spark, tmp_path):
     assert (got["r2"].qscore, got["r3"].passes, round(got["r3"].qscore, 6)) == (0.0, False, 30.0)
 
 
+ODD_FASTQ = b"@r1 first\nACGT\n+\n@@@@\n@r2\n\n+\n\n@r3\r\nAC\r\n+r3\r\n+@\r\n@r4\nA\n+\n@\n@r5 x\nGGTT\n+\n+!!@"
+
+
+def test_fastq_ranges_at_every_offset():
+    """Qualities that start with @ or +, empty reads, other line ends, no last line end: any cut gives the same records."""
+    read = lambda at, n: ODD_FASTQ[at:at + n]
+    whole = [("r1", "ACGT", "@@@@"), ("r2", "", ""), ("r3", "AC", "+@"), ("r4", "A", "@"), ("r5", "GGTT", "+!!@")]
+    for block in (1, 3, 7, 1000):
+        assert list(sequences.range_records(read, 0, None, block)) == whole
+        for cut in range(1, len(ODD_FASTQ)):
+            parts = [list(sequences.range_records(read, a, b, block)) for a, b in ((0, cut), (cut, len(ODD_FASTQ)))]
+            assert parts[0] + parts[1] == whole
+    for size in range(1, 12):
+        assert [r for a in range(0, len(ODD_FASTQ), size) for r in sequences.range_records(read, a, a + size)] == whole
+
+
+def test_fastq_skips_what_is_no_record():
+    broken = b"junk\n\n@cut\nACG\n@r1\nAC\n+\n!!\n\n@r2\nA\n+\n!\n@last\nAC\n+"
+    read = lambda at, n: broken[at:at + n]
+    assert [r[0] for r in sequences.range_records(read, 0, None)] == ["r1", "r2"]
+    assert list(sequences.range_records(lambda at, n: b"", 0, None)) == []
+
+
+def test_fastq_files_in_ranges(spark, tmp_path):
+    (tmp_path / "fastq_pass").mkdir()
+    (tmp_path / "fastq_pass" / "a.fastq").write_bytes(ODD_FASTQ)
+    write(tmp_path / "fastq_fail" / "b.fq.gz", ODD_FASTQ.decode().replace("@r", "@g"))
+    (tmp_path / "fastq_pass" / "notes.txt").write_text("@no\nA\n+\n!\n")
+    got = sequences.fastq(spark, [str(tmp_path)], range_bytes=10)
+    assert got.rdd.getNumPartitions() > 5
+    assert sorted(r.name for r in got.collect()) == ["g1", "g2", "g3", "g4", "g5", "r1", "r2", "r3", "r4", "r5"]
+    assert {(r.name[0], r.passes) for r in got.collect()} == {("r", True), ("g", False)}
+    whole = sequences.fastq(spark, [f"file://{tmp_path}/fastq_pass/a.fastq"]).collect()
+    assert [(r.name, r.length) for r in whole] == [("r1", 4), ("r2", 0), ("r3", 2), ("r4", 1), ("r5", 4)]
+
+
+@pytest.mark.parametrize("size", [1, 9, 1000])
+def test_fastq_text(rows, size):
+    texts = rows([("a", ODD_FASTQ.decode()), ("b", ""), ("c", None)], "file string, text string")
+    got = sequences.fastq_text(texts, range_bytes=size).collect()
+    assert sorted((r.file, r.name, r.seq, r.qual) for r in got) == [("a", "r1", "ACGT", "@@@@"), ("a", "r2", "", ""), ("a", "r3", "AC", "+@"), ("a", "r4", "A", "@"), ("a", "r5", "GGTT", "+!!@")]
+
+
 def test_sam_text(spark, tmp_path):
     row = "q{i}\t{flag}\tref\t1\t{mapq}\t{cigar}\t*\t0\t0\tACGTACGT\t{qual}\tNM:i:{nm}\n"
     text = "@HD\tVN:1.6\n" + row.format(i=1, flag=0, mapq=60, cigar="4M2I2M1D", qual="55555555", nm=4)
