@@ -24,9 +24,9 @@ BUCKETS, MANTISSA = 256, 10
 FIRST, SECOND = (32, 8), (96, 16)
 CROWDED = 16
 #: A pair is verified unless its estimate is so many standard errors below the bound.
-ERRORS = 5
+ERRORS = 4
 #: Members of a key that are compared with all others in the first round; four times as many in each further one.
-LEADERS = 4
+LEADERS = 1
 NO_ID = 2**63 - 1
 _draw = np.random.default_rng(12)
 #: Where an empty bucket looks for a register: the first bucket of its row that is not empty.
@@ -130,16 +130,16 @@ def _full_sets(docs: DataFrame, rows: DataFrame, members: DataFrame, words: int,
 
 
 def _second_bands(crowded: DataFrame) -> DataFrame:
-    """(slot, node) of the longer bands for ``crowded(node, sketch)``."""
-    schema = pa.schema([("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """(slot, node, n) of the longer bands for ``crowded(node, n, sketch)``."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(band_keys(_stacked(part.column(1)), SECOND)), schema.field(1).type)], schema=schema)
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(list(band_keys(_stacked(part.column(2)), SECOND)), schema.field(2).type)], schema=schema)
 
-    return crowded.mapInArrow(run, "node long, bands array<long>").select(F.explode("bands").alias("slot"), "node")
+    return crowded.mapInArrow(run, "node long, n long, bands array<long>").select(F.explode("bands").alias("slot"), "node", "n")
 
 
 def _stacked(sketches: pa.Array) -> np.ndarray:
@@ -147,7 +147,7 @@ def _stacked(sketches: pa.Array) -> np.ndarray:
 
 
 def _hopeful(similar: tuple[int, int]):
-    """Pairs whose sizes and corrected estimates allow the similarity."""
+    """Pairs whose corrected estimates allow the similarity."""
     bound = similar[0] / similar[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,8 +156,8 @@ def _hopeful(similar: tuple[int, int]):
                 n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
                 near = estimated(_stacked(batch.column(4)), _stacked(batch.column(5)), n, m)
                 error = np.sqrt(bound * (1 - bound) / np.minimum(np.minimum(n, m), BUCKETS))
-                keep = (np.minimum(n, m) * similar[1] >= np.maximum(n, m) * similar[0]) & (near >= bound - ERRORS * error)
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
+                keep = pa.array(near >= bound - ERRORS * error)
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], names=["a", "b"])
 
     return run
 
@@ -182,21 +182,21 @@ def _verified(similar: tuple[int, int]):
 
 
 def _slots(sketches: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(slot, node): the band keys that several nodes share. Members of crowded keys meet under longer bands instead.
+    """(slot, node, n): the band keys that several nodes share. Members of crowded keys meet under longer bands instead.
 
-    ``sketches(node, sketch, bands)``.
+    ``sketches(node, n, sketch, bands)``.
     """
-    first = sketches.select("node", "bands").join(nodes, "node").select(F.explode("bands").alias("slot"), "node")
+    first = sketches.select("node", "n", "bands").join(nodes, "node").select(F.explode("bands").alias("slot"), "node", "n")
     sizes = written(first.groupBy("slot").count().where("count > 1"), "hyperminhash-sizes")
     met = written(first.join(sizes, "slot"), "hyperminhash-slots")
     crowded = met.where(F.col("count") > CROWDED).select("node").distinct()
-    second = written(_second_bands(sketches.select("node", "sketch").join(crowded, "node").select("node", "sketch")), "hyperminhash-second")
+    second = written(_second_bands(sketches.select("node", "n", "sketch").join(crowded, "node").select("node", "n", "sketch")), "hyperminhash-second")
     shared = second.groupBy("slot").count().where("count > 1").select("slot")
-    return met.where(F.col("count") <= CROWDED).select("slot", "node").unionAll(second.join(shared, "slot"))
+    return met.where(F.col("count") <= CROWDED).select("slot", "node", "n").unionAll(second.join(shared, "slot"))
 
 
 def links(slots: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame | None:
-    """(node, root): components of the nodes in ``slots(slot, node)`` linked by a similarity of similar[0] / similar[1] at least.
+    """(node, root): components of the nodes in ``slots(slot, node, n)`` linked by a similarity of similar[0] / similar[1] at least.
 
     ``sets(node, n, sketch, shingles)``. Only components matter, so a key with many members does not make all their
     pairs: in each round some members of a key, those of its rarest components first, are compared with all others of
@@ -204,17 +204,23 @@ def links(slots: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMILAR)
     are of one component. Each pair that shares a key and is not connected otherwise is compared: the rounds go on until
     all keys are done, and leave out none. None if no nodes share a slot.
     """
-    open_, roots, leaders = slots, None, LEADERS
+    open_, roots, compared, leaders = slots, None, None, LEADERS
     while not open_.isEmpty():
         members = open_.withColumn("root", F.col("node")) if roots is None else \
-            open_.join(roots, "node", "left").select("slot", "node", F.coalesce("root", "node").alias("root"))
+            open_.join(roots, "node", "left").select("slot", "node", "n", F.coalesce("root", "node").alias("root"))
         shares = members.groupBy("slot", "root").count()
         several = shares.groupBy("slot").agg(F.count("*").alias("roots")).where("roots > 1").select("slot")
         members = written(members.join(several, "slot").join(shares, ["slot", "root"]), "hyperminhash-members")
         order = Window.partitionBy("slot").orderBy("count", F.xxhash64("node"), "node")
-        first = written(members.withColumn("n", F.row_number().over(order)).where(F.col("n") <= leaders).select("slot", "node", F.col("root").alias("own")), "hyperminhash-leaders")
-        pairs = members.join(first.withColumnRenamed("node", "leader"), "slot").where("root <> own") \
+        first = members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= leaders)
+        first = written(first.select("slot", "node", "n", F.col("root").alias("own")), "hyperminhash-leaders")
+        fits = F.least("n", "m") * similar[1] >= F.greatest("n", "m") * similar[0]
+        pairs = members.join(first.select("slot", F.col("node").alias("leader"), "own", F.col("n").alias("m")), "slot").where((F.col("root") != F.col("own")) & fits) \
             .select(F.greatest("node", "leader").alias("b"), F.least("node", "leader").alias("a")).distinct()
+        if compared is not None:
+            pairs = pairs.join(compared, ["a", "b"], "left_anti")
+        pairs = written(pairs, "hyperminhash-candidates")
+        compared = pairs if compared is None else compared.unionAll(pairs)
         sizes = sets.select("node", "n", "sketch")
         pairs = pairs.join(sizes.toDF("a", "n", "one"), "a").join(sizes.toDF("b", "m", "two"), "b").select("a", "b", "n", "m", "one", "two")
         pairs = written(pairs.mapInArrow(_hopeful(similar), "a long, b long"), "hyperminhash-pairs")
@@ -222,7 +228,7 @@ def links(slots: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMILAR)
         found = pairs.join(full.toDF("a", "one"), "a").join(full.toDF("b", "two"), "b").select("a", "b", "one", "two").mapInArrow(_verified(similar), "a long, b long")
         edges = written(found, "hyperminhash-links")
         roots = components(edges if roots is None else edges.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        open_ = written(members.join(first, ["slot", "node"], "left_anti").select("slot", "node"), "hyperminhash-open")
+        open_ = written(members.join(first, ["slot", "node"], "left_anti").select("slot", "node", "n"), "hyperminhash-open")
         leaders *= 4
     return roots
 
@@ -240,7 +246,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] =
     rows = written(_sketched(docs, words, doc_id, text).select(F.monotonically_increasing_id().alias("row"), "*"), "hyperminhash-sketches")
     classes = rows.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"))
     classes = written(classes, "hyperminhash-classes")
-    slots = written(_slots(rows.select(F.col("row").alias("node"), "sketch", "bands"), classes.select("node")), "hyperminhash-open")
+    slots = written(_slots(rows.select(F.col("row").alias("node"), "n", "sketch", "bands"), classes.select("node")), "hyperminhash-open")
     roots = links(slots, written(_full_sets(docs, rows, slots.select("node").distinct(), words, text), "hyperminhash-sets"), similar)
     placed = classes.withColumn("root", F.col("node")) if roots is None else \
         classes.join(roots, "node", "left").select("key", "first", F.coalesce("root", "node").alias("root"))
