@@ -7,7 +7,6 @@ operation over a padded block of targets, so Python cost is per query base, not
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -160,53 +159,6 @@ class Panel:
         return which, distance
 
 
-def path(query: str, target: str) -> str:
-    """Column operations (``=XID``) of a global alignment.
-
-    Ties prefer the diagonal, then an insertion, then a deletion, read from the end.
-    """
-    m, n = len(query), len(target)
-    q, t = _codes([query])[0][0], _codes([target])[0][0][:n]
-    steps = np.arange(n + 1, dtype=np.int32)
-    table = np.empty((m + 1, n + 1), dtype=np.int32)
-    table[0] = steps
-    for i in range(1, m + 1):
-        new = np.empty(n + 1, np.int32)
-        new[0] = i
-        np.minimum(table[i - 1, :-1] + (t != q[i - 1]), table[i - 1, 1:] + 1, out=new[1:])
-        table[i] = np.minimum.accumulate(new - steps) + steps
-    ops, i, j = [], m, n
-    while i or j:
-        here = table[i, j]
-        if i and j and here == table[i - 1, j - 1] + (q[i - 1] != t[j - 1]):
-            ops.append("=" if q[i - 1] == t[j - 1] else "X")
-            i, j = i - 1, j - 1
-        elif i and here == table[i - 1, j] + 1:
-            ops.append("I")
-            i -= 1
-        else:
-            ops.append("D")
-            j -= 1
-    return "".join(reversed(ops))
-
-
-def cigar(query: str, target: str) -> str:
-    """Extended CIGAR of a global alignment."""
-    return "".join(f"{len(list(run))}{op}" for op, run in groupby(path(query, target)))
-
-
-def aligned_positions(query: str, target: str) -> np.ndarray:
-    """Per query base: p + 1 when it matches target position p, -(p + 1) on a mismatch, 0 when inserted."""
-    out, at = [], 0
-    for op in path(query, target):
-        if op in "=X":
-            out.append(at + 1 if op == "=" else -at - 1)
-        elif op == "I":
-            out.append(0)
-        at += op != "I"
-    return np.array(out, dtype=np.int32)
-
-
 def locate_pairs(queries: pd.Series, targets: pd.Series, mode: str) -> pd.DataFrame:
     """``locate`` over aligned columns; equal queries of a batch share one pass."""
     frame = pd.DataFrame({"q": queries, "t": targets}).reset_index(drop=True)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runqc.functions import kernels, phred
+from runqc.functions import banded, kernels, phred
 from runqc.functions import sequence as sq
 from runqc.functions.common import col_of, first_match
 from runqc.operators.joins import balanced, range_join
@@ -41,19 +41,32 @@ def locate_udf(mode: str):
 
 
 def cigar_udf():
+    """Arrow UDF (query, target, distance) -> extended CIGAR; a NULL distance is found out."""
+
     @F.pandas_udf("string")
-    def run(query: pd.Series, target: pd.Series) -> pd.Series:
-        return pd.Series([kernels.cigar(q, t) for q, t in zip(query, target)])
+    def run(query: pd.Series, target: pd.Series, distance: pd.Series) -> pd.Series:
+        return pd.Series([banded.cigar(ops) for ops in banded.paths(query, target, distance)])
 
     return run
 
 
+def alignment_totals(cigar: Column | str) -> Column:
+    """Edits, and bases used of both sides, of an extended CIGAR."""
+    runs = lambda ops: F.aggregate(
+        F.regexp_extract_all(col_of(cigar), F.lit(f"(\\d+)[{ops}]"), F.lit(1)), F.lit(0).cast("long"), lambda n, x: n + x.cast("long"))
+    return F.struct(runs("XID").alias("edits"), runs("=XI").alias("query_bases"), runs("=XD").alias("target_bases"))
+
+
 def ratio_distance(seq: str, ref: str, ratio: float = 1.5) -> Column:
-    """Global distance for reads up to ``ratio`` x reference, else the reference as an infix."""
+    """Global distance for reads up to ``ratio`` x reference, else the reference as an infix.
+
+    The infix search is handed only the reads it answers for.
+    """
     s, r = F.upper(F.col(seq)), F.upper(F.col(ref))
     n, m = F.length(seq), F.length(ref)
-    infix = locate_udf("HW")(r, s)["distance"]
-    distance = F.when(n <= m * F.lit(ratio), F.levenshtein(s, r)).otherwise(infix)
+    long = n > m * F.lit(ratio)
+    infix = locate_udf("HW")(F.when(long, r).otherwise(""), F.when(long, s).otherwise(""))["distance"]
+    distance = F.when(long, infix).otherwise(F.levenshtein(s, r))
     return F.when(n == 0, m).otherwise(F.least(distance, F.greatest(n, m)))
 
 
@@ -306,9 +319,12 @@ def demultiplex(
 
 
 def positions_udf():
-    @F.pandas_udf("array<int>")
-    def run(query: pd.Series, target: pd.Series) -> pd.Series:
-        return pd.Series([kernels.aligned_positions(q, t) for q, t in zip(query, target)])
+    """Arrow UDF (query, target, distance) -> struct of target positions: per query base, deleted, inserted."""
+
+    @F.pandas_udf("positions array<int>, deleted array<int>, inserted array<int>")
+    def run(query: pd.Series, target: pd.Series, distance: pd.Series) -> pd.DataFrame:
+        rows = [banded.positions(ops) for ops in banded.paths(query, target, distance)]
+        return pd.DataFrame(rows, columns=["positions", "deleted", "inserted"])
 
     return run
 
@@ -331,23 +347,31 @@ def per_base(aligned: DataFrame) -> DataFrame:
 def error_profile(reads: DataFrame, refs: DataFrame) -> DataFrame:
     """Mean quality, empirical and predicted error per position of each read's best reference.
 
-    Reads: read_id, seq, qual. References: ref_id, ref_seq, ord. Equal sequences are aligned once.
+    Reads: read_id, seq, qual. References: ref_id, ref_seq, ord. Equal sequences are aligned once, in a band as wide as
+    their known distance. Deleted and inserted bases are counted at their positions, beside the rates of aligned bases.
     """
     matched = best_reference(reads.select("seq").distinct(), refs)
     paths = balanced(matched.join(refs.select("ref_id", "ref_seq"), "ref_id")).select(
-        "ref_id", "seq", positions_udf()(F.upper("seq"), F.upper("ref_seq")).alias("positions")
-    )
-    bases = per_base(reads.select("seq", "qual").join(paths, "seq"))
-    ok = F.col("status") == "M"
-    p = phred.error_prob("q")
-    return bases.groupBy("ref_id", "ref_pos").agg(
-        F.count("*").alias("n"),
-        F.count_if(ok).alias("count_correct"),
-        F.count_if(~ok).alias("count_incorrect"),
+        "ref_id", "seq", positions_udf()(F.upper("seq"), F.upper("ref_seq"), "edit_distance").alias("p")
+    ).select("ref_id", "seq", "p.*")
+    aligned = reads.select("seq", "qual").join(paths, "seq")
+    bases = per_base(aligned).select("ref_id", "ref_pos", "status", "q", F.lit(1).cast("long").alias("n"))
+    gap = lambda c, status: F.transform(c, lambda p: F.struct(p.alias("ref_pos"), F.lit(status).alias("status")))
+    gaps = reads.groupBy("seq").agg(F.count("*").alias("n")).join(paths, "seq").select(
+        "ref_id", "n", F.explode(F.concat(gap("deleted", "D"), gap("inserted", "I"))).alias("g")
+    ).select("ref_id", "g.*", F.lit(None).cast("int").alias("q"), "n")
+    ok, wrong, p = F.col("status") == "M", F.col("status") == "X", phred.error_prob("q")
+    total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    return bases.unionByName(gaps).groupBy("ref_id", "ref_pos").agg(
+        total(ok | wrong).alias("n"),
+        total(ok).alias("count_correct"),
+        total(wrong).alias("count_incorrect"),
+        total(F.col("status") == "D").alias("count_deleted"),
+        total(F.col("status") == "I").alias("count_inserted"),
         phred.to_qscore(F.avg(p)).alias("mean_qscore_all"),
         phred.to_qscore(F.avg(F.when(ok, p))).alias("mean_qscore_correct"),
-        phred.to_qscore(F.avg(F.when(~ok, p))).alias("mean_qscore_incorrect"),
-        F.avg((~ok).cast("double")).alias("empirical_error_rate"),
+        phred.to_qscore(F.avg(F.when(wrong, p))).alias("mean_qscore_incorrect"),
+        F.avg(F.when(ok | wrong, wrong.cast("double"))).alias("empirical_error_rate"),
         F.avg(p).alias("predicted_error_rate"),
     )
 

@@ -8,6 +8,7 @@ from runqc.functions import phred
 from runqc.functions import sequence as sq
 from runqc.operators import align as A
 from runqc.operators import reads as R
+from runqc.operators.joins import balanced
 from runqc.plans.catalog import query
 from runqc.plans.q_reads import r, rounded
 
@@ -298,7 +299,7 @@ def barcode_summary(v):
     return rounded(out, *[c for c in out.columns if c.endswith("_pct") or c in ("mean_ed", "median_qscore")])
 
 
-# -- kernels without an SQL form; tested against brute force on fixtures ------
+# -- kernels ------------------------------------------------------------------
 
 @query("infix_distance")
 def infix_distance(v):
@@ -312,10 +313,13 @@ def ratio_distance(v):
     return expected_pairs(v).withColumn("edit_distance", A.ratio_distance("seq", "target_seq")).select("read_id", "target_id", "edit_distance")
 
 
-@query("alignment_path")
+@query("alignment_path", f"with {PAIR_SQL} select read_id, target_id, levenshtein(seq, target_seq) as edits, length(seq) as query_bases, length(target_seq) as target_bases from pairs", PAIR_VIEWS)
 def alignment_path(v):
-    """Extended CIGAR of every read against its expected target."""
-    return expected_pairs(v).select("read_id", "target_id", A.cigar_udf()("seq", "target_seq").alias("cigar"))
+    """Totals of the extended CIGAR of every read against its expected target; the path itself differs among equals."""
+    p = expected_pairs(v)
+    unique = balanced(p.select("seq", "target_seq").distinct())
+    totals = unique.select("seq", "target_seq", A.alignment_totals(A.cigar_udf()("seq", "target_seq", F.levenshtein("seq", "target_seq"))).alias("t"))
+    return p.select("read_id", "target_id", "seq", "target_seq").join(totals, ["seq", "target_seq"]).select("read_id", "target_id", "t.*")
 
 
 @query("demultiplex")
@@ -325,7 +329,15 @@ def demultiplex(v):
     return A.demultiplex(v.sentences.select("read_id", "seq"), {k["target_id"]: k["target_seq"] for k in kit}, FRONT).drop("seq")
 
 
-@query("error_profile")
+@query("error_profile", f"""
+with {BEST_SQL}
+select ref_id, max(expected_length) as positions, sum(length) as read_bases, sum(expected_length) as reference_bases, sum(edit_distance) as edits
+from sentences join best using (seq) join targets on target_id = ref_id group by 1""", ("sentences", "targets"))
 def error_profile(v):
+    """What the profile of all positions of a reference adds up to; single positions differ among equal paths."""
     out = A.error_profile(v.sentences.select("read_id", "seq", "qual"), v.refs)
-    return rounded(out, *[c for c, t in out.dtypes if t == "double"])
+    total = lambda *names: sum(F.sum(f"count_{n}") for n in names)
+    return out.groupBy("ref_id").agg(
+        F.count("*").alias("positions"), total("correct", "incorrect", "inserted").alias("read_bases"),
+        total("correct", "incorrect", "deleted").alias("reference_bases"), total("incorrect", "deleted", "inserted").alias("edits"),
+    )

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_kernels import edit
 
-from runqc.functions import kernels
+from runqc.functions import banded, kernels
 from runqc.functions import sequence as sq
 from runqc.operators import align as A
 from runqc.operators import joins
@@ -140,17 +140,19 @@ def test_error_profile_by_brute_force(rows):
         s = "".join(s)
         reads.append((f"q{i}", s, "".join(chr(33 + random.randint(5, 40)) for _ in s)))
     got = A.error_profile(rows(reads, "read_id string, seq string, qual string"), rows(refs, "ref_id string, ref_seq string, ord bigint"))
-    want = {}
+    want, gaps = {}, {}
     for _, s, q in reads:
         name, ref = min((edit(s, f), o, n, f) for n, f, o in refs)[2:]
         i = j = 0
-        for op in kernels.path(s, ref):
+        for op in banded.letters(banded.paths([s], [ref])[0]):
+            gaps[op] = gaps.get(op, 0) + 1
             if op in "=X":
                 want.setdefault((name, j), []).append((ord(q[i]) - 33, op == "="))
             i += op != "D"
             j += op != "I"
     rows_ = got.collect()
     assert {(r.ref_id, r.ref_pos) for r in rows_} == set(want)
+    assert (sum(r.count_deleted for r in rows_), sum(r.count_inserted for r in rows_)) == (gaps.get("D", 0), gaps.get("I", 0))
     for r in rows_:
         x = want[r.ref_id, r.ref_pos]
         assert (r.n, r.count_correct) == (len(x), sum(ok for _, ok in x))
