@@ -6,6 +6,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +15,6 @@ from runqc.functions import sequence as sq
 from runqc.functions.common import col_of, first_match
 from runqc.operators.joins import balanced, range_join
 
-PANEL_ROWS = 100_000
-PANEL_BASES = 8_000_000
-
-
 def edit_distance(a: Column | str, b: Column | str, k: int | None = None) -> Column:
     """Global distance, case-insensitive; with ``k`` the answer beyond it is -1."""
     a, b = F.upper(col_of(a)), F.upper(col_of(b))
@@ -70,11 +67,6 @@ def ratio_distance(seq: str, ref: str, ratio: float = 1.5) -> Column:
     return F.when(n == 0, m).otherwise(F.least(distance, F.greatest(n, m)))
 
 
-def all_lengths_fit(refs: DataFrame, seq: str, max_bases: int = PANEL_BASES) -> bool:
-    row = refs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(seq)), F.lit(0)).alias("b")).first()
-    return row["n"] <= PANEL_ROWS and row["b"] <= max_bases
-
-
 def distance_columns(reads: DataFrame, panel: Mapping[str, str], seq: str = "seq") -> DataFrame:
     """Distance matrix as one row per read and one column per reference of ``panel`` (name -> sequence).
 
@@ -83,102 +75,114 @@ def distance_columns(reads: DataFrame, panel: Mapping[str, str], seq: str = "seq
     return reads.select("*", *[edit_distance(seq, F.lit(ref)).alias(name) for name, ref in panel.items()])
 
 
-def _closest(seq: Column, panel: Column) -> Column:
-    """Scan a panel nearest length first; a reference is skipped once its length rules it out.
+#: Bases of an unchanged piece. Twelve bases have 16.8 million spellings, so pieces are selective.
+PIECE = 12
+#: References of one block, and sequences of one chunk, that are held against each other.
+BLOCK, CHUNK = 1024, 1024
+
+
+def _named(seq: Column) -> Column:
+    """Sixteen bytes that stand for a sequence where its text is not needed."""
+    return F.unhex(F.md5(seq.cast("binary")))
+
+
+def _sequences(reads: DataFrame, seq: str) -> DataFrame:
+    u = reads.select(F.upper(F.col(seq)).alias("u")).where("u is not null").distinct()
+    return u.select(_named(F.col("u")).alias("id"), "u", F.length("u").alias("n"))
+
+
+def _within_pieces(u: DataFrame, r: DataFrame) -> DataFrame:
+    """(id, d, ord, ref_id): pairs whose distance is below the reference's number of pieces, and equal texts.
 
-    Each distance is computed with the best so far as cut-off, so most stop early. Ties go to the
-    lower ordinal.
+    With fewer edits than a reference has pieces, one piece survives unchanged and is shifted by as many bases at most.
+    Pieces and the windows of a sequence meet as hashes; texts are fetched once for each pair that is left.
     """
-    n = F.length(seq)
-    by_gap = F.array_sort(
-        F.transform(panel, lambda r: F.struct(F.abs(r["len"] - n).alias("gap"), r["ord"].alias("ord"),
-                                              r["ref_id"].alias("ref_id"), r["s"].alias("s")))
-    )
-    start = F.struct(
-        F.lit(2**30).alias("d"), F.lit(None).cast("long").alias("ord"), F.lit(None).cast("string").alias("ref_id")
-    )
+    pieces = F.floor(F.col("m") / PIECE).cast("int")
+    ref_keys = r.where(F.col("m") >= 2 * PIECE).select(
+        "ord", "ref_id", "m", (pieces - 1).alias("k"), F.explode(F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.struct(
+            (i * PIECE).alias("at"), F.xxhash64(F.substring(F.col("s"), i * PIECE + 1, F.lit(PIECE))).alias("key")))).alias("p"))
+    windows = F.transform(F.sequence(F.lit(1), F.col("n") - PIECE + 1), lambda i: F.struct(
+        (i - 1).alias("from"), F.xxhash64(F.substring(F.col("u"), i, F.lit(PIECE))).alias("key")))
+    read_keys = u.where(F.col("n") >= PIECE).select("id", "n", F.explode(windows).alias("w")).select("id", "n", "w.*")
+    met = read_keys.join(ref_keys.select("ord", "ref_id", "m", "k", "p.*"), "key")
+    near = met.where((F.abs(F.col("from") - F.col("at")) <= F.col("k")) & (F.abs(F.col("n") - F.col("m")) <= F.col("k")))
+    pairs = near.select("id", "ord", "ref_id", "k").distinct()
+    texts = balanced(pairs.join(u.select("id", "u"), "id").join(r.select("ord", "ref_id", "s"), ["ord", "ref_id"]))
+    found = texts.select("id", F.call_function("levenshtein", F.col("u"), F.col("s"), F.col("k")).alias("d"), "ord", "ref_id").where("d >= 0")
+    equal = u.join(r, F.col("u") == F.col("s")).select("id", F.lit(0).alias("d"), "ord", "ref_id")
+    return found.unionAll(equal)
+
+
+def _closest(refs: pa.Table, reads: pa.Table) -> pa.Table:
+    """The nearest reference of a block for every sequence of a chunk, the first in order on ties."""
+    refs = refs.sort_by([("ord", "ascending"), ("ref_id", "ascending")])
+    which, d = np.empty(0, int), np.empty(0, int)
+    if refs.num_rows and reads.num_rows:
+        which, d = kernels.Panel(refs.column("s").to_pylist()).closest(reads.column("u").to_pylist())
+    else:
+        reads = reads.slice(0, 0)
+    found = refs.take(pa.array(which, pa.int64()))
+    return pa.table({"id": reads.column("id"), "d": pa.array(d, pa.int32()), "ord": found.column("ord"), "ref_id": found.column("ref_id")})
 
-    def step(best: Column, r: Column) -> Column:
-        d = F.call_function("levenshtein", seq, r["s"], best["d"])
-        found = F.struct(d.alias("d"), r["ord"].cast("long").alias("ord"), r["ref_id"].cast("string").alias("ref_id"))
-        better = (d >= 0) & ((d < best["d"]) | (r["ord"] < best["ord"]))
-        return F.when(r["gap"] > best["d"], best).otherwise(F.when(better, found).otherwise(best))
 
-    return F.aggregate(by_gap, start, step)
+def _scanned(rest: DataFrame, r: DataFrame, reads: DataFrame) -> DataFrame:
+    """(id, d, ord, ref_id): for every sequence in ``rest(id, u)`` the nearest reference of every block.
+
+    Blocks of references meet chunks of sequences, both of bounded size: their numbers follow from counts that are part
+    of the plan. ``reads`` bounds the number of sequences.
+    """
+    parts = lambda df, size: F.ceil(df.agg(F.count("*").alias("n")).scalar() / size).cast("long")
+    blocks, chunks = F.greatest(parts(r, BLOCK), F.lit(1)), F.greatest(parts(reads, CHUNK), F.lit(1))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    left = r.withColumn("block", F.pmod(F.xxhash64("ord", "ref_id"), blocks)).withColumn("chunk", every(chunks))
+    right = rest.select("id", "u", F.pmod(F.xxhash64("id"), chunks).alias("chunk")).withColumn("block", every(blocks))
+    ddl = f"id binary, d int, ord {r.schema['ord'].dataType.simpleString()}, ref_id {r.schema['ref_id'].dataType.simpleString()}"
+    return left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(_closest, ddl)
 
 
 def best_reference(reads: DataFrame, refs: DataFrame, seq: str = "seq") -> DataFrame:
-    """Closest reference of every read by global distance, first in order on ties.
+    """Closest reference (ref_id, ref_seq, ord) of every read by global distance, first in order on ties.
 
-    Identical sequences are aligned once. A reference list (ref_id, ref_seq, ord) of checked size
-    is shipped to the tasks and whole blocks of reads are scored against it; a longer list is cut
-    into chunks of bounded size, every sequence meets every chunk once, and the chunk winners are
-    reduced.
+    Equal sequences are aligned once. Candidates share an unchanged piece; the closest of them is the answer if its
+    distance is covered, that is if every closer reference would have shared a piece as well. The remaining sequences
+    are held against all references, block by block.
     """
-    distinct = balanced(reads.select(F.upper(F.col(seq)).alias("_u")).distinct())
-    if all_lengths_fit(refs, "ref_seq"):
-        rows = sorted(refs.select("ord", "ref_id", F.upper("ref_seq").alias("s")).collect())
-        ids, ords = [r["ref_id"] for r in rows], [r["ord"] for r in rows]
-        texts = [r["s"] for r in rows]
-
-        def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            panel = kernels.Panel(texts)
-            for pdf in frames:
-                which, d = panel.closest(pdf["_u"].tolist())
-                yield pdf.assign(d=d, ord=[ords[w] for w in which], ref_id=[ids[w] for w in which])
-
-        scored = distinct.mapInPandas(score, "_u string, d int, ord bigint, ref_id string")
-        best = scored.select("_u", F.struct("d", "ord", "ref_id").alias("b"))
-    else:
-        chunks = (refs.agg(F.sum(F.length("ref_seq"))).first()[0] // PANEL_BASES + 1) * 2
-        chunk = F.pmod(F.xxhash64("ref_id"), F.lit(chunks)).cast("int")
-        item = F.struct(
-            F.length("ref_seq").alias("len"), F.col("ord"), F.col("ref_id"), F.upper("ref_seq").alias("s")
-        )
-        panels = refs.groupBy(chunk.alias("_c")).agg(F.collect_list(item).alias("panel"))
-        # Sequences are spread over salts, so a chunk is read by many tasks at once.
-        salts = 64
-        panels = panels.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        spread = distinct.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(int(chunks) - 1)))).withColumn(
-            "_salt", F.pmod(F.xxhash64("_u"), F.lit(salts)).cast("int")
-        )
-        best = (
-            spread.join(panels, ["_c", "_salt"])
-            .select("_u", _closest(F.col("_u"), F.col("panel")).alias("b"))
-            .groupBy("_u").agg(F.min("b").alias("b"))
-        )
-    hits = best.select("_u", F.col("b.ref_id").alias("ref_id"), F.col("b.d").alias("edit_distance"))
+    u = _sequences(reads, seq)
+    r = refs.select("ord", "ref_id", F.upper("ref_seq").alias("s"), F.length("ref_seq").alias("m"))
+    least = lambda df: df.groupBy("id").agg(F.min(F.struct("d", "ord", "ref_id")).alias("b"))
+    near = least(_within_pieces(u, r))
+    tried = u.join(near, "id", "left").withColumn("limit", F.col("b.d"))
+    # A closer reference has n - d bases at least.
+    covered = F.coalesce((F.col("limit") == 0) | (F.col("limit") < F.floor((F.col("n") - F.col("limit")) / PIECE)), F.lit(False))
+    rest = tried.where(~covered).select("id", "u")
+    best = tried.where(covered).select("u", "b").unionAll(least(_scanned(rest, r, reads)).join(u.select("id", "u"), "id").select("u", "b"))
+    hits = best.select(F.col("u").alias("_u"), F.col("b.ref_id").alias("ref_id"), F.col("b.d").alias("edit_distance"))
     return reads.withColumn("_u", F.upper(F.col(seq))).join(hits, "_u").drop("_u")
 
 
 def similarity_join(reads: DataFrame, refs: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     """Every (distinct sequence, reference) pair within ``k`` edits, exactly.
 
-    A reference is cut into k+1 pieces. Within k edits one piece survives unchanged and is shifted
-    by at most k, so candidates come from an equi join on (reference length, piece, text).
+    A reference is cut into k+1 pieces. Within k edits one piece survives unchanged and is shifted by at most k, so
+    candidates come from an equi join on a hash of (reference length, piece, text). Keys carry ids; the texts of a pair
+    are fetched once, when it is verified.
     """
-    u = reads.select(F.upper(F.col(seq)).alias("u")).distinct()
+    u = _sequences(reads, seq)
     r = refs.select("ref_id", F.upper("ref_seq").alias("s"))
     pieces = k + 1
-    cut = lambda n, i: F.floor(n * F.lit(i) / pieces).cast("int")
-    ref_n = F.length("s")
-    ref_keys = r.select(
-        "ref_id", "s", ref_n.alias("n"), F.explode(F.sequence(F.lit(0), F.lit(k))).alias("i")
-    ).select("ref_id", "s", "n", "i", F.substring(F.col("s"), cut(F.col("n"), F.col("i")) + 1,
-                                                  cut(F.col("n"), F.col("i") + 1) - cut(F.col("n"), F.col("i"))).alias("piece"))
+    cut = lambda n, i: F.floor(n * i / pieces).cast("int")
+    every = F.sequence(F.lit(0), F.lit(k))
+    key = lambda text, n, i, at: F.xxhash64(n, i, F.substring(text, at + 1, cut(n, i + 1) - cut(n, i)))
+    ref_keys = r.select("ref_id", F.explode(F.transform(every, lambda i: key(F.col("s"), F.length("s"), i, cut(F.length("s"), i)))).alias("key"))
     offsets = F.sequence(F.lit(-k), F.lit(k))
-    read_keys = (
-        u.select("u", F.explode(F.transform(offsets, lambda o: F.length("u") + o)).alias("n"))
-        .where(F.col("n") > 0)
-        .select("u", "n", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("i"))
-        .select("u", "n", "i", F.explode(offsets).alias("o"))
-        .select("u", "n", "i", (cut(F.col("n"), F.col("i")) + F.col("o")).alias("p"),
-                (cut(F.col("n"), F.col("i") + 1) - cut(F.col("n"), F.col("i"))).alias("w"))
-        .where((F.col("p") >= 0) & (F.col("p") + F.col("w") <= F.length("u")))
-        .select("u", "n", "i", F.substring(F.col("u"), F.col("p") + 1, F.col("w")).alias("piece"))
-    )
-    pairs = read_keys.join(ref_keys, ["n", "i", "piece"]).select("u", "ref_id", "s").distinct()
-    return pairs.withColumn("edit_distance", F.levenshtein("u", "s", k)).where("edit_distance >= 0").select(
+    tried = u.select("id", "u", F.col("n"), F.explode(F.transform(offsets, lambda o: F.length("u") + o)).alias("m")).where("m >= 0")
+    tried = tried.select("id", "u", "n", "m", F.explode(every).alias("i")).select("*", F.explode(offsets).alias("o"))
+    at = cut(F.col("m"), F.col("i")) + F.col("o")
+    fits = (at >= 0) & (at + cut(F.col("m"), F.col("i") + 1) - cut(F.col("m"), F.col("i")) <= F.col("n"))
+    read_keys = tried.where(fits).select("id", key(F.col("u"), F.col("m"), F.col("i"), at).alias("key"))
+    pairs = read_keys.join(ref_keys, "key").select("id", "ref_id").distinct()
+    texts = pairs.join(u.select("id", "u"), "id").join(r, "ref_id")
+    return texts.withColumn("edit_distance", F.levenshtein("u", "s", k)).where("edit_distance >= 0").select(
         F.col("u").alias("seq"), "ref_id", "edit_distance"
     )
 

@@ -37,19 +37,34 @@ def test_range_join_at_any_width(rows):
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
-@pytest.mark.parametrize("chunked", [False, True])
-def test_best_reference_both_ways(rows, monkeypatch, chunked):
-    if chunked:
-        monkeypatch.setattr(A, "PANEL_BASES", 200)
-        monkeypatch.setattr(A.all_lengths_fit, "__defaults__", (200,))
-    refs = [(f"r{i}", dna(random.randint(5, 60)), i) for i in range(25)] + [("dup", "ACGT", 90), ("dup0", "ACGT", 30)]
-    reads = [(f"q{i}", dna(random.randint(1, 80))) for i in range(40)] + [("same1", "ACGT"), ("same2", "ACGT")]
-    got = A.best_reference(rows(reads, "id string, seq string"), rows(refs, "ref_id string, ref_seq string, ord bigint"))
-    for r in got.collect():
-        d, _, name = min((edit(r.seq, s), o, n) for n, s, o in refs)
+@pytest.mark.parametrize("block", [4, 1024])
+def test_best_reference(rows, monkeypatch, block):
+    """Far and near reads, references of all lengths, ties; blocks of few references."""
+    monkeypatch.setattr(A, "BLOCK", block)
+    monkeypatch.setattr(A, "CHUNK", 3 * block)
+    refs = [(f"r{i}", dna(random.randint(5, 90)), i) for i in range(25)] + [("dup", "ACGT", 90), ("dup0", "ACGT", 30), ("none", "", 99)]
+    reads = [(f"q{i}", dna(random.randint(1, 80))) for i in range(30)] + [("same1", "ACGT"), ("same2", "acgt"), ("empty", "")]
+    for i in range(40):
+        t = list(random.choice(refs)[1])
+        for _ in range(random.randint(0, 8)):
+            if t:
+                t[random.randrange(len(t))] = random.choice(["A", "", "CG", "T"])
+        reads.append((f"n{i}", "".join(t)))
+    got = A.best_reference(rows(reads, "id string, seq string"), rows(refs, "ref_id string, ref_seq string, ord bigint")).collect()
+    assert len(got) == len(reads)
+    for r in got:
+        d, _, name = min((edit(r.seq.upper(), s), o, n) for n, s, o in refs)
         assert (r.edit_distance, r.ref_id) == (d, name)
 
 
+def test_covered_reads_are_not_scanned(rows):
+    refs = [(f"r{i}", dna(120), i) for i in range(10)]
+    reads = [("near", refs[3][1][:50] + "A" + refs[3][1][52:]), ("far", dna(120))]
+    u = A._sequences(rows(reads, "id string, seq string"), "seq")
+    r = rows(refs, "ref_id string, s string, ord bigint").withColumn("m", F.length("s"))
+    assert {x.ref_id for x in A._within_pieces(u, r).collect()} == {"r3"}
+
+
 def test_similarity_join_is_exact(rows):
     refs = [dna(random.randint(6, 25)) for _ in range(15)]
     reads = []
