@@ -20,18 +20,20 @@ WORDS, SIMILAR = 5, (85, 100)
 #: Buckets of a sketch, and bits of mantissa beside the leading-zero count in a register.
 BUCKETS, MANTISSA = 256, 10
 #: (bands, registers in a band): a pair of similarity s shares a band with probability 1 - (1 - s^registers)^bands, which
-#: is 0.99996 and 0.9994 at 0.85. Texts under a crowded key of the first bands meet under the second, longer ones instead.
-FIRST, SECOND = (32, 8), (96, 16)
+#: is 0.99996 at 0.85. Members of keys that more than so many nodes share meet under their rarest shingles instead.
+SHAPE = (32, 8)
 CROWDED = 16
+#: Nodes whose names are sent to all tasks to pick their texts, 8 bytes each; more are picked by a shuffle.
+SENT = 2_000_000
 #: A pair is verified unless its estimate is so many standard errors below the bound.
 ERRORS = 4
 #: Members of a key that are compared with all others in the first round; four times as many in each further one.
-LEADERS = 1
+LEADERS = 4
 NO_ID = 2**63 - 1
 _draw = np.random.default_rng(12)
 #: Where an empty bucket looks for a register: the first bucket of its row that is not empty.
 BORROW = np.stack([_draw.permutation(BUCKETS) for _ in range(BUCKETS)])
-PLACES = {shape: np.stack([_draw.permutation(BUCKETS)[:shape[1]] for _ in range(shape[0])]) for shape in (FIRST, SECOND)}
+PLACES = np.stack([_draw.permutation(BUCKETS)[:SHAPE[1]] for _ in range(SHAPE[0])])
 ODD = _draw.integers(0, 2**63, BUCKETS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -51,10 +53,10 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return packed if held.all() else packed[np.where(held, np.arange(BUCKETS), BORROW[np.arange(BUCKETS), held[BORROW].argmax(1)])]
 
 
-def band_keys(sketches: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+def band_keys(sketches: np.ndarray) -> np.ndarray:
     """A key per band and sketch: equal if the band's registers are."""
-    chosen = sketches[:, PLACES[shape]].astype(np.uint64) + np.uint64(1)
-    key = (chosen * ODD[:shape[1]]).sum(-1, dtype=np.uint64) ^ np.arange(1, shape[0] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    chosen = sketches[:, PLACES].astype(np.uint64) + np.uint64(1)
+    key = (chosen * ODD[:SHAPE[1]]).sum(-1, dtype=np.uint64) ^ np.arange(1, SHAPE[0] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     key = (key ^ key >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
     return (key ^ key >> np.uint64(32)).view(np.int64)
 
@@ -99,7 +101,7 @@ def _sketched(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
                     names.append(xxhash.xxh3_128_digest(shingles.tobytes()))
                     sizes.append(len(shingles))
                     sketches.append(registers(shingles) if len(shingles) else None)
-                keys = iter(band_keys(np.stack([s for s in sketches if s is not None] or [np.zeros(BUCKETS, np.uint16)]), FIRST).tolist())
+                keys = iter(band_keys(np.stack([s for s in sketches if s is not None] or [np.zeros(BUCKETS, np.uint16)])).tolist())
                 made = (names, sizes, [None if s is None else s.tobytes() for s in sketches], [[] if s is None else next(keys) for s in sketches])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, f.type) for x, f in zip(made, list(schema)[2:]))], schema=schema)
         give_back()
@@ -124,24 +126,14 @@ def _full_sets(docs: DataFrame, rows: DataFrame, members: DataFrame, words: int,
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(shingles, pa.binary())], schema=schema)
         give_back()
 
-    texts = _named(docs, text).groupBy("of").agg(F.first("text").alias("text"))
-    wanted = rows.select(F.col("row").alias("node"), "of", "n", "sketch").join(members, "node")
+    wanted = written(rows.select(F.col("row").alias("node"), "of", "n", "sketch").join(members, "node"), "hyperminhash-wanted")
+    texts = _named(docs, text)
+    if wanted.count() <= SENT:
+        texts = texts.withColumn("short", F.xxhash64("of")).join(F.broadcast(wanted.select(F.xxhash64("of").alias("short"))), "short", "left_semi")
+    texts = texts.groupBy("of").agg(F.first("text").alias("text"))
     return wanted.join(texts, "of").select("node", "n", "sketch", "text").mapInArrow(run, "node long, n long, sketch binary, shingles binary")
 
 
-def _second_bands(crowded: DataFrame) -> DataFrame:
-    """(slot, node, n) of the longer bands for ``crowded(node, n, sketch)``."""
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(list(band_keys(_stacked(part.column(2)), SECOND)), schema.field(2).type)], schema=schema)
-
-    return crowded.mapInArrow(run, "node long, n long, bands array<long>").select(F.explode("bands").alias("slot"), "node", "n")
-
-
 def _stacked(sketches: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(sketches.to_pylist()), np.uint16).reshape(-1, BUCKETS)
 
@@ -181,18 +173,32 @@ def _verified(similar: tuple[int, int]):
     return run
 
 
-def _slots(sketches: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(slot, node, n): the band keys that several nodes share. Members of crowded keys meet under longer bands instead.
+def _shared(slots: DataFrame) -> DataFrame:
+    """(slot, node, n, count): the rows of ``slots(slot, node, n)`` whose slot several nodes share."""
+    return slots.join(slots.groupBy("slot").count().where("count > 1"), "slot")
 
-    ``sketches(node, n, sketch, bands)``.
+
+def _rarest(crowded: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """(slot, node, n): each node of ``crowded(node, n, shingles)`` under its rarest shingles.
+
+    Sets that are similar enough share one of the first n - least overlap + 1 shingles of each, in one order of all. The
+    order is by how many nodes have a shingle, so what near copies have in common comes last, and a copy that differs in
+    more than the bound allows has shingles of its own only: nothing is lost, and few pairs meet that are not similar.
     """
-    first = sketches.select("node", "n", "bands").join(nodes, "node").select(F.explode("bands").alias("slot"), "node", "n")
-    sizes = written(first.groupBy("slot").count().where("count > 1"), "hyperminhash-sizes")
-    met = written(first.join(sizes, "slot"), "hyperminhash-slots")
-    crowded = met.where(F.col("count") > CROWDED).select("node").distinct()
-    second = written(_second_bands(sketches.select("node", "n", "sketch").join(crowded, "node").select("node", "n", "sketch")), "hyperminhash-second")
-    shared = second.groupBy("slot").count().where("count > 1").select("slot")
-    return met.where(F.col("count") <= CROWDED).select("slot", "node", "n").unionAll(second.join(shared, "slot"))
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("list", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                lists = pa.array([np.frombuffer(s, np.int64) for s in part.column(2).to_pylist()], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], lists], schema=schema)
+
+    each = written(crowded.mapInArrow(run, "node long, n long, list array<long>").select("node", "n", F.explode("list").alias("slot")), "hyperminhash-shingles")
+    counted = each.join(each.groupBy("slot").count(), "slot")
+    least = F.ceil(F.col("n") * similar[0] / similar[1] - F.lit(1e-9))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("count", "slot"))
+    return counted.withColumn("place", place).where((F.col("place") <= F.col("n") - least + 1) & (F.col("count") > 1)).select("slot", "node", "n")
 
 
 def links(slots: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame | None:
@@ -246,8 +252,13 @@ def near_copies(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] =
     rows = written(_sketched(docs, words, doc_id, text).select(F.monotonically_increasing_id().alias("row"), "*"), "hyperminhash-sketches")
     classes = rows.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"))
     classes = written(classes, "hyperminhash-classes")
-    slots = written(_slots(rows.select(F.col("row").alias("node"), "n", "sketch", "bands"), classes.select("node")), "hyperminhash-open")
-    roots = links(slots, written(_full_sets(docs, rows, slots.select("node").distinct(), words, text), "hyperminhash-sets"), similar)
+    banded = rows.select(F.col("row").alias("node"), "n", "bands").join(classes.select("node"), "node").select(F.explode("bands").alias("slot"), "node", "n")
+    met = written(_shared(banded), "hyperminhash-bands")
+    sets = written(_full_sets(docs, rows, met.select("node").distinct(), words, text), "hyperminhash-sets")
+    crowded = met.where(F.col("count") > CROWDED).select("node").distinct()
+    rarest = _shared(_rarest(sets.select("node", "n", "shingles").join(crowded, "node").select("node", "n", "shingles"), similar))
+    slots = written(met.where(F.col("count") <= CROWDED).unionByName(rarest).drop("count"), "hyperminhash-open")
+    roots = links(slots, sets, similar)
     placed = classes.withColumn("root", F.col("node")) if roots is None else \
         classes.join(roots, "node", "left").select("key", "first", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("least"))
