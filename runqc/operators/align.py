@@ -218,20 +218,23 @@ def classify_reads(
     """Assign reads (read_id, experiment, barcode, seq) to targets by size, then edit distance.
 
     Rules in order: unknown barcode, length out of bounds, no target of that size, one target of
-    that size, closest of several. Distances are computed once per (experiment, sequence).
+    that size, closest of several. Distances are computed once per (experiment, sequence); sixteen bytes stand for the
+    sequence wherever its text is not compared.
     """
     expected = barcode_map.select("experiment", "barcode", F.col("target").alias("expected_target"))
-    sized = reads.withColumn("length", F.length("seq")).join(
+    sized = reads.withColumns({"length": F.length("seq"), "id": _named(F.upper("seq"))}).join(
         expected, ["experiment", "barcode"], "left"
     )
     known = F.col("expected_target").isNotNull()
     in_bounds = F.col("length").between(min_length, max_length)
-    unique = sized.where(known & in_bounds).select("experiment", "length", "seq").distinct()
+    asked = sized.where(known & in_bounds).groupBy("experiment", "id").agg(F.first("length").alias("length"), F.first("seq").alias("seq"))
     pool = experiment_targets(barcode_map, targets).select(
         "experiment", "target_id", "target_seq", "expected_length", "range_min", "range_max"
     )
-    scored = size_candidates(unique, pool).select(
-        "experiment", "seq",
+    # Sizes are few; the sequences are dealt evenly, as distances cost far more than bytes.
+    fitting = size_candidates(asked.select("experiment", "length").distinct(), pool)
+    scored = balanced(asked).join(fitting, ["experiment", "length"]).select(
+        "experiment", "id",
         F.struct(
             edit_distance("seq", "target_seq").alias("d"),
             F.col("expected_length").alias("len"),
@@ -239,11 +242,11 @@ def classify_reads(
         ).alias("c"),
     )
     # Only the three best candidates matter, so no list grows with the number of targets.
-    order = Window.partitionBy("experiment", "seq").orderBy("c")
+    order = Window.partitionBy("experiment", "id").orderBy("c")
     top = scored.withColumn("_r", F.row_number().over(order)).where("_r <= 3")
-    ranked = top.groupBy("experiment", "seq").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    ranked = top.groupBy("experiment", "id").agg(F.array_sort(F.collect_list("c")).alias("c"))
     best, second = F.col("c")[0], F.get("c", F.lit(1))
-    outcome = sized.join(ranked, ["experiment", "seq"], "left")
+    outcome = sized.drop("seq").join(ranked, ["experiment", "id"], "left")
     method = first_match(
         [
             (~known, "unknown_barcode"),

@@ -25,6 +25,10 @@ def balanced(df: DataFrame) -> DataFrame:
     return df.repartition(n)
 
 
+#: A key is hot if it holds more than one row in so many; there are fewer hot keys than that. Each is dealt over the salts.
+HOT_SHARE, SALTS = 1000, 64
+
+
 def range_join(
     left: DataFrame,
     right: DataFrame,
@@ -35,26 +39,29 @@ def range_join(
 ) -> DataFrame:
     """Inner join on ``low <= value <= high`` (integers), plus equality on ``extra``.
 
-    Every range is registered in at most two cells of a grid whose step is the power of two
-    that covers its width. A left row looks into one cell per step in use, so both sides grow
-    by a small constant and the join stays an equi join at any size of ``right``.
+    Ranges are held against the distinct values only. Every range is registered in at most two cells of a grid whose
+    step is the power of two that covers its width, and a value looks into one cell for each step in use, so that is an
+    equi join at any size of ``right``. What is found for a value goes back to its rows by an equi join in which the
+    values of very many rows, known from the counts of the distinct values, are salted.
     """
-    extra = extra or []
+    extra = list(extra or [])
+    keys = [*extra, value]
+    counts = left.groupBy(*keys).agg(F.count("*").alias("_n"))
     step = F.ceil(F.log2((F.col(high) - F.col(low) + 1).cast("double"))).cast("int")
     ranged = right.where(F.col(low) <= F.col(high)).withColumn("_step", step)
     # At most 63 distinct powers of two, whatever the size of ``right``.
-    steps = sorted(r[0] for r in ranged.select("_step").distinct().collect())
+    steps = ranged.agg(F.collect_set("_step").alias("s")).scalar()
     cell = lambda c: F.expr(f"shiftright(cast({c} as bigint), _step)")
     ranged = ranged.withColumn("_cell", F.explode(F.sequence(cell(low), cell(high))))
-    probe = (
-        left.withColumn("_step", F.explode(F.array(*[F.lit(s) for s in steps]).cast("array<int>")))
-        .withColumn("_cell", cell(value))
-    )
-    return (
-        probe.join(ranged, [*extra, "_step", "_cell"])
-        .where(F.col(value).between(F.col(low), F.col(high)))
-        .drop("_step", "_cell")
-    )
+    probe = counts.select(*keys, F.explode(steps).alias("_step")).withColumn("_cell", cell(value))
+    found = probe.join(ranged, [*extra, "_step", "_cell"]).where(F.col(value).between(F.col(low), F.col(high))).drop("_step", "_cell")
+    # Fewer than HOT_SHARE keys can hold more than one row in HOT_SHARE each.
+    key = F.struct(*keys)
+    hot = counts.where(F.col("_n") * HOT_SHARE > left.agg(F.count("*").alias("n")).scalar()).agg(F.collect_set(key).alias("k")).scalar()
+    is_hot = F.array_contains(hot, key)
+    salted = left.withColumn("_salt", F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0).cast("int"))
+    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(found.withColumn("_salt", F.explode(every)), [*keys, "_salt"]).drop("_salt")
 
 
 def scalar_struct(one_row: DataFrame) -> Column:

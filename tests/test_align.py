@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +38,26 @@ def test_range_join_at_any_width(rows):
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
+def test_range_join_with_hot_values(spark, rows):
+    """One experiment and one length hold a third of the rows, which are dealt over many partitions all the same."""
+    data = [(i, "hot" if i % 3 == 0 else f"e{i % 7}", 500 if i % 3 == 0 else random.randint(0, 900)) for i in range(9000)]
+    ranges = [(e, j, lo, lo + w) for e in ["hot", *(f"e{i}" for i in range(7))] for j, (lo, w) in enumerate([(0, 10), (490, 20), (400, 300), (600, 0)])]
+    want = {(i, j) for i, e, x in data for f, j, lo, hi in ranges if e == f and lo <= x <= hi}
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "32"}
+    before = {k: spark.conf.get(k) for k in plain}
+    try:
+        for k, x in plain.items():
+            spark.conf.set(k, x)
+        got = joins.range_join(rows(data, "i int, e string, x int"), rows(ranges, "e string, j int, lo int, hi int"), "x", "lo", "hi", ["e"])
+        found = got.select("i", "j", F.spark_partition_id().alias("part")).collect()
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    assert len(found) == len(want) and {(r.i, r.j) for r in found} == want
+    share = Counter(r.part for r in found)
+    assert max(share.values()) < len(found) / 8
+
+
 @pytest.mark.parametrize("block", [4, 1024])
 def test_best_reference(rows, monkeypatch, block):
     """Far and near reads, references of all lengths, ties; blocks of few references."""
