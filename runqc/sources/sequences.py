@@ -24,9 +24,20 @@ def fasta(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     Records are split at a ``>`` that begins a line, so a large file is scanned by many tasks and a
     header may hold further marks.
     """
-    records = spark.read.text(paths, lineSep="\n>").select(F.regexp_replace("value", r"^\s*>", "").alias("value")).where(F.trim("value") != "")
+    return fasta_records(spark.read.text(paths, lineSep="\n>"), [])
+
+
+def fasta_text(texts: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
+    """Records of FASTA files held as text, one a row."""
+    return fasta_records(texts.select(*keys, F.explode(F.split(text, "\n>")).alias("value")), keys)
+
+
+def fasta_records(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, name, seq) of the stretches between marks in ``value``."""
+    records = pieces.select(*keys, F.regexp_replace("value", r"^\s*>", "").alias("value")).where(F.trim("value") != "")
     lines = F.split("value", r"\r?\n", 2)
     return records.select(
+        *keys,
         F.split(F.trim(lines[0]), r"\s+")[0].alias("name"),
         F.regexp_replace(F.coalesce(F.get(lines, F.lit(1)), F.lit("")), r"\s", "").alias("seq"),
     )

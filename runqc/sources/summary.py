@@ -131,26 +131,45 @@ def end_reason_columns(raw: DataFrame) -> DataFrame:
 
 def final_summary(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """key=value files to one map per file; a value may hold further equal signs."""
-    lines = spark.read.text(paths).select(
+    return key_values(spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("file"), "value",
         F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("line"),
-    )
+    ))
+
+
+def key_values(lines: DataFrame) -> DataFrame:
+    """(file, fields) of key=value lines (file, line, value). The last line of a key wins; others are no pairs."""
     pair = F.split("value", "=", 2)
     pairs = lines.where(F.col("value").contains("=")).select(
         "file", "line", F.trim(pair[0]).alias("k"), F.trim(pair[1]).alias("v")
     )
-    # The last line of a key wins: blocks of a file in order, rows within a block in order.
     unique = pairs.groupBy("file", "k").agg(F.max_by("v", "line").alias("v"))
     return unique.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("fields"))
 
 
 def throughput_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    return spark.read.csv(paths, header=True, inferSchema=False)
+    """Time points of throughput files, see ``throughput``."""
+    return throughput(spark.read.csv(paths, header=True, inferSchema=False))
+
+
+def throughput(raw: DataFrame) -> DataFrame:
+    """(ts, cumulative_reads, cumulative_bases) of rows with timestamp, reads and bases as text.
+
+    A missing column counts as 0; a row whose time or number cannot be read is left out.
+    """
+    number = lambda c: F.trim(c).try_cast("bigint") if c in raw.columns else F.lit(0).cast("bigint")
+    points = raw.select(
+        F.try_to_timestamp(F.trim("timestamp")).alias("ts"), number("reads").alias("cumulative_reads"), number("bases").alias("cumulative_bases"))
+    return points.where("ts is not null and cumulative_reads is not null and cumulative_bases is not null")
 
 
 def duty_time_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Channel-state rows: state, minute of the experiment, samples."""
-    raw = spark.read.csv(paths, header=True)
+    """Channel-state rows of duty-time files, see ``duty_time``."""
+    return duty_time(spark.read.csv(paths, header=True))
+
+
+def duty_time(raw: DataFrame) -> DataFrame:
+    """(state, minute, samples): columns by part of their name, the minute of the experiment, samples in that state."""
     find = lambda part: next(c for c in raw.columns if part in c.lower())
     return raw.select(
         F.col(f"`{find('channel')}`").alias("state"),
@@ -160,24 +179,28 @@ def duty_time_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def side_table(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    return side_rows(spark.read.csv(paths, sep="\t", header=True))
+
+
+def side_rows(raw: DataFrame) -> DataFrame:
     """read_id, end_reason, forced (0 when absent or unreadable)."""
-    raw = spark.read.csv(paths, sep="\t", header=True)
     forced = F.col("forced").try_cast("int") if "forced" in raw.columns else F.lit(None).cast("int")
     return raw.select("read_id", "end_reason", F.coalesce(forced, F.lit(0)).alias("forced"))
 
 
 def result_documents(spark: SparkSession, paths: str | Sequence[str], schema: str) -> DataFrame:
-    """Per-experiment JSON result files; unreadable ones keep status ``error``."""
-    rows = spark.read.json(
-        paths, schema=f"{schema}, _corrupt string", multiLine=True, mode="PERMISSIVE",
-        columnNameOfCorruptRecord="_corrupt",
-    )
-    names = [c for c in rows.columns if c != "_corrupt"]
-    return rows.select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.json)?$", 1).alias("file"),
-        *names,
-        F.when(F.col("_corrupt").isNull(), "success").otherwise("error").alias("status"),
-    )
+    """Per-experiment JSON result files, one document each; see ``result_texts``."""
+    texts = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    return result_texts(texts, schema)
+
+
+def result_texts(texts: DataFrame, schema: str) -> DataFrame:
+    """(file, the fields of ``schema``, status) of JSON documents (file, text); unreadable ones have status ``error``."""
+    parsed = texts.select(F.regexp_extract("file", r"^(.*?)(?:\.json)?$", 1).alias("file"), F.from_json(
+        "text", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("d"))
+    fields = [f for f in parsed.schema["d"].dataType.names if f != "_corrupt"]
+    ok = F.col("d").isNotNull() & F.col("d._corrupt").isNull()
+    return parsed.select("file", *[F.when(ok, F.col(f"d.`{f}`")).alias(f) for f in fields], F.when(ok, "success").otherwise("error").alias("status"))
 
 
 def log_statistics(lines: DataFrame, keys: Sequence[str], order: str = "line_no", text: str = "value") -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,24 +51,77 @@ def fasta(records: DataFrame, path: str) -> None:
 def warehouse(rows: DataFrame, path: str, key: str = "uniq_id", partition: str = "exp_id", order: str | None = None) -> None:
     """Upsert read rows: only the partitions present in ``rows`` are rewritten.
 
-    Of rows with one key that of the greatest ``order`` wins (without an order, of the greatest
-    values). The merge reads the partitions it replaces, so it is checkpointed before the overwrite.
-    A store that cannot be read is an error; only a path that does not exist starts a new one.
+    Of rows with one key that of the greatest ``order`` wins (without an order, of the greatest values). The new
+    partitions go to a snapshot folder of their own; a manifest that names the folder of every partition is put in place
+    last, by a rename. A job that fails before leaves the store as it was, and of two writers that began with the same
+    manifest the second fails. Read with ``read_warehouse``.
     """
-    from runqc.session import cut_lineage
-
     spark = rows.sparkSession
+    files = _Files(spark, path)
+    version, folders = files.manifest()
+    if not folders and files.fs.exists(files._at("")) and files.fs.listStatus(files._at("")):
+        raise ValueError(f"{path} holds something else than a store")
     whole = F.struct(*([F.col(order)] if order else []), *[F.col(c).cast("string") for c in rows.columns])
     fresh = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), whole).alias("_row")).select("_row.*")
-    merged = fresh
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location):
-        stored = spark.read.parquet(path)
-        touched = stored.join(fresh.select(partition).distinct(), partition, "left_semi")
-        kept = touched.join(fresh.select(key), key, "left_anti")
-        merged = cut_lineage(fresh.unionByName(kept.select(*fresh.columns)))
-    (
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition).parquet(path)
-    )
-
+    # A text that is never taken for a number names the folder; the column itself stays in the files.
+    merged = fresh = fresh.withColumn("_part", F.concat(F.lit("p_"), F.coalesce(F.col(partition).cast("string"), F.lit(""))))
+    if folders:
+        touched = _stored(spark, path, folders).join(fresh.select("_part").distinct(), "_part", "left_semi")
+        merged = fresh.unionByName(touched.join(fresh.select(key), key, "left_anti").select(*fresh.columns))
+    snapshot = f"data/{uuid.uuid4().hex}"
+    merged.write.partitionBy("_part").parquet(f"{path}/{snapshot}")
+    new = {name: snapshot for name in files.folders(snapshot)}
+    files.commit(version + 1, {**folders, **new})
+
+
+def read_warehouse(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the store as its last manifest has them."""
+    _, folders = _Files(spark, path).manifest()
+    if not folders:
+        raise FileNotFoundError(f"no store at {path}")
+    return _stored(spark, path, folders).drop("_part")
+
+
+def _stored(spark: SparkSession, path: str, folders: dict[str, str]) -> DataFrame:
+    """Partitions of each snapshot that the manifest names, with the folder as ``_part``."""
+    parts = []
+    for snapshot in sorted(set(folders.values())):
+        names = [f"{path}/{snapshot}/{n}" for n, s in folders.items() if s == snapshot]
+        parts.append(spark.read.option("basePath", f"{path}/{snapshot}").parquet(*names))
+    return reduce(DataFrame.unionByName, parts)
+
+
+class _Files:
+    """The store's manifests, through the file system of the cluster."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm, self.path = spark._jvm, path
+        self.fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _names(self, folder: str) -> list[str]:
+        return [f.getPath().getName() for f in self.fs.listStatus(self._at(folder))] if self.fs.exists(self._at(folder)) else []
+
+    def folders(self, snapshot: str) -> list[str]:
+        return [n for n in self._names(snapshot) if "=" in n]
+
+    def manifest(self) -> tuple[int, dict[str, str]]:
+        """(version, partition folder -> snapshot) of the last manifest; version 0 is an empty store."""
+        versions = [int(n) for n in self._names("manifest") if n.isdigit()]
+        if not versions:
+            return 0, {}
+        stream = self.fs.open(self._at(f"manifest/{max(versions)}"))
+        try:
+            return max(versions), json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def commit(self, version: int, folders: dict[str, str]) -> None:
+        draft = self._at(f"manifest/_{uuid.uuid4().hex}")
+        stream = self.fs.create(draft, False)
+        stream.write(bytearray(json.dumps(folders).encode()))
+        stream.close()
+        if self.fs.exists(self._at(f"manifest/{version}")) or not self.fs.rename(draft, self._at(f"manifest/{version}")):
+            raise RuntimeError(f"another writer has put manifest {version} in place")

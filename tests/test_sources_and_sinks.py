@@ -174,14 +174,14 @@ def test_warehouse_upsert_touches_only_its_partitions(spark, rows, tmp_path):
     schema = "uniq_id string, v int, exp_id string"
     writers.warehouse(rows([("a", 1, "e1"), ("b", 1, "e2")], schema), path)
     writers.warehouse(rows([("a", 2, "e1"), ("c", 2, "e1"), ("c", 2, "e1")], schema), path)
-    got = sorted(tuple(r) for r in spark.read.parquet(path).select("uniq_id", "v", "exp_id").collect())
+    got = sorted(tuple(r) for r in writers.read_warehouse(spark, path).select("uniq_id", "v", "exp_id").collect())
     assert got == [("a", 2, "e1"), ("b", 1, "e2"), ("c", 2, "e1")]
 
 
 def test_warehouse_keeps_the_newest_and_does_not_hide_errors(spark, rows, tmp_path):
     path, schema = str(tmp_path / "wh"), "uniq_id string, v int, at int, exp_id string"
     writers.warehouse(rows([("a", 9, 1, "e1"), ("a", 3, 7, "e1"), ("a", 5, 2, "e1")], schema), path, order="at")
-    assert [r.v for r in spark.read.parquet(path).collect()] == [3]
+    assert [r.v for r in writers.read_warehouse(spark, path).collect()] == [3]
     broken = tmp_path / "broken"
     broken.mkdir()
     (broken / "part-0.parquet").write_text("no table")
@@ -190,6 +190,34 @@ def test_warehouse_keeps_the_newest_and_does_not_hide_errors(spark, rows, tmp_pa
     assert (broken / "part-0.parquet").read_text() == "no table"
 
 
+def test_upsert_that_fails_before_its_commit_changes_nothing(spark, rows, tmp_path, monkeypatch):
+    path, schema = str(tmp_path / "wh"), "uniq_id string, v int, exp_id string"
+    read = lambda: sorted(tuple(r) for r in writers.read_warehouse(spark, path).collect())
+    with pytest.raises(FileNotFoundError):
+        read()
+    writers.warehouse(rows([("a", 1, "007"), ("b", 1, None)], schema), path)
+    first = [("a", 1, "007"), ("b", 1, None)]
+    assert read() == first
+    with monkeypatch.context() as m:
+        m.setattr(writers._Files, "commit", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            writers.warehouse(rows([("a", 2, "007")], schema), path)
+    assert read() == first
+    late = writers._Files(spark, path)
+    writers.warehouse(rows([("a", 3, "007"), ("c", 1, "7")], schema), path)
+    assert read() == [("a", 3, "007"), ("b", 1, None), ("c", 1, "7")]
+    with pytest.raises(RuntimeError):
+        late.commit(2, {})
+    assert len(read()) == 3
+
+
+def test_throughput_points(rows):
+    raw = rows([("2024-01-02T03:04:05", "5", "100"), ("2024-01-02 03:09:05", "7", "x"), ("never", "1", "1"), (" 2024-01-02T03:14:05 ", " 9 ", "300")], "timestamp string, reads string, bases string")
+    got = summary.throughput(raw).orderBy("ts").collect()
+    assert [(str(r.ts), r.cumulative_reads, r.cumulative_bases) for r in got] == [("2024-01-02 03:04:05", 5, 100), ("2024-01-02 03:14:05", 9, 300)]
+    assert summary.throughput(raw.select("timestamp")).count() == 3
+
+
 def test_shared_folder_is_asked_for_on_a_cluster():
     class Conf(dict):
         def set(self, k, v):
