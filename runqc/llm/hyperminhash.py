@@ -173,12 +173,12 @@ def _verified(similar: tuple[int, int]):
     return run
 
 
-def _shared(slots: DataFrame) -> DataFrame:
+def shared_slots(slots: DataFrame) -> DataFrame:
     """(slot, node, n, count): the rows of ``slots(slot, node, n)`` whose slot several nodes share."""
     return slots.join(slots.groupBy("slot").count().where("count > 1"), "slot")
 
 
-def _rarest(crowded: DataFrame, similar: tuple[int, int]) -> DataFrame:
+def rarest_slots(crowded: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """(slot, node, n): each node of ``crowded(node, n, shingles)`` under its rarest shingles.
 
     Sets that are similar enough share one of the first n - least overlap + 1 shingles of each, in one order of all. The
@@ -253,10 +253,10 @@ def near_copies(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] =
     classes = rows.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"))
     classes = written(classes, "hyperminhash-classes")
     banded = rows.select(F.col("row").alias("node"), "n", "bands").join(classes.select("node"), "node").select(F.explode("bands").alias("slot"), "node", "n")
-    met = written(_shared(banded), "hyperminhash-bands")
+    met = written(shared_slots(banded), "hyperminhash-bands")
     sets = written(_full_sets(docs, rows, met.select("node").distinct(), words, text), "hyperminhash-sets")
     crowded = met.where(F.col("count") > CROWDED).select("node").distinct()
-    rarest = _shared(_rarest(sets.select("node", "n", "shingles").join(crowded, "node").select("node", "n", "shingles"), similar))
+    rarest = shared_slots(rarest_slots(sets.select("node", "n", "shingles").join(crowded, "node").select("node", "n", "shingles"), similar))
     slots = written(met.where(F.col("count") <= CROWDED).unionByName(rarest).drop("count"), "hyperminhash-open")
     roots = links(slots, sets, similar)
     placed = classes.withColumn("root", F.col("node")) if roots is None else \

@@ -23,7 +23,7 @@ WORDS, SIMILAR = 5, 0.8
 #: Candidates share the minima of one band: at similarity s with probability 1 - (1 - s^3)^10, 0.9992 at 0.8.
 BANDS, BAND_ROWS = 10, 3
 FACTORS = np.random.default_rng(HASH_SEED).integers(0, 2**63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-#: Texts under one band key up to which all pairs are compared; of more, each with two of its size.
+#: Texts under one band key up to which they meet there; more meet under their rarest shingles.
 CROWDED_BAND = 32
 
 
@@ -177,63 +177,62 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2, doc_id: st
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
 
 
-def similar_links(docs: DataFrame, placed: DataFrame, words: int, similar: float, text: str) -> DataFrame:
-    """Edges (a, b) between roots of ``placed`` (key, n, bands, root): texts of two roots with Jaccard >= ``similar``.
+def _member_sets(docs: DataFrame, members: DataFrame, words: int, text: str) -> DataFrame:
+    """(node, n, sketch, shingles) of the texts whose hashes are in ``members(node)``."""
+    from runqc.llm.hyperminhash import SENT, registers
 
-    Candidates are texts that share a band key; those whose set sizes exclude the similarity or that are linked already
-    are dropped, all others are verified on their whole texts. Under crowded keys, pairs would grow with the square: a
-    text is compared there with the least and the greatest of all and of those of about its size.
-    """
-    slots = placed.select("key", "n", "root", F.explode("bands").alias("slot"))
-    shared = slots.groupBy("slot").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most")
-    members = written(slots.join(shared, "slot"), "similar-members")
-    sizes = members.groupBy("slot").count()
-    some = members.join(sizes.where(f"count <= {CROWDED_BAND}").select("slot"), "slot").select("slot", "key")
-    full = members.join(sizes.where(f"count > {CROWDED_BAND}").select("slot"), "slot").withColumn("about", F.floor(F.log("n") / F.log(F.lit(1 / similar))))
-    sized = full.groupBy("slot", "about").agg(F.min("key").alias("small"), F.max("key").alias("big"))
-    hubs = full.join(sized, ["slot", "about"]).select("key", F.explode(F.array_distinct(F.array("least", "most", "small", "big"))).alias("hub"))
-    met = some.join(some.withColumnRenamed("key", "other"), "slot").where("key < other").select(F.col("key").alias("a"), F.col("other").alias("b"))
-    met = met.unionAll(hubs.where("key <> hub").select(F.least("hub", "key").alias("a"), F.greatest("hub", "key").alias("b")))
-    about = placed.select("key", "n", "root")
-    pairs = met.distinct().join(about.toDF("a", "n", "root"), "a").join(about.toDF("b", "other_n", "other_root"), "b") \
-        .where((F.col("root") != F.col("other_root")) & (F.least("n", "other_n") >= F.lit(similar) * F.greatest("n", "other_n") - 1e-9))
-    pairs = written(pairs.select("a", "b", "root", "other_root"), "similar-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    given = F.col(text).cast("string")
-    texts = docs.select(F.xxhash64(given).alias("key"), given.alias("text")).join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
-    texts = written(texts, "similar-texts")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[int, np.ndarray] = {}
-
-        def known(key: int, whole: pa.Scalar) -> np.ndarray:
-            if key not in sets:
-                if len(sets) >= 200:
-                    sets.clear()
-                sets[key] = shingle_set(whole.as_py(), words)
-            return sets[key]
-
         for batch in batches:
-            keep = []
-            for a, b, one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(4), batch.column(5)):
-                keep.append(similarity(known(a, one), known(b, two)) >= similar)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (batch.column(2), batch.column(3))], schema=schema)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [shingle_set(t.as_py(), words) for t in part.column(1)]
+                made = ([len(s) for s in sets], [registers(s).tobytes() for s in sets], [s.tobytes() for s in sets])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, f.type) for x, f in zip(made, list(schema)[1:]))], schema=schema)
         give_back()
 
-    both = pairs.join(texts.toDF("a", "one"), "a").join(texts.toDF("b", "two"), "b")
-    return both.select("a", "b", "root", "other_root", "one", "two").mapInArrow(run, "a long, b long").distinct()
+    given = F.col(text).cast("string")
+    texts = docs.select(F.xxhash64(given).alias("node"), given.alias("text"))
+    few = members.count() <= SENT
+    texts = texts.join(F.broadcast(members) if few else members, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    return texts.mapInArrow(run, "node long, n long, sketch binary, shingles binary")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 2, words: int = WORDS, similar: float = SIMILAR, doc_id: str = "doc_id", text: str = "text", unique_ids: bool = True) -> DataFrame:
+def similar_links(docs: DataFrame, placed: DataFrame, words: int, similar: float, text: str) -> DataFrame:
+    """Edges (a, b) between roots of ``placed`` (key, n, bands, root): texts of two roots with Jaccard >= ``similar``.
+
+    Texts that share a band key are compared on their whole sets, in rounds that merge components, so that a group of
+    near copies does not make all its pairs. Members of crowded keys meet under their rarest shingles instead, which
+    similar sets share for certain: no text of such a group is left uncompared.
+    """
+    from runqc.llm.hyperminhash import rarest_slots, shared_slots
+    from runqc.llm.hyperminhash import links as merge
+
+    bound = (round(similar * 1000), 1000)
+    slots = placed.select(F.col("key").alias("node"), "n", F.explode("bands").alias("slot"))
+    met = written(shared_slots(slots.select("slot", "node", "n")), "similar-bands")
+    sets = written(_member_sets(docs, written(met.select("node").distinct(), "similar-members"), words, text), "similar-sets")
+    crowded = met.where(F.col("count") > CROWDED_BAND).select("node").distinct()
+    rarest = shared_slots(rarest_slots(sets.select("node", "n", "shingles").join(crowded, "node").select("node", "n", "shingles"), bound))
+    some = met.where(F.col("count") <= CROWDED_BAND)
+    roots = merge(written(some.unionByName(rarest).drop("count"), "similar-slots"), sets, bound)
+    of = placed.select("key", F.col("root").alias("own"))
+    if roots is None:
+        return of.select(F.col("own").alias("a"), F.col("own").alias("b")).limit(0)
+    pairs = roots.join(of.toDF("node", "a"), "node").join(of.toDF("root", "b"), "root")
+    return pairs.select("a", "b").where("a <> b").distinct()
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 2, words: int = WORDS, similar: float = SIMILAR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay when each group of near-duplicates keeps one: that of the least doc_id.
 
     Near-duplicates are linked by fingerprints as in ``near_duplicates``, and by a Jaccard similarity of at least
     ``similar`` between their sets of shingles of ``words`` words.
 
     Rows are told apart by doc_id and text together, so ids that are NULL (the largest) or repeated neither merge
-    groups nor let copies stay; of rows equal in both one stays. With ``unique_ids``, of several rows that would stay
-    under one doc_id other than NULL only one does; without, all do.
+    groups nor let copies stay; of rows equal in both one stays. Different texts that share a doc_id all stay if each is
+    the first of its group.
     """
     rows = written(_signatures(docs, shingle, words, doc_id, text), "signatures")
     fps = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first"))
@@ -243,8 +242,6 @@ def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 2, words: int = WORD
     roots = components(close.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(similar_links(docs, placed, words, similar, text)))
     least = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
     least = least.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.key")
-    if unique_ids:
-        least = least.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("key"))).agg(F.min("key").alias("key")).select("doc_id", "key")
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["key"] == b["key"])
     copies = rows.groupBy("doc_id", "key").count()
     kept = copies.join(least, same(copies, least), "left_semi")

@@ -82,20 +82,59 @@ def test_near_duplicates_of_odd_documents(odd_docs, no_docs):
     assert S.near_duplicates(no_docs).collect() == []
 
 
+def plain_kept(rows):
+    """Rows that stay when both rules are applied to all pairs: two bits of the fingerprints, or sets of five words."""
+    texts = sorted({t for _, t in rows}, key=str)
+    fps = {t: plain_fingerprint(t) for t in texts}
+    words = {t: S.lower_words(t) for t in texts}
+    sets = {t: {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()) for t, w in words.items()}
+    root = {t: t for t in texts}
+
+    def find(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            both = len(sets[a] & sets[b])
+            similar = sets[a] and sets[b] and 10 * both >= 8 * (len(sets[a]) + len(sets[b]) - both)
+            if similar or (fps[a] ^ fps[b]).bit_count() <= 2:
+                root[find(a)] = find(b)
+    first = {}
+    for doc_id, t in rows:
+        first.setdefault(find(t), set()).add((doc_id is None, doc_id or 0))
+    return sorted((min(x)[1] if not min(x)[0] else None for x in first.values()), key=str)
+
+
 def test_one_row_of_each_group_stays(odd_docs, no_docs):
     kept = S.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    components = {r.component_id for r in S.near_duplicates(odd_docs).collect()}
-    assert sorted(ids, key=str) == sorted(components, key=str)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == plain_kept([(r.doc_id, r.text) for r in odd_docs.collect()])
     assert S.keep_one(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("least, most", [(2, 5), (4, 9)])
+def test_large_group_of_near_copies(spark, least, most):
+    """Copies of one text with some words changed, dense and sparse around the bound: all pairs decide."""
+    rng = random.Random(most)
+    words = [f"w{i}" for i in range(4000)]
+    base, rows = [rng.choice(words) for _ in range(150)], []
+    for i in range(500):
+        copy = list(base)
+        for _ in range(rng.randint(least, most)):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        rows.append((i, " ".join(copy)))
+    rows += [(1000 + i, " ".join(base[i:i + 60])) for i in range(80)]
+    kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == plain_kept(rows)
+
+
 def test_rows_without_or_with_shared_ids_are_decided_by_their_group(spark):
     rng = random.Random(5)
     text = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randrange(1, 5) for _ in range(60)) for _ in range(6)]
     rows = [(None, text[0]), (None, text[1]), (None, text[2]), (None, text[2]), (1, text[3]), (7, text[3]), (7, text[4]), (7, text[5]), (None, text[5])]
-    kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), unique_ids=False).collect()
+    kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = [(None, text[0]), (None, text[1]), (None, text[2]), (1, text[3]), (7, text[4]), (7, text[5])]
     assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
 
