@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,6 +138,10 @@ def diff_summary(changes: DataFrame) -> DataFrame:
     )
 
 
+# Fixed value: why a run was archived.
+GONE = "directory_not_found"
+
+
 def apply_proposal(discovered: DataFrame, current: DataFrame, key: str = "path", counters: Sequence[str] = COUNTERS) -> DataFrame:
     """Next registry snapshot: inserts, counter updates, and removed runs archived, never deleted."""
     d = discovered.select(key, *[F.col(c).alias(f"_n_{c}") for c in counters], F.lit(True).alias("_d"))
@@ -146,7 +151,7 @@ def apply_proposal(discovered: DataFrame, current: DataFrame, key: str = "path",
     return both.select(
         key,
         F.when(fresh, "discovered").when(gone, "archived").otherwise(F.col("status")).alias("status"),
-        F.when(gone, "directory_not_found").otherwise(F.lit(None)).alias("archived_reason"),
+        F.when(gone, GONE).otherwise(F.lit(None)).alias("archived_reason"),
         *[F.when(gone, F.col(n)).otherwise(F.coalesce(f"_n_{n}", F.lit(0))).alias(n) for n in counters],
     )
 
@@ -240,40 +245,54 @@ def completeness(df: DataFrame, keys: Sequence[str], rules: Sequence[tuple[str,
     )
 
 
-#: Structured fields; any of them set means that an experiment is past the legacy format.
+#: Structured documents that took the place of single legacy numbers.
 STRUCTURED = ("quality_metrics", "read_counts", "length_metrics")
+LEGACY = ("mean_quality", "total_reads", "n50")
+
+
+def _absent(df: DataFrame, name: str) -> Column:
+    """True where a field holds nothing: no such column, NULL, an empty text, list or map, or a text of an empty document."""
+    kind = dict(df.dtypes).get(name)
+    if kind is None:
+        return F.lit(True)
+    if kind.startswith(("array", "map")):
+        return F.coalesce(F.size(name) <= 0, F.lit(True))
+    if kind.startswith("struct"):
+        return F.col(name).isNull()
+    return F.coalesce(F.regexp_replace(F.col(name).cast("string"), r"\s", "").isin("", "{}", "[]", "null"), F.lit(True))
+
+
+def _rules(df: DataFrame) -> list[tuple[str, str, Column, str | None]]:
+    """(level, finding, condition, column whose value is quoted) of everything that is checked in an experiment."""
+    no = {c: _absent(df, c) for c in ("id", "name", "source", "sample", "device_type", "https_url", "browser_url", "schema_version", *STRUCTURED)}
+    value = lambda c: F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
+    unknown = no["source"] | F.coalesce(value("source") == "unknown", F.lit(False))
+    public = F.coalesce(value("source") == PUBLIC_SOURCE, F.lit(False))
+    numbers = reduce(Column.__or__, [is_present(c, "number") for c in LEGACY if c in df.columns], F.lit(False))
+    return [
+        ("error", "id: absent", no["id"], None),
+        ("warning", "id: other form", ~no["id"] & ~value("id").rlike(ID_FORMAT), "id"),
+        ("error", "name: absent", no["name"], None),
+        ("error", "source: absent or unknown", unknown, None),
+        ("warning", "source: not a listed one", ~unknown & ~value("source").isin(SOURCES), "source"),
+        ("warning", "https_url: absent though public", public & no["https_url"], None),
+        ("warning", "browser_url: absent though public", public & no["browser_url"], None),
+        ("warning", "sample, device_type: both absent", no["sample"] & no["device_type"], None),
+        ("warning", "metrics: legacy numbers only", numbers & reduce(Column.__and__, [no[c] for c in STRUCTURED]), None),
+        ("warning", "schema_version: absent", no["schema_version"], None),
+    ]
 
 
 def validate(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Errors and warnings of every experiment row.
+    """Errors and warnings of every experiment row, by the table of rules; a row without errors is valid.
 
-    Columns used: id, name, source, sample, device_type, https_url, browser_url, mean_quality,
-    total_reads, n50, schema_version, and those of the structured fields that the table has.
+    A column that the table lacks is absent in all rows. A structured document that is empty counts as absent.
     """
-    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
-    public = F.coalesce(F.col("source") == PUBLIC_SOURCE, F.lit(False))
-    bad_source = empty("source") | (F.col("source") == "unknown")
-    legacy = is_present("mean_quality", "number") | is_present("total_reads", "number") | is_present("n50", "number")
-    errors = messages(
-        F.when(empty("id"), F.lit("Missing required field: id")),
-        F.when(empty("name"), F.lit("Missing required field: name")),
-        F.when(bad_source, F.lit("Missing or unknown source")),
-    )
-    warnings = messages(
-        F.when(~empty("id") & ~F.col("id").rlike(ID_FORMAT), F.concat(F.lit("ID format non-standard: "), F.col("id"))),
-        F.when(~bad_source & ~F.col("source").isin(SOURCES), F.concat(F.lit("Non-standard source: "), F.col("source"))),
-        F.when(empty("sample") & empty("device_type"), F.lit("Missing both sample and device_type metadata")),
-        F.when(public & empty("https_url"), F.lit("Public experiment missing HTTPS URL")),
-        F.when(public & empty("browser_url"), F.lit("Public experiment missing browser URL")),
-        F.when(
-            legacy & F.coalesce(*[F.col(c).cast("string") for c in STRUCTURED if c in df.columns]).isNull(),
-            F.lit("Uses legacy field format, should migrate to structured metrics"),
-        ),
-        F.when(empty("schema_version"), F.lit("Missing schema version in provenance")),
-    )
-    return df.select(*keys, errors.alias("errors"), warnings.alias("warnings")).withColumn(
-        "is_valid", F.size("errors") == 0
-    )
+    found = lambda level: messages(*[
+        F.when(here, F.lit(text) if quoted is None else F.concat(F.lit(f"{text}: "), F.col(quoted).cast("string")))
+        for of, text, here, quoted in _rules(df) if of == level
+    ])
+    return df.select(*keys, found("error").alias("errors"), found("warning").alias("warnings")).withColumn("is_valid", F.size("errors") == 0)
 
 
 def schema_validate(df: DataFrame, keys: Sequence[str], schema: Mapping[str, Mapping]) -> DataFrame:

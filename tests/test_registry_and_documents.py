@@ -83,13 +83,25 @@ def test_schema_rules(rows):
     assert R.apply_defaults(df, schema).first().gone == "d"
 
 
-def test_any_structured_field_ends_the_legacy_warning(rows):
+def test_a_structured_document_ends_the_legacy_warning_unless_it_is_empty(rows):
     names = "id string, name string, source string, sample string, device_type string, https_url string, browser_url string, schema_version string"
     fixed = ("exp-0123abcd", "n", "local", "s", "d", None, None, "1")
-    data = [fixed + (10.0, None, None, *x) for x in ((None, None, None), ("{}", None, None), (None, "{}", None), (None, None, "{}"))]
+    full = '{"x": 1}'
+    data = [fixed + (10.0, None, None, *x) for x in ((None, None, None), (full, None, None), (None, full, None), (None, None, full), ("{}", " { }", "null"))]
     df = rows(data, names + ", mean_quality double, total_reads bigint, n50 bigint, quality_metrics string, read_counts string, length_metrics string")
-    assert [len(r.warnings) for r in R.validate(df, ["id"]).collect()] == [1, 0, 0, 0]
-    assert [len(r.warnings) for r in R.validate(df.drop("read_counts", "length_metrics"), ["id"]).collect()] == [1, 0, 1, 1]
+    legacy = ["metrics: legacy numbers only"]
+    assert [r.warnings for r in R.validate(df, ["id"]).collect()] == [legacy, [], [], [], legacy]
+    assert [r.warnings for r in R.validate(df.drop("read_counts", "length_metrics"), ["id"]).collect()] == [legacy, [], legacy, legacy, legacy]
+    assert [r.warnings for r in R.validate(df.drop("quality_metrics", "read_counts", "length_metrics"), ["id"]).collect()] == [legacy] * 5
+    typed = df.select("*", F.struct(F.lit(1).alias("x")).alias("q"), F.array().cast("array<int>").alias("r")).drop("quality_metrics", "read_counts")
+    assert R.validate(typed.withColumnRenamed("q", "quality_metrics"), ["id"]).where("size(warnings) > 0").count() == 0
+    assert R.validate(typed.withColumnRenamed("r", "read_counts"), ["id"]).where("size(warnings) > 0").count() == 4
+
+
+def test_findings_of_a_poor_row(rows):
+    got = R.validate(rows([(1, "x9", None, "elsewhere"), (2, "", "n", "unknown")], "k int, id string, name string, source string"), ["k"]).collect()
+    assert (got[0].errors, got[0].warnings) == (["name: absent"], ["id: other form: x9", "source: not a listed one: elsewhere", "sample, device_type: both absent", "schema_version: absent"])
+    assert (got[1].errors, got[1].is_valid) == (["id: absent", "source: absent or unknown"], False)
 
 
 def test_library_grade_never_invents(rows):
