@@ -27,8 +27,8 @@ CROWDED = 16
 SENT = 2_000_000
 #: A pair is verified unless its estimate is so many standard errors below the bound.
 ERRORS = 4
-#: Members of a key that are compared with all others in the first round; four times as many in each further one.
-LEADERS = 4
+#: Members of a key that are compared with all others in the first round; eight times as many in each further one.
+LEADERS = 16
 NO_ID = 2**63 - 1
 _draw = np.random.default_rng(12)
 #: Where an empty bucket looks for a register: the first bucket of its row that is not empty.
@@ -174,16 +174,17 @@ def _verified(similar: tuple[int, int]):
 
 
 def shared_slots(slots: DataFrame) -> DataFrame:
-    """(slot, node, n, count): the rows of ``slots(slot, node, n)`` whose slot several nodes share."""
+    """The rows of ``slots`` whose slot several nodes share, with their ``count``."""
     return slots.join(slots.groupBy("slot").count().where("count > 1"), "slot")
 
 
 def rarest_slots(crowded: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """(slot, node, n): each node of ``crowded(node, n, shingles)`` under its rarest shingles.
+    """(slot, node, n, place): each node of ``crowded(node, n, shingles)`` under its rarest shingles.
 
     Sets that are similar enough share one of the first n - least overlap + 1 shingles of each, in one order of all. The
     order is by how many nodes have a shingle, so what near copies have in common comes last, and a copy that differs in
     more than the bound allows has shingles of its own only: nothing is lost, and few pairs meet that are not similar.
+    ``place`` is the shingle's in that order; a pair that shares it is judged by the overlap that the two sizes ask for.
     """
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("list", pa.list_(pa.int64()))])
 
@@ -198,11 +199,11 @@ def rarest_slots(crowded: DataFrame, similar: tuple[int, int]) -> DataFrame:
     counted = each.join(each.groupBy("slot").count(), "slot")
     least = F.ceil(F.col("n") * similar[0] / similar[1] - F.lit(1e-9))
     place = F.row_number().over(Window.partitionBy("node").orderBy("count", "slot"))
-    return counted.withColumn("place", place).where((F.col("place") <= F.col("n") - least + 1) & (F.col("count") > 1)).select("slot", "node", "n")
+    return counted.withColumn("place", place).where((F.col("place") <= F.col("n") - least + 1) & (F.col("count") > 1)).select("slot", "node", "n", "place")
 
 
 def links(slots: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame | None:
-    """(node, root): components of the nodes in ``slots(slot, node, n)`` linked by a similarity of similar[0] / similar[1] at least.
+    """(node, root): components of the nodes in ``slots(slot, node, n, place)`` linked by a similarity of similar[0] / similar[1] at least.
 
     ``sets(node, n, sketch, shingles)``. Only components matter, so a key with many members does not make all their
     pairs: in each round some members of a key, those of its rarest components first, are compared with all others of
@@ -213,15 +214,18 @@ def links(slots: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMILAR)
     open_, roots, compared, leaders = slots, None, None, LEADERS
     while not open_.isEmpty():
         members = open_.withColumn("root", F.col("node")) if roots is None else \
-            open_.join(roots, "node", "left").select("slot", "node", "n", F.coalesce("root", "node").alias("root"))
+            open_.join(roots, "node", "left").select("slot", "node", "n", "place", F.coalesce("root", "node").alias("root"))
         shares = members.groupBy("slot", "root").count()
         several = shares.groupBy("slot").agg(F.count("*").alias("roots")).where("roots > 1").select("slot")
         members = written(members.join(several, "slot").join(shares, ["slot", "root"]), "hyperminhash-members")
         order = Window.partitionBy("slot").orderBy("count", F.xxhash64("node"), "node")
-        first = members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= leaders)
-        first = written(first.select("slot", "node", "n", F.col("root").alias("own")), "hyperminhash-leaders")
-        fits = F.least("n", "m") * similar[1] >= F.greatest("n", "m") * similar[0]
-        pairs = members.join(first.select("slot", F.col("node").alias("leader"), "own", F.col("n").alias("m")), "slot").where((F.col("root") != F.col("own")) & fits) \
+        first = members.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= leaders)
+        first = written(first.select("slot", "node", "n", "place", F.col("root").alias("own")), "hyperminhash-leaders")
+        # The least overlap of a similar pair of these sizes; its shared shingles begin that early in both orders.
+        overlap = F.ceil((F.col("n") + F.col("m")) * similar[0] / (similar[0] + similar[1]) - F.lit(1e-9))
+        early = (F.col("place") <= F.col("n") - overlap + 1) & (F.col("other_place") <= F.col("m") - overlap + 1)
+        fits = (F.least("n", "m") * similar[1] >= F.greatest("n", "m") * similar[0]) & early
+        pairs = members.join(first.select("slot", F.col("node").alias("leader"), "own", F.col("n").alias("m"), F.col("place").alias("other_place")), "slot").where((F.col("root") != F.col("own")) & fits) \
             .select(F.greatest("node", "leader").alias("b"), F.least("node", "leader").alias("a")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
@@ -234,8 +238,8 @@ def links(slots: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMILAR)
         found = pairs.join(full.toDF("a", "one"), "a").join(full.toDF("b", "two"), "b").select("a", "b", "one", "two").mapInArrow(_verified(similar), "a long, b long")
         edges = written(found, "hyperminhash-links")
         roots = components(edges if roots is None else edges.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        open_ = written(members.join(first, ["slot", "node"], "left_anti").select("slot", "node", "n"), "hyperminhash-open")
-        leaders *= 4
+        open_ = written(members.join(first, ["slot", "node"], "left_anti").select("slot", "node", "n", "place"), "hyperminhash-open")
+        leaders *= 8
     return roots
 
 
@@ -257,7 +261,8 @@ def near_copies(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] =
     sets = written(_full_sets(docs, rows, met.select("node").distinct(), words, text), "hyperminhash-sets")
     crowded = met.where(F.col("count") > CROWDED).select("node").distinct()
     rarest = shared_slots(rarest_slots(sets.select("node", "n", "shingles").join(crowded, "node").select("node", "n", "shingles"), similar))
-    slots = written(met.where(F.col("count") <= CROWDED).unionByName(rarest).drop("count"), "hyperminhash-open")
+    few = met.where(F.col("count") <= CROWDED).withColumn("place", F.lit(0))
+    slots = written(few.unionByName(rarest).drop("count"), "hyperminhash-open")
     roots = links(slots, sets, similar)
     placed = classes.withColumn("root", F.col("node")) if roots is None else \
         classes.join(roots, "node", "left").select("key", "first", F.coalesce("root", "node").alias("root"))

@@ -215,7 +215,7 @@ def similar_links(docs: DataFrame, placed: DataFrame, words: int, similar: float
     sets = written(_member_sets(docs, written(met.select("node").distinct(), "similar-members"), words, text), "similar-sets")
     crowded = met.where(F.col("count") > CROWDED_BAND).select("node").distinct()
     rarest = shared_slots(rarest_slots(sets.select("node", "n", "shingles").join(crowded, "node").select("node", "n", "shingles"), bound))
-    some = met.where(F.col("count") <= CROWDED_BAND)
+    some = met.where(F.col("count") <= CROWDED_BAND).withColumn("place", F.lit(0))
     roots = merge(written(some.unionByName(rarest).drop("count"), "similar-slots"), sets, bound)
     of = placed.select("key", F.col("root").alias("own"))
     if roots is None:
