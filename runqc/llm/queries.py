@@ -146,6 +146,55 @@ select d.doc_id, coalesce(s.n, 0) as n_shingles, min(r.other) as component_id, d
 from worded d left join sizes s on s.doc_id = d.doc_id join reached r on r.doc_id = d.doc_id group by d.doc_id, s.n
 """
 
+OP13_SQL = r"""
+with recursive crc_table as (
+  select list(v order by i) as t from (
+    select i, list_reduce([i::ubigint] || range(8)::ubigint[], lambda c, k: case when c & 1 = 1 then xor(3988292384::ubigint, c >> 1) else c >> 1 end) as v from range(256) r(i))
+), keyed as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations
+), lucky as (
+  select k.*, xor(4294967295::ubigint, list_reduce([4294967295::ubigint] || list_transform(range(1, length(key) + 1), lambda i: ascii(key[i])::ubigint),
+    lambda c, b: xor(t[((xor(c, b) & 255) + 1)::bigint], c >> 8))) % 20 as luck from keyed k, crc_table
+), damaged as (
+  select conv_id, turn, case when luck = 4 then 'user' else role end as role,
+         case when luck = 1 then '' when luck = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from lucky, range(2) copies(n) where luck <> 0 and (n = 0 or luck = 3)
+), placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from damaged
+), flagged as (
+  select *, not regexp_matches(text, '[^\x20\x09-\x0D]') as blank, row_number() over (partition by conv_id, role, text order by i) > 1 as again,
+         not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') as open_end, lag(role) over (partition by conv_id order by i) as before from placed
+), faults as (
+  select conv_id, i, turn, role, text, blank, again and not blank as duplicate, open_end and not blank and not again as truncated,
+         before is not null and before[1] || role[1] not in ('su', 'ua', 'au') as illegal, blank or again as must_go, role[1] as kind from flagged
+), fills(a, b, cost, audit, said) as (
+  values (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''),
+    (0, 2, 5, 'I', chr(10) || 'user:'), (1, 2, 5, 'I', chr(10) || 'user:'), (3, 2, 5, 'I', chr(10) || 'user:'), (2, 3, 5, 'I', chr(10) || 'assistant:'),
+    (0, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')
+), ways(letter, price) as (values ('D', 2), ('K', 0), ('R', 1)
+), states as (
+  select conv_id, 0::bigint as i, 0 as state, {'cost': 0, 'audit': '', 'said': ''} as best from (select distinct conv_id from placed)
+  union all
+  select conv_id, i, state, min(best) from (
+    select f.conv_id, f.i, case when letter = 'D' then b when letter = 'K' and kind = 's' then 1 when b = 2 then 3 else 2 end as state,
+           {'cost': s.best.cost + l.cost + price + case when truncated and letter <> 'D' then 5 else 0 end, 'audit': s.best.audit || l.audit || letter,
+            'said': s.best.said || l.said || case letter when 'D' then '' when 'K' then chr(10) || role || ':' || text
+              else chr(10) || case when b = 2 then 'assistant' else 'user' end || ':' || text end} as best
+    from states s join faults f on f.conv_id is not distinct from s.conv_id and f.i = s.i + 1 join fills l on l.a = s.state, ways
+    where letter = 'D' or not must_go and (letter = 'R' or kind = 's' and b = 0 or kind = 'u' and b <> 2 or kind = 'a' and b = 2))
+  group by conv_id, i, state
+), counted as (
+  select conv_id, max(i) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank, count(*) filter (duplicate) as duplicate,
+         count(*) filter (truncated) as truncated, count(*) filter (illegal) as illegal from faults group by conv_id
+), ended as (
+  select c.*, (select min({'cost': s.best.cost + l.cost, 'audit': s.best.audit || l.audit, 'said': s.best.said || l.said})
+    from states s join fills l on l.a = s.state where s.conv_id is not distinct from c.conv_id and s.i = c.n and l.b in (0, 3)) as best from counted c
+)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+       coalesce(best.cost, 0)::bigint as cost, coalesce(best.audit, '') as audit, sha256(coalesce(substr(best.said, 2), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join ended e on e.conv_id is not distinct from o.conv_id
+"""
+
 LLM_QUERIES = {
     "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
@@ -163,4 +212,4 @@ LLM_QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-LLM_ORACLES = {"op6_mixing": OP6_SQL, "op10_top_k": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_hyperminhash": OP12_SQL}
+LLM_ORACLES = {"op6_mixing": OP6_SQL, "op10_top_k": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_hyperminhash": OP12_SQL, "op13_conversation_repair": OP13_SQL}
