@@ -558,6 +558,16 @@ def stream_statistics(v):
     return rounded(monitor.statistics_from_state(state, ["end_reason"]), "mean_qscore")
 
 
+@query("stream_running_series", """
+with b as (select end_reason, time_bucket(interval 5 minute, ts) as bucket, count(*) as n, cast(sum(length) as bigint) as bases, -10 * log10(avg(pow(10, -qscore / 10))) as q from stream_reads group by 1, 2)
+select end_reason, strftime(bucket, '%Y-%m-%d %H:%M') as bucket, n, bases, cast(sum(n) over w as bigint) as cumulative_reads, cast(sum(bases) over w as bigint) as cumulative_bases, round(q, 6) as mean_qscore
+from b where bucket + interval 5 minute <= (select max(ts) from stream_reads) - interval 1 hour window w as (partition by end_reason order by bucket)""", ("stream_reads",))
+def stream_running_series(v):
+    """Append mode: the buckets that were finished an hour before the last row, totals carried in keyed state."""
+    out = _drain(v, "running-series", lambda rows: monitor.running_series(rows, ["end_reason"], late="1 hour"), "append").drop("batch")
+    return rounded(out.withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd HH:mm")), "mean_qscore")
+
+
 @query("stream_series", """
 with b as (select end_reason, time_bucket(interval 5 minute, ts) as bucket, count(*) as n, cast(sum(length) as bigint) as bases, -10 * log10(avg(pow(10, -qscore / 10))) as q from stream_reads group by 1, 2)
 select end_reason, strftime(bucket, '%Y-%m-%d %H:%M') as bucket, n, bases, cast(sum(n) over w as bigint) as cumulative_reads, cast(sum(bases) over w as bigint) as cumulative_bases, round(q, 6) as mean_qscore

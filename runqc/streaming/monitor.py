@@ -55,7 +55,10 @@ def statistics_from_state(state: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def bucket_series(reads: DataFrame, keys: Sequence[str], ts: str = "ts", late: str = LATE) -> DataFrame:
-    """Five-minute tumbling buckets; rows later than ``late`` are dropped and show in the metrics."""
+    """Five-minute tumbling buckets; in append mode each is put out once, when it is ``late`` past, and its state goes.
+
+    Rows of buckets that have been put out are dropped; ``late_rows`` counts them.
+    """
     return (
         reads.withWatermark(ts, late)
         .groupBy(*keys, F.window(ts, f"{timeline.BUCKET_SECONDS} seconds").alias("w"))
@@ -81,6 +84,47 @@ def cumulative(buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+class RunningTotals(StatefulProcessor):
+    """Carries reads and bases of a key over finished buckets; its state is two numbers."""
+
+    def __init__(self, keys: Sequence[str]):
+        self.keys = list(keys)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.totals = handle.getValueState("totals", "n bigint, bases bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, bases = self.totals.get() if self.totals.exists() else (0, 0)
+        buckets = pd.concat(list(rows)).sort_values("bucket")
+        buckets = buckets.assign(cumulative_reads=buckets["n"].cumsum() + n, cumulative_bases=buckets["bases"].cumsum() + bases)
+        self.totals.update((int(buckets["cumulative_reads"].iloc[-1]), int(buckets["cumulative_bases"].iloc[-1])))
+        yield buckets[[*self.keys, "bucket", "n", "bases", "cumulative_reads", "cumulative_bases", "mean_qscore"]]
+
+    def close(self) -> None:
+        pass
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def running_series(reads: DataFrame, keys: Sequence[str], ts: str = "ts", late: str = LATE) -> DataFrame:
+    """The series with cumulative columns as an append-mode stream: every bucket once, when it is finished.
+
+    Buckets finish in order of time, so totals are carried from one to the next. Needs the RocksDB state store, which
+    is set for the session.
+    """
+    reads.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    buckets = bucket_series(reads, keys, ts, late).withColumn("mean_qscore", phred.to_qscore(F.col("p_sum") / F.col("n"))).drop("p_sum")
+    types = {f.name: f.dataType.simpleString() for f in buckets.schema}
+    schema = ", ".join(f"`{k}` {types[k]}" for k in [*keys, "bucket", "n", "bases"]) + ", cumulative_reads bigint, cumulative_bases bigint, mean_qscore double"
+    return buckets.groupBy(*keys).transformWithStateInPandas(RunningTotals(keys), schema, "append", "none")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Groups of late rows (of one bucket and key in a batch) that the query has dropped, by its progress reports."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 def start(
     stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str,
     mode: str = "complete", refresh: str | None = REFRESH,

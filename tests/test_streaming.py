@@ -50,6 +50,26 @@ def test_series_equals_batch(spark, reads):
     assert joined.where(~same).count() == 0
 
 
+def test_running_series_in_append_mode(spark, tmp_path):
+    """Buckets come once and in order; a row of a finished bucket is dropped and counted; finished state goes."""
+    at = lambda minutes: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=minutes)
+    batches = [[("a", at(1), 100), ("a", at(2), 50), ("b", at(7), 10)], [("a", at(8), 30), ("a", at(40), 5)], [("b", at(41), 20)], [("a", at(3), 999), ("b", at(90), 1)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame([(*r, 10.0, True) for r in rows], SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
+        time.sleep(0.05)
+    stream = monitor.read_stream(spark, str(tmp_path / "in" / "*"), SCHEMA, maxFilesPerTrigger="1")
+    seen = []
+    query = monitor.start(
+        monitor.running_series(stream, ["run"], late="10 minutes"), lambda df, _: seen.extend(tuple(r)[:6] for r in df.orderBy("bucket").collect()), str(tmp_path / "cp"), "append", refresh=None)
+    query.awaitTermination()
+    want = [("a", at(0), 2, 150, 2, 150), ("b", at(5), 1, 10, 1, 10), ("a", at(5), 1, 30, 3, 180), ("a", at(40), 1, 5, 4, 185), ("b", at(40), 1, 20, 2, 30)]
+    assert sorted(seen) == sorted(want)
+    assert [r for r in seen if r[0] == "a"] == [r for r in want if r[0] == "a"]
+    assert monitor.late_rows(query) == 1
+    windows = [p["stateOperators"][-1]["numRowsTotal"] for p in query.recentProgress]
+    assert max(windows) > windows[-1]
+
+
 def test_alerts_per_batch(spark, reads):
     _, stream, path = reads
     drain(monitor.length_state(stream, ["run"]), monitor.alert_sink(["run"], str(path / "alerts")), path)
