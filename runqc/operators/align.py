@@ -227,7 +227,7 @@ def classify_reads(
     )
     known = F.col("expected_target").isNotNull()
     in_bounds = F.col("length").between(min_length, max_length)
-    asked = sized.where(known & in_bounds).groupBy("experiment", "id").agg(F.first("length").alias("length"), F.first("seq").alias("seq"))
+    asked = sized.where(known & in_bounds).select("experiment", "id", "length", F.upper("seq").alias("seq")).distinct()
     pool = experiment_targets(barcode_map, targets).select(
         "experiment", "target_id", "target_seq", "expected_length", "range_min", "range_max"
     )
