@@ -28,12 +28,16 @@ def running(
     keys: Sequence[str],
     value: str,
     weights: Sequence[str],
-    width: float,
+    width: float | Column,
 ) -> DataFrame:
-    """Add ``<w>_before`` (weight strictly below the value) and ``<w>_all`` per group."""
+    """Add ``<w>_before`` (weight strictly below the value) and ``<w>_all`` per group.
+
+    ``width`` is that of the buckets, or an expression that gives a bucket number which never falls as the value rises.
+    """
     # The explicit filter is the one the join below would infer for one branch only; stated for
     # both, the two branches stay identical and share one scan and one shuffle.
-    spread = hist.withColumn("_b", F.floor(F.col(value) / F.lit(width)).cast("long")).where(F.col("_b").isNotNull())
+    bucket = width if isinstance(width, Column) else F.floor(F.col(value) / F.lit(width))
+    spread = hist.withColumn("_b", bucket.cast("long")).where(F.col("_b").isNotNull())
     if not keys:
         spread = spread.withColumn("_all", F.lit(0))
     group = list(keys) or ["_all"]

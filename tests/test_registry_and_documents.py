@@ -167,3 +167,36 @@ def test_smoothing_mirrors_at_nothing_and_has_no_end(rows):
     for b, v in got.items():
         assert v == pytest.approx(smooth[b // 10] / smooth.max() * 100, abs=1e-6)
     assert len(got) == int((smooth > 0).sum())
+
+
+def test_isotonic_blocks_are_those_of_plain_pooling(spark, rows):
+    random.seed(9)
+    data = [(random.random() ** 3, random.randint(0, 1)) for _ in range(3000)] + [(0.25, 1)] * 1500 + [(0.0, 0), (1.0, 1)]
+    fit = C.isotonic_fit(rows(data, "p double, err int")).orderBy("lo").collect()
+    plain = []
+    for p in sorted({p for p, _ in data}):
+        hit = [e for q, e in data if q == p]
+        plain.append([p, p, len(hit), sum(hit)])
+        while len(plain) > 1 and plain[-2][3] * plain[-1][2] >= plain[-1][3] * plain[-2][2]:
+            _, hi, n, e = plain.pop()
+            plain[-1] = [plain[-1][0], hi, plain[-1][2] + n, plain[-1][3] + e]
+    assert [[r.lo, r.hi, r.n, r.errors] for r in fit] == plain
+    unseen = [(p,) for p in [-0.5, 0.0, 1e-9, 0.1, 0.25, 0.5, 0.77, 1.0, 1.5]] + [(r.hi + 1e-7,) for r in fit]
+    x, y = [v for b in plain for v in b[:2]], [b[3] / b[2] for b in plain for _ in range(2)]
+    got = C.isotonic_apply(rows(unseen, "p double"), spark.createDataFrame(fit)).collect()
+    assert len(got) == len(unseen)
+    for r in got:
+        assert r.p_cal == pytest.approx(float(np.interp(r.p, x, y)), abs=1e-9)
+
+
+def test_isotonic_without_values(rows):
+    none = rows([(None, 1), (float("nan"), 0), (0.5, None)], "p double, err int")
+    assert C.isotonic_fit(none).count() == 0
+    assert [r.p_cal for r in C.isotonic_recalibrate(none).collect()] == [None] * 3
+    some = rows([(None, 1), (float("nan"), 0), (0.5, 1), (0.25, 0)], "p double, err int")
+    assert sorted((r.p_cal for r in C.isotonic_recalibrate(some).collect()), key=str) == [0.0, 1.0, None, None]
+
+
+def test_platt_ends_on_separated_flags(rows):
+    got = C.platt_recalibrate(rows([(i / 100, int(i > 50)) for i in range(1, 100)], "p double, err int")).collect()
+    assert all((r.p_cal > 0.5) == (r.err == 1) for r in got)
