@@ -447,6 +447,34 @@ def extract_captions(v):
     )
 
 
+PAGE_KINDS = {"head": ("<head>", "</head>"), "article": ("<article>", "</article>"), "p": ("<p>", "</p>"), "li": ("<li>", "</li>"), "h1": ("<h1>", "</h1>")}
+# Before each block of a kind lie the pieces between blocks and the blocks before it.
+PAGE_BLOCKS_SQL = "b as (" + " union all ".join(f"""
+  select page_id, '{kind}' as kind, i as ordinal, html, inner_[i] as content, whole[i] as block,
+    array_to_string(list_transform(range(1, i + 1), lambda j: gaps[j] || case when j < i then whole[j] else '' end), '') as head
+  from (select page_id, html, unnest(range(1, len(whole) + 1)) as i, whole, inner_, gaps from (select page_id, html, regexp_extract_all(html, '(?s){o}.*?{c}') as whole,
+    regexp_extract_all(html, '(?s){o}(.*?){c}', 1) as inner_, regexp_split_to_array(html, '(?s){o}.*?{c}') as gaps from pages))""" for kind, (o, c) in PAGE_KINDS.items()) + ")"
+
+
+@query("page_environments", f"""with {PAGE_BLOCKS_SQL}
+select page_id, kind, ordinal, 1 + length(head) - length(replace(head, chr(10), '')) as line_number, contains(right(head, 200), '<article>') as is_core,
+  md5(trim(content, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) as content_md5, md5(right(head, 200)) as before_md5, md5(left(substr(html, length(head) + length(block) + 1), 200)) as after_md5 from b""")
+def page_environments(v):
+    """Blocks of several kinds, some inside others, from one scan of each page; LaTeX environments use the same operator."""
+    out = D.environments(v.texts("pages", "page_id"), ["page_id"], "html", PAGE_KINDS, "<article>")
+    return out.select("page_id", "kind", "ordinal", "line_number", "is_core", F.md5("content").alias("content_md5"), F.md5("before").alias("before_md5"), F.md5("after").alias("after_md5"))
+
+
+@query("page_captions", f"""with {PAGE_BLOCKS_SQL}
+select page_id, kind, ordinal, coalesce(nullif(regexp_extract(content, '(?s)<(?:h1|title)>(.*?)</', 1), ''), 'No caption') as caption, nullif(regexp_extract(content, 'charset="(.*?)"', 1), '') as label from b where kind in ('head', 'article', 'li')""")
+def page_captions(v):
+    """Captions of blocks: headings of articles, titles of heads; list items have none."""
+    kinds = {k: PAGE_KINDS[k] for k in ("head", "article", "li")}
+    blocks = D.environments(v.texts("pages", "page_id"), ["page_id"], "html", kinds)
+    out = D.captions(blocks, "(?s)<(?:h1|title)>(.*?)</", 'charset="(.*?)"')
+    return out.select("page_id", "kind", "ordinal", "caption", "label")
+
+
 @query("symbols", """
 select doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(' ' || regexp_replace(text, '[^a-zA-Z]+', '  ', 'g') || ' ', ' ([a-zA-Z]) ', 1))), ',') as symbols from documents""")
 def symbols(v):

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -200,3 +201,36 @@ def test_isotonic_without_values(rows):
 def test_platt_ends_on_separated_flags(rows):
     got = C.platt_recalibrate(rows([(i / 100, int(i > 50)) for i in range(1, 100)], "p double, err int")).collect()
     assert all((r.p_cal > 0.5) == (r.err == 1) for r in got)
+
+
+def plain_environments(text, kinds, context, core):
+    """The blocks by regular expressions, one kind after the other."""
+    out = []
+    for kind, (o, c) in kinds.items():
+        for i, m in enumerate(re.finditer(re.escape(o) + "(.*?)" + re.escape(c), text, re.DOTALL), 1):
+            before = text[:m.start()][-context:]
+            out.append((kind, i, text[:m.start()].count("\n") + 1, m.group(1).strip(" \t\n\r\f\v"), before, text[m.end():m.end() + context], bool(re.search(core, before))))
+    return sorted(out)
+
+
+def test_environments_against_plain_scans(rows):
+    random.seed(3)
+    kinds = {"a": ("<a>", "</a>"), "b": ("[b", "b]"), "a*": ("<a*>", "</a*>")}
+    parts = [m for pair in kinds.values() for m in pair] + ["\n", " x ", "é", "core", "\\Q"]
+    texts = ["", None, "no marks", "<a>", "</a><a></a>", "<a><a*></a></a*>"]
+    texts += ["".join(random.choices(parts, k=random.randint(1, 60))) for _ in range(40)]
+    texts += ["\n<a>x</a>" * 700, "".join(random.choices(parts, k=4000))]
+    docs = rows([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = X.environments(docs, ["id"], "text", kinds, "core", 7).collect()
+    for i, t in enumerate(texts):
+        mine = sorted((r.kind, r.ordinal, r.line_number, r.content, r.before, r.after, r.is_core) for r in got if r.id == i)
+        assert mine == plain_environments(t or "", kinds, 7, "core"), t
+    with pytest.raises(ValueError):
+        X.environments(docs, ["id"], "text", {"a": ("", "x")})
+
+
+def test_core_equations_and_nesting(rows):
+    text = r"\CEanchor{12}" + "\n" + r"\begin{gather} a \begin{align} b \end{align} \end{gather} and \begin{multline} c"
+    got = {r.kind: r for r in X.equations(rows([("d", text)], "doc string, text string"), ["doc"]).collect()}
+    assert set(got) == {"gather", "align"} and got["align"].is_core and got["align"].line_number == 2
+    assert got["gather"].content.startswith("a \\begin{align}") and got["gather"].after == " and \\begin{multline} c"
