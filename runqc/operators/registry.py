@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runqc.functions.common import is_present, messages
 
@@ -72,6 +73,48 @@ def listing(df: DataFrame, status: str | None = None, tag: str | None = None, so
     return df if tag is None else df.where(F.array_contains("tags", tag))
 
 
+def batch(
+    df: DataFrame, incomplete: bool = False, unanalysed: bool = False, source: str | None = None, limit: int | None = None,
+    analyses: str = "analyses", id_col: str = "id",
+) -> DataFrame:
+    """Experiments for a batch run: not ``good`` by ``completeness_status`` (the ``status`` of ``completeness``), without
+    analyses, of one source; filters add up.
+
+    ``limit`` keeps the first by id. An experiment whose analyses are NULL or empty is unanalysed.
+    """
+    if incomplete:
+        df = df.where(~F.col("completeness_status").eqNullSafe("good"))
+    if unanalysed:
+        df = df.where(F.coalesce(F.size(analyses), F.lit(0)) <= 0)
+    if source is not None:
+        df = df.where(F.col("source") == source)
+    return df if limit is None else df.orderBy(id_col).limit(limit)
+
+
+def lookup(df: DataFrame, column: str, path: str, form: str = "string") -> Column:
+    """Value at the dotted ``path`` inside a document column: JSON text, VARIANT, or a struct.
+
+    A step that is absent, or that leads into something that is no document, gives NULL; so do texts that are no JSON
+    and values that ``form`` cannot hold. In a struct, maps are entered by key. Text documents keep their values as
+    they are written, nested documents come as JSON.
+    """
+    kind, steps = df.schema[column].dataType, path.split(".")
+    if isinstance(kind, (T.StringType, T.VariantType)):
+        value = F.try_parse_json(column) if isinstance(kind, T.StringType) else F.col(column)
+        if any("'" in s or not s for s in steps):
+            raise ValueError(f"not a path: {path}")
+        return F.try_variant_get(value, "$" + "".join(f"['{s}']" for s in steps), form)
+    value = F.col(column)
+    for step in steps:
+        if isinstance(kind, T.StructType) and step in kind.names:
+            value, kind = value.getField(step), kind[step].dataType
+        elif isinstance(kind, T.MapType):
+            value, kind = F.try_element_at(value, F.lit(step)), kind.valueType
+        else:
+            return F.lit(None).cast(form)
+    return value.try_cast(form)
+
+
 def any_tag(df: DataFrame, tags: Sequence[str]) -> DataFrame:
     return df.where(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in tags])))
 
@@ -421,6 +464,21 @@ def history(events: DataFrame, key: str, order: Sequence[str], limit: int | None
     return numbered if limit is None else numbered.where(F.col("position") <= limit)
 
 
+def provenance(events: DataFrame, key: str, order: Sequence[str], document: str) -> DataFrame:
+    """Every event with what it ran and how it ended, out of its JSON ``document``; no window, so one row in, one row out.
+
+    Adds command, agent, machine (text), duration_seconds (double), exit_code (int), outputs (array of paths; NULL if
+    none are named) and outcome: ``ok`` for exit code 0, ``failed`` for another, NULL without one.
+    """
+    at = lambda path, form="string": lookup(events, document, path, form)
+    code = at("exit_code", "int")
+    return events.select(
+        key, *order, at("command").alias("command"), at("agent").alias("agent"), at("machine").alias("machine"),
+        at("duration_seconds", "double").alias("duration_seconds"), code.alias("exit_code"),
+        at("outputs", "array<string>").alias("outputs"), F.when(code == 0, "ok").when(code.isNotNull(), "failed").alias("outcome"),
+    )
+
+
 def artifact_versions(artifacts: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Next free version per artifact: highest ``v<n>`` seen plus one, 1 when there is none."""
     number = F.regexp_extract("version", r"^v(\d+)$", 1)

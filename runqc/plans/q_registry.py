@@ -169,6 +169,60 @@ def registry_list(v):
     return X.listing(v.experiments, status="active", tag="t3").select("exp_id", "name")
 
 
+BATCH_SQL = """x as (select o_orderkey as id, case o_orderstatus when 'F' then 'good' when 'O' then 'partial' end as completeness_status,
+  case when o_custkey % 3 > 0 then list_filter(string_split(o_orderpriority, '-'), lambda w: length(w) > 4) end as analyses, case when o_orderpriority < '3' then 'local' else 'public' end as source from orders)"""
+
+
+@query("registry_batch", f"""with {BATCH_SQL} select id, source from x where completeness_status is distinct from 'good' and coalesce(len(analyses), 0) = 0 and source = 'public'""")
+def registry_batch(v):
+    k = F.col("o_custkey")
+    rows = v.table("orders").select(
+        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "good").when(F.col("o_orderstatus") == "O", "partial").alias("completeness_status"),
+        F.when(k % 3 > 0, F.filter(F.split("o_orderpriority", "-"), lambda w: F.length(w) > 4)).alias("analyses"),
+        F.when(F.col("o_orderpriority") < "3", "local").otherwise("public").alias("source"),
+    )
+    return X.batch(rows, incomplete=True, unanalysed=True, source="public").select("id", "source")
+
+
+# Documents of three levels out of orders; some lack a level, some are not JSON.
+ORDER_JSON_SQL = """d as (select o_orderkey as id, case when o_orderkey % 11 = 0 then 'no json' when o_orderkey % 5 = 0 then json_object('run', o_orderstatus)::varchar
+  else json_object('run', json_object('state', o_orderstatus, 'qc', json_object('reads', o_custkey, 'price', o_totalprice)), 'command', o_orderpriority, 'agent', 'agent ' || (o_custkey % 7),
+    'exit_code', o_custkey % 4, 'duration_seconds', o_totalprice, 'outputs', string_split(o_orderpriority, '-'))::varchar end as doc from orders)"""
+
+
+def order_documents(v):
+    k = F.col("o_orderkey")
+    whole = F.struct(
+        F.struct(F.col("o_orderstatus").alias("state"), F.struct(F.col("o_custkey").alias("reads"), F.col("o_totalprice").alias("price")).alias("qc")).alias("run"),
+        F.col("o_orderpriority").alias("command"), F.concat(F.lit("agent "), (F.col("o_custkey") % 7).cast("string")).alias("agent"), (F.col("o_custkey") % 4).alias("exit_code"),
+        F.col("o_totalprice").alias("duration_seconds"), F.split("o_orderpriority", "-").alias("outputs"),
+    )
+    doc = F.when(k % 11 == 0, "no json").when(k % 5 == 0, F.to_json(F.struct(F.col("o_orderstatus").alias("run")))).otherwise(F.to_json(whole))
+    return v.table("orders").select(k.alias("id"), doc.alias("doc"))
+
+
+@query("nested_lookup", f"""with {ORDER_JSON_SQL}, j as (select id, case when json_valid(doc) then doc::json end as doc from d)
+select id, json_extract_string(doc, '$.run.state') as state, cast(json_extract_string(doc, '$.run.qc.reads') as bigint) as reads, round(cast(json_extract_string(doc, '$.run.qc.price') as double), 2) as price,
+  json_extract_string(doc, '$.run.state.deeper') as deeper, json_extract_string(doc, '$.agent') as agent from j""")
+def nested_lookup(v):
+    docs = order_documents(v)
+    at = lambda path, form="string": X.lookup(docs, "doc", path, form)
+    return rounded(docs.select(
+        "id", at("run.state").alias("state"), at("run.qc.reads", "bigint").alias("reads"), at("run.qc.price", "double").alias("price"),
+        at("run.state.deeper").alias("deeper"), at("agent").alias("agent"),
+    ), "price", places=2)
+
+
+@query("event_provenance", f"""with {ORDER_JSON_SQL}, j as (select id, case when json_valid(doc) then doc::json end as doc from d)
+select id, json_extract_string(doc, '$.command') as command, json_extract_string(doc, '$.agent') as agent, round(cast(json_extract_string(doc, '$.duration_seconds') as double), 2) as duration_seconds,
+  cast(json_extract_string(doc, '$.exit_code') as int) as exit_code, coalesce(array_to_string(json_extract_string(doc, '$.outputs[*]'), '|'), '') as outputs,
+  case when cast(json_extract_string(doc, '$.exit_code') as int) = 0 then 'ok' when json_extract_string(doc, '$.exit_code') is not null then 'failed' end as outcome from j""")
+def event_provenance(v):
+    """Documents of events with command, agent, duration, exit code and outputs."""
+    out = X.provenance(order_documents(v), "id", [], "doc").drop("machine")
+    return rounded(out.withColumn("outputs", F.coalesce(F.array_join("outputs", "|"), F.lit(""))), "duration_seconds", places=2)
+
+
 @query("tag_overlap", "select exp_id from experiments where list_has_any(tags, ['t1', 'u5'])", ("experiments",))
 def tag_overlap(v):
     return X.any_tag(v.experiments, ["t1", "u5"]).select("exp_id")

@@ -234,3 +234,25 @@ def test_core_equations_and_nesting(rows):
     got = {r.kind: r for r in X.equations(rows([("d", text)], "doc string, text string"), ["doc"]).collect()}
     assert set(got) == {"gather", "align"} and got["align"].is_core and got["align"].line_number == 2
     assert got["gather"].content.startswith("a \\begin{align}") and got["gather"].after == " and \\begin{multline} c"
+
+
+def test_lookup_in_text_variant_and_struct(rows):
+    docs = rows([('{"a": {"b": {"c": 3}, "d": [1]}}', ({"k": ("v",)},)), ('{"a": 1}', ({},)), ("{", (None,)), (None, None)],
+                "j string, s struct<m: map<string, struct<x: string>>>").withColumn("v", F.try_parse_json("j"))
+    at = lambda c, path, form="string": [r[0] for r in docs.select(R.lookup(docs, c, path, form)).collect()]
+    for c in ("j", "v"):
+        assert at(c, "a.b.c", "int") == [3, None, None, None]
+        assert at(c, "a.d") == ["[1]", None, None, None]
+        assert at(c, "a") == ['{"b":{"c":3},"d":[1]}', "1", None, None]
+        assert at(c, "a.b.c.d") == at(c, "z") == [None] * 4
+    assert at("s", "m.k.x") == ["v", None, None, None]
+    assert at("s", "m.k.y") == at("s", "n") == at("s", "m.k.x.z") == [None] * 4
+    assert at("s", "m.k.x", "int") == [None] * 4
+
+
+def test_batch_filters(rows):
+    df = rows([(1, "good", "a", ["x"]), (2, "poor", "a", []), (3, None, "a", None), (4, "poor", "b", None), (5, "poor", "a", ["y"])],
+              "id int, completeness_status string, source string, analyses array<string>")
+    ids = lambda **f: sorted(r.id for r in R.batch(df, **f).collect())
+    assert ids() == [1, 2, 3, 4, 5] and ids(incomplete=True) == [2, 3, 4, 5] and ids(unanalysed=True) == [2, 3, 4]
+    assert ids(incomplete=True, unanalysed=True, source="a") == [2, 3] and ids(source="a", limit=2) == [1, 2]
