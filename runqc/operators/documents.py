@@ -17,7 +17,7 @@ CORE_MARK = r"\\CEanchor\{\d+\}"
 CONTEXT = 200
 
 BLANKS = " \t\n\r\f\x0b"
-STRIDE = 256
+STRIDE = 64
 
 # Symbols counted as variables.
 GREEK = (
@@ -31,6 +31,16 @@ VARIABLE_TYPES = [
     (["score", "quality"], "score"),
 ]
 
+# Units by the first pattern that occurs near a definition, and how far near is.
+UNITS = [
+    ("base pairs?|bp", "base pairs"),
+    ("probability|dimensionless", "dimensionless"),
+    ("percentage?|%", "percentage"),
+    ("count|number", "count"),
+    ("reads?", "reads"),
+]
+UNIT_CONTEXT = 500
+
 
 def _escape(text: str) -> str:
     return text.replace("*", r"\*")
@@ -181,13 +191,31 @@ def symbols(latex: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.concat(single, greek, operators, subscripts)))
 
 
-def variable_definitions(docs: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """``$symbol$ is/denotes/represents …`` definitions with a normalised id and inferred type."""
+def variable_definitions(docs: DataFrame, keys: Sequence[str], text: str = "text", context: int = UNIT_CONTEXT) -> DataFrame:
+    """``$symbol$ is/denotes/represents …`` definitions with a normalised id, inferred type and units.
+
+    Units are those of the first pattern of ``UNITS`` that occurs in the definition or within ``context`` characters
+    of it; NULL without one.
+    """
+    # Fixed value: what introduces a definition.
     pattern = r"(?i)(\$[^$]+\$\s+(?:represents?|denotes?|is|indicates?)\s+[^.]+)"
-    hits = docs.select(*keys, F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias("ordinal", "hit"))
+    reach = context // len("$x$ is y") + 1
+
+    def near(pieces: Column, hits: Column, hit: Column, i: Column) -> Column:
+        first = F.greatest(i - reach, F.lit(0))
+        before = F.right(_joined(pieces, hits, first, i - first + 1, i - first), F.lit(context))
+        after = F.left(_joined(pieces, hits, i + 1, F.lit(reach + 1), F.lit(reach + 1)), F.lit(context))
+        return F.concat(before, hit, after)
+
+    def found(pieces: Column) -> Column:
+        every = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+        return _let(every, lambda hits: F.transform(hits, lambda h, i: F.struct(h.alias("hit"), near(pieces, hits, h, i).alias("near"))))
+
+    hits = docs.select(*keys, F.posexplode(_let(F.split(F.col(text), pattern, -1), found)).alias("ordinal", "h")).select(*keys, "ordinal", "h.*")
     symbol = F.trim(F.regexp_extract("hit", r"^\$([^$]+)\$", 1))
     description = F.trim(F.regexp_extract("hit", r"(?is)^\$[^$]+\$\s+(?:represents?|denotes?|is|indicates?)\s+(.*)$", 1))
-    parsed = hits.select(*keys, "ordinal", symbol.alias("symbol"), description.alias("description"))
+    units = first_match([(F.col("near").rlike(f"(?i){p}"), unit) for p, unit in UNITS])
+    parsed = hits.select(*keys, "ordinal", symbol.alias("symbol"), description.alias("description"), units.alias("units"))
     lowered = F.lower("description")
     kind = first_match([
         (F.greatest(*[F.contains(lowered, F.lit(w)) for w in words]), name) for words, name in VARIABLE_TYPES

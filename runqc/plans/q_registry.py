@@ -547,6 +547,27 @@ def variable_definitions(v):
     return rows.groupBy("doc_id").agg(F.count("*").alias("definitions"), F.count_distinct("symbol").alias("symbols"))
 
 
+DEFINED = "(?i)\\$[^$]+\\$\\s+(?:represents?|denotes?|is|indicates?)\\s+[^.]+"
+UNITS_SQL = "case " + " ".join(f"when regexp_matches(near, '(?i){p}') then '{unit}'" for p, unit in D.UNITS) + " end"
+
+
+@query("variable_units", f"""
+with t as (select doc_id, regexp_replace(text, ' (\\S+) (est|ist|es|the) ', ' $\\1$ is ', 'g') as text from documents),
+p as (select doc_id, text, regexp_extract_all(text, '{DEFINED}') as hits, regexp_split_to_array(text, '{DEFINED}') as gaps from t),
+h as (select *, unnest(range(1, len(hits) + 1)) as i from p),
+c as (select doc_id, i, hits[i] as hit, text, array_to_string(list_transform(range(1, i + 1), lambda j: gaps[j] || case when j < i then hits[j] else '' end), '') as head from h),
+n as (select doc_id, i, trim(regexp_extract(hit, '^\\$([^$]+)\\$', 1)) as symbol, trim(regexp_extract(hit, '(?is)^\\$[^$]+\\$\\s+(?:represents?|denotes?|is|indicates?)\\s+(.*)$', 1)) as description,
+  right(head, 500) || hit || left(substr(text, length(head) + length(hit) + 1), 500) as near from c)
+select doc_id, i - 1 as ordinal, 'var_' || regexp_replace(replace(symbol, '^', '_'), '[^a-zA-Z0-9_]', '', 'g') as var_id, md5(description) as description_md5, {UNITS_SQL} as units,
+  case when regexp_matches(lower(description), 'probability|likelihood|posterior') then 'probability' when regexp_matches(lower(description), 'count|number|size') then 'count'
+    when regexp_matches(lower(description), 'rate|fraction|ratio') then 'rate' when regexp_matches(lower(description), 'score|quality') then 'score' end as math_type from n""")
+def variable_units(v):
+    """Words before a function word as symbols: ids, descriptions, types and units by value."""
+    marked = F.regexp_replace("text", r" (\S+) (est|ist|es|the) ", r" \$$1\$ is ")
+    out = D.variable_definitions(v.texts("documents", "doc_id").select("doc_id", marked.alias("text")), ["doc_id"])
+    return out.select("doc_id", "ordinal", "var_id", F.md5("description").alias("description_md5"), "units", "math_type")
+
+
 USE_SQL = """claimed as (select case when size < 25 then brand else type end as variable, item as "user" from parts union select words[1], item from parts),
 actual as (select distinct unnest(case when size > 10 then words else [brand] end) as variable, item as "user" from parts)"""
 

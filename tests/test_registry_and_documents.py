@@ -256,3 +256,16 @@ def test_batch_filters(rows):
     ids = lambda **f: sorted(r.id for r in R.batch(df, **f).collect())
     assert ids() == [1, 2, 3, 4, 5] and ids(incomplete=True) == [2, 3, 4, 5] and ids(unanalysed=True) == [2, 3, 4]
     assert ids(incomplete=True, unanalysed=True, source="a") == [2, 3] and ids(source="a", limit=2) == [1, 2]
+
+
+def test_units_near_definitions(rows):
+    random.seed(5)
+    parts = ["$x$ is the size. ", "$y_{1}$ denotes a rate of bp. ", "$z$ IS é. ", "filler words. ", "a Percentage. ", "of reads. ", "\n"]
+    texts = ["", None, "$a$ is b"] + ["".join(random.choices(parts, k=random.randint(1, 80))) for _ in range(30)]
+    got = X.variable_definitions(rows([(i, t) for i, t in enumerate(texts)], "id int, text string"), ["id"], context=40).collect()
+    for i, t in enumerate(texts):
+        plain = []
+        for m in re.finditer(r"\$([^$]+)\$\s+(?:represents?|denotes?|is|indicates?)\s+([^.]+)", t or "", re.I):
+            near = t[max(0, m.start() - 40):m.end() + 40]
+            plain.append((m.group(1), m.group(2).strip(), next((u for p, u in X.UNITS if re.search(p, near, re.I)), None)))
+        assert [(r.symbol, r.description.strip(), r.units) for r in sorted(got, key=lambda r: r.ordinal) if r.id == i] == plain
