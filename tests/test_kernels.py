@@ -1,6 +1,7 @@
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -103,3 +104,26 @@ def test_panel_prefers_the_first_reference():
 
 def test_cigar_text():
     assert [B.cigar(ops) for ops in B.paths(["ACGT", "ACT", "", "", "AC"], ["ACGT", "ACGT", "AC", "", ""])] == ["4=", "2=1D1=", "2D", "", "2I"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(dna(0, 70), st.text("ACGTN", max_size=150)), min_size=1, max_size=6), st.sampled_from([1, 9, 512]))
+def test_pairs_are_located_together(pairs, piece):
+    """Also where long targets are searched in pieces; ``locate`` is the plain version."""
+    before, K.PIECE = K.PIECE, piece
+    try:
+        for mode in ("HW", "SHW"):
+            got = K.locate_pairs(pd.Series([a for a, _ in pairs]), pd.Series([b for _, b in pairs]), mode).to_numpy()
+            assert np.array_equal(got, [K.locate(a, [b], mode)[0] for a, b in pairs])
+    finally:
+        K.PIECE = before
+
+
+def test_distinct_queries_share_their_steps(monkeypatch):
+    """500 queries with a target each take as many steps as the longest pair, not as all of them."""
+    rng, steps, step = np.random.default_rng(3), [], K.step
+    text = lambda n: "".join(rng.choice(list("ACGT"), n))
+    monkeypatch.setattr(K, "step", lambda *a: steps.append(1) or step(*a))
+    monkeypatch.setattr(K, "_final_row", None)
+    K.locate_pairs(pd.Series([text(30) for _ in range(500)]), pd.Series([text(60) for _ in range(499)] + [text(20_000)]), "HW")
+    assert len(steps) < 2 * (K.PIECE + 3 * 60)
