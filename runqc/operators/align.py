@@ -77,8 +77,8 @@ def distance_columns(reads: DataFrame, panel: Mapping[str, str], seq: str = "seq
 
 #: Bases of an unchanged piece. Twelve bases have 16.8 million spellings, so pieces are selective.
 PIECE = 12
-#: References of one block, and sequences of one chunk, that are held against each other.
-BLOCK, CHUNK = 1024, 1024
+#: References of one block, and sequences of one chunk and their bases, that are held against each other.
+BLOCK, CHUNK, CHUNK_BASES = 1024, 32768, 1 << 23
 
 
 def _named(seq: Column) -> Column:
@@ -125,14 +125,16 @@ def _closest(refs: pa.Table, reads: pa.Table) -> pa.Table:
     return pa.table({"id": reads.column("id"), "d": pa.array(d, pa.int32()), "ord": found.column("ord"), "ref_id": found.column("ref_id")})
 
 
-def _scanned(rest: DataFrame, r: DataFrame, reads: DataFrame) -> DataFrame:
+def _scanned(rest: DataFrame, r: DataFrame, u: DataFrame) -> DataFrame:
     """(id, d, ord, ref_id): for every sequence in ``rest(id, u)`` the nearest reference of every block.
 
     Blocks of references meet chunks of sequences, both of bounded size: their numbers follow from counts that are part
-    of the plan. ``reads`` bounds the number of sequences.
+    of the plan. ``u`` bounds the number of sequences and their bases.
     """
-    parts = lambda df, size: F.ceil(df.agg(F.count("*").alias("n")).scalar() / size).cast("long")
-    blocks, chunks = F.greatest(parts(r, BLOCK), F.lit(1)), F.greatest(parts(reads, CHUNK), F.lit(1))
+    share = lambda df, total, size: F.ceil(df.agg(total.alias("n")).scalar() / size)
+    blocks = F.greatest(share(r, F.count("*"), BLOCK).cast("long"), F.lit(1))
+    load = F.coalesce(F.sum(F.lit(1 / CHUNK) + F.col("n") / CHUNK_BASES), F.lit(0.0))
+    chunks = F.greatest(share(u, load, 1).cast("long"), F.lit(1))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     left = r.withColumn("block", F.pmod(F.xxhash64("ord", "ref_id"), blocks)).withColumn("chunk", every(chunks))
     right = rest.select("id", "u", F.pmod(F.xxhash64("id"), chunks).alias("chunk")).withColumn("block", every(blocks))
@@ -143,21 +145,22 @@ def _scanned(rest: DataFrame, r: DataFrame, reads: DataFrame) -> DataFrame:
 def best_reference(reads: DataFrame, refs: DataFrame, seq: str = "seq") -> DataFrame:
     """Closest reference (ref_id, ref_seq, ord) of every read by global distance, first in order on ties.
 
-    Equal sequences are aligned once. Candidates share an unchanged piece; the closest of them is the answer if its
-    distance is covered, that is if every closer reference would have shared a piece as well. The remaining sequences
-    are held against all references, block by block.
+    Equal sequences are aligned once. Where references fill more than one block, candidates share an unchanged piece; the
+    closest of them is the answer if its distance is covered, that is if every closer reference would have shared a piece
+    as well. The remaining sequences are held against all references, block by block.
     """
     u = _sequences(reads, seq)
     r = refs.select("ord", "ref_id", F.upper("ref_seq").alias("s"), F.length("ref_seq").alias("m"))
+    many = r.agg(F.count("*").alias("n")).scalar() > BLOCK
     least = lambda df: df.groupBy("id").agg(F.min(F.struct("d", "ord", "ref_id")).alias("b"))
-    near = least(_within_pieces(u, r))
-    tried = u.join(near, "id", "left").withColumn("limit", F.col("b.d"))
+    tried = u.where(many)
+    tried = tried.join(least(_within_pieces(tried, r)), "id", "left").withColumn("limit", F.col("b.d"))
     # A closer reference has n - d bases at least.
     covered = F.coalesce((F.col("limit") == 0) | (F.col("limit") < F.floor((F.col("n") - F.col("limit")) / PIECE)), F.lit(False))
-    rest = tried.where(~covered).select("id", "u")
-    best = tried.where(covered).select("u", "b").unionAll(least(_scanned(rest, r, reads)).join(u.select("id", "u"), "id").select("u", "b"))
-    hits = best.select(F.col("u").alias("_u"), F.col("b.ref_id").alias("ref_id"), F.col("b.d").alias("edit_distance"))
-    return reads.withColumn("_u", F.upper(F.col(seq))).join(hits, "_u").drop("_u")
+    rest = u.where(~many).select("id", "u").unionAll(tried.where(~covered).select("id", "u"))
+    best = tried.where(covered).select("id", "b").unionAll(least(_scanned(rest, r, u)))
+    hits = best.select(F.col("id").alias("_id"), F.col("b.ref_id").alias("ref_id"), F.col("b.d").alias("edit_distance"))
+    return reads.withColumn("_id", _named(F.upper(F.col(seq)))).join(hits, "_id").drop("_id")
 
 
 def similarity_join(reads: DataFrame, refs: DataFrame, k: int, seq: str = "seq") -> DataFrame:

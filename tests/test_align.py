@@ -199,3 +199,14 @@ def test_error_profile_by_brute_force(rows):
 def test_distance_matrix(rows):
     got = A.distance_columns(rows([("ACGT",)], "seq string"), {"a": "ACGA", "b": "AC"}).first().asDict()
     assert got == {"seq": "ACGT", "a": 1, "b": 2}
+
+
+def test_few_references_are_held_against_all_reads_at_once(rows):
+    """No windows of reads are spelt out where one block holds the references, and chunks are few."""
+    refs = [(f"r{i}", dna(40), i) for i in range(10)]
+    reads = [(dna(40),) for _ in range(3000)]
+    u = A._sequences(rows(reads, "seq string"), "seq")
+    r = rows(refs, "ref_id string, s string, ord bigint").withColumn("m", F.length("s"))
+    got = A._scanned(u, r, u)
+    chunks = got.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert got.count() == 3000 and chunks == 1

@@ -127,3 +127,20 @@ def test_distinct_queries_share_their_steps(monkeypatch):
     monkeypatch.setattr(K, "_final_row", None)
     K.locate_pairs(pd.Series([text(30) for _ in range(500)]), pd.Series([text(60) for _ in range(499)] + [text(20_000)]), "HW")
     assert len(steps) < 2 * (K.PIECE + 3 * 60)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(dna(0, 140), min_size=1, max_size=30), st.lists(st.text("ACGTN", max_size=300), min_size=1, max_size=8))
+def test_closest_is_the_first_of_the_least(refs, reads):
+    which, d = K.Panel(refs).closest(reads)
+    table = np.array([[edit(r, f) for f in refs] for r in reads])
+    assert np.array_equal(which, table.argmin(axis=1)) and np.array_equal(d, table.min(axis=1))
+
+
+def test_references_of_other_lengths_are_not_tried(monkeypatch):
+    rng, tried, table = np.random.default_rng(4), [], K.Panel._table
+    text = lambda n: "".join(rng.choice(list("ACGT"), n))
+    monkeypatch.setattr(K.Panel, "_table", lambda self, codes, *a: tried.append(len(codes) * len(a[1])) or table(self, codes, *a))
+    refs, reads = [text(n) for n in range(5, 205)], [text(60) for _ in range(50)]
+    which, _ = K.Panel(refs).closest(reads)
+    assert sum(tried) < 0.5 * len(refs) * len(reads) and all(25 < len(refs[i]) < 95 for i in which)
