@@ -144,3 +144,22 @@ def test_references_of_other_lengths_are_not_tried(monkeypatch):
     refs, reads = [text(n) for n in range(5, 205)], [text(60) for _ in range(50)]
     which, _ = K.Panel(refs).closest(reads)
     assert sum(tried) < 0.5 * len(refs) * len(reads) and all(25 < len(refs[i]) < 95 for i in which)
+
+
+def test_infixes_of_a_panel():
+    rng = np.random.default_rng(6)
+    text = lambda n: "".join(rng.choice(list("ACGTN"), n))
+    refs, texts = [text(n) for n in (0, 1, 8, 24, 64, 65, 130)], [text(n) for n in (0, 1, 30, 150, 90, 30, 300)]
+    d, e = K.Panel(refs).infixes(texts)
+    for i, ref in enumerate(refs):
+        want = K.locate_ends(ref, texts, "HW")
+        assert np.array_equal(d[:, i], want[0]) and np.array_equal(e[:, i], want[1])
+
+
+def test_paths_do_not_fill_the_band(monkeypatch):
+    """A short target against a long read: the band is as wide as the read, the bits as few as the target's."""
+    rng = np.random.default_rng(7)
+    a, b = "".join(rng.choice(list("ACGT"), 3000)), "".join(rng.choice(list("ACGT"), 70))
+    monkeypatch.setattr(B, "_solve", None)
+    for q, t in ((a, b), (b, a), (a[:70], b)):
+        assert B.letters(B.paths([q], [t])[0]) == full_table(q, t)
