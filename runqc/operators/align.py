@@ -298,27 +298,29 @@ def demultiplex(
     """
     kit = list(barcodes.items())
 
-    def search(regions: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def search(front: kernels.Panel, codes: kernels.Panel, regions: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Best (edits, barcode index) of each region; an earlier barcode wins ties."""
-        edits, ends = kernels.locate_ends(flank, regions, "HW")
+        edits, ends = (x[:, 0] for x in front.infixes(regions))
         windows = [
             r[e + 1: e + 1 + BARCODE_WINDOW] if d <= FLANK_EDITS else r for r, d, e in zip(regions, edits, ends)
         ]
-        table = np.stack([kernels.locate_ends(code, windows, "HW")[0] for _, code in kit])
-        return table.min(axis=0), table.argmin(axis=0)
+        size = max(1, kernels.MAX_CELLS // len(kit))
+        tables = [codes.infixes(windows[i: i + size])[0] for i in range(0, len(windows), size)]
+        return np.concatenate([t.min(axis=1) for t in tables]), np.concatenate([t.argmin(axis=1) for t in tables])
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = np.array([name for name, _ in kit] + ["unclassified"], dtype=object)
+        panels = kernels.Panel([flank]), kernels.Panel([code for _, code in kit])
         for pdf in frames:
             texts = pdf[seq].fillna("").tolist()
             best = np.full(len(texts), -1)
             which = np.full(len(texts), len(kit))
             long_enough = np.array([i for i, t in enumerate(texts) if len(t) >= MIN_DEMUX_LENGTH], dtype=int)
             if len(long_enough):
-                best[long_enough], which[long_enough] = search([texts[i][:SEARCH_WINDOW] for i in long_enough])
+                best[long_enough], which[long_enough] = search(*panels, [texts[i][:SEARCH_WINDOW] for i in long_enough])
             two_ended = np.array([i for i in long_enough if len(texts[i]) > TWO_ENDED_LENGTH], dtype=int)
             if len(two_ended):
-                d, w = search([texts[i][-SEARCH_WINDOW:] for i in two_ended])
+                d, w = search(*panels, [texts[i][-SEARCH_WINDOW:] for i in two_ended])
                 closer = d < best[two_ended]
                 best[two_ended[closer]], which[two_ended[closer]] = d[closer], w[closer]
             which[best > max_edits] = len(kit)

@@ -210,3 +210,15 @@ def test_few_references_are_held_against_all_reads_at_once(rows):
     got = A._scanned(u, r, u)
     chunks = got.select(F.spark_partition_id().alias("p")).distinct().count()
     assert got.count() == 3000 and chunks == 1
+
+
+def test_a_kit_is_searched_at_once(rows, monkeypatch):
+    kit = {f"BC{i}": dna(24) for i in range(60)}
+    reads = [(str(i), dna(random.choice([40, 60, 180, 250]))) for i in range(40)]
+    want = {i: demux_one(s, kit, "AAGGTTAA") for i, s in reads}
+    got = A.demultiplex(rows(reads, "id string, seq string"), kit, "AAGGTTAA").collect()
+    assert {r.id: (r.barcode, r.barcode_edits) for r in got} == want
+    calls, step = [], kernels.step
+    monkeypatch.setattr(kernels, "step", lambda *a: calls.append(1) or step(*a))
+    kernels.Panel(list(kit.values())).infixes([s[:30] for _, s in reads])
+    assert len(calls) <= 30
