@@ -330,61 +330,93 @@ def demultiplex(
     return reads.mapInPandas(assign, f"{schema}, barcode string, barcode_edits int")
 
 
-def positions_udf():
-    """Arrow UDF (query, target, distance) -> struct of target positions: per query base, deleted, inserted."""
+#: Read bases whose alignments are counted at once.
+PROFILE_BASES = 1 << 21
+#: What is counted for every position: aligned bases, gaps, and the quality of aligned bases that have one.
+TALLIES = ["correct", "incorrect", "deleted", "inserted", "q_correct", "q_incorrect", "p_correct", "p_incorrect"]
 
-    @F.pandas_udf("positions array<int>, deleted array<int>, inserted array<int>")
-    def run(query: pd.Series, target: pd.Series, distance: pd.Series) -> pd.DataFrame:
-        rows = [banded.positions(ops) for ops in banded.paths(query, target, distance)]
-        return pd.DataFrame(rows, columns=["positions", "deleted", "inserted"])
 
-    return run
+def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0] .. starts[0] + lengths[0] - 1, starts[1] .., one after the other."""
+    return np.repeat(starts - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(int(lengths.sum()))
 
 
-def per_base(aligned: DataFrame) -> DataFrame:
-    """One row per read base that has a reference position: (ref_id, ref_pos, status, q).
+def _tallied(reads: pd.DataFrame) -> pa.Table:
+    """Tallies of the positions of the references that reads (seq, qual, ref_id, ref_seq, edit_distance) align to.
 
-    Inserted bases have no reference position and deletions no quality, so both are left out.
-    Input: ref_id, qual, positions (from ``positions_udf``).
+    Inserted bases have no reference position of their own and deletions no quality.
     """
-    bases = aligned.select(
-        "ref_id", F.explode(F.arrays_zip("positions", phred.quality_values("qual").alias("q"))).alias("b")
-    )
-    at = F.col("b.positions")
-    return bases.where(at != 0).select(
-        "ref_id", (F.abs(at) - 1).alias("ref_pos"), F.when(at > 0, "M").otherwise("X").alias("status"), F.col("b.q").alias("q")
-    )
+    seq, unique = pd.factorize(reads["seq"].str.upper())
+    at = np.zeros(len(unique), np.int64)
+    at[seq] = np.arange(len(reads))
+    ref, names = pd.factorize(reads["ref_id"])
+    texts = np.empty(len(names), object)
+    texts[ref] = reads["ref_seq"].str.upper()
+    size = np.maximum(np.fromiter(map(len, texts), np.int64, len(texts)), 1)
+    begin = np.r_[0, np.cumsum(size)]
+    own = ref[at]
+    ops = banded.paths(list(unique), list(texts[own]), reads["edit_distance"].to_numpy()[at])
+    steps, flat = np.array([len(x) for x in ops]), np.concatenate([np.empty(0, np.int8), *ops])
+    pair = np.repeat(np.arange(len(ops)), steps)
+    used = np.cumsum(flat != banded.INSERT)
+    used = used - np.r_[0, used][np.r_[0, np.cumsum(steps)]][pair]
+    place = begin[own][pair] + np.maximum(used - 1, 0)
+    times = np.bincount(seq, minlength=len(unique)).astype(float)[pair]
+    total = lambda where, weight: np.bincount(where, weight, begin[-1])
+    gaps = [total(place[flat == op], times[flat == op]) for op in (banded.DELETE, banded.INSERT)]
+    # The bases of each distinct sequence, then those of each read.
+    based = flat != banded.DELETE
+    place, kind = place[based], flat[based]
+    bases = np.bincount(pair[based], minlength=len(unique))
+    n = bases[seq]
+    base = _ragged(np.r_[0, np.cumsum(bases)][seq], n)
+    quals = ["" if q is None else q[:k] for q, k in zip(reads["qual"], n.tolist())]
+    given = np.fromiter(map(len, quals), np.int64, len(quals))
+    q = np.full(len(base), np.nan)
+    q[_ragged(np.r_[0, np.cumsum(n)[:-1]], given)] = np.frombuffer("".join(quals).encode("utf-32-le"), np.uint32)
+    p = 10.0 ** (-(q - phred.PHRED_OFFSET) / 10.0)
+    place, kind, has = place[base], kind[base], ~np.isnan(q)
+    ok, wrong = kind == banded.SAME, kind == banded.OTHER
+    tallies = [total(place[ok], None), total(place[wrong], None), *gaps, total(place[ok & has], None), total(place[wrong & has], None),
+               total(place[ok & has], p[ok & has]), total(place[wrong & has], p[wrong & has])]
+    seen = np.flatnonzero(sum(tallies[:4]))
+    of = np.searchsorted(begin, seen, side="right") - 1
+    counts = [pa.array(t[seen].astype(np.float64 if name.startswith("p_") else np.int64)) for name, t in zip(TALLIES, tallies)]
+    return pa.table([pa.array(names.take(of)), pa.array((seen - begin[of]).astype(np.int32)), *counts], names=["ref_id", "ref_pos", *TALLIES])
+
+
+def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        reads = batch.to_pandas()
+        part = reads["seq"].str.len().cumsum() // PROFILE_BASES
+        for _, some in reads.groupby(part, sort=False):
+            yield from _tallied(some.reset_index(drop=True)).cast(pa.schema(
+                [batch.schema.field("ref_id"), ("ref_pos", pa.int32()), *((t, pa.float64() if t.startswith("p_") else pa.int64()) for t in TALLIES)]
+            )).to_batches()
 
 
 def error_profile(reads: DataFrame, refs: DataFrame) -> DataFrame:
     """Mean quality, empirical and predicted error per position of each read's best reference.
 
-    Reads: read_id, seq, qual. References: ref_id, ref_seq, ord. Equal sequences are aligned once, in a band as wide as
-    their known distance. Deleted and inserted bases are counted at their positions, beside the rates of aligned bases.
+    Reads: read_id, seq, qual. References: ref_id, ref_seq, ord. Reads come with equal sequences together, so that these
+    are aligned once, and each batch of them is counted before it leaves its task. Deleted and inserted bases are counted
+    at their positions, beside the rates of aligned bases.
     """
-    matched = best_reference(reads.select("seq").distinct(), refs)
-    paths = balanced(matched.join(refs.select("ref_id", "ref_seq"), "ref_id")).select(
-        "ref_id", "seq", positions_udf()(F.upper("seq"), F.upper("ref_seq"), "edit_distance").alias("p")
-    ).select("ref_id", "seq", "p.*")
-    aligned = reads.select("seq", "qual").join(paths, "seq")
-    bases = per_base(aligned).select("ref_id", "ref_pos", "status", "q", F.lit(1).cast("long").alias("n"))
-    gap = lambda c, status: F.transform(c, lambda p: F.struct(p.alias("ref_pos"), F.lit(status).alias("status")))
-    gaps = reads.groupBy("seq").agg(F.count("*").alias("n")).join(paths, "seq").select(
-        "ref_id", "n", F.explode(F.concat(gap("deleted", "D"), gap("inserted", "I"))).alias("g")
-    ).select("ref_id", "g.*", F.lit(None).cast("int").alias("q"), "n")
-    ok, wrong, p = F.col("status") == "M", F.col("status") == "X", phred.error_prob("q")
-    total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
-    return bases.unionByName(gaps).groupBy("ref_id", "ref_pos").agg(
-        total(ok | wrong).alias("n"),
-        total(ok).alias("count_correct"),
-        total(wrong).alias("count_incorrect"),
-        total(F.col("status") == "D").alias("count_deleted"),
-        total(F.col("status") == "I").alias("count_inserted"),
-        phred.to_qscore(F.avg(p)).alias("mean_qscore_all"),
-        phred.to_qscore(F.avg(F.when(ok, p))).alias("mean_qscore_correct"),
-        phred.to_qscore(F.avg(F.when(wrong, p))).alias("mean_qscore_incorrect"),
-        F.avg(F.when(ok | wrong, wrong.cast("double"))).alias("empirical_error_rate"),
-        F.avg(p).alias("predicted_error_rate"),
+    matched = best_reference(reads.select("seq", "qual"), refs).join(refs.select("ref_id", "ref_seq"), "ref_id")
+    ddl = ", ".join(["ref_id " + refs.schema["ref_id"].dataType.simpleString(), "ref_pos int", *(f"{t} {'double' if t.startswith('p_') else 'bigint'}" for t in TALLIES)])
+    sums = matched.select("seq", "qual", "ref_id", "ref_seq", "edit_distance").mapInArrow(_profiled, ddl).groupBy("ref_id", "ref_pos").agg(
+        *[F.sum(t).alias(t) for t in TALLIES])
+    c = {t: F.col(t) for t in TALLIES}
+    n = c["correct"] + c["incorrect"]
+    mean = F.try_divide(c["p_correct"] + c["p_incorrect"], c["q_correct"] + c["q_incorrect"])
+    return sums.select(
+        "ref_id", "ref_pos", n.alias("n"),
+        *[c[t].alias(f"count_{t}") for t in ("correct", "incorrect", "deleted", "inserted")],
+        phred.to_qscore(mean).alias("mean_qscore_all"),
+        phred.to_qscore(F.try_divide(c["p_correct"], c["q_correct"])).alias("mean_qscore_correct"),
+        phred.to_qscore(F.try_divide(c["p_incorrect"], c["q_incorrect"])).alias("mean_qscore_incorrect"),
+        F.try_divide(c["incorrect"].cast("double"), n).alias("empirical_error_rate"),
+        mean.alias("predicted_error_rate"),
     )
 
 

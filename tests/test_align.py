@@ -222,3 +222,14 @@ def test_a_kit_is_searched_at_once(rows, monkeypatch):
     monkeypatch.setattr(kernels, "step", lambda *a: calls.append(1) or step(*a))
     kernels.Panel(list(kit.values())).infixes([s[:30] for _, s in reads])
     assert len(calls) <= 30
+
+
+def test_error_profile_counts_bases_without_quality(rows):
+    """Reads of one text with whole, short, long and no qualities."""
+    refs = rows([("r0", "ACGTAC", 0), ("r1", "TTTTTTTTT", 1)], "ref_id string, ref_seq string, ord bigint")
+    reads = rows([("a", "ACGTAC", "++++++"), ("b", "ACGTAC", "++"), ("c", "acgtac", None), ("d", "ACTTAC", "5555555555"), ("e", None, "++")],
+                 "read_id string, seq string, qual string")
+    got = {r.ref_pos: r for r in A.error_profile(reads, refs).collect() if r.ref_id == "r0"}
+    assert [(got[i].n, got[i].count_correct, got[i].count_incorrect) for i in range(6)] == [(4, 4, 0)] * 2 + [(4, 3, 1)] + [(4, 4, 0)] * 3
+    assert got[5].predicted_error_rate == pytest.approx((10 ** -1 + 10 ** -2) / 2)
+    assert got[2].mean_qscore_incorrect == pytest.approx(20) and got[0].mean_qscore_incorrect is None
