@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Sequence
 from functools import reduce
@@ -48,12 +49,18 @@ def fasta(records: DataFrame, path: str) -> None:
     records.select(F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("value")).write.mode("overwrite").text(path)
 
 
+#: Folders of a warehouse, whatever the number of its partitions.
+BUCKETS = 128
+
+
 def warehouse(rows: DataFrame, path: str, key: str = "uniq_id", partition: str = "exp_id", order: str | None = None) -> None:
-    """Upsert read rows: only the partitions present in ``rows`` are rewritten.
+    """Upsert read rows: in the partitions present in ``rows``, rows of their keys are replaced.
+
+    Partitions are dealt over a fixed number of folders, of which those with a partition of ``rows`` are rewritten; a
+    store with a folder for each partition is brought into this form.
 
     Of rows with one key that of the greatest ``order`` wins (without an order, of the greatest values). The new
-    partitions go to a snapshot folder of their own; a manifest that names the folder of every partition is put in place
-    last, by a rename. A job that fails before leaves the store as it was, and of two writers that began with the same
+    folders go to a snapshot of their own; a manifest that names the snapshot of every folder is put in place last, by a rename. A job that fails before leaves the store as it was, and of two writers that began with the same
     manifest the second fails. Read with ``read_warehouse``.
     """
     spark = rows.sparkSession
@@ -64,12 +71,20 @@ def warehouse(rows: DataFrame, path: str, key: str = "uniq_id", partition: str =
     whole = F.struct(*([F.col(order)] if order else []), *[F.col(c).cast("string") for c in rows.columns])
     fresh = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), whole).alias("_row")).select("_row.*")
     # A text that is never taken for a number names the folder; the column itself stays in the files.
-    merged = fresh = fresh.withColumn("_part", F.concat(F.lit("p_"), F.coalesce(F.col(partition).cast("string"), F.lit(""))))
+    value = F.coalesce(F.col(partition).cast("string"), F.lit(""))
+    part = F.concat(F.lit("b_"), F.pmod(F.xxhash64(value), F.lit(BUCKETS)).cast("string"))
+    merged = fresh = fresh.withColumns({"_part": part, "_value": value})
     if folders:
-        touched = _stored(spark, path, folders).join(fresh.select("_part").distinct(), "_part", "left_semi")
-        merged = fresh.unionByName(touched.join(fresh.select(key), key, "left_anti").select(*fresh.columns))
+        stored = _stored(spark, path, folders).withColumn("_value", value)
+        if any(not re.fullmatch(r"_part=b_\d+", name) for name in folders):
+            folders, touched = {}, stored.withColumn("_part", part)
+        else:
+            touched = stored.join(fresh.select("_part").distinct(), "_part", "left_semi")
+        named = touched.join(fresh.select("_value", F.lit(True).alias("_named")).distinct(), "_value", "left")
+        again = named.join(fresh.select(key, F.lit(True).alias("_again")), key, "left")
+        merged = fresh.unionByName(again.where("_named is null or _again is null").select(*fresh.columns))
     snapshot = f"data/{uuid.uuid4().hex}"
-    merged.write.partitionBy("_part").parquet(f"{path}/{snapshot}")
+    merged.drop("_value").hint("rebalance", "_part").write.partitionBy("_part").parquet(f"{path}/{snapshot}")
     new = {name: snapshot for name in files.folders(snapshot)}
     files.commit(version + 1, {**folders, **new})
 

@@ -264,3 +264,23 @@ def test_end_reason_normalisers(rows):
     assert [r.r for r in df.collect()] == [True, True, False, False]
     df = rows([("adaptive sampling",), ("mux_change",)], "c string").select(er.coarse_category("c").alias("r"))
     assert [r.r for r in df.collect()] == ["unblock", "other"]
+
+
+def test_warehouse_folders_are_few_however_many_the_partitions(spark, rows, tmp_path):
+    path, schema = str(tmp_path / "wh"), "uniq_id string, v int, exp_id string"
+    writers.warehouse(rows([(f"k{i}", 1, f"e{i % 600}") for i in range(1200)], schema), path)
+    writers.warehouse(rows([(f"k{i}", 2, f"e{i % 600}") for i in range(0, 1200, 3)] + [("k1", 3, "e0")], schema), path)
+    want = [(f"k{i}", 2 if i % 3 == 0 else 1, f"e{i % 600}") for i in range(1200)] + [("k1", 3, "e0")]
+    assert sorted(tuple(r) for r in writers.read_warehouse(spark, path).collect()) == sorted(want)
+    assert len(writers._Files(spark, path).manifest()[1]) <= writers.BUCKETS
+    assert len(list((tmp_path / "wh").rglob("*.parquet"))) <= 2 * writers.BUCKETS
+
+
+def test_warehouse_with_a_folder_for_each_partition_is_brought_into_form(spark, rows, tmp_path):
+    path, schema = str(tmp_path / "wh"), "uniq_id string, v int, exp_id string"
+    rows([("a", 1, "e1", "p_e1"), ("b", 1, "e2", "p_e2")], schema + ", _part string").write.partitionBy("_part").parquet(f"{path}/data/old")
+    files = writers._Files(spark, path)
+    files.commit(1, {name: "data/old" for name in files.folders("data/old")})
+    writers.warehouse(rows([("a", 2, "e1")], schema), path)
+    assert sorted(tuple(r) for r in writers.read_warehouse(spark, path).collect()) == [("a", 2, "e1"), ("b", 1, "e2")]
+    assert all("=b_" in name for name in writers._Files(spark, path).manifest()[1])
