@@ -14,6 +14,7 @@ from runqc.functions import banded, kernels, phred
 from runqc.functions import sequence as sq
 from runqc.functions.common import col_of, first_match
 from runqc.operators.joins import balanced, range_join
+from runqc.session import written
 
 def edit_distance(a: Column | str, b: Column | str, k: int | None = None) -> Column:
     """Global distance, case-insensitive; with ``k`` the answer beyond it is -1."""
@@ -462,10 +463,12 @@ def ingest_reads(
 def barcode_summary(tagged: DataFrame, keys: Sequence[str] = ("barcode",)) -> DataFrame:
     """Per barcode: size mix, medians, quality and distance shares.
 
-    Input columns: length, ed, qscore, size_class, end_reason.
+    Input columns: length, ed, qscore, size_class, end_reason. Distances and qualities are worked out once, into a table
+    in the shared folder: counts and each median read it again.
     """
     from runqc.operators import ranking
 
+    tagged = written(tagged.select(*keys, "length", "ed", "qscore", "size_class", "end_reason"), "barcode-summary")
     share = lambda c: (F.avg(c.cast("double")) * 100)
     base = tagged.groupBy(*keys).agg(
         F.count("*").alias("n"),

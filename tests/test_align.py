@@ -233,3 +233,17 @@ def test_error_profile_counts_bases_without_quality(rows):
     assert [(got[i].n, got[i].count_correct, got[i].count_incorrect) for i in range(6)] == [(4, 4, 0)] * 2 + [(4, 3, 1)] + [(4, 4, 0)] * 3
     assert got[5].predicted_error_rate == pytest.approx((10 ** -1 + 10 ** -2) / 2)
     assert got[2].mean_qscore_incorrect == pytest.approx(20) and got[0].mean_qscore_incorrect is None
+
+
+def test_barcode_summary_works_out_its_columns_once(rows):
+    data = rows([(f"b{i % 2}", i, i % 7, float(i % 11), "in_range", "signal_positive") for i in range(40)],
+                "barcode string, length int, ed int, qscore double, size_class string, end_reason string")
+    calls = data.sparkSession.sparkContext.accumulator(0)
+
+    def count(it):
+        for pdf in it:
+            calls.add(len(pdf))
+            yield pdf
+
+    got = {r.barcode: r for r in A.barcode_summary(data.mapInPandas(count, data.schema)).collect()}
+    assert calls.value == 40 and got["b0"].n == 20 and got["b0"].median_length == 19 and got["b1"].median_length == 20
