@@ -115,3 +115,16 @@ def test_nothing_in_nothing_out(rows):
     empty = rows([], "k string, length bigint")
     assert ranking.nx(empty, ["k"]).count() == 0
     assert empty.agg(F.count("*")).first()[0] == 0
+
+
+def test_string_quality_of_odd_strings(rows):
+    """Sums are added up in order; other characters than the 94 give NULL, as before; long strings cost a table look-up a base."""
+    texts = ["+" * n for n in (1, 3, 7)] + ["5?" * 40, "5 ", "5é", "~"]
+    got = [r.q for r in rows([(t,) for t in texts], "qual string").coalesce(1).select(phred.string_mean_q("qual", 100.0).alias("q")).collect()]
+    for t, q in zip(texts[:4] + texts[-1:], got[:4] + got[-1:]):
+        total = 0.0
+        for c in t:
+            total += 10.0 ** (-(ord(c) - 33) / 10.0)
+        assert q == pytest.approx(-10 * math.log10(total / len(t)), abs=1e-12)
+    assert got[4:6] == [None, None]
+    assert "transform" not in str(phred.string_mean_q("qual")) and "aggregate" not in str(phred.string_mean_q("qual"))
