@@ -132,6 +132,16 @@ def medians(df: DataFrame, keys: Sequence[str], value: str, width: float) -> Dat
     )
 
 
+#: Parts of a group that meet its row apart.
+GROUP_PARTS = 32
+
+
+def _beside(rows: DataFrame, groups: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """Rows joined with the one row of their group; a group of very many rows is dealt over parts by a hash of ``by``."""
+    parts = groups.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GROUP_PARTS - 1).cast("long"))))
+    return rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(GROUP_PARTS).cast("long"))).join(parts, [*keys, "_part"]).drop("_part")
+
+
 def hash_sample(
     df: DataFrame,
     keys: Sequence[str],
@@ -161,7 +171,7 @@ def hash_sample(
             (F.max("n_keep") - F.max("_before")).cast("long").alias("_left"),
         )
     )
-    kept = hashed.join(cuts, list(keys)).where(F.col("_p") <= F.col("_cut"))
+    kept = _beside(hashed, cuts, list(keys), "_h").where(F.col("_p") <= F.col("_cut"))
     whole = kept.where(F.col("_p") < F.col("_cut"))
     rank = F.row_number().over(Window.partitionBy(*keys, "_p").orderBy("_h", id_col))
     edge = kept.where(F.col("_p") == F.col("_cut")).withColumn("_r", rank).where("_r <= _left").drop("_r")

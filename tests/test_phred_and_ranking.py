@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -128,3 +129,23 @@ def test_string_quality_of_odd_strings(rows):
         assert q == pytest.approx(-10 * math.log10(total / len(t)), abs=1e-12)
     assert got[4:6] == [None, None]
     assert "transform" not in str(phred.string_mean_q("qual")) and "aggregate" not in str(phred.string_mean_q("qual"))
+
+
+def test_a_sample_meets_its_groups_in_parts(spark, rows):
+    """Three groups, no broadcast: no task holds a whole group, and the rows are the ones with the smallest hashes."""
+    data = rows([(i % 3, f"r{i}") for i in range(9000)], "g int, id string")
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "32"}
+    before = {k: spark.conf.get(k) for k in plain}
+    try:
+        for k, x in plain.items():
+            spark.conf.set(k, x)
+        joined = ranking._beside(data, rows([(0, 5), (1, 6), (2, 7)], "g int, n int"), ["g"], "id")
+        share = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        got = ranking.hash_sample(data, ["g"], rows([(0, 5), (1, 6), (2, 7)], "g int, n_keep int"), "id").collect()
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    assert sum(share) == 9000 and max(share) < 9000 / 6
+    for g, n in ((0, 5), (1, 6), (2, 7)):
+        order = sorted((hashlib.md5(f"r{i}42".encode()).hexdigest(), f"r{i}") for i in range(g, 9000, 3))
+        assert sorted(r.id for r in got if r.g == g) == sorted(i for _, i in order[:n])
