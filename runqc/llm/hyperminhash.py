@@ -28,7 +28,7 @@ SENT = 2_000_000
 #: A pair is verified unless its estimate is so many standard errors below the bound.
 ERRORS = 4
 #: Members of a key that are compared with all others in the first round; eight times as many in each further one.
-LEADERS = 16
+LEADERS = 4
 NO_ID = 2**63 - 1
 _draw = np.random.default_rng(12)
 #: Where an empty bucket looks for a register: the first bucket of its row that is not empty.
@@ -202,31 +202,54 @@ def rarest_slots(crowded: DataFrame, similar: tuple[int, int]) -> DataFrame:
     return counted.withColumn("place", place).where((F.col("place") <= F.col("n") - least + 1) & (F.col("count") > 1)).select("slot", "node", "n", "place")
 
 
-def links(slots: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame | None:
-    """(node, root): components of the nodes in ``slots(slot, node, n, place)`` linked by a similarity of similar[0] / similar[1] at least.
+def _met(members: DataFrame, first: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """(a, b), a < b: pairs of a member and a leader of a slot that may be similar and are of different components.
+
+    A slot's leaders go to its members as one list, and a member's lists of all slots are merged before pairs become
+    rows: near copies share very many slots, and a row for each would be made only to be dropped as a repetition.
+    """
+    # The least overlap of a similar pair of these sizes; its shared shingles begin that early in both orders.
+    m, overlap = F.col("n"), lambda x: F.ceil((F.col("n") + x["n"]) * similar[0] / (similar[0] + similar[1]) - F.lit(1e-9))
+    asked = lambda x: (
+        (F.col("root") != x["root"]) & (F.least(m, x["n"]) * similar[1] >= F.greatest(m, x["n"]) * similar[0])
+        & (F.col("place") <= m - overlap(x) + 1) & (x["place"] <= x["n"] - overlap(x) + 1))
+    leaders = first.groupBy("slot").agg(F.collect_list(F.struct("node", "root", "n", "place")).alias("leaders"))
+    lists = members.join(leaders, "slot").select("node", F.array_distinct(F.transform(F.filter("leaders", asked), lambda x: x["node"])).alias("others")).where(F.size("others") > 0)
+    merged = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    pairs = merged.select("node", F.explode("others").alias("other"))
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def _open(slots: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Members of the slots whose members are of several components, with their ``root`` and its ``share`` of the slot."""
+    members = slots.withColumn("root", F.col("node")) if roots is None else \
+        slots.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    shares = members.groupBy("slot", "root").agg(F.count("*").alias("share"))
+    several = shares.groupBy("slot").agg(F.count("*").alias("roots")).where("roots > 1").select("slot")
+    return members.join(several, "slot").join(shares, ["slot", "root"]).select("slot", "node", "n", "place", "root", "share")
+
+
+def links(met: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMILAR, crowded: int = CROWDED) -> DataFrame | None:
+    """(node, root): components of the nodes in ``met(slot, node, n, count)`` linked by a similarity of similar[0] / similar[1] at least.
 
     ``sets(node, n, sketch, shingles)``. Only components matter, so a key with many members does not make all their
     pairs: in each round some members of a key, those of its rarest components first, are compared with all others of
     other components, verified links merge components, and the compared leave the key. A key is done when its members
-    are of one component. Each pair that shares a key and is not connected otherwise is compared: the rounds go on until
-    all keys are done, and leave out none. None if no nodes share a slot.
+    are of one component. After the first round the members of keys with more than ``crowded`` nodes that are not done
+    meet under their rarest shingles instead of those keys. Each pair that shares a key and is not connected otherwise is
+    compared: the rounds go on until all keys are done, and leave out none. None if no nodes share a slot.
     """
-    open_, roots, compared, leaders = slots, None, None, LEADERS
-    while not open_.isEmpty():
-        members = open_.withColumn("root", F.col("node")) if roots is None else \
-            open_.join(roots, "node", "left").select("slot", "node", "n", "place", F.coalesce("root", "node").alias("root"))
-        shares = members.groupBy("slot", "root").count()
-        several = shares.groupBy("slot").agg(F.count("*").alias("roots")).where("roots > 1").select("slot")
-        members = written(members.join(several, "slot").join(shares, ["slot", "root"]), "hyperminhash-members")
-        order = Window.partitionBy("slot").orderBy("count", F.xxhash64("node"), "node")
+    if met.isEmpty():
+        return None
+    open_, roots, compared, leaders = met.withColumn("place", F.lit(0)), None, None, LEADERS
+    while True:
+        members = written(_open(open_, roots), "hyperminhash-members")
+        if members.isEmpty():
+            return roots
+        order = Window.partitionBy("slot").orderBy("share", F.xxhash64("node"), "node")
         first = members.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= leaders)
-        first = written(first.select("slot", "node", "n", "place", F.col("root").alias("own")), "hyperminhash-leaders")
-        # The least overlap of a similar pair of these sizes; its shared shingles begin that early in both orders.
-        overlap = F.ceil((F.col("n") + F.col("m")) * similar[0] / (similar[0] + similar[1]) - F.lit(1e-9))
-        early = (F.col("place") <= F.col("n") - overlap + 1) & (F.col("other_place") <= F.col("m") - overlap + 1)
-        fits = (F.least("n", "m") * similar[1] >= F.greatest("n", "m") * similar[0]) & early
-        pairs = members.join(first.select("slot", F.col("node").alias("leader"), "own", F.col("n").alias("m"), F.col("place").alias("other_place")), "slot").where((F.col("root") != F.col("own")) & fits) \
-            .select(F.greatest("node", "leader").alias("b"), F.least("node", "leader").alias("a")).distinct()
+        first = written(first.select("slot", "node", "n", "place", "root"), "hyperminhash-leaders")
+        pairs = _met(members, first, similar)
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = written(pairs, "hyperminhash-candidates")
@@ -237,10 +260,17 @@ def links(slots: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMILAR)
         full = sets.select("node", "shingles")
         found = pairs.join(full.toDF("a", "one"), "a").join(full.toDF("b", "two"), "b").select("a", "b", "one", "two").mapInArrow(_verified(similar), "a long, b long")
         edges = written(found, "hyperminhash-links")
-        roots = components(edges if roots is None else edges.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        open_ = written(members.join(first, ["slot", "node"], "left_anti").select("slot", "node", "n", "place"), "hyperminhash-open")
+        known = roots
+        roots = components(edges if known is None else edges.unionAll(known.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        open_ = members.join(first, ["slot", "node"], "left_anti").select("slot", "node", "n", "place")
+        if known is None:
+            full_ = met.where(F.col("count") > crowded).withColumn("place", F.lit(0))
+            rest = written(_open(full_, roots).select("node").distinct(), "hyperminhash-crowded")
+            rarest = shared_slots(rarest_slots(sets.select("node", "n", "shingles").join(rest, "node").select("node", "n", "shingles"), similar))
+            few = open_.join(met.where(F.col("count") <= crowded).select("slot", "node"), ["slot", "node"], "left_semi")
+            open_ = few.unionByName(rarest.drop("count"))
+        open_ = written(open_, "hyperminhash-open")
         leaders *= 8
-    return roots
 
 
 def near_copies(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -259,11 +289,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] =
     banded = rows.select(F.col("row").alias("node"), "n", "bands").join(classes.select("node"), "node").select(F.explode("bands").alias("slot"), "node", "n")
     met = written(shared_slots(banded), "hyperminhash-bands")
     sets = written(_full_sets(docs, rows, met.select("node").distinct(), words, text), "hyperminhash-sets")
-    crowded = met.where(F.col("count") > CROWDED).select("node").distinct()
-    rarest = shared_slots(rarest_slots(sets.select("node", "n", "shingles").join(crowded, "node").select("node", "n", "shingles"), similar))
-    few = met.where(F.col("count") <= CROWDED).withColumn("place", F.lit(0))
-    slots = written(few.unionByName(rarest).drop("count"), "hyperminhash-open")
-    roots = links(slots, sets, similar)
+    roots = links(met, sets, similar, CROWDED)
     placed = classes.withColumn("root", F.col("node")) if roots is None else \
         classes.join(roots, "node", "left").select("key", "first", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("least"))

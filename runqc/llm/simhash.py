@@ -206,17 +206,14 @@ def similar_links(docs: DataFrame, placed: DataFrame, words: int, similar: float
     near copies does not make all its pairs. Members of crowded keys meet under their rarest shingles instead, which
     similar sets share for certain: no text of such a group is left uncompared.
     """
-    from runqc.llm.hyperminhash import rarest_slots, shared_slots
     from runqc.llm.hyperminhash import links as merge
+    from runqc.llm.hyperminhash import shared_slots
 
     bound = (round(similar * 1000), 1000)
     slots = placed.select(F.col("key").alias("node"), "n", F.explode("bands").alias("slot"))
     met = written(shared_slots(slots.select("slot", "node", "n")), "similar-bands")
     sets = written(_member_sets(docs, written(met.select("node").distinct(), "similar-members"), words, text), "similar-sets")
-    crowded = met.where(F.col("count") > CROWDED_BAND).select("node").distinct()
-    rarest = shared_slots(rarest_slots(sets.select("node", "n", "shingles").join(crowded, "node").select("node", "n", "shingles"), bound))
-    some = met.where(F.col("count") <= CROWDED_BAND).withColumn("place", F.lit(0))
-    roots = merge(written(some.unionByName(rarest).drop("count"), "similar-slots"), sets, bound)
+    roots = merge(met, sets, bound, CROWDED_BAND)
     of = placed.select("key", F.col("root").alias("own"))
     if roots is None:
         return of.select(F.col("own").alias("a"), F.col("own").alias("b")).limit(0)

@@ -99,3 +99,22 @@ def test_sketch_of_one_hash():
     one = H.registers(np.array([2**63 + 12345], np.uint64))
     assert len(set(one.tolist())) == 1
     assert (H.registers(np.array([0], np.uint64)) >> H.MANTISSA == 56).all()
+
+
+def test_groups_that_leaders_connect_are_not_enumerated(spark, monkeypatch):
+    """Shingles are listed only for crowded keys that are of several components after the first round; each pair is one row."""
+    made, written = {}, H.written
+
+    def kept(df, name):
+        out = written(df, name)
+        made.setdefault(name, out)
+        return out
+
+    monkeypatch.setattr(H, "written", kept)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1:])) for i in range(80) for k in [rng.randrange(300)]]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == plain(rows)
+    assert made["hyperminhash-shingles"].count() == 0
+    pairs = made["hyperminhash-candidates"]
+    assert 0 < pairs.count() == pairs.distinct().count() < 80 * 79 // 2 and pairs.where("a >= b").count() == 0
