@@ -19,12 +19,10 @@ FOLDS = 10
 #: Bits of the tables of the three contexts: two bytes, four bytes, the word so far. Their size is fixed, so they can be
 #: broadcast; what fills them is counted over all learning documents.
 SLOT_BITS = (16, 20, 20)
-#: Learning documents that the mixing weights start from (least hash of the id first, of at most so many characters).
-#: They are not counted into the tables, which would make the tables look better than they are. Documented bounds.
-MIXER_DOCS, MIXER_CHARS = 200, 20_000
-#: Learning documents that the shapes of the code trees are taken from, of the same length, and the count from which
-#: two bytes before get a tree of their own. Shapes set how many predictions a symbol takes, not what is predicted.
-TREE_DOCS, OWN_TREE = 2_000, 200
+#: Two bytes before get a code tree of their own from this count on, if they are also one in so many of all symbols.
+OWN_TREE, TREE_SHARE = 200, 20_000
+#: Slots in a row of the summed counts, and bits of a log-odds that the weights are fitted on.
+BLOCK, FIT_BITS = 4096, 5
 #: The commonest words, whose counts every task has at hand. The others are joined; the result is the same.
 COMMON_WORDS = 200_000
 END, GATES, RATE, REFINE, SHRINK = 256, 12, 0.02, 0.5, 0.3
@@ -69,12 +67,21 @@ class Trees:
             symbols = Symbols(pieces)
             pairs.append(symbols.two * 257 + symbols.symbol)
         seen, n = np.unique(np.concatenate(pairs), return_counts=True)
-        two, symbol = seen // 257, seen % 257
+        self._grow(seen // 257, seen % 257, n)
+
+    @classmethod
+    def counted(cls, seen: np.ndarray, n: np.ndarray) -> Trees:
+        """Trees from counts ``n`` of ``seen``: the two bytes before times 257 and the symbol."""
+        trees = cls.__new__(cls)
+        trees._grow(seen // 257, seen % 257, n)
+        return trees
+
+    def _grow(self, two: np.ndarray, symbol: np.ndarray, n: np.ndarray) -> None:
         counts = np.zeros((256, 257))
         np.add.at(counts, (two & 255, symbol), n)
         overall = counts.sum(0) + 1
         counts += overall / overall.sum()
-        frequent = np.flatnonzero(np.bincount(two, n, 65536) >= OWN_TREE)
+        frequent = np.flatnonzero(np.bincount(two, n, 65536) >= max(OWN_TREE, n.sum() / TREE_SHARE))
         self.row = (np.arange(65536) & 255).astype(np.int32)
         self.row[frequent] = 256 + np.arange(len(frequent))
         own = 20 * counts[frequent & 255] / counts[frequent & 255].sum(1, keepdims=True)
@@ -146,7 +153,7 @@ class Mixer:
     """Bit predictors, the weights that combine them, and a refinement that follows each text.
 
     Each context's table gives a log-odds for the next bit. They are summed with weights chosen by the depth in the
-    tree (the gate), learnt online over the fitting texts. While a text is scored, each gate's sum is refined by a
+    tree (the gate), fitted on counts over all learning texts, or learnt online over given ones. While a text is scored, each gate's sum is refined by a
     factor that moves along its mean gradient after every block of symbols, so every bit is predicted from earlier
     blocks only, the probabilities of all texts sum to one, and a text's score depends on nothing but itself.
     """
@@ -288,43 +295,127 @@ def looked_up(texts: pa.Array, common: pa.Array, log10_of: np.ndarray) -> tuple[
     return np.bincount(text, minlength=len(lists)), np.bincount(text[known], minlength=len(lists)), total, pa.ListArray.from_arrays(cuts, rows)
 
 
-def slot_log_odds(texts: DataFrame, trees: Trees) -> list[np.ndarray]:
-    """The predictors' tables: per slot the log-odds of a 1, in sixteenths, from counts over all ``texts``."""
+def tree_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Two bytes before and symbol, as one number, and how often they occur in all ``texts``."""
+    schema = pa.schema([("seen", pa.int32()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(65536 * 257, np.int32)
+        for pieces in _batched(_texts(batches)):
+            symbols = Symbols(pieces)
+            np.add.at(counts, symbols.two * np.int32(257) + symbols.symbol, 1)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], schema=schema)
+        del counts
+        give_back()
+
+    got = texts.mapInArrow(run, "seen int, n long").groupBy("seen").agg(F.sum("n").alias("n")).orderBy("seen").toArrow()
+    return got.column("seen").to_numpy().astype(np.int64), got.column("n").to_numpy()
+
+
+def _odds(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+    return np.clip(np.round(SCALE * np.log((ones + SHRINK) / (zeros + SHRINK))), -127, 127).astype(np.int8)
+
+
+def slot_log_odds(texts: DataFrame, trees: Trees) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The predictors' tables from counts over all ``texts``, in sixteenths: per slot the log-odds of a 1, and per slot
+    and bit (2 * slot + bit) what they are without one occurrence of that bit."""
     shared = texts.sparkSession.sparkContext.broadcast(trees)
-    schema = pa.schema([("slot", pa.int32()), ("zeros", pa.int64()), ("ones", pa.int64())])
+    schema = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
     offsets = np.cumsum([0, *(1 << b for b in SLOT_BITS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [np.zeros(2 << b, np.int64) for b in SLOT_BITS]
+        counts = np.zeros(2 * offsets[-1], np.int64)
         for pieces in _batched(_texts(batches)):
             found = [[] for _ in SLOT_BITS]
             symbols = Symbols(pieces)
             for _, _, bits, slots in levels(*symbols.codes(shared.value), symbols.contexts()):
                 for f, s in zip(found, slots):
                     f.append(s << np.uint32(1) | bits.astype(np.uint32))
-            for count, f in zip(counts, found):
-                count += np.bincount(np.concatenate(f), minlength=len(count))
-        for count, offset in zip(counts, offsets):
-            count = count.reshape(-1, 2)
-            at = np.flatnonzero(count.any(1))
-            for some in np.array_split(at, max(1, len(at) // 200_000)):
-                yield pa.RecordBatch.from_arrays([pa.array((some + offset).astype(np.int32)), pa.array(count[some, 0]), pa.array(count[some, 1])], schema=schema)
+            for f, a, b in zip(found, offsets, offsets[1:]):
+                counts[2 * a:2 * b] += np.bincount(np.concatenate(f), minlength=2 * (b - a))
+        counts = counts.reshape(-1, 2 * BLOCK)
+        for at in np.flatnonzero(counts.any(1)):
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([counts[at].tobytes()], pa.binary())], schema=schema)
         del counts
         give_back()
 
-    summed = texts.mapInArrow(run, "slot int, zeros long, ones long").groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-    odds = F.round(SCALE * F.log((F.col("ones") + SHRINK) / (F.col("zeros") + SHRINK)))
-    got = summed.select("slot", F.greatest(F.least(odds, F.lit(127)), F.lit(-127)).cast("byte").alias("odds")).toArrow()
-    table = np.zeros(offsets[-1], np.int8)
-    table[got.column("slot").to_numpy()] = got.column("odds").to_numpy()
-    return [table[a:b] for a, b in zip(offsets, offsets[1:])]
+    def summed(of: pa.Table) -> pa.Table:
+        counts = np.zeros(2 * BLOCK, np.int64)
+        for c in of.column("counts"):
+            counts += np.frombuffer(c.as_buffer(), np.int64)
+        zeros, ones = counts[::2], counts[1::2]
+        less = np.stack([_odds(ones, np.maximum(zeros - 1, 0)), _odds(np.maximum(ones - 1, 0), zeros)], 1)
+        return pa.table({"block": pa.array([of.column("block")[0].as_py()], pa.int32()), "odds": pa.array([_odds(ones, zeros).tobytes()], pa.binary()), "less": pa.array([less.tobytes()], pa.binary())})
+
+    got = texts.mapInArrow(run, "block int, counts binary").groupBy("block").applyInArrow(summed, "block int, odds binary, less binary").toArrow()
+    table, without = np.zeros((offsets[-1] // BLOCK, BLOCK), np.int8), np.zeros((offsets[-1] // BLOCK, 2 * BLOCK), np.int8)
+    for at, odds, less in zip(*(got.column(c).to_pylist() for c in ("block", "odds", "less"))):
+        table[at], without[at] = np.frombuffer(odds, np.int8), np.frombuffer(less, np.int8)
+    table, without = table.ravel(), without.ravel()
+    return [table[a:b] for a, b in zip(offsets, offsets[1:])], [without[2 * a:2 * b] for a, b in zip(offsets, offsets[1:])]
+
+
+def mixed_counts(texts: DataFrame, trees: Trees, without: list[np.ndarray]) -> np.ndarray:
+    """(gate, log-odds of each table in cells, bit): how often they meet in all ``texts``, each bit itself left out.
+
+    A table that has counted a text looks better on it than it is, so a bit is looked up without its own occurrence.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((trees, [((t.astype(np.int32) + 128) >> (8 - FIT_BITS)).astype(np.uint8) for t in without]))
+    size = GATES << (3 * FIT_BITS + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(size, np.int64)
+        trees, cells = shared.value
+        for pieces in _batched(_texts(batches)):
+            symbols = Symbols(pieces)
+            for depth, _, bits, slots in levels(*symbols.codes(trees), symbols.contexts()):
+                bit, at = bits.astype(np.uint32), np.uint32(0)
+                for c, s in zip(cells, slots):
+                    at = at << np.uint32(FIT_BITS) | c[s << np.uint32(1) | bit]
+                first = min(depth, GATES - 1) << (3 * FIT_BITS + 1)
+                counts[first:first + (2 << 3 * FIT_BITS)] += np.bincount(at << np.uint32(1) | bit, minlength=2 << 3 * FIT_BITS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["cell", "n"])
+        give_back()
+
+    got = texts.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(size)
+    counts[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return counts.reshape(GATES, -1, 2)
+
+
+def fitted_weights(counts: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Weights of each gate that make the counted bits likeliest, by Newton steps from ``start``, which counts as one bit."""
+    step = 1 << (8 - FIT_BITS)
+    middle = (np.arange(1 << FIT_BITS) * step - 128 + (step - 1) / 2) / SCALE
+    x = np.stack([*(m.ravel() for m in np.meshgrid(middle, middle, middle, indexing="ij")), np.ones(1 << 3 * FIT_BITS)], 1)
+    out = start.astype(np.float64)
+    for gate, n in enumerate(counts):
+        some = np.flatnonzero(n.sum(1))
+        a, zeros, ones = x[some], n[some, 0], n[some, 1]
+        loss = lambda w: (zeros * np.logaddexp(0, a @ w) + ones * np.logaddexp(0, -(a @ w))).sum() + ((w - start[gate]) ** 2).sum() / 2
+        w = out[gate]
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            slope = a.T @ ((zeros + ones) * p - ones) + w - start[gate]
+            move = np.linalg.solve((a * ((zeros + ones) * p * (1 - p))[:, None]).T @ a + np.eye(4), slope)
+            share = 1.0
+            while share > 1e-6 and loss(w - share * move) > loss(w):
+                share /= 2
+            if share <= 1e-6 or np.abs(share * move).max() < 1e-9:
+                break
+            w = w - share * move
+        out[gate] = w
+    return out.astype(np.float32)
 
 
 def scores(docs: DataFrame, folds: int = FOLDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` and ``bits_per_byte`` for every row.
 
     Learns from the documents outside the held-out fold. Base: sum of log10((c + 0.1) / (N + 0.1 (V + 1))) over the
-    words and one end. Score: log10 probability of the lower-cased words in a row and the end under the context mixer.
+    words and one end. Score: log10 probability of the lower-cased words in a row and the end under the context mixer, whose
+    code trees, tables and weights all come from counts over all learning documents.
     Word counts are aggregated over the whole corpus; common words are looked up, all others joined, per document and
     word. NULL is an empty text: one end. Repeated rows count and are scored each; other columns are ignored; an empty
     table gives an empty result.
@@ -337,16 +428,14 @@ def scores(docs: DataFrame, folds: int = FOLDS, doc_id: str = "doc_id", text: st
     n_words, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_ends = counts.where("word is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_train, n_types = n_words + n_ends, n_distinct + (n_ends > 0)
-    short = learning.where(F.length("text") <= MIXER_CHARS).where("doc_id is not null")
-    ids = [r.doc_id for r in short.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(TREE_DOCS).collect()]
-    sample = [(r.doc_id, r.text) for r in short.where(F.col("doc_id").isin(ids)).orderBy("doc_id", F.xxhash64("text")).limit(2 * TREE_DOCS).toLocalIterator()]
-    trees = Trees([t for _, t in sample])
-    ids = ids[:MIXER_DOCS]
-    fitting = [t for i, t in sample if i in set(ids)]
-    tables = slot_log_odds(learning.where(F.coalesce(~F.col("doc_id").isin(ids), F.lit(True))).select("text"), trees)
+    texts = learning.select("text")
+    trees = Trees.counted(*tree_counts(texts))
+    tables, without = slot_log_odds(texts, trees)
+    mixer = Mixer(trees, tables)
+    mixer.weights = fitted_weights(mixed_counts(texts, trees, without), mixer.weights)
     common = words.orderBy(F.desc("n"), "word").limit(COMMON_WORDS).toArrow()
     known = (common.column("word").combine_chunks().cast(pa.binary()), np.log10(common.column("n").to_numpy() + 0.1))
-    shared = spark.sparkContext.broadcast((Mixer(trees, tables).fitted(fitting), *known))
+    shared = spark.sparkContext.broadcast((mixer, *known))
     spread, end = math.log10(n_train + 0.1 * (n_types + 1)), math.log10(n_ends + 0.1)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()),
                         ("score", pa.float64()), ("n_bytes", pa.int64()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))])

@@ -77,3 +77,31 @@ def test_score_depends_on_the_text_alone_and_pieces_add_up(monkeypatch):
     assert alone / len(long) > mixer.log10_many(["zq xj vvk qqz " * 100])[0][0] / 1400
     monkeypatch.setattr(lm, "PIECE", 4096)
     assert abs(mixer.log10_many([long])[0][0] / alone - 1) < 0.02
+
+
+def test_trees_tables_and_weights_come_from_all_texts(spark):
+    """Long texts (over 20,000 characters) and all of many short ones count; no bit of any is left out."""
+    texts = ["the cat sat on the mat and the dog sat on the log " * 900, None, ""] + [f"cat {i} sat on log {i % 7}" for i in range(2500)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    seen, n = lm.tree_counts(frame)
+    trees, plain = lm.Trees.counted(seen, n), lm.Trees(texts)
+    assert np.array_equal(trees.length, plain.length) and np.array_equal(trees.code, plain.code) and np.array_equal(trees.row, plain.row)
+    whole = lm.Symbols([p for t in texts for p in lm.pieces_of(t)])
+    assert n.sum() == len(whole.symbol)
+    tables, without = lm.slot_log_odds(frame, trees)
+    counts = lm.mixed_counts(frame, trees, without)
+    assert counts.sum() == whole.codes(trees)[0].sum()
+    slots = [np.zeros((len(t), 2)) for t in tables]
+    for _, _, bits, found in lm.levels(*whole.codes(trees), whole.contexts()):
+        for c, s in zip(slots, found):
+            np.add.at(c, (s, bits), 1)
+    for c, t, w in zip(slots, tables, without):
+        assert np.array_equal(t, lm._odds(c[:, 1], c[:, 0]))
+        assert np.array_equal(w[1::2], lm._odds(np.maximum(c[:, 1] - 1, 0), c[:, 0]))
+    # The weights lose less than those they start from on every gate's counted bits, the others left out.
+    start, cells = lm.Mixer(trees, tables).weights, 1 << lm.FIT_BITS
+    step = 256 // cells
+    at = (np.stack(np.unravel_index(np.arange(cells**3), (cells,) * 3), 1) * step - 128 + (step - 1) / 2) / lm.SCALE
+    loss = lambda w, c: float((c[:, 0] * np.logaddexp(0, at @ w[:3] + w[3]) + c[:, 1] * np.logaddexp(0, -(at @ w[:3] + w[3]))).sum())
+    fitted = lm.fitted_weights(counts, start)
+    assert all(loss(f, c) < loss(w, c) for f, w, c in zip(fitted, start, counts) if c.sum() > 1000) and counts[0].sum() > 1000
