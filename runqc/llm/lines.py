@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +17,10 @@ from runqc.session import written
 
 #: Lines of at least so many characters are near-duplicates at one edit; shorter ones only if equal.
 LEAST_LENGTH = 16
-#: Lines under one variant up to which pairs are compared; with more, the cut-out stretches are enumerated instead.
+#: Lines under one variant up to which pairs are compared; with more, their cut-out stretches are cut again.
 CROWDED = 16
+#: Lines under one variant up to which one task cuts them again in memory; with more, the finer variants become rows.
+GROUP = 4096
 #: Lines of this number at most are sent to every task as a list to fetch texts by; more are joined.
 LISTED = 1_000_000
 
@@ -61,16 +65,17 @@ def grains(size: np.ndarray) -> list[np.ndarray]:
     return [of(size - 1), of(size + 1)]
 
 
-def variants(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(line, key, kept before, kept after): every line with each stretch cut out in which one edit may lie.
+def variants(lines: list[str], least: int = LEAST_LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, kept before, kept after, grain): every line with each stretch cut out in which one edit may lie.
 
     With grain g, an edit at place x leaves the g * (x // g) characters before and g * (m // g) of the m characters
     after it as they are, in both lines that it joins. So a line of size L, q = L // g, is filed under j stretches from
     its start with q - j or q - j - 1 from its end: at most 2q + 1 variants, and two lines at one edit share one. Their
-    grains are equal but at limits of two, where lines are filed under both.
+    grains are equal but at limits of two, where lines are filed under both. At grain 1 at most one character is cut out,
+    so lines that share a variant are at one edit.
     """
     hashed = Hashed(lines)
-    ask = np.flatnonzero(hashed.size >= LEAST_LENGTH)
+    ask = np.flatnonzero(hashed.size >= least)
     low, high = grains(hashed.size[ask])
     line = np.r_[ask, ask[low != high]]
     grain = np.r_[low, high[low != high]]
@@ -83,24 +88,28 @@ def variants(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     start, end = hashed.start[line], hashed.start[line] + hashed.size[line]
     kept_before, kept_after = before * grain, after * grain
     key = _mix(grain, before, after, hashed.stretch(start, start + kept_before), hashed.stretch(end - kept_after, end))
-    return line, key.view(np.int64), kept_before, kept_after
-
-
-def fine_keys(text: str, kept_before: int, kept_after: int) -> Iterator[tuple[int, int]]:
-    """(key, role) for every single edit within a stretch. Equal keys mean one edit between these roles:
-    0 with 0 (another character at one place), 1 with 2 (a line, and one that has a character more)."""
-    hashed = Hashed([text])
-    x = np.arange(kept_before, len(text) - kept_after)
-    size = np.full(len(x), len(text))
-    before, after = hashed.stretch(np.zeros(len(x), np.int64), x), hashed.stretch(x + 1, size)
-    same_place = _mix(np.zeros(len(x)), size, x, before, after).view(np.int64)
-    # A line less its character x, and a whole line, are hashed as one stretch: both parts with their powers.
-    power, inverse = rolling(len(text) + 2)
-    less = _mix(np.ones(len(x)), before + after * power[x] * inverse[0]).view(np.int64)
-    whole = _mix(np.ones(1), hashed.stretch(np.zeros(1, np.int64), np.array([len(text)]))).view(np.int64)
-    yield from ((int(k), 0) for k in same_place)
-    yield from ((int(k), 2) for k in np.unique(less))
-    yield int(whole[0]), 1
+    return line, key.view(np.int64), kept_before, kept_after, grain
+
+
+def finer(parents: np.ndarray, stretches: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``variants`` of cut-out stretches; equal keys also mean equal ``parents``, the keys they were cut out under."""
+    of, key, before, after, grain = variants(stretches, 0)
+    return of, _mix(parents[of], key).view(np.int64), before, after, grain
+
+
+def near_in_group(stretches: list[str], rank: np.ndarray) -> np.ndarray:
+    """Which stretches have one of a smaller ``rank`` within one edit: cut again and again, as long as several share a key."""
+    near, owner, parents = np.zeros(len(stretches), bool), np.arange(len(stretches)), np.zeros(len(stretches), np.int64)
+    while len(owner):
+        of, key, before, after, grain = finer(parents, stretches)
+        _, key_of, n = np.unique(key, return_inverse=True, return_counts=True)
+        first = np.full(len(n), len(rank))
+        np.minimum.at(first, key_of, rank[owner[of]])
+        near[owner[of[(grain == 1) & (first[key_of] < rank[owner[of]])]]] = True
+        on = np.flatnonzero((grain > 1) & (n[key_of] > 1))
+        stretches = [stretches[o][b:len(stretches[o]) - a] for o, b, a in zip(of[on].tolist(), before[on].tolist(), after[on].tolist())]
+        owner, parents = owner[of[on]], key[on]
+    return near
 
 
 def _line_table(docs: DataFrame, doc_id: str, text: str, keep: bool) -> DataFrame:
@@ -140,7 +149,7 @@ def _variant_rows(docs: DataFrame, text: str) -> DataFrame:
                 if len(seen) > 500_000:
                     seen.clear()
                 if fresh:
-                    line, key, _, _ = variants(list(fresh.values()))
+                    line, key, *_ = variants(list(fresh.values()))
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.fromiter(fresh, np.int64, len(fresh))[line])], schema=schema)
 
     return docs.select(F.col(text).cast("string")).mapInArrow(run, "key long, h long")
@@ -183,27 +192,65 @@ def _near_earlier(docs: DataFrame, text: str, first: DataFrame) -> DataFrame:
         .join(first, "h").join(first.select(F.col("h").alias("other"), F.col("place").alias("other_place")), "other")
         .select(F.when(F.col("place") < F.col("other_place"), F.col("other")).otherwise(F.col("h")).alias("h"))
     )
-    # Where many lines share a variant: single edits of the cut-out stretch, compared by the earliest line of each key.
-    where = [("id", pa.int64()), ("row", pa.int64()), ("number", pa.int32())]
-    schema = pa.schema([("h", pa.int64()), ("fine", pa.int64()), ("role", pa.int32()), *where])
+    return near.unionAll(_near_crowded(full.select("key", "h"), texts, first)).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _cut_out(key: int, line: str, before: int, after: int) -> tuple[int, int]:
+    """Characters kept under a key; those of a line's own variants (before = -1) are found again."""
+    if before >= 0:
+        return before, after
+    _, keys, kept_before, kept_after, _ = variants([line])
+    at = int(np.flatnonzero(keys == key)[0])
+    return int(kept_before[at]), int(kept_after[at])
+
+
+def _near_crowded(spans: DataFrame, texts: DataFrame, first: DataFrame) -> DataFrame:
+    """(h) of lines that have an earlier one within one edit under a key of ``spans(key, h)``, which many lines share.
+
+    Lines under one key differ in their cut-out stretches only. These are cut again, into finer variants, until at most
+    one character is cut out. A task does so for all lines of a key, up to ``GROUP``; the finer variants of larger groups
+    become rows, about a dozen for a line, and go on under their own keys.
+    """
+    spark, found = texts.sparkSession, None
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    answer = pa.schema([("h", pa.int64())])
+    kept = [("before", pa.int32()), ("after", pa.int32()), ("exact", pa.bool_())]
+    made = pa.schema([("key", pa.int64()), ("h", pa.int64()), *kept])
+
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        for key, group in groupby(rows, itemgetter(0)):
+            _, names, lines, before, after, *place = zip(*group)
+            b, a = _cut_out(key, lines[0], before[0], after[0])
+            rank = np.empty(len(names), np.int64)
+            rank[np.lexsort(place[::-1])] = np.arange(len(names))
+            near = near_in_group([t[b:len(t) - a] for t in lines], rank)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.int64)[near])], schema=answer)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, shared_keys, line, *place in zip(*(batch.column(c).to_pylist() for c in ("h", "keys", "line", "id", "row", "number"))):
-                _, keys, before, after = variants([line])
-                found = {f for at in np.flatnonzero(np.isin(keys, shared_keys)) for f in fine_keys(line, int(before[at]), int(after[at]))}
-                fine, role = zip(*found)
-                columns = [[h] * len(found), fine, role, *([x] * len(found) for x in place)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-
-    # A line has a few dozen variants at most. Lines are dealt evenly, as each makes many keys.
-    lines = full.groupBy("h").agg(F.collect_set("key").alias("keys")).join(texts, "h").join(first, "h").select("h", "keys", "line", "place.*")
-    lines = lines.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    fine = lines.mapInArrow(run, "h long, fine long, role int, id long, row long, number int").distinct().select("h", "fine", "role", F.struct("id", "row", "number").alias("place"))
-    least = fine.groupBy("fine", "role").agg(F.min("place").alias("earliest"))
-    partner = least.select("fine", F.when(F.col("role") == 0, 0).otherwise(3 - F.col("role")).alias("role"), "earliest")
-    hot = fine.join(partner, ["fine", "role"]).where("earliest < place").select("h")
-    return near.unionAll(hot).distinct()
+            for key, h, line, b, a in zip(*(c.to_pylist() for c in batch.columns)):
+                b, a = _cut_out(key, line, b, a)
+                _, keys, before, after, grain = finer(np.array([key], np.int64), [line[b:len(line) - a]])
+                columns = [keys, np.full(len(keys), h), before + b, after + a, grain == 1]
+                yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, made)], schema=made)
+
+    spans = spans.select("key", "h", F.lit(-1).alias("before"), F.lit(-1).alias("after"))
+    while True:
+        counted = spans.join(spans.groupBy("key").count().where("count > 1"), "key")
+        lines = counted.where(F.col("count") <= GROUP).drop("count").join(texts, "h").join(first, "h").select("key", "h", "line", "before", "after", "place.*")
+        near = written(lines.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(solved, "h long").distinct(), "line-near")
+        found = near if found is None else found.unionAll(near)
+        large = counted.where(F.col("count") > GROUP).drop("count")
+        if large.isEmpty():
+            return found
+        rows = large.join(texts, "h").select("key", "h", "line", "before", "after").repartition(tasks)
+        rows = written(rows.mapInArrow(cut, "key long, h long, before int, after int, exact boolean"), "line-finer")
+        # At most one character is cut out: all lines of a key are at one edit, and the earliest stays.
+        exact = rows.where("exact").select("key", "h").join(first, "h")
+        earliest = exact.groupBy("key").agg(F.min("place").alias("earliest"))
+        found = found.unionAll(exact.join(earliest, "key").where("earliest < place").select("h"))
+        spans = rows.where("not exact").select("key", "h", "before", "after")
 
 
 def line_decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from runqc.llm import lines as L
@@ -66,3 +67,37 @@ def test_texts_lose_the_lines(odd_docs, no_docs):
     assert len(repeated) == 3 and sum(bool(t) for t in repeated) == 1
     assert [r.text for r in out.where("doc_id in (100, 101)").orderBy("doc_id").collect()] == [None, ""]
     assert L.line_decisions(no_docs).collect() == []
+
+
+@pytest.mark.parametrize("group", [4096, 30])
+def test_crowded_lines_make_few_rows(spark, monkeypatch, group):
+    """Many lines within a stretch of one another: those of a key are cut again in a task, or as a dozen rows a line."""
+    made, written = {}, L.written
+
+    def kept(df, name):
+        out = written(df, name)
+        made.setdefault(name, []).append(out)
+        return out
+
+    monkeypatch.setattr(L, "written", kept)
+    monkeypatch.setattr(L, "GROUP", group)
+    rng = random.Random(group)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    texts = []
+    for _ in range(150):
+        line = base
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            i = rng.randrange(200, 240)
+            line = rng.choice([line[:i] + rng.choice("xyz") + line[i:], line[:i] + line[i + 1:], line[:i] + rng.choice("xyz") + line[i + 1:]])
+        texts.append(line)
+    docs = [(i, "\n".join(texts[3 * i:3 * i + 3])) for i in range(50)]
+    got = L.line_decisions(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), keep=True).collect()
+    want = dict(zip(docs, plain(docs)))
+    assert all(list(r.dropped) == want[(r.doc_id, r.doc.text)] for r in got) and len(got) == 50
+    assert 0 < sum(len(r.dropped) for r in got) < 150
+    finer = [t.count() for t in made.get("line-finer", [])]
+    assert not finer if group == 4096 else finer and sum(finer) < 150 * 100
+    for _ in range(20):
+        lines = list({"".join(rng.choice("ab") for _ in range(rng.randrange(0, 40))) for _ in range(60)})
+        near = L.near_in_group(lines, np.arange(len(lines)))
+        assert list(near) == [any(one_edit(s, t) for s in lines[:k]) for k, t in enumerate(lines)]
