@@ -46,11 +46,14 @@ def smoothed_histogram(
     """Gaussian-smoothed histogram scaled to a maximum of 100, mirrored at length 0.
 
     Each occupied bin spreads its count over the kernel; a mirrored bin is the same count at a
-    position below 0. Work is occupied bins x kernel width; bins out of reach of reads are absent.
+    position below 0. Work is occupied bins x kernel width; bins out of reach of reads are absent. Occupied bins are
+    shuffled by group, so that neither what they spread nor the curve is.
     """
     weights = kernel_weights(sigma)
     radius = len(weights) // 2
     hist = length_histogram(reads, keys, width).withColumn("i", (F.col("bin") / width).cast("long"))
+    if keys:
+        hist = balanced(hist, *keys, times=4)
     positions = F.array(F.col("i"), -F.col("i") - 1)
     spread = (
         hist.select(*keys, "n", F.explode(positions).alias("p"))

@@ -15,14 +15,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
-def balanced(df: DataFrame) -> DataFrame:
-    """Even partitions ahead of work that costs far more than its bytes suggest.
+def balanced(df: DataFrame, *keys: str, times: int = 1) -> DataFrame:
+    """Even partitions ahead of work that costs far more than its bytes suggest, by ``keys`` if there are any.
 
     Adaptive execution merges small shuffle partitions by size; a fixed count keeps all cores busy.
     """
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(n)
+    return df.repartition(n * times, *keys)
 
 
 #: A key is hot if it holds more than one row in so many; there are fewer hot keys than that. Each is dealt over the salts.
