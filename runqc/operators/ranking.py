@@ -178,13 +178,23 @@ def hash_sample(
     return whole.unionByName(edge).select(*df.columns)
 
 
+#: Rows of a block, and of a task that orders or sums them; more rows make more tasks, not larger ones.
+ROWS_PER_TASK = 250_000
+
+
+def _by_task(df: DataFrame, rows: int, *keys: Column | str) -> DataFrame:
+    """Dealt by ``keys`` over as many tasks as ``rows`` ask for, if the session's number of partitions is too small."""
+    tasks = -(-rows // ROWS_PER_TASK)
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def ordered_totals(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
     tie: str,
     sums: Mapping[str, str],
-    rows_per_block: int = 1_000_000,
+    rows_per_block: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Running totals over a total order of the rows: ``rank`` (1-based) and one column per sum.
 
@@ -217,7 +227,7 @@ def ordered_totals(
         *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums],
     )
     inside = Window.partitionBy(*block).orderBy(order, "_m", tie).rowsBetween(Window.unboundedPreceding, 0)
-    out = blocked.withColumn("rank", F.count("*").over(inside))
+    out = _by_task(blocked, total, *block).withColumn("rank", F.count("*").over(inside))
     for name, c in sums.items():
         out = out.withColumn(name, F.sum(c).over(inside))
     out = out.join(offsets, block).withColumn("rank", F.col("rank") + F.col("_o_rank"))
@@ -232,12 +242,14 @@ def rolling_means(
     order: str,
     sums: Mapping[str, str],
     k: int,
+    rows: int = 0,
 ) -> DataFrame:
     """Mean over every full window of ``k`` consecutive rows, labelled at window index k//2.
 
     ``ranked`` comes from ``ordered_totals``; ``sums`` maps its running-sum columns to output
     names. A window sum is a difference of two running sums, so each row is sent to the window
     it closes, the window it has just left and the window it labels: one shuffle, any ``k``.
+    ``rows``, the number of rows if it is known, sets the number of tasks.
     """
     rank = F.col("rank")
     role = lambda end, sign, label: F.struct(
@@ -247,7 +259,7 @@ def rolling_means(
         role(rank, 1, False), role(rank + k, -1, False), role(rank + (k - 1 - k // 2), 0, True)
     )
     sent = ranked.select(*keys, order, *sums, F.explode(roles).alias("r"))
-    per_window = sent.groupBy(*keys, F.col("r.end").alias("end")).agg(
+    per_window = _by_task(sent, 3 * rows, *keys, F.col("r.end")).groupBy(*keys, F.col("r.end").alias("end")).agg(
         F.max(F.when(F.col("r.is_label"), F.col(order))).alias(order),
         F.max(F.when(F.col("r.sign") == 1, F.lit(1))).alias("_closed"),
         *[(F.sum(F.col(c) * F.col("r.sign")) / F.lit(float(k))).alias(out) for c, out in sums.items()],

@@ -58,13 +58,14 @@ def rolling_quality_length(
     reads: DataFrame, keys: Sequence[str], k: int | None = None, time: str = "start_time"
 ) -> DataFrame:
     """Centred rolling (arithmetic) means of quality and length over k = max(100, n // 100) reads."""
+    rows = reads.count()
     if k is None:
-        k = max(100, reads.count() // 100)
+        k = max(100, rows // 100)
     ranked = ranking.ordered_totals(
         reads.select(*keys, time, "read_id", "qscore", "length"), keys, time, "read_id",
         {"sum_q": "qscore", "sum_len": "length"},
     )
-    return ranking.rolling_means(ranked, keys, time, {"sum_q": "rolling_q", "sum_len": "rolling_length"}, k)
+    return ranking.rolling_means(ranked, keys, time, {"sum_q": "rolling_q", "sum_len": "rolling_length"}, k, rows)
 
 
 def monitor_series(reads: DataFrame, keys: Sequence[str], time: str = "start_time") -> DataFrame:

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from runqc.operators import distributions as D
+from runqc.operators import ranking, timeline
+
 
 def test_curves_are_not_shuffled(spark):
     """Occupied bins are shuffled, by bin and by group; what the kernel makes of them stays in its task."""
@@ -13,3 +15,16 @@ def test_curves_are_not_shuffled(spark):
     above = out._jdf.queryExecution().executedPlan().toString().split("Generate")[0]
     assert "Exchange" not in above
     assert out.count() == 7
+
+
+def test_ordered_rows_are_dealt_over_more_tasks(spark, monkeypatch):
+    """A task orders and sums a bounded number of rows; the result is that of few tasks."""
+    reads = spark.range(3000).select(
+        F.lit("a").alias("g"), (F.col("id") * 37 % 500).alias("start_time"), F.col("id").cast("string").alias("read_id"),
+        (F.col("id") % 30).cast("double").alias("qscore"), (F.col("id") % 1000).alias("length"))
+    few = sorted(map(tuple, timeline.rolling_quality_length(reads, ["g"]).collect()))
+    monkeypatch.setattr(ranking, "ROWS_PER_TASK", 100)
+    many = timeline.rolling_quality_length(reads, ["g"])
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert ", 90), REPARTITION_BY_NUM" in plan and ", 30), REPARTITION_BY_NUM" in plan
+    assert sorted(map(tuple, many.collect())) == few and len(few) == 2901
