@@ -200,8 +200,11 @@ def first_range_match(reads: DataFrame, targets: DataFrame, length: str = "lengt
 
 
 def size_candidates(reads: DataFrame, targets: DataFrame, on: Sequence[str] = ("experiment",), length: str = "length") -> DataFrame:
-    """All targets of the read's experiment whose range holds its length."""
-    return range_join(reads, targets, length, "range_min", "range_max", list(on))
+    """All targets of the read's experiment whose range holds its length.
+
+    The range join reads its reads three times; they are worked out once, into a table.
+    """
+    return range_join(written(reads, "sized-reads"), targets, length, "range_min", "range_max", list(on))
 
 
 def experiment_targets(barcode_map: DataFrame, targets: DataFrame) -> DataFrame:
@@ -226,17 +229,18 @@ def classify_reads(
     sequence wherever its text is not compared.
     """
     expected = barcode_map.select("experiment", "barcode", F.col("target").alias("expected_target"))
-    sized = reads.withColumns({"length": F.length("seq"), "id": _named(F.upper("seq"))}).join(
-        expected, ["experiment", "barcode"], "left"
-    )
+    sized = reads.select("read_id", "experiment", "barcode", F.length("seq").alias("length"), F.upper("seq").alias("seq")).withColumn("id", _named(F.col("seq")))
+    # Sequences are read three times; they are worked out once, into a table.
+    sized = written(sized.join(expected, ["experiment", "barcode"], "left"), "classified-reads")
     known = F.col("expected_target").isNotNull()
     in_bounds = F.col("length").between(min_length, max_length)
-    asked = sized.where(known & in_bounds).select("experiment", "id", "length", F.upper("seq").alias("seq")).distinct()
+    asked = sized.where(known & in_bounds).select("experiment", "id", "length", "seq").distinct()
     pool = experiment_targets(barcode_map, targets).select(
         "experiment", "target_id", "target_seq", "expected_length", "range_min", "range_max"
     )
     # Sizes are few; the sequences are dealt evenly, as distances cost far more than bytes.
-    fitting = size_candidates(asked.select("experiment", "length").distinct(), pool)
+    sizes = sized.where(known & in_bounds).select("experiment", "length").distinct()
+    fitting = size_candidates(sizes, pool)
     scored = balanced(asked).join(fitting, ["experiment", "length"]).select(
         "experiment", "id",
         F.struct(

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from runqc.operators import align as A
 from runqc.operators import distributions as D
 from runqc.operators import ranking, timeline
 
@@ -28,3 +29,22 @@ def test_ordered_rows_are_dealt_over_more_tasks(spark, monkeypatch):
     plan = many._jdf.queryExecution().executedPlan().toString()
     assert ", 90), REPARTITION_BY_NUM" in plan and ", 30), REPARTITION_BY_NUM" in plan
     assert sorted(map(tuple, many.collect())) == few and len(few) == 2901
+
+
+def test_reads_are_worked_out_once(spark):
+    """What a read costs is paid once, however often the size join and the classification look at it."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def costly(i):
+        made.add(1)
+        return "ACGT" * (25 + i % 3)
+
+    reads = spark.range(300).select(F.col("id").cast("string").alias("read_id"), F.lit("e").alias("experiment"), F.lit("b").alias("barcode"), costly("id").alias("seq"))
+    targets = spark.createDataFrame([("T1", "ACGT" * 25, 100, 90, 102), ("T2", "ACGA" * 26, 104, 99, 110)], "target_id string, target_seq string, expected_length int, range_min int, range_max int")
+    codes = spark.createDataFrame([("e", "b", "T1"), ("e", "c", "T2")], "experiment string, barcode string, target string")
+    sized = reads.withColumn("length", F.length("seq")).select("read_id", "experiment", "length")
+    assert A.size_candidates(sized, targets.withColumn("experiment", F.lit("e"))).count() == 400 and made.value <= 300
+    made.value = 0
+    assert {(r.length, r.method, r.target_id) for r in A.classify_reads(reads, codes, targets).collect()} == {(100, "edit_distance", "T1"), (104, "size", "T2"), (108, "size", "T2")}
+    assert made.value <= 2 * 300  # length and text of one table: a plan may call it for each, but not for each look
