@@ -114,6 +114,23 @@ def _named(docs: DataFrame, text: str, *columns: Column) -> DataFrame:
     return docs.select(*columns, F.unhex(F.md5(F.coalesce(whole, F.lit("")).cast("binary"))).alias("of"), whole.alias("text"))
 
 
+def _only(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows whose node is in ``nodes(node)``, a written table without repetitions: few names go to the rows, not the rows to them."""
+    return rows.join(F.broadcast(nodes) if nodes.count() <= SENT else nodes, "node", "left_semi")
+
+
+def _beside(pairs: DataFrame, columns: DataFrame, one: list[str], two: list[str]) -> DataFrame:
+    """Written ``pairs(a, b)`` with the ``columns`` of both nodes, named ``one`` and ``two``.
+
+    Where the pairs are few, only rows of their nodes are shuffled: later rounds have few pairs, and the sets are large.
+    """
+    def of(side: str) -> DataFrame:
+        return columns.join(F.broadcast(pairs.select(F.col(side).alias("node")).distinct()), "node", "left_semi") if few else columns
+
+    few = pairs.count() <= SENT
+    return pairs.join(of("a").toDF("a", *one), "a").join(of("b").toDF("b", *two), "b").select("a", "b", *(x for both in zip(one, two) for x in both))
+
+
 def _full_sets(docs: DataFrame, rows: DataFrame, members: DataFrame, words: int, text: str) -> DataFrame:
     """(node, n, sketch, shingles) of the nodes in ``members``, made again from one text of each."""
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("shingles", pa.binary())])
@@ -126,7 +143,7 @@ def _full_sets(docs: DataFrame, rows: DataFrame, members: DataFrame, words: int,
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(shingles, pa.binary())], schema=schema)
         give_back()
 
-    wanted = written(rows.select(F.col("row").alias("node"), "of", "n", "sketch").join(members, "node"), "hyperminhash-wanted")
+    wanted = written(_only(rows.select(F.col("row").alias("node"), "of", "n", "sketch"), members), "hyperminhash-wanted")
     texts = _named(docs, text)
     if wanted.count() <= SENT:
         texts = texts.withColumn("short", F.xxhash64("of")).join(F.broadcast(wanted.select(F.xxhash64("of").alias("short"))), "short", "left_semi")
@@ -175,7 +192,8 @@ def _verified(similar: tuple[int, int]):
 
 def shared_slots(slots: DataFrame) -> DataFrame:
     """The rows of ``slots`` whose slot several nodes share, with their ``count``."""
-    return slots.join(slots.groupBy("slot").count().where("count > 1"), "slot")
+    # Counted by n, which is never NULL: both sides then have the same columns, and share the shuffles beneath.
+    return slots.join(slots.groupBy("slot").agg(F.count("n").alias("count")).where("count > 1"), "slot")
 
 
 def rarest_slots(crowded: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -254,11 +272,9 @@ def links(met: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMILAR, c
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = written(pairs, "hyperminhash-candidates")
         compared = pairs if compared is None else compared.unionAll(pairs)
-        sizes = sets.select("node", "n", "sketch")
-        pairs = pairs.join(sizes.toDF("a", "n", "one"), "a").join(sizes.toDF("b", "m", "two"), "b").select("a", "b", "n", "m", "one", "two")
+        pairs = _beside(pairs, sets.select("node", "n", "sketch"), ["n", "one"], ["m", "two"])
         pairs = written(pairs.mapInArrow(_hopeful(similar), "a long, b long"), "hyperminhash-pairs")
-        full = sets.select("node", "shingles")
-        found = pairs.join(full.toDF("a", "one"), "a").join(full.toDF("b", "two"), "b").select("a", "b", "one", "two").mapInArrow(_verified(similar), "a long, b long")
+        found = _beside(pairs, sets.select("node", "shingles"), ["one"], ["two"]).mapInArrow(_verified(similar), "a long, b long")
         edges = written(found, "hyperminhash-links")
         known = roots
         roots = components(edges if known is None else edges.unionAll(known.select(F.col("node").alias("a"), F.col("root").alias("b"))))
@@ -288,7 +304,8 @@ def near_copies(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] =
     classes = written(classes, "hyperminhash-classes")
     banded = rows.select(F.col("row").alias("node"), "n", "bands").join(classes.select("node"), "node").select(F.explode("bands").alias("slot"), "node", "n")
     met = written(shared_slots(banded), "hyperminhash-bands")
-    sets = written(_full_sets(docs, rows, met.select("node").distinct(), words, text), "hyperminhash-sets")
+    members = written(met.select("node").distinct(), "hyperminhash-nodes")
+    sets = written(_full_sets(docs, rows, members, words, text), "hyperminhash-sets")
     roots = links(met, sets, similar, CROWDED)
     placed = classes.withColumn("root", F.col("node")) if roots is None else \
         classes.join(roots, "node", "left").select("key", "first", F.coalesce("root", "node").alias("root"))

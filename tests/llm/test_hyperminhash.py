@@ -118,3 +118,24 @@ def test_groups_that_leaders_connect_are_not_enumerated(spark, monkeypatch):
     assert made["hyperminhash-shingles"].count() == 0
     pairs = made["hyperminhash-candidates"]
     assert 0 < pairs.count() == pairs.distinct().count() < 80 * 79 // 2 and pairs.where("a >= b").count() == 0
+
+
+def test_rounds_shuffle_only_the_sets_of_their_pairs(spark, monkeypatch):
+    """Sketches and sets of nodes without a pair are left out before the shuffles, so rounds with few pairs move little."""
+    plans, written = {}, H.written
+
+    def kept(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(H, "written", kept)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(base[:7 * i] + [f"x{i}"] + base[7 * i + 1:])) for i in range(8)] + [(50 + i, f"other {i} words of its own") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain(rows)
+    for sent, few in ((H.SENT, True), (0, False)):
+        monkeypatch.setattr(H, "SENT", sent)
+        plans.clear()
+        assert found(docs) == want
+        for name, sides in (("hyperminhash-pairs", 2), ("hyperminhash-links", 2), ("hyperminhash-wanted", 1)):
+            assert all((p.count("LeftSemi, ") == sides and p.count("strategy=broadcast") == sides) == few for p in plans[name]), plans[name][0]
