@@ -20,6 +20,8 @@ from runqc.session import shared_path
 END_ID = 1
 #: Letter runs, mark runs and odd words that a task remembers with their ids; beyond it the memory starts anew. Speed only.
 REMEMBERED = 300_000
+#: Texts that a task encodes at once: what it holds beside the batch grows with their words.
+AT_ONCE = 1000
 STRIPE_BYTES = 64 << 20
 INDEX_STRIDE = 10_000
 #: Marks whose runs the tokenizer cuts off letters: printable ASCII without letters, digits and the apostrophe.
@@ -104,8 +106,11 @@ class _Words:
         used = of_word[:, words.indices.to_numpy()].T.ravel()
         n = size[used]
         at = np.cumsum(n) - n
-        row = ids[np.repeat(start[used] - at, n) + np.arange(n.sum())]
-        ends = np.r_[at, n.sum()][2 * cut.offsets.to_numpy()]
+        total = int(n.sum())
+        place = np.arange(total, dtype=np.int32 if max(total, len(ids)) < 2**31 else np.int64)  # the largest arrays here
+        place += np.repeat((start[used] - at).astype(place.dtype), n)
+        row = ids[place]
+        ends = np.r_[at, total][2 * cut.offsets.to_numpy()]
         counts = np.diff(ends)
         if whole:
             parts = [np.frombuffer(whole[i], "<u4") if i in whole else row[a:b] for i, (a, b) in enumerate(zip(ends[:-1], ends[1:]))]
@@ -123,19 +128,28 @@ STORED = pa.schema([("doc_id", pa.int64()), ("part_start", pa.int64()), ("n_toke
 
 
 def _encode(path: str, end_id: int):
+    def encoded(words: _Words, some: pa.RecordBatch, start: int) -> pa.RecordBatch:
+        ids, counts = words.encode(some.column(1).to_pylist())
+        n = counts + 1
+        ends = np.cumsum(n)
+        row = np.full(int(n.sum()), end_id, np.int32)
+        own = np.ones(len(row), bool)
+        own[ends - 1] = False
+        row[own] = ids
+        lists = pa.ListArray.from_arrays(np.r_[0, ends].astype(np.int32), row)
+        return pa.RecordBatch.from_arrays([some.column(0), pa.array(start + ends - n), pa.array(n), lists], schema=STORED)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, start = _words(path), 0
         for batch in batches:
-            for cut in range(0, batch.num_rows, 1000):
-                some = batch.slice(cut, 1000)
-                ids, counts = words.encode(some.column(1).to_pylist())
-                ids = np.insert(ids, np.cumsum(counts), end_id).astype(np.int32)
-                n = counts + 1
-                starts = start + np.cumsum(n) - n
-                start += int(n.sum())
-                lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(n)].astype(np.int32), ids)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(starts), pa.array(n), lists], schema=STORED)
+            for cut in range(0, batch.num_rows, AT_ONCE):
+                made = encoded(words, batch.slice(cut, AT_ONCE), start)
+                start += pc.sum(made.column(2)).as_py()
+                yield made
+                del made
                 give_back()
+            del batch
+        give_back()
 
     return run
 
@@ -151,14 +165,20 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     order = [F.col("doc_id"), F.xxhash64("text")]
-    (
-        rows.repartitionByRange(*order).sortWithinPartitions(*order)
-        .mapInArrow(_encode(tokenizer or vocabulary_path(), end_id), TABLE)
-        .withColumn("part", F.spark_partition_id())
-        .write.option("compression", "zstd").option("orc.create.index", "true").option("orc.row.index.stride", INDEX_STRIDE)
-        .option("orc.stripe.size", STRIPE_BYTES).option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
-        .orc(path)
-    )
+    conf, records = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(records)
+    conf.set(records, AT_ONCE)  # a batch of texts lies in the executor and in its worker, often twice over
+    try:
+        (
+            rows.repartitionByRange(*order).sortWithinPartitions(*order)
+            .mapInArrow(_encode(tokenizer or vocabulary_path(), end_id), TABLE)
+            .withColumn("part", F.spark_partition_id())
+            .write.option("compression", "zstd").option("orc.create.index", "true").option("orc.row.index.stride", INDEX_STRIDE)
+            .option("orc.stripe.size", STRIPE_BYTES).option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
+            .orc(path)
+        )
+    finally:
+        conf.set(records, before)
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame:
@@ -192,7 +212,7 @@ def token_digests(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("ids")
-            at, flat = ids.offsets.to_numpy(), memoryview(ids.values.to_numpy().astype("<u4")).cast("B")
+            at, flat = ids.offsets.to_numpy(), memoryview(ids.values.to_numpy().view("<u4")).cast("B")
             crc = [zlib.crc32(flat[4 * a: 4 * b]) for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "start", "n_tokens")] + [pa.array(crc, pa.int64())], schema=out)
         give_back()

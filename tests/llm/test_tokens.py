@@ -55,3 +55,30 @@ def test_files_carry_bloom_filters(spark, odd_docs, tmp_path):
     assert orc.ORCFile(file).nrows > 0
     plan = T.read_tokens(spark, path, [7])._jdf.queryExecution().toString()
     assert "PushedFilters" in plan and "In(doc_id" in plan or "EqualTo(doc_id" in plan
+
+
+def test_tasks_hold_bounded_batches_of_texts(spark, tmp_path, monkeypatch):
+    """Texts reach the workers a few at a time, and the session's own setting holds again afterwards."""
+    made, setting, most = T._encode, "spark.sql.execution.arrow.maxRecordsPerBatch", T.AT_ONCE
+
+    def checked(path, end_id):
+        run = made(path, end_id)
+
+        def held(batches):
+            def few():
+                for b in batches:
+                    assert b.num_rows <= most
+                    yield b
+
+            return run(few())
+
+        return held
+
+    before = spark.conf.get(setting)
+    monkeypatch.setattr(T, "_encode", checked)
+    docs = spark.range(12 * most).selectExpr("id AS doc_id", "'a b c' AS text")
+    T.write_tokens(docs, str(tmp_path / "tokens"))
+    assert T.read_tokens(spark, str(tmp_path / "tokens")).count() == 12 * most
+    with pytest.raises(Exception):
+        T.write_tokens(docs, str(tmp_path / "tokens"))  # is there already
+    assert spark.conf.get(setting) == before
