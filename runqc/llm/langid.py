@@ -71,7 +71,9 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     chosen = rows.select("id", "lang", F.xxhash64("id").alias("h")).withColumn("salt", F.pmod("h", F.lit(16)))
     for keys in (["lang", "salt"], ["lang"]):
         chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "id"))).where(F.col("n") <= per_language)
-    sample = rows.join(chosen.select("id", "lang").distinct(), ["id", "lang"], "left_semi").select("lang", "text")
+    chosen = written(chosen.select("id", "lang").distinct(), "langid-sample")
+    few = chosen.count() <= BROADCAST_ROWS  # then the texts stay where they are
+    sample = rows.join(F.broadcast(chosen) if few else chosen, ["id", "lang"], "left_semi").select("lang", "text")
     return TextModel([(r.lang, r.text) for r in sample.toLocalIterator()])
 
 

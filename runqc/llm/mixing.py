@@ -10,6 +10,8 @@ from runqc.session import written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3
+#: Rows of sources and their partitions up to which they are sent to the documents; more are joined by a shuffle of both.
+BROADCAST_ROWS = 100_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -71,6 +73,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: int =
         .select("p.source", "p.part", "p.first", "p.before", "p.source_size", "t.target",
                 F.coalesce(F.try_divide(F.col("t.target"), F.col("p.source_size")), F.lit(0.0)).alias("rate"), _offset(F.col("p.source")).alias("start"))
     )
+    parts = written(parts, "mix-parts")
+    parts = F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts
     rank = F.col("p.before") + F.col("d.place") - F.col("p.first")
     crossed = F.floor(F.col("p.start") + (rank + 1) * F.col("p.rate")) - F.floor(F.col("p.start") + rank * F.col("p.rate"))
     return (

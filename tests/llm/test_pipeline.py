@@ -58,3 +58,30 @@ def test_entry_works_without_it(tmp_path):
     shutil.copytree(ROOT / "runqc", tmp_path / "runqc", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_texts_are_not_shuffled_to_small_tables(spark, monkeypatch):
+    """Mixing and the language sample join whole texts to small tables; neither deals the texts out by a key for it."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = sorted(map(str, mixing.mixed_rows(docs).collect()))
+    known = sorted(map(str, langid.known_language(docs, docs).select("doc_id").collect()))
+    seen, fit = [], langid.fit
+
+    def kept(*given, **how):
+        seen.append(fit(*given, **how))
+        return seen[-1]
+
+    monkeypatch.setattr(langid, "fit", kept)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (100_000, 0):
+            monkeypatch.setattr(mixing, "BROADCAST_ROWS", most)
+            mixed = mixing.mixed_rows(docs)
+            assert ("BroadcastHashJoin" in mixed._jdf.queryExecution().executedPlan().toString()) == (most > 0)
+            assert sorted(map(str, mixed.collect())) == want
+            monkeypatch.setattr(langid, "BROADCAST_ROWS", most)
+            assert sorted(map(str, langid.known_language(docs, docs).select("doc_id").collect())) == known
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(seen) == 2 and (seen[0].logp == seen[1].logp).all()
