@@ -31,7 +31,10 @@ PIECE, CONTEXT = 1 << 19, 256
 PLACES = np.arange(PIECE + 1)
 BLOCKS = np.where(PLACES < 2048, PLACES // 256, 8 + 8 * np.log2(np.maximum(PLACES, 1) / 2048)).astype(np.uint8)
 SCALE = 16
-MULTIPLY = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
+#: Bytes that are counted at once, and symbols whose bits are predicted at once: what they need stays in a processor's
+#: cache. A batch of texts that are scored together is larger, as its blocks come one after another.
+BATCH, STRETCH, TOGETHER = 1 << 18, 1 << 16, 1 << 18
+MULTIPLY = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35))
 NODE = np.uint32(0x9E3779B1)
 
 
@@ -107,8 +110,9 @@ class Symbols:
         starts = self.heads + sizes[::2]
         self.data = np.frombuffer(b"".join(parts), np.uint8)
         self.at = np.flatnonzero(np.repeat(np.tile([False, True], len(pieces)), sizes))
-        self.lane = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes[1::2])
-        self.place = (self.at - starts[self.lane]).astype(np.int32)
+        bodies = sizes[1::2]
+        self.lane = np.repeat(np.arange(len(pieces), dtype=np.int32), bodies)
+        self.place = np.arange(len(self.at), dtype=np.int32) - np.repeat((np.cumsum(bodies) - bodies).astype(np.int32), bodies)
         self.symbol = self.data[self.at].astype(np.int32)
         ends = [s + n - 1 for (_, _, end), s, n in zip(pieces, starts, sizes[1::2]) if end]
         self.symbol[np.searchsorted(self.at, ends)] = END
@@ -116,23 +120,33 @@ class Symbols:
 
     def codes(self, trees: Trees) -> tuple[np.ndarray, np.ndarray]:
         """Code lengths and codes."""
-        at = trees.row[self.two] * np.int32(257) + self.symbol
-        return trees.length[at], trees.code[at]
+        at = trees.row.take(self.two).astype(np.intp) * 257 + self.symbol
+        return trees.length.take(at), trees.code.take(at)
 
     def contexts(self) -> list[np.ndarray]:
         """32-bit hashes of the two bytes before, of the four before, and of the word so far."""
-        wide, at = self.data.astype(np.uint64), self.at
-        two = wide[1:] << np.uint64(8) | wide[:-1]  # the pair that ends at i + 1
-        four = two[at - 2] << np.uint64(16) | two[at - 4]
-        power, inverse = rolling(len(wide))
-        total = np.r_[np.uint64(0), np.cumsum((wide + np.uint64(1)) * power[:len(wide)], dtype=np.uint64)]
-        first = np.zeros(len(wide) + 1, np.int64)  # where the word of a position begins
-        spaces = np.flatnonzero(self.data == 32) + 1
-        first[spaces], first[self.heads] = spaces, self.heads
-        first = np.maximum.accumulate(first)[at]
-        word = (total[at] - total[first]) * inverse[first]
-        hashed = lambda x, m: (((x + np.uint64(1)) * m) >> np.uint64(32)).astype(np.uint32)
-        return [hashed(two[at - 2], MULTIPLY[0]), hashed(four, MULTIPLY[1]), hashed(word ^ word >> np.uint64(29), MULTIPLY[2])]
+        wide, at, n = self.data.astype(np.uint32), self.at, len(self.data)
+        two = wide[1:] << np.uint32(8) | wide[:-1]  # the pair that ends at i + 1
+        four = two[2:] << np.uint32(16) | two[:-2]
+        power, inverse = rolling(n)  # their low halves are powers of a root modulo 2^32
+        total = np.zeros(n + 1, np.uint32)
+        np.cumsum((wide + np.uint32(1)) * power[:n].astype(np.uint32), dtype=np.uint32, out=total[1:])
+        first = np.zeros(n + 1, bool)  # where words begin
+        first[1:], first[self.heads] = self.data == 32, True
+        begin = np.flatnonzero(first[:n])
+        long = np.diff(begin, append=n)
+        word = (total[:n] - np.repeat(total[begin], long)) * np.repeat(inverse[begin].astype(np.uint32), long)
+        return [_hashed(two, MULTIPLY[0])[at - 2], _hashed(four, MULTIPLY[1])[at - 4], _hashed(word, MULTIPLY[2])[at]]
+
+
+def _hashed(x: np.ndarray, factor: np.uint32) -> np.ndarray:
+    """32-bit numbers with all their bits in the low ones, where slots are read."""
+    x = (x ^ x >> np.uint32(15)) + np.uint32(1)
+    x *= factor
+    x ^= x >> np.uint32(13)
+    x *= NODE
+    x ^= x >> np.uint32(16)
+    return x
 
 
 def levels(left: np.ndarray, code: np.ndarray, contexts: list[np.ndarray], lane: np.ndarray | None = None) -> Iterator[tuple]:
@@ -143,7 +157,7 @@ def levels(left: np.ndarray, code: np.ndarray, contexts: list[np.ndarray], lane:
         node = ((rest >> 1) | np.int32(1 << depth)).astype(np.uint32)
         node *= NODE
         node ^= node >> np.uint32(15)
-        yield depth, lane, rest & 1, [(c ^ node) & np.uint32((1 << b) - 1) for c, b in zip(contexts, SLOT_BITS)]
+        yield depth, lane, rest & 1, [((c ^ node) & np.uint32((1 << b) - 1)).astype(np.intp) for c, b in zip(contexts, SLOT_BITS)]
         keep = np.flatnonzero(left > 1)
         left, code, contexts, depth = left[keep] - 1, code[keep], [c[keep] for c in contexts], depth + 1
         lane = None if lane is None else lane[keep]
@@ -171,37 +185,57 @@ class Mixer:
         order = np.argsort(block, kind="stable")
         lane, contexts = symbols.lane[order], [c[order] for c in symbols.contexts()]
         length, code = (c[order] for c in symbols.codes(self.trees))
+        bits = np.r_[0, np.cumsum(length, dtype=np.int64)]  # where each symbol's begin
+        mixed = None if learn else self._mixed(length, code, contexts)
         cuts = np.r_[0, np.flatnonzero(np.diff(block[order])) + 1, len(order)]
         for a, b in zip(cuts[:-1], cuts[1:]):
-            step, seen, change = np.zeros_like(factors), np.full_like(factors, 256), np.zeros_like(self.weights)
-            for depth, lanes, bits, slots in levels(length[a:b], code[a:b], [c[a:b] for c in contexts], lane[a:b]):
-                gate = min(depth, GATES - 1)
-                w = self.weights[gate] / np.float32([SCALE, SCALE, SCALE, 1])
-                x = [t[s].astype(np.float32) for t, s in zip(self.tables, slots)]
+            seen = None
+            if learn:
+                some, seen = self._mixed(length[a:b], code[a:b], [c[a:b] for c in contexts], parts=True)
+            else:
+                some = mixed[bits[a]:bits[b]]
+            at, n = bits[a:b] - bits[a], length[a:b]
+            gate = np.arange(len(some)) - np.repeat(at, n)  # the depth of each bit
+            np.minimum(gate, GATES - 1, out=gate)
+            gate += np.repeat(lane[a:b].astype(np.intp) * GATES, n)
+            z = factors.take(gate)
+            z *= some
+            np.minimum(z, 30, out=z)
+            np.exp(z, out=z)  # odds against the bit that came
+            z += 1
+            begin = np.r_[0, np.flatnonzero(lane[a + 1:b] != lane[a:b - 1]) + 1]
+            total[lane[a + begin]] -= np.add.reduceat(np.log(z), at[begin], dtype=np.float64)
+            error = 1 / z - 1
+            size = len(pieces) * GATES
+            step, times = np.bincount(gate, error * some, size), np.bincount(gate, minlength=size)
+            factors = (factors + (REFINE * step / (256 + times)).reshape(-1, GATES)).astype(np.float32)
+            if learn:
+                gate %= GATES
+                times = np.maximum(np.bincount(gate, minlength=GATES), 1)
+                self.weights = (self.weights + learn * np.stack([np.bincount(gate, error * v, GATES) / times for v in seen], 1)).astype(np.float32)
+        return total, factors
+
+    def _mixed(self, length: np.ndarray, code: np.ndarray, contexts: list[np.ndarray], parts: bool = False):
+        """The weighted sum of log-odds against each bit of the symbols in a row; with ``parts`` also what was summed."""
+        bits = np.r_[0, np.cumsum(length, dtype=np.int64)]
+        out, seen = np.empty(bits[-1], np.float32), np.empty((4, bits[-1] if parts else 0), np.float32)
+        weights = self.weights / np.float32([SCALE, SCALE, SCALE, 1])
+        for a in range(0, len(length), STRETCH):
+            cut = slice(a, a + STRETCH)
+            for depth, at, bit, slots in levels(length[cut], code[cut], [c[cut] for c in contexts], bits[:-1][cut]):
+                w = weights[min(depth, GATES - 1)]
+                x = [t.take(s).astype(np.float32) for t, s in zip(self.tables, slots)]
                 mixed = x[0] * w[0]
                 mixed += x[1] * w[1]
                 mixed += x[2] * w[2]
                 mixed += w[3]
-                begin = np.r_[0, np.flatnonzero(lanes[1:] != lanes[:-1]) + 1]
-                some, n = lanes[begin], np.diff(begin, append=len(lanes))
-                sign = (1 - 2 * bits).astype(np.float32)
-                z = np.repeat(factors[some, gate], n)
-                z *= mixed
-                z *= sign
-                np.minimum(z, 30, out=z)
-                np.exp(z, out=z)  # odds against the bit that came
-                z += 1
-                total[some] -= np.add.reduceat(np.log(z), begin)
-                error = sign * (1 / z - 1)
-                step[some, gate] += np.add.reduceat(error * mixed, begin)
-                seen[some, gate] += n
-                if learn:
-                    change[gate] += [*(float((error * v).sum()) / SCALE for v in x), float(error.sum())]
-                    change[gate] /= len(error)
-            factors = factors + REFINE * step / seen
-            if learn:
-                self.weights = (self.weights + learn * change).astype(np.float32)
-        return total, factors
+                sign = (1 - 2 * bit).astype(np.float32)
+                mixed *= sign
+                out[at + depth] = mixed
+                if parts:
+                    for row, v in zip(seen, (*x, np.float32(SCALE))):
+                        row[at + depth] = v * sign / SCALE
+        return (out, seen) if parts else out
 
     def fitted(self, texts: list[str]) -> Mixer:
         """Learns the weights online over these texts, four times over at a falling rate."""
@@ -224,7 +258,7 @@ class Mixer:
                     out[i] += float(x[0]) / math.log(10)
             else:
                 waiting.append(i)
-            if waiting and len(pieces[waiting[-1]][0][1]) * len(waiting) >= PIECE:
+            if waiting and len(pieces[waiting[-1]][0][1]) * len(waiting) >= TOGETHER:
                 self._flush(waiting, pieces, out)
         self._flush(waiting, pieces, out)
         return out, [sum(len(body) for _, body, _ in p) for p in pieces]
@@ -242,7 +276,7 @@ def _batched(texts: Iterator[str | None]) -> Iterator[list[tuple[bytes, bytes, b
         for piece in pieces_of(text):
             waiting.append(piece)
             size += len(piece[1])
-            if size >= PIECE:
+            if size >= BATCH:
                 yield waiting
                 waiting, size = [], 0
     if waiting:
@@ -300,10 +334,16 @@ def tree_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     schema = pa.schema([("seen", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(65536 * 257, np.int32)
+        counts = np.zeros((65536, 257), np.int32)
         for pieces in _batched(_texts(batches)):
             symbols = Symbols(pieces)
-            np.add.at(counts, symbols.two * np.int32(257) + symbols.symbol, 1)
+            for at in range(0, len(symbols.two), 1 << 18):  # few pairs of bytes occur in a stretch, and they are counted in a small table
+                two, number = symbols.two[at:at + (1 << 18)], np.zeros(65536, np.int32)
+                pairs = np.flatnonzero(np.bincount(two, minlength=65536))
+                number[pairs] = np.arange(len(pairs), dtype=np.int32)
+                n = np.bincount(number[two] * np.int32(257) + symbols.symbol[at:at + (1 << 18)], minlength=len(pairs) * 257)
+                counts[pairs] += n.reshape(-1, 257).astype(np.int32)
+        counts = counts.ravel()
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], schema=schema)
         del counts
@@ -327,13 +367,10 @@ def slot_log_odds(texts: DataFrame, trees: Trees) -> tuple[list[np.ndarray], lis
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(2 * offsets[-1], np.int64)
         for pieces in _batched(_texts(batches)):
-            found = [[] for _ in SLOT_BITS]
             symbols = Symbols(pieces)
             for _, _, bits, slots in levels(*symbols.codes(shared.value), symbols.contexts()):
-                for f, s in zip(found, slots):
-                    f.append(s << np.uint32(1) | bits.astype(np.uint32))
-            for f, a, b in zip(found, offsets, offsets[1:]):
-                counts[2 * a:2 * b] += np.bincount(np.concatenate(f), minlength=2 * (b - a))
+                for s, a in zip(slots, offsets):
+                    np.add.at(counts, (s << 1 | bits) + 2 * a, 1)
         counts = counts.reshape(-1, 2 * BLOCK)
         for at in np.flatnonzero(counts.any(1)):
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([counts[at].tobytes()], pa.binary())], schema=schema)
@@ -370,11 +407,10 @@ def mixed_counts(texts: DataFrame, trees: Trees, without: list[np.ndarray]) -> n
         for pieces in _batched(_texts(batches)):
             symbols = Symbols(pieces)
             for depth, _, bits, slots in levels(*symbols.codes(trees), symbols.contexts()):
-                bit, at = bits.astype(np.uint32), np.uint32(0)
+                at = min(depth, GATES - 1)
                 for c, s in zip(cells, slots):
-                    at = at << np.uint32(FIT_BITS) | c[s << np.uint32(1) | bit]
-                first = min(depth, GATES - 1) << (3 * FIT_BITS + 1)
-                counts[first:first + (2 << 3 * FIT_BITS)] += np.bincount(at << np.uint32(1) | bit, minlength=2 << 3 * FIT_BITS)
+                    at = at << FIT_BITS | c.take(s << 1 | bits).astype(np.intp)
+                np.add.at(counts, at << 1 | bits, 1)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["cell", "n"])
         give_back()

@@ -105,3 +105,36 @@ def test_trees_tables_and_weights_come_from_all_texts(spark):
     loss = lambda w, c: float((c[:, 0] * np.logaddexp(0, at @ w[:3] + w[3]) + c[:, 1] * np.logaddexp(0, -(at @ w[:3] + w[3]))).sum())
     fitted = lm.fitted_weights(counts, start)
     assert all(loss(f, c) < loss(w, c) for f, w, c in zip(fitted, start, counts) if c.sum() > 1000) and counts[0].sum() > 1000
+
+
+def test_tables_are_read_once_a_stretch_not_once_a_block(monkeypatch):
+    """Scores agree with a plain computation block by block, and all blocks of a batch share one pass through the tables."""
+    mixer = small_mixer()
+    text = "the cat sat on a log and the dog sat by the mat " * 300
+    [piece] = lm.pieces_of(text)
+    symbols, factors, want = lm.Symbols([piece]), np.ones(lm.GATES), 0.0
+    block, (length, code), contexts = lm.BLOCKS[symbols.place], symbols.codes(mixer.trees), symbols.contexts()
+    for b in np.unique(block):
+        of, step, seen = block == b, np.zeros(lm.GATES), np.full(lm.GATES, 256.0)
+        for depth, _, bits, slots in lm.levels(length[of], code[of], [c[of] for c in contexts]):
+            gate = min(depth, lm.GATES - 1)
+            x = [t[s].astype(float) / lm.SCALE for t, s in zip(mixer.tables, slots)]
+            against = (1 - 2 * bits) * (np.stack([*x, np.ones(len(bits))], 1) @ mixer.weights[gate])
+            odds = np.exp(np.minimum(factors[gate] * against, 30))
+            want -= np.log(1 + odds).sum()
+            step[gate] += ((1 / (1 + odds) - 1) * against).sum()
+            seen[gate] += len(bits)
+        factors = factors + lm.REFINE * step / seen
+    called, levels = [], lm.levels
+
+    def counted(*given):
+        called.append(len(given[0]))
+        return levels(*given)
+
+    monkeypatch.setattr(lm, "levels", counted)
+    got, after = mixer.score([piece])
+    assert abs(got[0] / want - 1) < 1e-5 and np.allclose(after[0], factors, atol=1e-4)
+    assert len(np.unique(block)) > 20 and len(called) == 1 and called[0] == len(block)
+    # Every stretch is counted on its own, and none is left out.
+    monkeypatch.setattr(lm, "STRETCH", 1000)
+    assert np.allclose(mixer.score([piece])[0], got, rtol=1e-6)
