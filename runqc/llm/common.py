@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runqc.session import cut_lineage
+from runqc.session import cut_lineage, in_tasks
 
 LIBC = ctypes.CDLL(None)
 #: A word is a longest run of characters other than these six.
@@ -60,19 +60,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates two steps until nothing changes: every node links its larger neighbours to the least neighbour
     (large star), then its smaller neighbours to it (small star). Each step is one shuffle by node and shrinks to a
-    star per component after about log(n) rounds; a hub's neighbours are joined, never collected.
+    star per component after about log(n) rounds; a hub's neighbours are joined, never collected. Tasks are as many as
+    the edges are worth.
     """
     now = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    before, n = None, now.count()
     for _ in range(rounds):
-        both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = in_tasks(now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b"))), 2 * n)
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = (both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
+        large = in_tasks(both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), n)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
-        now = cut_lineage(small.select("e.a", F.col("e.m").alias("b")).where("a <> b").distinct())
+        now = cut_lineage(in_tasks(small.select("e.a", F.col("e.m").alias("b")).where("a <> b").distinct(), n))
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = state
+        before, n = state, state[0]
     raise RuntimeError(f"components did not settle in {rounds} rounds")

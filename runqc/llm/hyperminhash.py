@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from runqc.llm.common import components, give_back
 from runqc.llm.simhash import shingle_set
-from runqc.session import written
+from runqc.session import in_tasks, written
 
 WORDS, SIMILAR = 5, (85, 100)
 #: Buckets of a sketch, and bits of mantissa beside the leading-zero count in a register.
@@ -29,6 +29,8 @@ SENT = 2_000_000
 ERRORS = 4
 #: Members of a key that are compared with all others in the first round; eight times as many in each further one.
 LEADERS = 4
+#: Pairs with their sketches or sets that a task compares at least.
+PAIRS = 2_000
 NO_ID = 2**63 - 1
 _draw = np.random.default_rng(12)
 #: Where an empty bucket looks for a register: the first bucket of its row that is not empty.
@@ -127,8 +129,10 @@ def _beside(pairs: DataFrame, columns: DataFrame, one: list[str], two: list[str]
     def of(side: str) -> DataFrame:
         return columns.join(F.broadcast(pairs.select(F.col(side).alias("node")).distinct()), "node", "left_semi") if few else columns
 
-    few = pairs.count() <= SENT
-    return pairs.join(of("a").toDF("a", *one), "a").join(of("b").toDF("b", *two), "b").select("a", "b", *(x for both in zip(one, two) for x in both))
+    n = pairs.count()
+    few = n <= SENT
+    beside = pairs.join(of("a").toDF("a", *one), "a")
+    return in_tasks(beside, n, PAIRS).join(of("b").toDF("b", *two), "b").select("a", "b", *(x for both in zip(one, two) for x in both))
 
 
 def _full_sets(docs: DataFrame, rows: DataFrame, members: DataFrame, words: int, text: str) -> DataFrame:
@@ -214,14 +218,16 @@ def rarest_slots(crowded: DataFrame, similar: tuple[int, int]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], lists], schema=schema)
 
     each = written(crowded.mapInArrow(run, "node long, n long, list array<long>").select("node", "n", F.explode("list").alias("slot")), "hyperminhash-shingles")
-    counted = each.join(each.groupBy("slot").count(), "slot")
+    rows = each.count()
+    counted = in_tasks(each.join(each.groupBy("slot").count(), "slot"), rows)
     least = F.ceil(F.col("n") * similar[0] / similar[1] - F.lit(1e-9))
     place = F.row_number().over(Window.partitionBy("node").orderBy("count", "slot"))
-    return counted.withColumn("place", place).where((F.col("place") <= F.col("n") - least + 1) & (F.col("count") > 1)).select("slot", "node", "n", "place")
+    early = counted.withColumn("place", place).where((F.col("place") <= F.col("n") - least + 1) & (F.col("count") > 1))
+    return in_tasks(early.select("slot", "node", "n", "place"), rows)
 
 
-def _met(members: DataFrame, first: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """(a, b), a < b: pairs of a member and a leader of a slot that may be similar and are of different components.
+def _met(members: DataFrame, first: DataFrame, similar: tuple[int, int], rows: int) -> DataFrame:
+    """(a, b), a < b: pairs of one of ``rows`` members and a leader of a slot that may be similar and are of different components.
 
     A slot's leaders go to its members as one list, and a member's lists of all slots are merged before pairs become
     rows: near copies share very many slots, and a row for each would be made only to be dropped as a repetition.
@@ -233,18 +239,24 @@ def _met(members: DataFrame, first: DataFrame, similar: tuple[int, int]) -> Data
         & (F.col("place") <= m - overlap(x) + 1) & (x["place"] <= x["n"] - overlap(x) + 1))
     leaders = first.groupBy("slot").agg(F.collect_list(F.struct("node", "root", "n", "place")).alias("leaders"))
     lists = members.join(leaders, "slot").select("node", F.array_distinct(F.transform(F.filter("leaders", asked), lambda x: x["node"])).alias("others")).where(F.size("others") > 0)
+    lists = in_tasks(lists, rows, PAIRS)
     merged = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
-    pairs = merged.select("node", F.explode("others").alias("other"))
+    pairs = in_tasks(merged, rows, PAIRS).select("node", F.explode("others").alias("other"))
     return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def _open(slots: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Members of the slots whose members are of several components, with their ``root`` and its ``share`` of the slot."""
+def _open(slots: DataFrame, roots: DataFrame | None, rows: int) -> DataFrame:
+    """Members of the slots whose members are of several components, with their ``root`` and its ``share`` of the slot.
+
+    ``rows`` is how many ``slots`` has.
+    """
+    slots = in_tasks(slots, rows)
     members = slots.withColumn("root", F.col("node")) if roots is None else \
-        slots.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    shares = members.groupBy("slot", "root").agg(F.count("*").alias("share"))
-    several = shares.groupBy("slot").agg(F.count("*").alias("roots")).where("roots > 1").select("slot")
-    return members.join(several, "slot").join(shares, ["slot", "root"]).select("slot", "node", "n", "place", "root", "share")
+        in_tasks(slots.join(roots, "node", "left"), rows).withColumn("root", F.coalesce("root", "node"))
+    shares = in_tasks(members.groupBy("slot", "root").agg(F.count("*").alias("share")), rows)
+    several = in_tasks(shares.groupBy("slot").agg(F.count("*").alias("roots")).where("roots > 1").select("slot"), rows)
+    found = in_tasks(members.join(several, "slot"), rows).join(shares, ["slot", "root"])
+    return in_tasks(found.select("slot", "node", "n", "place", "root", "share"), rows)
 
 
 def links(met: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMILAR, crowded: int = CROWDED) -> DataFrame | None:
@@ -259,33 +271,38 @@ def links(met: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMILAR, c
     """
     if met.isEmpty():
         return None
-    open_, roots, compared, leaders = met.withColumn("place", F.lit(0)), None, None, LEADERS
+    all_ = rows = met.count()
+    open_, roots, compared, n_compared, leaders = met.withColumn("place", F.lit(0)), None, None, 0, LEADERS
     while True:
-        members = written(_open(open_, roots), "hyperminhash-members")
-        if members.isEmpty():
+        members = written(_open(open_, roots, rows), "hyperminhash-members")
+        rows = members.count()
+        if not rows:
             return roots
         order = Window.partitionBy("slot").orderBy("share", F.xxhash64("node"), "node")
         first = members.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= leaders)
-        first = written(first.select("slot", "node", "n", "place", "root"), "hyperminhash-leaders")
-        pairs = _met(members, first, similar)
+        first = written(in_tasks(first.select("slot", "node", "n", "place", "root"), rows), "hyperminhash-leaders")
+        pairs = _met(members, first, similar, rows)
         if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = written(pairs, "hyperminhash-candidates")
+            pairs = pairs.join(in_tasks(compared, n_compared), ["a", "b"], "left_anti")
+        pairs = written(in_tasks(pairs, rows, PAIRS), "hyperminhash-candidates")
+        n = pairs.count()
+        n_compared += n
         compared = pairs if compared is None else compared.unionAll(pairs)
         pairs = _beside(pairs, sets.select("node", "n", "sketch"), ["n", "one"], ["m", "two"])
-        pairs = written(pairs.mapInArrow(_hopeful(similar), "a long, b long"), "hyperminhash-pairs")
-        found = _beside(pairs, sets.select("node", "shingles"), ["one"], ["two"]).mapInArrow(_verified(similar), "a long, b long")
+        pairs = written(in_tasks(pairs, n, PAIRS).mapInArrow(_hopeful(similar), "a long, b long"), "hyperminhash-pairs")
+        found = in_tasks(_beside(pairs, sets.select("node", "shingles"), ["one"], ["two"]), n, PAIRS).mapInArrow(_verified(similar), "a long, b long")
         edges = written(found, "hyperminhash-links")
         known = roots
         roots = components(edges if known is None else edges.unionAll(known.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         open_ = members.join(first, ["slot", "node"], "left_anti").select("slot", "node", "n", "place")
         if known is None:
             full_ = met.where(F.col("count") > crowded).withColumn("place", F.lit(0))
-            rest = written(_open(full_, roots).select("node").distinct(), "hyperminhash-crowded")
+            rest = written(in_tasks(_open(full_, roots, all_).select("node").distinct(), all_), "hyperminhash-crowded")
             rarest = shared_slots(rarest_slots(sets.select("node", "n", "shingles").join(rest, "node").select("node", "n", "shingles"), similar))
             few = open_.join(met.where(F.col("count") <= crowded).select("slot", "node"), ["slot", "node"], "left_semi")
             open_ = few.unionByName(rarest.drop("count"))
-        open_ = written(open_, "hyperminhash-open")
+        open_ = written(in_tasks(open_, rows), "hyperminhash-open")
+        rows = open_.count()
         leaders *= 8
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runqc.llm.common import components, give_back, lower_words
-from runqc.session import written
+from runqc.session import in_tasks, written
 
 HASH_SEED = 42
 #: Table entries under one segment value up to which pairs are compared; more are linked over shared midpoints instead.
@@ -211,13 +211,14 @@ def similar_links(docs: DataFrame, placed: DataFrame, words: int, similar: float
 
     bound = (round(similar * 1000), 1000)
     slots = placed.select(F.col("key").alias("node"), "n", F.explode("bands").alias("slot"))
-    met = written(shared_slots(slots.select("slot", "node", "n")), "similar-bands")
-    sets = written(_member_sets(docs, written(met.select("node").distinct(), "similar-members"), words, text), "similar-sets")
+    met = written(in_tasks(shared_slots(slots.select("slot", "node", "n")), BANDS * placed.count()), "similar-bands")
+    members = written(in_tasks(met.select("node").distinct(), met.count()), "similar-members")
+    sets = written(_member_sets(docs, members, words, text), "similar-sets")
     roots = merge(met, sets, bound, CROWDED_BAND)
     of = placed.select("key", F.col("root").alias("own"))
     if roots is None:
         return of.select(F.col("own").alias("a"), F.col("own").alias("b")).limit(0)
-    pairs = roots.join(of.toDF("node", "a"), "node").join(of.toDF("root", "b"), "root")
+    pairs = in_tasks(roots.join(of.toDF("node", "a"), "node"), met.count()).join(of.toDF("root", "b"), "root")
     return pairs.select("a", "b").where("a <> b").distinct()
 
 
@@ -235,7 +236,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 2, words: int = WORD
     fps = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first"))
     close = components(links(fps.select("fp"), bits))
     placed = rows.select("key", "fp", "n", "bands").dropDuplicates(["key"]).join(close.withColumnRenamed("node", "fp"), "fp", "left")
-    placed = written(placed.select("key", "n", "bands", F.coalesce("root", "fp").alias("root")), "similar-placed")
+    placed = written(in_tasks(placed.select("key", "n", "bands", F.coalesce("root", "fp").alias("root")), rows.count()), "similar-placed")
     roots = components(close.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(similar_links(docs, placed, words, similar, text)))
     least = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
     least = least.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.key")

@@ -54,6 +54,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_tasks(df: DataFrame, rows: int, each: int = 20_000) -> DataFrame:
+    """``df``, which comes of about ``rows`` rows, in no more tasks than one for ``each`` rows; never in more than it had.
+
+    A shuffle leaves files for each of its tasks, so a small table dealt over all partitions in many rounds takes disk and
+    time by their number instead of by its rows.
+    """
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors, fixes the rows for several readers."""
     spark = df.sparkSession

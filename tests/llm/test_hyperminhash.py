@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from runqc.llm import hyperminhash as H
+from runqc.llm.common import components
 from runqc.llm.common import lower_words
 
 
@@ -139,3 +140,31 @@ def test_rounds_shuffle_only_the_sets_of_their_pairs(spark, monkeypatch):
         assert found(docs) == want
         for name, sides in (("hyperminhash-pairs", 2), ("hyperminhash-links", 2), ("hyperminhash-wanted", 1)):
             assert all((p.count("LeftSemi, ") == sides and p.count("strategy=broadcast") == sides) == few for p in plans[name]), plans[name][0]
+
+
+def test_rounds_leave_files_by_their_rows(spark, monkeypatch):
+    """Links of a few texts are worked out in a few tasks, however many partitions a shuffle has."""
+    files, written = {}, H.written
+
+    def kept(df, name):
+        out = written(df, name)
+        files.setdefault(name, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(H, "written", kept)
+    monkeypatch.setattr(H, "CROWDED", 2)
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = [(i, " ".join(base[:k] + [f"x{i}"] * i + base[k + 1:])) for i in range(24) for k in [rng.randrange(200)]]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(old, ("16", "false")):
+            spark.conf.set(k, v)
+        roots = components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"))
+        assert roots.where("root = 0").count() == 40 and roots.rdd.getNumPartitions() <= 2
+        assert found(spark.createDataFrame(rows, "doc_id long, text string")) == plain(rows)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    rounds = {k: max(files[f"hyperminhash-{k}"]) for k in ("members", "leaders", "candidates", "pairs", "links")}
+    assert max(rounds.values()) <= 2, rounds
