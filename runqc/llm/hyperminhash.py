@@ -31,6 +31,8 @@ ERRORS = 4
 LEADERS = 4
 #: Pairs with their sketches or sets that a task compares at least.
 PAIRS = 2_000
+#: Words of 64 bits in a parity: bits of a set's hashes, each flipped once for each hash that falls on it.
+PARITY = 8
 NO_ID = 2**63 - 1
 _draw = np.random.default_rng(12)
 #: Where an empty bucket looks for a register: the first bucket of its row that is not empty.
@@ -63,6 +65,12 @@ def band_keys(sketches: np.ndarray) -> np.ndarray:
     return (key ^ key >> np.uint64(32)).view(np.int64)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """The parity of a set of 64-bit hashes. Two differ in no more bits than the sets have elements that are not shared."""
+    flips = np.bincount((shingles & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view("<i8")
+
+
 @lru_cache(None)
 def _filled(step: int) -> np.ndarray:
     """Probability of each register of a bucket that holds 2^(step/2) hashes on average, and one at least."""
@@ -226,18 +234,33 @@ def rarest_slots(crowded: DataFrame, similar: tuple[int, int]) -> DataFrame:
     return in_tasks(early.select("slot", "node", "n", "place"), rows)
 
 
-def _met(members: DataFrame, first: DataFrame, similar: tuple[int, int], rows: int) -> DataFrame:
+def _parities(sets: DataFrame) -> DataFrame:
+    """(node, bits) of ``sets``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [parities(np.frombuffer(s.as_py(), np.uint64)) for s in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.list_(pa.int64()))], names=["node", "bits"])
+        give_back()
+
+    return sets.select("node", "shingles").mapInArrow(run, "node long, bits array<long>")
+
+
+def _met(members: DataFrame, first: DataFrame, bits: DataFrame, similar: tuple[int, int], rows: int) -> DataFrame:
     """(a, b), a < b: pairs of one of ``rows`` members and a leader of a slot that may be similar and are of different components.
 
     A slot's leaders go to its members as one list, and a member's lists of all slots are merged before pairs become
-    rows: near copies share very many slots, and a row for each would be made only to be dropped as a repetition.
+    rows: near copies share very many slots, and a row for each would be made only to be dropped as a repetition. Pairs whose
+    parities differ in more bits than similar sets of their sizes may differ in elements are none: of short texts that is
+    most of the pairs of a group of copies on both sides of the bound.
     """
     # The least overlap of a similar pair of these sizes; its shared shingles begin that early in both orders.
     m, overlap = F.col("n"), lambda x: F.ceil((F.col("n") + x["n"]) * similar[0] / (similar[0] + similar[1]) - F.lit(1e-9))
     asked = lambda x: (
         (F.col("root") != x["root"]) & (F.least(m, x["n"]) * similar[1] >= F.greatest(m, x["n"]) * similar[0])
-        & (F.col("place") <= m - overlap(x) + 1) & (x["place"] <= x["n"] - overlap(x) + 1))
-    leaders = first.groupBy("slot").agg(F.collect_list(F.struct("node", "root", "n", "place")).alias("leaders"))
+        & (F.col("place") <= m - overlap(x) + 1) & (x["place"] <= x["n"] - overlap(x) + 1)
+        & (sum(F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get(x["bits"], F.lit(i)))) for i in range(PARITY)) <= m + x["n"] - 2 * overlap(x)))
+    members, first = (in_tasks(x.join(bits, "node"), rows) for x in (members, first))
+    leaders = first.groupBy("slot").agg(F.collect_list(F.struct("node", "root", "n", "place", "bits")).alias("leaders"))
     lists = members.join(leaders, "slot").select("node", F.array_distinct(F.transform(F.filter("leaders", asked), lambda x: x["node"])).alias("others")).where(F.size("others") > 0)
     lists = in_tasks(lists, rows, PAIRS)
     merged = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
@@ -272,6 +295,7 @@ def links(met: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMILAR, c
     if met.isEmpty():
         return None
     all_ = rows = met.count()
+    bits = written(_parities(sets), "hyperminhash-parities")
     open_, roots, compared, n_compared, leaders = met.withColumn("place", F.lit(0)), None, None, 0, LEADERS
     while True:
         members = written(_open(open_, roots, rows), "hyperminhash-members")
@@ -281,7 +305,7 @@ def links(met: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMILAR, c
         order = Window.partitionBy("slot").orderBy("share", F.xxhash64("node"), "node")
         first = members.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= leaders)
         first = written(in_tasks(first.select("slot", "node", "n", "place", "root"), rows), "hyperminhash-leaders")
-        pairs = _met(members, first, similar, rows)
+        pairs = _met(members, first, bits, similar, rows)
         if compared is not None:
             pairs = pairs.join(in_tasks(compared, n_compared), ["a", "b"], "left_anti")
         pairs = written(in_tasks(pairs, rows, PAIRS), "hyperminhash-candidates")

@@ -168,3 +168,32 @@ def test_rounds_leave_files_by_their_rows(spark, monkeypatch):
             spark.conf.set(k, v)
     rounds = {k: max(files[f"hyperminhash-{k}"]) for k in ("members", "leaders", "candidates", "pairs", "links")}
     assert max(rounds.values()) <= 2, rounds
+
+
+def test_parities_bound_what_sets_differ_in():
+    rng = np.random.default_rng(3)
+    for n in (1, 9, 140, 3000):
+        a = rng.integers(0, 2**64, n, np.uint64)
+        b = np.unique(np.r_[a[n // 8:], rng.integers(0, 2**64, n // 6, np.uint64)])
+        differ = np.bitwise_count((H.parities(a) ^ H.parities(b)).view(np.uint64)).sum()
+        assert differ <= len(np.setxor1d(a, b)) and (n != 140 or differ > 25) and not (H.parities(a) ^ H.parities(a[::-1])).any()
+
+
+def test_copies_below_the_bound_do_not_become_pairs(spark, monkeypatch):
+    made, written = [], H.written
+
+    def kept(df, name):
+        out = written(df, name)
+        made.extend([out.count()] if name == "hyperminhash-candidates" else [])
+        return out
+
+    monkeypatch.setattr(H, "written", kept)
+    rng = random.Random(21)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(60):
+        copy = list(base)
+        for k in rng.sample(range(0, 150, 5), 4):
+            copy[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(copy)))
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == plain(rows)
+    assert sum(made) < 300
