@@ -11,11 +11,15 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 
+from runqc.functions.lanes import Nearest
+
 MAX_CELLS = 4_000_000
 #: Words of one step that are worked on at once: few enough for the cache, enough to hide the cost of a call.
 PANEL_WORDS = 8192
 #: References nearer in length than this share of a sequence's, and this many of the nearest, are tried first.
 NEAR_SHARE, NEAR_REFS = 0.3, 16
+#: Bases of sequences and references, and letters, up to which 64 pairs are worked on as the bits of a word.
+SHORT, SHORT_REF, FEW_LETTERS = 1 << 15, 2048, 32
 #: Bases of a long target that are searched at once, beside the overlap.
 PIECE = 512
 PAD = 0xFFFFFFFF
@@ -173,6 +177,12 @@ class Panel:
             members = members[np.argsort(self.lengths[members], kind="stable")]
             codes = coded(self.alphabet, block[members, :int(self.lengths[members].max())])
             self.groups.append((members, masks(codes, len(self.alphabet), int(w))))
+        self.short = np.flatnonzero(self.lengths <= SHORT_REF)
+        if not len(self.short) or len(self.alphabet) > FEW_LETTERS:
+            self.nearest = None
+        else:
+            n = self.lengths[self.short]
+            self.nearest = Nearest(coded(self.alphabet, block[self.short, :max(int(n.max()), 1)]).astype(np.uint8), n, len(self.alphabet))
 
     def _parts(self, low: int, high: int, apart: tuple[int, int] | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(members, masks) of references with ``low`` to ``high`` bases, without those inside ``apart``."""
@@ -222,6 +232,10 @@ class Panel:
         best = np.zeros(len(reads), np.int64)
         lengths = np.fromiter(map(len, reads), np.int64, len(reads))
         order, ordered = np.argsort(-lengths, kind="stable"), np.sort(self.lengths)
+        if self.nearest is not None:
+            few = np.searchsorted(-lengths[order], -SHORT)
+            self._closest_short(reads, lengths, order[few:][::-1], best)
+            order = order[:few]
         at = 0
         while at < len(order):
             longest = int(lengths[order[at]])
@@ -246,6 +260,25 @@ class Panel:
             best[some] = found
         return best % max(self.size, 1), best // max(self.size, 1)
 
+    def _closest_short(self, reads: Sequence[str], lengths: np.ndarray, order: np.ndarray, best: np.ndarray) -> None:
+        """Fills in ``best``, distance * size + reference, for short reads, the shortest first."""
+        rest, ordered = self.lengths[self.lengths > SHORT_REF], lengths[order]
+        at = 0
+        while at < len(order):
+            n = int(ordered[at])
+            # Reads of one block are of similar length, or longer than all references.
+            more = max(2, n // 12) if n < 2 * self.nearest.lengths[-1] else n
+            some = order[at: min(at + max(64, MAX_CELLS // (n + more + 1)), int(np.searchsorted(ordered, n + more, "right")))]
+            at += len(some)
+            codes = coded(self.alphabet, _codes([reads[i] for i in some])[0])
+            found = self.nearest.closest(codes.astype(np.uint8), lengths[some])
+            d, which = found // len(self.short), self.short[found % len(self.short)]
+            best[some] = d * self.size + which
+            far = some[d >= rest.min(initial=np.iinfo(np.int64).max) - lengths[some]][::-1]
+            if len(far):
+                codes = coded(self.alphabet, _codes([reads[i] for i in far])[0])
+                best[far] = np.minimum(best[far], self._least(codes, lengths[far], SHORT_REF + 1, int(rest.max()), None))
+
     def _near(self, n: int, ordered: np.ndarray) -> tuple[int, int]:
         """Reference lengths within NEAR_SHARE of n, and those of the NEAR_REFS nearest below and above."""
         at = int(np.searchsorted(ordered, n))

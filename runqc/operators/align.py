@@ -80,6 +80,8 @@ def distance_columns(reads: DataFrame, panel: Mapping[str, str], seq: str = "seq
 PIECE = 12
 #: References of one block, and sequences of one chunk and their bases, that are held against each other.
 BLOCK, CHUNK, CHUNK_BASES = 1024, 32768, 1 << 23
+#: Chunks from which on each holds more, up to so many times as much: sequences of similar length are worked on together.
+ENOUGH, MORE = 32, 4
 
 
 def _named(seq: Column) -> Column:
@@ -135,7 +137,8 @@ def _scanned(rest: DataFrame, r: DataFrame, u: DataFrame) -> DataFrame:
     share = lambda df, total, size: F.ceil(df.agg(total.alias("n")).scalar() / size)
     blocks = F.greatest(share(r, F.count("*"), BLOCK).cast("long"), F.lit(1))
     load = F.coalesce(F.sum(F.lit(1 / CHUNK) + F.col("n") / CHUNK_BASES), F.lit(0.0))
-    chunks = F.greatest(share(u, load, 1).cast("long"), F.lit(1))
+    least = share(u, load, 1).cast("long")
+    chunks = F.greatest(F.least(least, F.lit(ENOUGH)), F.ceil(least / MORE).cast("long"), F.lit(1))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     left = r.withColumn("block", F.pmod(F.xxhash64("ord", "ref_id"), blocks)).withColumn("chunk", every(chunks))
     right = rest.select("id", "u", F.pmod(F.xxhash64("id"), chunks).alias("chunk")).withColumn("block", every(blocks))
@@ -146,11 +149,13 @@ def _scanned(rest: DataFrame, r: DataFrame, u: DataFrame) -> DataFrame:
 def best_reference(reads: DataFrame, refs: DataFrame, seq: str = "seq") -> DataFrame:
     """Closest reference (ref_id, ref_seq, ord) of every read by global distance, first in order on ties.
 
-    Equal sequences are aligned once. Where references fill more than one block, candidates share an unchanged piece; the
+    Equal sequences are aligned once; they are worked out once, into a table, as several steps read them. Where references
+    fill more than one block, candidates share an unchanged piece; the
     closest of them is the answer if its distance is covered, that is if every closer reference would have shared a piece
     as well. The remaining sequences are held against all references, block by block.
     """
-    u = _sequences(reads, seq)
+    u = reads.select(F.upper(F.col(seq)).alias("u")).distinct().select(_named(F.col("u")).alias("id"), "u", F.length("u").alias("n"))
+    u = written(u, "sequences").where("u is not null")
     r = refs.select("ord", "ref_id", F.upper("ref_seq").alias("s"), F.length("ref_seq").alias("m"))
     many = r.agg(F.count("*").alias("n")).scalar() > BLOCK
     least = lambda df: df.groupBy("id").agg(F.min(F.struct("d", "ord", "ref_id")).alias("b"))
@@ -161,7 +166,9 @@ def best_reference(reads: DataFrame, refs: DataFrame, seq: str = "seq") -> DataF
     rest = u.where(~many).select("id", "u").unionAll(tried.where(~covered).select("id", "u"))
     best = tried.where(covered).select("id", "b").unionAll(least(_scanned(rest, r, u)))
     hits = best.select(F.col("id").alias("_id"), F.col("b.ref_id").alias("ref_id"), F.col("b.d").alias("edit_distance"))
-    return reads.withColumn("_id", _named(F.upper(F.col(seq)))).join(hits, "_id").drop("_id")
+    # Never NULL, so that the reads are not filtered by it, which would work it out twice.
+    name = F.coalesce(_named(F.upper(F.col(seq))), F.lit(b""))
+    return reads.withColumn("_id", name).join(hits, "_id").drop("_id")
 
 
 def similarity_join(reads: DataFrame, refs: DataFrame, k: int, seq: str = "seq") -> DataFrame:

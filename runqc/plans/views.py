@@ -165,7 +165,7 @@ class Views:
         """Every sentence of every document as a read: bases, qualities, experiment and barcode."""
         d = self.texts("documents", "doc_id").select(
             "doc_id", "lang", "source", F.posexplode(F.split("text", "[.!?\n]+")).alias("pos", "s")
-        )
+        ).where(F.col("s").rlike("[A-Za-z]"))
         return d.select(
             F.concat_ws("-", "doc_id", "pos").alias("read_id"),
             "doc_id",
@@ -174,7 +174,7 @@ class Views:
             "source",
             _dna(F.col("s")).alias("seq"),
             _qual(F.col("s")).alias("qual"),
-        ).where(F.col("seq") != "").withColumn("length", F.length("seq"))
+        ).withColumn("length", F.length("seq"))
 
     @cached_property
     def targets(self) -> DataFrame:
