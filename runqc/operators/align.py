@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -348,11 +349,6 @@ PROFILE_BASES = 1 << 21
 TALLIES = ["correct", "incorrect", "deleted", "inserted", "q_correct", "q_incorrect", "p_correct", "p_incorrect"]
 
 
-def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """starts[0] .. starts[0] + lengths[0] - 1, starts[1] .., one after the other."""
-    return np.repeat(starts - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(int(lengths.sum()))
-
-
 def _tallied(reads: pd.DataFrame) -> pa.Table:
     """Tallies of the positions of the references that reads (seq, qual, ref_id, ref_seq, edit_distance) align to.
 
@@ -381,11 +377,11 @@ def _tallied(reads: pd.DataFrame) -> pa.Table:
     place, kind = place[based], flat[based]
     bases = np.bincount(pair[based], minlength=len(unique))
     n = bases[seq]
-    base = _ragged(np.r_[0, np.cumsum(bases)][seq], n)
+    base = banded.ragged(np.r_[0, np.cumsum(bases)][seq], n)
     quals = ["" if q is None else q[:k] for q, k in zip(reads["qual"], n.tolist())]
     given = np.fromiter(map(len, quals), np.int64, len(quals))
     q = np.full(len(base), np.nan)
-    q[_ragged(np.r_[0, np.cumsum(n)[:-1]], given)] = np.frombuffer("".join(quals).encode("utf-32-le"), np.uint32)
+    q[banded.ragged(np.r_[0, np.cumsum(n)[:-1]], given)] = np.frombuffer("".join(quals).encode("utf-32-le"), np.uint32)
     p = 10.0 ** (-(q - phred.PHRED_OFFSET) / 10.0)
     place, kind, has = place[base], kind[base], ~np.isnan(q)
     ok, wrong = kind == banded.SAME, kind == banded.OTHER
@@ -397,21 +393,35 @@ def _tallied(reads: pd.DataFrame) -> pa.Table:
     return pa.table([pa.array(names.take(of)), pa.array((seen - begin[of]).astype(np.int32)), *counts], names=["ref_id", "ref_pos", *TALLIES])
 
 
-def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    """Reads of up to PROFILE_BASES bases together, of several batches or of a part of one."""
+    held, bases = [], 0
     for batch in batches:
         reads = batch.to_pandas()
-        part = reads["seq"].str.len().cumsum() // PROFILE_BASES
-        for _, some in reads.groupby(part, sort=False):
-            yield from _tallied(some.reset_index(drop=True)).cast(pa.schema(
-                [batch.schema.field("ref_id"), ("ref_pos", pa.int32()), *((t, pa.float64() if t.startswith("p_") else pa.int64()) for t in TALLIES)]
-            )).to_batches()
+        n = reads["seq"].str.len()
+        for _, some in reads.groupby(n.cumsum() // PROFILE_BASES, sort=False):
+            more = int(n[some.index].sum())
+            if held and bases + more > PROFILE_BASES:
+                yield pd.concat(held, ignore_index=True)
+                held, bases = [], 0
+            held.append(some)
+            bases += more
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for first in batches:
+        schema = pa.schema([first.schema.field("ref_id"), ("ref_pos", pa.int32()), *((t, pa.float64() if t.startswith("p_") else pa.int64()) for t in TALLIES)])
+        for reads in _gathered(chain([first], batches)):
+            yield from _tallied(reads).cast(schema).to_batches()
 
 
 def error_profile(reads: DataFrame, refs: DataFrame) -> DataFrame:
     """Mean quality, empirical and predicted error per position of each read's best reference.
 
     Reads: read_id, seq, qual. References: ref_id, ref_seq, ord. Reads come with equal sequences together, so that these
-    are aligned once, and each batch of them is counted before it leaves its task. Deleted and inserted bases are counted
+    are aligned once; they are counted before they leave their task, many batches at once. Deleted and inserted bases are counted
     at their positions, beside the rates of aligned bases.
     """
     matched = best_reference(reads.select("seq", "qual"), refs).join(refs.select("ref_id", "ref_seq"), "ref_id")

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_kernels import edit
@@ -235,6 +236,41 @@ def test_error_profile_counts_bases_without_quality(rows):
     assert got[2].mean_qscore_incorrect == pytest.approx(20) and got[0].mean_qscore_incorrect is None
 
 
+def test_error_profile_counts_many_batches_at_once(monkeypatch):
+    """A thousand reads in batches of ten take as many steps as in one batch, and no more bases are held than are counted at once."""
+    import pandas as pd
+    import pyarrow as pa
+
+    reads = pd.DataFrame({"seq": [dna(random.randint(20, 30)) for _ in range(1000)], "qual": "+" * 25, "ref_id": "r0", "ref_seq": dna(25)})
+    reads["edit_distance"] = [edit(a, b) for a, b in zip(reads.seq, reads.ref_seq)]
+    table = pa.Table.from_pandas(reads, preserve_index=False)
+    steps, step, sizes, tallied = [], kernels.step, [], A._tallied
+    monkeypatch.setattr(kernels, "step", lambda *a: steps.append(1) or step(*a))
+    monkeypatch.setattr(A, "_tallied", lambda x: sizes.append(int(x.seq.str.len().sum())) or tallied(x))
+    total = lambda size: pd.concat([b.to_pandas() for b in A._profiled(iter(table.to_batches(max_chunksize=size)))]).groupby("ref_pos").sum(numeric_only=True)
+    want = total(1000)
+    whole = len(steps)
+    assert np.allclose(total(10), want) and len(steps) == 2 * whole
+    monkeypatch.setattr(A, "PROFILE_BASES", 3000)
+    sizes.clear()
+    assert np.allclose(total(10), want) and np.allclose(total(1000), want) and max(sizes) <= 3000 + 30
+
+
+@pytest.mark.parametrize("far", ["", "\U0001F9EC\u0416"])
+def test_paths_of_other_letters(far):
+    """Letters that only one side has, also beyond the first plane."""
+    pairs = [(dna(random.randint(0, 90)) + far, far[::-1] + dna(random.randint(0, 90)) + "N") for _ in range(40)] + [("", "AC"), ("AC", ""), ("", "")]
+    for (q, t), ops in zip(pairs, banded.paths(*zip(*pairs))):
+        assert ((ops != banded.DELETE).sum(), (ops != banded.INSERT).sum()) == (len(q), len(t))
+        assert int((ops != banded.SAME).sum()) == edit(q, t)
+        i = j = 0
+        for op in ops.tolist():
+            if op in (banded.SAME, banded.OTHER):
+                assert (q[i] == t[j]) == (op == banded.SAME)
+            i += op != banded.DELETE
+            j += op != banded.INSERT
+
+
 def test_barcode_summary_works_out_its_columns_once(rows):
     data = rows([(f"b{i % 2}", i, i % 7, float(i % 11), "in_range", "signal_positive") for i in range(40)],
                 "barcode string, length int, ed int, qscore double, size_class string, end_reason string")
