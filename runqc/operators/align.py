@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 from itertools import chain
 
@@ -83,6 +84,8 @@ PIECE = 12
 BLOCK, CHUNK, CHUNK_BASES = 1024, 32768, 1 << 23
 #: Chunks from which on each holds more, up to so many times as much: sequences of similar length are worked on together.
 ENOUGH, MORE = 32, 4
+#: Partitions for each chunk.
+SPREAD = 8
 
 
 def _named(seq: Column) -> Column:
@@ -132,19 +135,19 @@ def _closest(refs: pa.Table, reads: pa.Table) -> pa.Table:
 def _scanned(rest: DataFrame, r: DataFrame, u: DataFrame) -> DataFrame:
     """(id, d, ord, ref_id): for every sequence in ``rest(id, u)`` the nearest reference of every block.
 
-    Blocks of references meet chunks of sequences, both of bounded size: their numbers follow from counts that are part
-    of the plan. ``u`` bounds the number of sequences and their bases.
+    Blocks of references meet chunks of sequences, both of bounded size. ``u``, a table that is at hand, bounds the number
+    of sequences and their bases. A chunk is few bytes and much work, so chunks are dealt over more partitions than there
+    are of them, which are not joined by their bytes.
     """
-    share = lambda df, total, size: F.ceil(df.agg(total.alias("n")).scalar() / size)
-    blocks = F.greatest(share(r, F.count("*"), BLOCK).cast("long"), F.lit(1))
-    load = F.coalesce(F.sum(F.lit(1 / CHUNK) + F.col("n") / CHUNK_BASES), F.lit(0.0))
-    least = share(u, load, 1).cast("long")
-    chunks = F.greatest(F.least(least, F.lit(ENOUGH)), F.ceil(least / MORE).cast("long"), F.lit(1))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    left = r.withColumn("block", F.pmod(F.xxhash64("ord", "ref_id"), blocks)).withColumn("chunk", every(chunks))
-    right = rest.select("id", "u", F.pmod(F.xxhash64("id"), chunks).alias("chunk")).withColumn("block", every(blocks))
+    blocks = F.greatest(F.ceil(r.agg(F.count("*").alias("n")).scalar() / BLOCK).cast("long"), F.lit(1))
+    least = math.ceil(u.agg(F.sum(F.lit(1 / CHUNK) + F.col("n") / CHUNK_BASES)).first()[0] or 0)
+    chunks = max(1, min(least, ENOUGH), -(-least // MORE))
+    left = r.withColumn("block", F.pmod(F.xxhash64("ord", "ref_id"), blocks)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    right = rest.select("id", "u", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk")).withColumn(
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     ddl = f"id binary, d int, ord {r.schema['ord'].dataType.simpleString()}, ref_id {r.schema['ref_id'].dataType.simpleString()}"
-    return left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(_closest, ddl)
+    left, right = (x.repartition(SPREAD * chunks, "block", "chunk").groupBy("block", "chunk") for x in (left, right))
+    return left.cogroup(right).applyInArrow(_closest, ddl)
 
 
 def best_reference(reads: DataFrame, refs: DataFrame, seq: str = "seq") -> DataFrame:
